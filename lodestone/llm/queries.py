@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Module of each query; imported when the queries are listed.
 MODULES = {
+    "op1_bpe": "bpe",
     "op2_substring_dedup": "substring_dedup",
 }
 
