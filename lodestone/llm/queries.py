@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_bpe": "bpe",
     "op2_substring_dedup": "substring_dedup",
+    "op6_simhash": "simhash",
 }
 
 SQL: dict[str, str] = {}
