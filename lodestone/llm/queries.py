@@ -9,6 +9,7 @@ MODULES = {
     "op1_bpe": "bpe",
     "op2_substring_dedup": "substring_dedup",
     "op6_simhash": "simhash",
+    "op7_media": "media",
 }
 
 SQL: dict[str, str] = {}
