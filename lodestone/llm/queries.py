@@ -10,6 +10,7 @@ MODULES = {
     "op2_substring_dedup": "substring_dedup",
     "op6_simhash": "simhash",
     "op7_media": "media",
+    "op10_warc": "warc",
 }
 
 SQL: dict[str, str] = {}
