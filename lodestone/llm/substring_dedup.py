@@ -169,19 +169,22 @@ def _salted(rows: DataFrame, common: list[int]) -> DataFrame:
 
 
 def _judged(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows (keys, segment, doc_id, salt) that repeat over documents, with their status: REMOVE or MIXED."""
+    """rows (keys, segment, doc_id, salt) that repeat over documents, with their status: REMOVE or MIXED.
 
-    def status() -> F.Column:
-        return F.when(F.col("low") != F.col("high"), MIXED).when(F.col("doc_id") > F.col("first"), REMOVE).otherwise(KEEP)
-
-    stats = {"first": F.min("doc_id"), "last": F.max("doc_id"), "low": F.min("segment"), "high": F.max("segment")}
+    A salted part settles all of its rows but those of its first document; these alone meet the other parts.
+    """
     over = Window.partitionBy(*keys, "salt")
+    stats = {"first": F.min("doc_id"), "last": F.max("doc_id"), "low": F.min("segment"), "high": F.max("segment")}
     told = rows.select("*", *(f.over(over).alias(n) for n, f in stats.items())).filter((F.col("salt") > 0) | (F.col("first") < F.col("last")))
-    told = told.select(*keys, F.when(F.col("salt") > 0, F.col("segment")).alias("segment"), "doc_id", F.when(F.col("salt") > 0, OPEN).otherwise(status()).alias("status"))
-    told = shared_table(told.filter(F.col("status") != KEEP), "repeats")
+    mixed, later = F.col("low") != F.col("high"), F.col("doc_id") > F.col("first")
+    open_ = (F.col("salt") > 0) & ~later
+    told = told.withColumn("status", F.when(open_, OPEN).when(mixed, MIXED).when(later, REMOVE).otherwise(KEEP)).filter(F.col("status") != KEEP)
+    told = shared_table(told.select(*keys, "doc_id", "status", *(F.when(open_, F.col(n)).alias(n) for n in ("last", "low", "high"))), "repeats")
     hot = told.filter(F.col("status") == OPEN)
-    whole = hot.groupBy(*keys).agg(*(f.alias(n) for n, f in stats.items())).filter(F.col("first") < F.col("last"))
-    hot = hot.join(whole, keys).select(*keys, "doc_id", status().alias("status"))
+    whole = {"first": F.min("doc_id"), "last": F.max("last"), "low": F.min("low"), "high": F.max("high")}
+    whole = hot.groupBy(*keys).agg(*(f.alias(n) for n, f in whole.items())).filter(F.col("first") < F.col("last"))
+    hot = hot.select(*keys, "doc_id").join(whole, keys)
+    hot = hot.select(*keys, "doc_id", F.when(mixed, MIXED).when(later, REMOVE).otherwise(KEEP).alias("status"))
     return told.filter(F.col("status") != OPEN).select(*keys, "doc_id", "status").unionAll(hot.filter(F.col("status") != KEEP))
 
 
