@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_bpe": "bpe",
     "op2_substring_dedup": "substring_dedup",
+    "op3_chat": "chat",
     "op6_simhash": "simhash",
     "op7_media": "media",
     "op10_warc": "warc",
