@@ -9,6 +9,7 @@ MODULES = {
     "op1_bpe": "bpe",
     "op2_substring_dedup": "substring_dedup",
     "op3_chat": "chat",
+    "op4_url_rules": "url_rules",
     "op6_simhash": "simhash",
     "op7_media": "media",
     "op10_warc": "warc",
