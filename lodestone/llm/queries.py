@@ -10,6 +10,7 @@ MODULES = {
     "op2_substring_dedup": "substring_dedup",
     "op3_chat": "chat",
     "op4_url_rules": "url_rules",
+    "op5_quality": "quality",
     "op6_simhash": "simhash",
     "op7_media": "media",
     "op10_warc": "warc",
