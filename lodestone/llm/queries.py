@@ -13,6 +13,7 @@ MODULES = {
     "op5_quality": "quality",
     "op6_simhash": "simhash",
     "op7_media": "media",
+    "op8_main_text": "main_text",
     "op10_warc": "warc",
 }
 
