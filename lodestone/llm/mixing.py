@@ -113,12 +113,32 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, b
     return out.join(sums, "key", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
+def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs with key, different in every row: the id (for null ids the text's hash) and a number among rows of that id."""
+    hashed = F.xxhash64(F.col(text))
+    within = F.when(F.col(id).isNull(), hashed)  # rows without id are no hot group
+    order = Window.partitionBy(F.col(id), within).orderBy(F.col(source), hashed)
+    return docs.withColumn("key", F.struct(F.col(id).cast("long").alias("doc_id"), within.alias("hash"), F.row_number().over(order).alias("n")))
+
+
 def sized(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, doc_id, source, size) of docs; key numbers rows of the same id, source and size."""
-    slim = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
-    order = Window.partitionBy("doc_id").orderBy("source", "size")
-    same = F.when(F.col("doc_id").isNotNull(), F.row_number().over(order)).otherwise(F.monotonically_increasing_id())
-    return slim.select(F.struct("doc_id", same.cast("long").alias("n")).alias("key"), "doc_id", "source", "size")
+    """(key, doc_id, source, size) of docs."""
+    hashed = F.xxhash64(F.col(text))  # texts themselves aren't shuffled
+    slim = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), hashed.alias("hash"))
+    within = F.when(F.col("doc_id").isNull(), F.col("hash"))
+    n = F.row_number().over(Window.partitionBy("doc_id", within).orderBy("source", "hash"))
+    return slim.select(F.struct("doc_id", within.alias("hash"), n.alias("n")).alias("key"), "doc_id", "source", "size")
+
+
+def whole_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs, each row as often as the mix takes it: taken / size, rounded up or down by the row's hash, so that sums stay near."""
+    shares = mix(sized(docs, id, text, source), weights, most)
+    part = F.pmod(_hash(F.lit("round"), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = F.floor(F.coalesce(F.try_divide(F.col("taken").cast("double"), F.col("size")), F.lit(0.0)) + part).cast("int")
+    told = shares.filter("taken > 0").select(F.xxhash64("key").alias("_deal"), F.col("key").alias("_taken"), times.alias("_times")).filter("_times > 0")
+    rows = keyed(docs, id, text, source).withColumnRenamed("key", "_key")
+    same = (F.xxhash64("_key") == F.col("_deal")) & F.col("_key").eqNullSafe(F.col("_taken"))
+    return rows.join(told, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ MODULES = {
     "op6_simhash": "simhash",
     "op7_media": "media",
     "op8_main_text": "main_text",
+    "op9_mixing": "mixing",
     "op10_warc": "warc",
 }
 
