@@ -19,6 +19,8 @@ BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 @lru_cache(maxsize=8)
@@ -97,8 +99,8 @@ class Slice:
         return np.flatnonzero(self.doc[:n] == self.doc[k - 1 : k - 1 + n]) if n else np.zeros(0, np.int64)
 
 
-def slices(column: pa.Array, hashes: bool = True) -> Iterator[tuple[int, int, Slice]]:
-    """(first row, end row, Slice) over a string column in bounded pieces; null counts as empty."""
+def slices(column: pa.Array, hashes: bool = True, lower: bool = False) -> Iterator[tuple[int, int, Slice]]:
+    """(first row, end row, Slice) over a string column in bounded pieces; null counts as empty. lower: A-Z as a-z."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     buffer = column.buffers()[2]
@@ -107,5 +109,6 @@ def slices(column: pa.Array, hashes: bool = True) -> Iterator[tuple[int, int, Sl
     while row < len(column):
         stop = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1
         stop = min(max(stop, row + 1), len(column))
-        yield row, stop, Slice(data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row], hashes)
+        part = data[offsets[row] : offsets[stop]]
+        yield row, stop, Slice(LOWER[part] if lower else part, offsets[row : stop + 1] - offsets[row], hashes)
         row = stop
