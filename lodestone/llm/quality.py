@@ -228,7 +228,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, train: int = TRAIN, id:
 def judged(docs: DataFrame, rules: Sequence[Rule], id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """statistics() of docs with base_failed, rule (the first learned rule that rejects, else null) and kept."""
     out = statistics(docs, id, text, keep).withColumn("base_failed", base_failed()).withColumn("rule", rejected_by(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    # a filter on kept must not be pushed below the statistics, where it would compute them once for every mention;
+    # Spark leaves it above an expression that depends on the task
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull() & (F.spark_partition_id() >= 0))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
