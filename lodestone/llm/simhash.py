@@ -142,7 +142,7 @@ class _Forest:
 def _near(x: np.ndarray, y: np.ndarray, radius: int, least: int) -> np.ndarray:
     """Which rows of x and y (64-bit words) share enough positional bytes and differ in few enough bits."""
     differ = x ^ y
-    at = np.flatnonzero((differ.view(np.uint8).reshape(len(differ), -1) == 0).sum(axis=1) >= least)  # count filter
+    at = np.flatnonzero((differ.view(np.uint8).reshape(len(differ), 8 * x.shape[1]) == 0).sum(axis=1) >= least)  # count filter
     return at[np.bitwise_count(differ[at]).sum(axis=1) <= radius]
 
 
