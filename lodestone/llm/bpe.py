@@ -4,8 +4,8 @@ The pieces of a text are merged with a segment tree over the ranks of adjacent p
 of lowest rank, a merge changes three leaves, and each change climbs to the root in logarithmic time. A piece of n
 bytes takes O(n log n), whatever its length.
 
-Texts are cut at spaces between visible characters, where a piece always starts; the ids of recent chunks are kept in
-a bounded memory of each Python worker. The vocabulary goes from the driver to the tasks as a broadcast of the file's
+Texts are cut at spaces between visible characters, where a piece always starts; the ids of recent chunks and
+pieces are kept in bounded memories of each Python worker. The vocabulary goes from the driver to the tasks as a broadcast of the file's
 fixed size, so executors need no file.
 
 A null text is encoded like an empty one, to no ids; null ids decode to an empty text. Repeated rows and clashing extra
@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -31,8 +31,8 @@ from .common import fresh
 
 #: Fixed: the split of byte-level BPE vocabularies, with white space as Unicode defines it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Chunks whose ids a worker remembers, in each of two generations; texts handled at a time.
-REMEMBERED, AT_ONCE = 200_000, 256
+#: Chunks and pieces whose ids a worker remembers, in each of two generations; texts handled at a time.
+REMEMBERED, AT_ONCE = 120_000, 256
 NEVER = 1 << 62
 
 
@@ -52,7 +52,9 @@ class Vocabulary:
         vocab = model["vocab"]
         self.byte_id = [vocab[c] for c in letters]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.rank = {(vocab[a], vocab[b]): i for i, (a, b) in enumerate(pairs)}
+        if len(vocab) >= 1 << 20:
+            raise ValueError("the vocabulary is too large for the keys of pairs")
+        self.rank = {vocab[a] << 20 | vocab[b]: i << 32 for i, (a, b) in enumerate(pairs)}
         self.merged = [vocab[a + b] for a, b in pairs]
         byte_of = {c: b for b, c in enumerate(letters)}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -65,57 +67,64 @@ class Vocabulary:
         self._special = re.compile("|".join(f"({re.escape(t)})" for t in sorted(special, key=len, reverse=True))) if special else None
         self._pieces = regex.compile(PIECES)
         self._odd = re.compile(r"\s | \s|\A | \Z")
-        self.chunks = _Memory(self)
+        self.pieces = _Memory(lambda piece: tuple(self.merge(piece.encode())))
+        self.chunks = _Memory(lambda part: self.chunk(" " + part))
+        ends = np.cumsum([0, *map(len, self.tokens)])
+        self._bytes, self._starts, self._lengths = np.frombuffer(b"".join(self.tokens), np.uint8), ends[:-1], np.diff(ends)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
-        ids: list = [self.byte_id[b] for b in piece]
-        n, rank = len(ids), self.rank
+        ids = [self.byte_id[x] for x in piece]
+        n, get, merged = len(ids), self.rank.get, self.merged
         if n == 1:
             return ids
         size = 1 << (n - 2).bit_length()
         tree = [NEVER] * (2 * size)
         for i in range(n - 1):
-            r = rank.get((ids[i], ids[i + 1]))
+            r = get(ids[i] << 20 | ids[i + 1])
             if r is not None:
-                tree[size + i] = r << 32 | i
+                tree[size + i] = r | i
         for i in range(size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
+            x, y = tree[2 * i], tree[2 * i + 1]
+            tree[i] = y if y < x else x
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while (top := tree[1]) != NEVER:
             i = top & 0xFFFFFFFF
-            gone = after[i]
-            ids[i], ids[gone] = self.merged[top >> 32], None
-            right, left = after[gone], before[i]
-            after[i] = right
+            gone, left = after[i], before[i]
+            ids[i] = new = merged[top >> 32]
+            ids[gone] = -1
+            right = after[i] = after[gone]
+            # three leaves change: the pairs before and after the new token, and the one that began with the token gone
             r = None
             if right < n:
                 before[right] = i
-                r = rank.get((ids[i], ids[right]))
-            changes = [(i, NEVER if r is None else r << 32 | i)]
+                r = get(new << 20 | ids[right])
+            tree[size + i] = NEVER if r is None else r | i
+            changed = [size + i]
             if gone < n - 1:
-                changes.append((gone, NEVER))
+                tree[size + gone] = NEVER
+                changed.append(size + gone)
             if left >= 0:
-                r = rank.get((ids[left], ids[i]))
-                changes.append((left, NEVER if r is None else r << 32 | left))
-            for at, value in changes:
-                at += size
-                if tree[at] == value:
-                    continue
-                tree[at] = value
+                r = get(ids[left] << 20 | new)
+                tree[size + left] = NEVER if r is None else r | left
+                changed.append(size + left)
+            for at in changed:
                 at >>= 1
                 while at:
-                    a, b = tree[2 * at], tree[2 * at + 1]
-                    a = a if a < b else b
-                    if tree[at] == a:
+                    x, y = tree[2 * at], tree[2 * at + 1]
+                    if y < x:
+                        x = y
+                    if tree[at] == x:
                         break
-                    tree[at] = a
+                    tree[at] = x
                     at >>= 1
-        return [x for x in ids if x is not None]
+        return [x for x in ids if x >= 0]
 
     def chunk(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(self.merge(p.encode()) for p in self._pieces.findall(text)))
+        found = self._pieces.findall(text)
+        if len(found) == 1:
+            return self.pieces[found[0]]
+        return tuple(chain.from_iterable(map(self.pieces.__getitem__, found)))
 
     def _plain(self, text: str) -> Iterator[int]:
         if self._odd.search(text):
@@ -134,31 +143,32 @@ class Vocabulary:
             found = self._plain(text)
         return np.fromiter(found, np.int32)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids; those outside the vocabulary are skipped, broken UTF-8 becomes U+FFFD."""
-        tokens = self.tokens
-        try:
-            joined = b"".join(map(tokens.__getitem__, ids))
-        except (IndexError, TypeError):
-            joined = b"".join(tokens[i] for i in ids if i is not None and 0 <= i < len(tokens))
-        return joined.decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int64)
+        ids = ids[(ids >= 0) & (ids < len(self.tokens))]
+        lengths = self._lengths[ids]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.repeat(self._starts[ids] - ends + lengths, lengths) + np.arange(total)
+        return self._bytes[place].tobytes().decode("utf-8", "replace")
 
 
 class _Memory(dict):
-    """The ids of " " + chunk, for the chunks last seen."""
+    """The ids of the keys last seen, in two generations; make(key) gives those of a new one."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self._vocabulary, self._old = vocabulary, {}
+    def __init__(self, make: Callable[[str], tuple[int, ...]]):
+        self._make, self._old = make, {}
 
-    def __missing__(self, part: str) -> tuple[int, ...]:
-        ids = self._old.get(part)
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        ids = self._old.get(key)
         if ids is None:
-            ids = self._vocabulary.chunk(" " + part)
-        if len(part) <= 64:
+            ids = self._make(key)
+        if len(key) <= 64:
             if len(self) >= REMEMBERED:
                 self._old = dict(self)
                 self.clear()
-            self[part] = ids
+            self[key] = ids
         return ids
 
 
@@ -212,7 +222,9 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
 
     def convert(column: pa.Array) -> pa.Array:
         vocabulary = _vocabulary(shared)
-        return pa.array([vocabulary.decode(x or []) for x in column.to_pylist()], pa.string())
+        ids = np.asarray(column.flatten().fill_null(-1))
+        ends = np.cumsum([0, *(n or 0 for n in column.value_lengths().to_pylist())])
+        return pa.array([vocabulary.decode(ids[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
 
     return _mapped(df, ids, text, T.StringType(), convert)
 
