@@ -17,8 +17,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,9 @@ from .common import fresh
 #: Fixed: the split of byte-level BPE vocabularies, with white space as Unicode defines it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Chunks and pieces whose ids a worker remembers, in each of two generations; texts handled at a time.
-REMEMBERED, AT_ONCE = 120_000, 256
+REMEMBERED, AT_ONCE = 160_000, 256
+#: A mark after letters is a piece of its own.
+MARKS = frozenset(",.;:!?")
 NEVER = 1 << 62
 
 
@@ -67,8 +69,8 @@ class Vocabulary:
         self._special = re.compile("|".join(f"({re.escape(t)})" for t in sorted(special, key=len, reverse=True))) if special else None
         self._pieces = regex.compile(PIECES)
         self._odd = re.compile(r"\s | \s|\A | \Z")
-        self.pieces = _Memory(lambda piece: tuple(self.merge(piece.encode())))
-        self.chunks = _Memory(lambda part: self.chunk(" " + part))
+        self.pieces = _Memory(lambda piece: array("i", self.merge(piece.encode())).tobytes())
+        self.chunks = _Memory(self.chunk)
         ends = np.cumsum([0, *map(len, self.tokens)])
         self._bytes, self._starts, self._lengths = np.frombuffer(b"".join(self.tokens), np.uint8), ends[:-1], np.diff(ends)
 
@@ -120,28 +122,30 @@ class Vocabulary:
                     at >>= 1
         return [x for x in ids if x >= 0]
 
-    def chunk(self, text: str) -> tuple[int, ...]:
-        found = self._pieces.findall(text)
-        if len(found) == 1:
-            return self.pieces[found[0]]
-        return tuple(chain.from_iterable(map(self.pieces.__getitem__, found)))
+    def chunk(self, part: str) -> bytes:
+        """The ids of " " + part as 32-bit numbers."""
+        pieces = self.pieces
+        if part.isalpha():
+            return pieces[" " + part]
+        if part[-1:] in MARKS and part[:-1].isalpha():
+            return pieces[" " + part[:-1]] + pieces[part[-1]]
+        return b"".join(map(pieces.__getitem__, self._pieces.findall(" " + part)))
 
-    def _plain(self, text: str) -> Iterator[int]:
+    def _plain(self, text: str) -> bytes:
         if self._odd.search(text):
             parts = re.split(r"(?<=\S) (?=\S)", text)
         else:
             parts = text.split(" ")
-        return chain(self.chunk(parts[0]), chain.from_iterable(map(self.chunks.__getitem__, parts[1:])))
+        first = b"".join(map(self.pieces.__getitem__, self._pieces.findall(parts[0])))
+        return first + b"".join(map(self.chunks.__getitem__, parts[1:]))
 
     def encode(self, text: str) -> np.ndarray:
-        found: list = []
-        if text and self._special and self._special.search(text):
-            for part in self._special.split(text):
-                if part:
-                    found.extend([self.special[part]] if part in self.special else self._plain(part))
-        elif text:
-            found = self._plain(text)
-        return np.fromiter(found, np.int32)
+        if not text:
+            return np.zeros(0, np.int32)
+        if not self._special or not self._special.search(text):
+            return np.frombuffer(self._plain(text), np.int32)
+        found = [array("i", [self.special[p]]).tobytes() if p in self.special else self._plain(p) for p in self._special.split(text) if p]
+        return np.frombuffer(b"".join(found), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; those outside the vocabulary are skipped, broken UTF-8 becomes U+FFFD."""
@@ -157,10 +161,10 @@ class Vocabulary:
 class _Memory(dict):
     """The ids of the keys last seen, in two generations; make(key) gives those of a new one."""
 
-    def __init__(self, make: Callable[[str], tuple[int, ...]]):
+    def __init__(self, make: Callable[[str], bytes]):
         self._make, self._old = make, {}
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
+    def __missing__(self, key: str) -> bytes:
         ids = self._old.get(key)
         if ids is None:
             ids = self._make(key)
