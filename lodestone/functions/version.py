@@ -46,7 +46,7 @@ def sorted_versions(lineage: Column) -> Column:
 
 
 def latest_of(lineage: Column) -> Column:
-    return F.coalesce(F.element_at(sorted_versions(lineage), -1), F.lit("")) if lineage is not None else F.lit("")
+    return F.coalesce(F.try_element_at(sorted_versions(lineage), F.lit(-1)), F.lit(""))
 
 
 def is_eol(site: Column, version: Column, ended: Mapping[str, Sequence[str]]) -> Column:

@@ -76,7 +76,7 @@ def scored(queries: DataFrame, survivors: DataFrame, fallback: bool = False, fal
     hashed = F.when(F.coalesce("hash", F.lit("")) != "", F.col("hash"))
     per = s.groupBy("qid").agg(
         F.count("*").alias("documents"),
-        F.count_distinct(F.when("_good", F.col("group_key")) if False else F.when(F.col("_good"), F.col("group_key"))).alias("good_topics"),
+        F.count_distinct(F.when(F.col("_good"), F.col("group_key"))).alias("good_topics"),
         F.collect_set("version").alias("_versions"),
         F.slice(F.sort_array(F.collect_list("raw"), asc=False), 1, 2).alias("_tops"),
         scoring.ratio(F.count_distinct(hashed), F.count(hashed), None).alias("_hashes"),
@@ -91,7 +91,7 @@ def scored(queries: DataFrame, survivors: DataFrame, fallback: bool = False, fal
     out = queries.select("qid", "targets").join(per, "qid", "left")
     found = F.filter("targets", lambda t: F.exists(F.coalesce("_versions", F.array().cast("array<string>")), lambda v: version.versions_equal(v, t)))
     top, second = F.get("_tops", F.lit(0)), F.get("_tops", F.lit(1))
-    waiver = F.lit(False) if fallback else F.coalesce(~compare & (top >= scoring.STRONG) & (second.isNull() | (top - second >= scoring.GAP)), F.lit(False))
+    waiver = F.lit(False) if fallback else F.coalesce(~compare & (top >= scoring.STRONG) & (second.isNull() | (F.round(top - second, 9) >= scoring.GAP)), F.lit(False))
     topics = F.least(F.lit(1.0), F.coalesce("good_topics", F.lit(0)) / scoring.TOPICS)
     out = out.withColumn("waiver", waiver)
     out = out.withColumn("coverage", F.when(F.col("documents").isNull(), 0.0).when(compare, F.size(found) / F.size("targets")).when(F.col("waiver"), 1.0).otherwise(topics))
@@ -108,7 +108,7 @@ def conflicts(survivors: DataFrame) -> DataFrame:
     topics = survivors.filter(F.coalesce("site", F.lit("")) != "").groupBy("qid", "site", "version", "group_key").agg(F.max("raw").alias("top"))
     tiers = topics.groupBy("qid", "site", "version").agg(F.slice(F.sort_array(F.collect_list("top"), asc=False), 1, 2).alias("tops"))
     one, two = F.get("tops", F.lit(0)), F.get("tops", F.lit(1))
-    near = F.coalesce((two >= scoring.FLOOR) & (one - two < scoring.CONFLICT_GAP), F.lit(False))
+    near = F.coalesce((two >= scoring.FLOOR) & (F.round(one - two, 9) < scoring.CONFLICT_GAP), F.lit(False))
     return tiers.groupBy("qid").agg(F.max(near).alias("conflicting"))
 
 

@@ -106,6 +106,6 @@ def dominant(rows: DataFrame, key: str, by: list[str]) -> DataFrame:
     return counts.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r", "first_seen")
 
 
-def gauges(rows: DataFrame, name: str, label: str, value: str) -> DataFrame:
+def gauges(rows: DataFrame, name: str, label: str, column: str, value: str) -> DataFrame:
     """Lines of the text exposition format, one a row, in order of label."""
-    return rows.select(F.format_string(f'{name}{{{label}="%s"}} %s', F.col(label).cast("string"), F.col(value).cast("string")).alias("line")).orderBy("line")
+    return rows.select(F.format_string(f'{name}{{{label}="%s"}} %s', F.col(column).cast("string"), F.col(value).cast("string")).alias("line")).orderBy("line")

@@ -117,7 +117,7 @@ per AS (
 states AS (
   SELECT a.qid, a.targets, coalesce(documents, 0) AS documents, coalesce(good_topics, 0) AS good_topics, coalesce(evidence_mean, 0) AS evidence_mean, coalesce(fit_mean, 0) AS fit_mean,
     coalesce(recency, 0) AS recency, coalesce(sensitivity, 0) AS sensitivity, coalesce(deprecated, false) AS deprecated,
-    coalesce(len(a.targets) < 2 AND tops[1] >= 0.9 AND (len(tops) = 1 OR tops[1] - tops[2] >= 0.2), false) AS waiver,
+    coalesce(len(a.targets) < 2 AND tops[1] >= 0.9 AND (len(tops) = 1 OR round(tops[1] - tops[2], 9) >= 0.2), false) AS waiver,
     list_filter(a.targets, lambda t: len(a.targets) >= 2 AND NOT list_contains(coalesce(found, []), t)) AS missing,
     greatest(coalesce(hash_dup, 0), coalesce(sibling_dup, 0)) AS duplication
   FROM asked a LEFT JOIN per USING (qid)),
@@ -127,7 +127,7 @@ covered AS (
 totals AS (SELECT *, CASE WHEN documents = 0 THEN 0 ELSE greatest(0, least(1, 0.5 * evidence_mean + 0.3 * coverage + 0.2 * (1 - duplication))) END::DOUBLE AS overall FROM covered),
 topics AS (SELECT qid, site, version, group_key, max(raw) AS top FROM survivors WHERE site <> '' GROUP BY ALL),
 tiers AS (SELECT qid, list(top ORDER BY top DESC) AS tops FROM topics GROUP BY qid, site, version),
-conflicts AS (SELECT qid, bool_or(coalesce(tops[2] >= 0.5229 AND tops[1] - tops[2] < 0.005, false)) AS conflicting FROM tiers GROUP BY qid)"""
+conflicts AS (SELECT qid, bool_or(coalesce(tops[2] >= 0.5229 AND round(tops[1] - tops[2], 9) < 0.005, false)) AS conflicting FROM tiers GROUP BY qid)"""
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:

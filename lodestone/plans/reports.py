@@ -53,7 +53,7 @@ def dominant_event(spark, sf_dir: str) -> DataFrame:
 
 def gauge_lines(spark, sf_dir: str) -> DataFrame:
     counts = observations(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"))
-    return monitoring.gauges(counts, "queue_depth", "stream", "n")
+    return monitoring.gauges(counts, "queue_depth", "stream", "event_type", "n")
 
 
 def percentiles(spark, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def percentiles(spark, sf_dir: str) -> DataFrame:
 def cost_formats(spark, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir)
     cost = scoring.cost(F.when(F.col("id") % 2 == 0, "small").otherwise("large"), F.col("tokens"), F.col("tokens") * 2)
-    return rows.groupBy("tenant").agg(F.round(F.sum(cost), 6).alias("cost"), F.sum("tokens").alias("tokens")).select("tenant", "cost", scoring.tokens_text(F.col("tokens")).alias("told"))
+    return rows.groupBy("tenant").agg(F.round(F.sum(cost), 2).alias("cost"), F.sum("tokens").alias("tokens")).select("tenant", "cost", scoring.tokens_text(F.col("tokens")).alias("told"))
 
 
 # classifiers
@@ -299,7 +299,7 @@ _PAIRS = """WITH pairs AS (SELECT (o_orderkey % 10) / 10.0::DOUBLE AS hit_a, ((o
   means AS (SELECT 'all' AS "group", metric, count(*) AS n, round(avg(a), 6) AS a, round(avg(b), 6) AS b, round(avg(b) - avg(a), 6) AS delta FROM long GROUP BY metric)"""
 _LEDGER = """WITH rows AS (SELECT c_custkey AS page_id, sha256(c_name) AS hash, CASE WHEN c_custkey % 9 <> 0 THEN 'run' || (c_custkey % 2) END AS run_id FROM customer),
   old AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'old' ELSE hash END AS hash FROM rows WHERE page_id % 5 <> 0)"""
-_VOTES = "votes AS (SELECT user_id, event_type, count(*) AS votes FROM events GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id), event_type) = 1)"
+_VOTES = "votes AS (SELECT user_id, event_type, count(*) AS votes FROM events GROUP BY user_id, event_type QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id), event_type) = 1)"
 
 
 def _points(agg: str, days: int) -> str:
@@ -321,12 +321,12 @@ SQL = {
     "alerts": f"""WITH {OBSERVATIONS}, live AS (SELECT *, created_at > TIMESTAMP '2024-01-19 23:00:00' AS hour, created_at > TIMESTAMP '2024-01-19' AS day FROM observations WHERE created_at <= TIMESTAMP '2024-01-20'),
       told AS (SELECT round(coalesce(sum(cost) FILTER (WHERE hour), 0), 6) AS c, round(coalesce(avg(trust) FILTER (WHERE day), 0), 6) AS t, round(coalesce(avg(fallback::INT) FILTER (WHERE day), 0), 6) AS f FROM live)
       SELECT 'cost' AS alert, c AS value, c > 5.0 AS fires FROM told UNION ALL SELECT 'trust', t, t > 0 AND t < 0.6 FROM told UNION ALL SELECT 'fallback', f, f > 0.3 FROM told""",
-    "dominant_event": f"WITH {OBSERVATIONS} SELECT tenant, event_type, count(*) AS n FROM observations GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY tenant ORDER BY count(*) DESC, min(created_at), event_type) = 1",
+    "dominant_event": f"WITH {OBSERVATIONS} SELECT tenant, event_type, count(*) AS n FROM observations GROUP BY tenant, event_type QUALIFY row_number() OVER (PARTITION BY tenant ORDER BY count(*) DESC, min(created_at), event_type) = 1",
     "gauge_lines": "SELECT 'queue_depth{stream=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type",
     "percentiles": f"""WITH {OBSERVATIONS}, v AS (SELECT tenant, list(duration_ms ORDER BY duration_ms) AS v, round(quantile_cont(duration_ms, 0.9), 6) AS linear FROM observations GROUP BY tenant)
       SELECT tenant, linear, v[round_even(0.9::DOUBLE * (len(v) - 1), 0)::INT + 1] AS nearest, v[greatest(1, least(len(v), round_even(0.9::DOUBLE * len(v) + 0.5, 0)::INT))] AS upper FROM v""",
     "cost_formats": f"""WITH {OBSERVATIONS}, c AS (SELECT tenant, sum(round_even(CASE WHEN id % 2 = 0 THEN tokens * 0.15e-6 + tokens * 2 * 0.6e-6 ELSE tokens * 2.5e-6 + tokens * 2 * 10e-6 END, 6)) AS cost, sum(tokens) AS n FROM observations GROUP BY tenant)
-      SELECT tenant, round(cost, 6) AS cost, CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1e6) WHEN n >= 1000 THEN printf('%.1fK', n / 1e3) ELSE n::VARCHAR END AS told FROM c""",
+      SELECT tenant, round(cost, 2) AS cost, CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1e6) WHEN n >= 1000 THEN printf('%.1fK', n / 1e3) ELSE n::VARCHAR END AS told FROM c""",
     "confusion": f"""WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tp, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS fp, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS fn, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS tn FROM labels)
       SELECT *, round((tp + tn) / (tp + tn + fp + fn)::DOUBLE, 6) AS accuracy, {_PRF} FROM c""",
     "router_prf": f"""WITH {PREDICTIONS}, c AS (SELECT count(*) AS n, sum(len(list_intersect(gold, pred))) AS tp, sum(len(pred) - len(list_intersect(pred, gold))) AS fp, sum(len(gold) - len(list_intersect(gold, pred))) AS fn,

@@ -142,7 +142,7 @@ def _shared(spark) -> str:
 
 def _streamed(spark, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")  # a stream takes one file only by a pattern
 
 
 def stream_inbox_dedupe(spark, sf_dir: str) -> DataFrame:
