@@ -44,7 +44,7 @@ def annotated(docs: DataFrame, many: Sequence[str] = (), tiers: Mapping[str, flo
 
 def collapsed(docs: DataFrame) -> DataFrame:
     """docs with survives: one document a group stays; where versions are compared, one a requested version."""
-    tie = (F.desc("fit"), F.desc(F.when(F.size("targets") > 0, F.col("raw_currency")).otherwise(0.0)), F.desc("recency"), F.asc("chunk_id"))
+    tie = (F.desc("fit"), F.desc(F.when(F.size("targets") > 0, F.col("raw_currency")).otherwise(0.0)), F.desc("recency"), F.asc("chunk_id"), F.desc("raw"))
     same = F.struct(version.version_key(F.col("version")).alias("k"), F.when(version.version_key(F.col("version")) == F.array(F.lit(-1.0)), F.col("version")).alias("v"))
     group = Window.partitionBy("qid", "group_key")
     wanted = F.when(F.size("targets") >= 2, F.size(F.filter("targets", lambda t: version.versions_equal(F.col("version"), t)))).otherwise(0)

@@ -101,8 +101,8 @@ annotated AS (
 scored AS (SELECT *, 0.8 * fit + 0.2 AS evidence FROM annotated),
 ordered AS (
   SELECT *, CASE WHEN len(targets) >= 2 AND list_contains(targets, version) THEN 1 ELSE 0 END AS wanted,
-    row_number() OVER (PARTITION BY qid, group_key ORDER BY fit DESC, CASE WHEN len(targets) > 0 THEN raw_currency ELSE 0 END DESC, recency DESC, chunk_id) AS best,
-    row_number() OVER (PARTITION BY qid, group_key, version ORDER BY fit DESC, CASE WHEN len(targets) > 0 THEN raw_currency ELSE 0 END DESC, recency DESC, chunk_id) AS of_version
+    row_number() OVER (PARTITION BY qid, group_key ORDER BY fit DESC, CASE WHEN len(targets) > 0 THEN raw_currency ELSE 0 END DESC, recency DESC, chunk_id, raw DESC) AS best,
+    row_number() OVER (PARTITION BY qid, group_key, version ORDER BY fit DESC, CASE WHEN len(targets) > 0 THEN raw_currency ELSE 0 END DESC, recency DESC, chunk_id, raw DESC) AS of_version
   FROM scored),
 collapsed AS (SELECT *, CASE WHEN max(wanted) OVER (PARTITION BY qid, group_key) > 0 THEN of_version <= wanted ELSE best = 1 END AS survives FROM ordered),
 survivors AS (SELECT * FROM collapsed WHERE survives),
