@@ -31,7 +31,6 @@ from .common import shared_table
 UNIT, RATE, HEADER, TAR_BLOCK, SHARD_BYTES = 576, 8000, 44, 512, 4 << 20
 TAIL = 32
 PACKED = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long, tar binary"
-SALTS = 16
 
 
 def payload_of(text: bytes) -> bytes:
@@ -174,10 +173,11 @@ def first_places(members_: DataFrame) -> DataFrame:
 
 
 def with_members(rows: DataFrame, members_: DataFrame) -> DataFrame:
-    """rows joined with what is known of their digests; digests are salted, as one may be that of most rows."""
-    known = first_places(members_).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    dealt = rows.select("doc_id", "n_bytes", "digest").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return dealt.join(known, ["digest", "salt"]).drop("salt")
+    """rows joined with what is known of their digests.
+
+    One digest may be that of most rows; known has it once, so adaptive execution splits the rows and repeats the one.
+    """
+    return rows.select("doc_id", "n_bytes", "digest").join(first_places(members_), "digest")
 
 
 def extract(tar: bytes, offset: int, length: int) -> bytes:
