@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, prefix_sum, word_count
+from .common import cut, fresh, prefix_sum, word_count
 
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, 17
 #: Words in a block, fewer where the mix would have under SLOTS slots; documents in a bucket of the shuffled order, slots in one.
@@ -113,12 +113,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, b
     return out.join(sums, "key", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
-def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """docs with key, different in every row: the id (for null ids the text's hash) and a number among rows of that id."""
+def keyed(docs: DataFrame, name: str, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs with a key in the column name, different in every row: the id (for null ids the text's hash) and a number among rows of that id."""
     hashed = F.xxhash64(F.col(text))
     within = F.when(F.col(id).isNull(), hashed)  # rows without id are no hot group
     order = Window.partitionBy(F.col(id), within).orderBy(F.col(source), hashed)
-    return docs.withColumn("key", F.struct(F.col(id).cast("long").alias("doc_id"), within.alias("hash"), F.row_number().over(order).alias("n")))
+    return docs.withColumn(name, F.struct(F.col(id).cast("long").alias("doc_id"), within.alias("hash"), F.row_number().over(order).alias("n")))
 
 
 def sized(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -135,10 +135,11 @@ def whole_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
     shares = mix(sized(docs, id, text, source), weights, most)
     part = F.pmod(_hash(F.lit("round"), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = F.floor(F.coalesce(F.try_divide(F.col("taken").cast("double"), F.col("size")), F.lit(0.0)) + part).cast("int")
-    told = shares.filter("taken > 0").select(F.xxhash64("key").alias("_deal"), F.col("key").alias("_taken"), times.alias("_times")).filter("_times > 0")
-    rows = keyed(docs, id, text, source).withColumnRenamed("key", "_key")
-    same = (F.xxhash64("_key") == F.col("_deal")) & F.col("_key").eqNullSafe(F.col("_taken"))
-    return rows.join(told, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    key, deal, taken, n, copy = fresh(docs, "_key", "_deal", "_taken", "_times", "_copy")
+    told = shares.filter("taken > 0").select(F.xxhash64("key").alias(deal), F.col("key").alias(taken), times.alias(n)).filter(F.col(n) > 0)
+    rows = keyed(docs, key, id, text, source)
+    same = (F.xxhash64(key) == F.col(deal)) & F.col(key).eqNullSafe(F.col(taken))
+    return rows.join(told, same).withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 #: Labelled documents, quantile bins, rules and literals a rule at most; least share of rejected documents among those covered, least number covered.
 TRAIN, BINS, MAX_RULES, MAX_LITERALS = 20_000, 16, 8, 3
-PRECISION, COVERED = 0.95, 8
+PRECISION, COVERED = 0.95, 5
 GROW = 2 / 3
 
 
@@ -175,6 +175,7 @@ def learn(sample: DataFrame, precision: float = PRECISION, max_rules: int = MAX_
     while len(rules) < max_rules:
         literals: list[Literal] = []
         kept: list[tuple[int, int]] = []  # on the pruning rows, after each literal
+        whole: list[tuple[int, int]] = []  # on all rows
         covered = rows
         at: tuple[int, int] | None = None
         while len(literals) < MAX_LITERALS:
@@ -193,14 +194,15 @@ def learn(sample: DataFrame, precision: float = PRECISION, max_rules: int = MAX_
             literals.append(literal)
             kept.append(pruned[best])
             at = grown[best]
+            whole.append((at[0] + kept[-1][0], at[1] + kept[-1][1]))
             covered = covered.filter(literal.column(F.col(literal.feature)))
         if not literals:
             break
         end = 1 + max(range(len(kept)), key=lambda i: (_worth(kept[i]), -i))  # the shortest of the best beginnings
-        bad, good = kept[end - 1]
-        if bad + good < COVERED or bad / (bad + good) < precision:
+        (bad, good), (all_bad, all_good) = kept[end - 1], whole[end - 1]
+        if not bad or bad / (bad + good) < precision or all_bad + all_good < COVERED or all_bad / (all_bad + all_good) < precision:
             break
-        rule = Rule(tuple(literals[:end]), bad + good, bad / (bad + good))
+        rule = Rule(tuple(literals[:end]), all_bad + all_good, bad / (bad + good))
         rules.append(rule)
         rows = rows.filter(~rule.column(values))
     return rules
