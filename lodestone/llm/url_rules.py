@@ -25,6 +25,8 @@ GIVEN = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block",
 #: Labelled URLs to mine, at most; rules kept, at most; least share of labelled URLs, least confidence and lift of a rule.
 TRAIN, MAX_RULES = 20_000, 256
 SUPPORT, CONFIDENCE, LIFT = 0.01, 0.8, 1.5
+#: A combination must be found in so many labelled URLs, however few there are.
+LEAST = 8
 BAD = "label:bad"
 
 
@@ -81,9 +83,10 @@ def mine(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDEN
     sample = sample.orderBy(F.xxhash64("url", "bad"), "url", "bad").limit(train)
     baskets = sample.select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.expr("cast(array() as array<string>)"))).alias("items"))
     baskets = baskets.filter(F.size("items") > 0)
-    if baskets.isEmpty():
+    n = baskets.count()
+    if n < LEAST:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=max(support, LEAST / n), minConfidence=confidence).fit(baskets)
     told = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).filter(F.col("lift") >= LIFT)
     # a rule that a part of its tokens implies as surely says nothing new; shorter rules come first
     listed = told.orderBy(F.size("antecedent"), F.desc("confidence"), F.desc("support"), F.array_sort("antecedent").cast("string")).limit(16 * MAX_RULES).collect()
