@@ -5,7 +5,7 @@ DataFrame. Its rows are written as Parquet and read again for the next stage. Al
 documents.
 
 1. quality: documents that the base rules or the learned decision list reject go.
-2. near_duplicates: of each group of texts of five-word Jaccard similarity 0.8 or more (by SimHash) the least doc_id stays.
+2. near_duplicates: of each group of texts of five-word Jaccard similarity 0.8 or more the least doc_id stays.
 3. repeated_passages: words covered by a 13-word window that a document of smaller doc_id has too are cut out of the text.
 4. source_mix: every document is repeated, kept or left out as the target weights of the sources say.
 5. tokens: token ids, their number, and whether they decode to the text.
@@ -25,7 +25,7 @@ from lodestone.llm.common import shared_table, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "byte_bpe_50k.json"
-#: DuckDB SQL can express neither the learned rules nor SimHash; tests/llm/test_pipeline.py has brute-force versions.
+#: DuckDB SQL can express neither the learned rules nor connected components at this size; tests/llm/test_pipeline.py has brute-force versions.
 ORACLE_SQL = None
 
 

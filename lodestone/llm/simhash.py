@@ -8,10 +8,11 @@ simhash_groups: 64 bits, links at `radius` (3) bits. Two such fingerprints agree
 every set of five positions holds a key of the covering family, so no link is lost. The keys' width follows from the number of
 fingerprints, so that chance meetings stay rarer than fingerprints.
 
-similar_groups: 256 bits over the distinct shingles of a text, five words each, links where the share of equal bits stands for
-a Jaccard similarity of at least 0.8. Bits differ with probability angle / pi, so the 32 bytes of two such texts agree in 8
-or 9 places on average; the family meets 94 % of pairs at 0.8, 98 % at 0.85 and over 99 % at 0.9 directly (more through third
-texts), see tests/llm/test_simhash.py.
+similar_groups: sets of the distinct shingles of a text, five words each, linked at a Jaccard similarity of 0.8 or more, exactly.
+All sets are put in one order of shingles, those common in a sample last. Two sets that similar share a shingle among the first
+n - ceil(0.8 n) + 1 of each, whatever the order, so posting lists of these meet every such pair at every size. Neighbours
+in a list are verified by their whole sets first; then all pairs of a list that are not connected yet and that sizes and
+positions allow. No link is estimated.
 
 Only what keeps fingerprints connected leaves a posting list (a spanning forest of its links), so large groups
 give as many links as members, not pairs. Lists longer than BLOCK are dealt out by pairs of blocks over tasks. Connected
@@ -23,7 +24,8 @@ names a component unless no other id is in it. Rows may repeat.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -31,17 +33,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, shared_table
 from .hashing import U, Slice, mix, slices
 
 SHINGLE, SEED, RADIUS, BLOCK = 3, 42, 3, 1024
-#: For similar_groups: words in a shingle, least similarity, 64-bit words in a fingerprint, shared positional bytes of a candidate.
+#: Words in a shingle and least similarity of similar_groups; of wide fingerprints, 64-bit words and shared positional bytes of a candidate.
 WIDE_SHINGLE, SIMILARITY, WIDE, LEAST = 5, 0.8, 4, 3
 #: Pairs of short lists are compared at once, PAIRS at a time; longer lists row by row.
 SHORT, PAIRS = 64, 1 << 19
 #: Posting lists above BLOCK that are broadcast; of more, both sides are shuffled.
 BROADCAST_LISTS = 50_000
+#: Texts in which common shingles are looked for, and how many are told. They decide the order of shingles alone, not what is linked.
+SAMPLE, COMMON = 20_000, 1 << 16
 #: Texts of more shingles are counted in pieces of this many.
 PIECE = 1 << 16
 
@@ -309,10 +314,102 @@ def radius_of(similarity: float, bits: int) -> int:
     return round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def _ratio(similarity: float) -> tuple[int, int]:
+    return Fraction(str(similarity)).as_integer_ratio()
+
+
+def _common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
+    """Shingles of several texts of a sample, the rarer first."""
+    kept = docs.select(F.col(text).alias("text"))
+    share = max(1, kept.count() // SAMPLE)
+    kept = kept.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, stop, part in slices(batch.column(0), lower=True):
+                found = np.concatenate([shingle_hashes(part, d, shingle) for d in range(stop - row)])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["key"])
+
+    often = kept.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "key").limit(COMMON)
+    return np.array([r.key for r in often.collect()][::-1], np.int64).view(U)
+
+
+def shingle_sets(docs: DataFrame, common: np.ndarray, id: str, text: str, shingle: int, similarity: float, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, keep, digest, size, prefix, hashes) of each row: the set of its text, and the part that similar sets share a shingle of."""
+    top, bottom = _ratio(similarity)
+    by_hash = np.argsort(common)
+    listed = common[by_hash]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            for row, stop, part in slices(batch.column(names.index("text")), lower=True):
+                sets, prefixes = [], []
+                for d in range(stop - row):
+                    found = shingle_hashes(part, d, shingle)
+                    rank = np.zeros(len(found), np.int64)
+                    if len(listed):
+                        at = np.minimum(np.searchsorted(listed, found), len(listed) - 1)
+                        rank = np.where(listed[at] == found, 1 + by_hash[at], 0)
+                    n = len(found)
+                    sets.append(found)
+                    prefixes.append(found[np.argsort(rank, kind="stable")[: n + 1 + -n * top // bottom if n else 0]])
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x).view(np.int64))) for x in (prefixes, sets)]
+                made = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), *lists]
+                rest = [n for n in names if n != "text"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(row, stop - row) for n in rest), *made], [*rest, "digest", "size", "prefix", "hashes"])
+
+    slim = docs.select(F.col(id).cast("long").alias("doc_id"), *keep, F.col(text).alias("text"))
+    told = "".join(f"`{c}` {slim.schema[c].dataType.simpleString()}, " for c in ("doc_id", *keep))
+    return slim.mapInArrow(run, told + "digest binary, size long, prefix array<long>, hashes array<long>")
+
+
+def _similar_links(nodes: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect all nodes (node, size, prefix) whose hashes (node, hashes) are this similar."""
+    top, bottom = _ratio(similarity)
+    posted = nodes.select("node", "size", F.posexplode("prefix").alias("place", "key"))
+    met = cut(posted.withColumn("_n", F.count("*").over(Window.partitionBy("key"))).filter("_n > 1").drop("_n"))
+    held = cut(hashes.join(met.select("node").distinct(), "node", "left_semi"))
+
+    def sizes(x, y):
+        return (F.least(x, y) * bottom) >= (F.greatest(x, y) * top)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+        both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("all"))
+        return both.filter(F.col("same").cast("long") * bottom >= (F.col("all") - F.col("same")).cast("long") * top).select("a", "b")
+
+    # neighbours in a list, by node and by size: a group gives as many as members, not pairs
+    chains = []
+    for order in (["node"], ["size", "node"]):
+        after = F.lead(F.struct("node", "size")).over(Window.partitionBy("key").orderBy(*order))
+        chains.append(met.select("node", "size", after.alias("next")).filter(F.col("next").isNotNull() & sizes(F.col("size"), F.col("next.size"))).select(F.least("node", "next.node").alias("a"), F.greatest("node", "next.node").alias("b")))
+    tried = cut(chains[0].unionAll(chains[1]).distinct())
+    first = cut(verified(tried))
+    # all other pairs whose members are not connected by these
+    known = components(first).withColumnRenamed("node", "a")
+    rest = met.join(known, F.col("node") == F.col("a"), "left").select("key", "node", "size", "place", F.coalesce("component", "node").alias("part"))
+    several = rest.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("key")
+    rest = cut(rest.join(several, "key", "left_semi"))
+    x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "place", "part"))) for side in "xy")
+    # of the first shingle that both have, the rest of the sets bounds what they share
+    most = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
+    enough = most * (top + bottom) >= (F.col("size_x") + F.col("size_y")) * top
+    pairs = x.join(y, "key").filter((F.col("node_x") < F.col("node_y")) & (F.col("part_x") != F.col("part_y")) & sizes(F.col("size_x"), F.col("size_y")) & enough)
+    pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    return first.unionAll(verified(pairs.join(tried, ["a", "b"], "left_anti")))
+
+
 def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of each row: groups of texts of about this Jaccard similarity of shingles or more."""
-    codes = cut(wide_fingerprints(docs, id, text, shingle))
-    return _grouped(codes, [f"c{i}" for i in range(WIDE)], _wide_keys, radius_of(similarity, 64 * WIDE), LEAST).select("doc_id", "component_id")
+    """(doc_id, component_id) of each row: groups of texts that links of this Jaccard similarity of shingles or more connect."""
+    sets = shingle_sets(docs, _common_shingles(docs, text, shingle), id, text, shingle, similarity)
+    sets = shared_table(sets.withColumn("row", F.monotonically_increasing_id()), "shingles")
+    own = cut(sets.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
+    joined = components(_similar_links(own.select("node", "size", "prefix"), sets.select(F.col("row").alias("node"), "hashes"), similarity))
+    named = own.join(joined.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+    named = cut(named.select("digest", "least", F.coalesce("component", "node").alias("component")))
+    moved = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return sets.select("doc_id", "digest").join(named.join(moved, "component").select("digest", "component_id"), "digest").select("doc_id", "component_id")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -265,6 +265,23 @@ def test_similar_groups(spark):
     assert sum(got[i] == i - i % 4 for i in range(n)) / n > 0.97
 
 
+def test_similar_groups_are_exact(spark):
+    """Every pair at 0.8 or just above is linked, and no pair just below, alone or through a third text; large lists too."""
+    rows, n = [], 0
+    for g in range(400):
+        total, cut = (108, 12) if g % 2 else (107, 12)  # 96 of 120 shingles alike, or 95 of 119
+        base = [f"{g}_{i}" for i in range(total + 4)]
+        rows += [(n, " ".join(base)), (n + 1, " ".join([*base[:-cut], *(f"x{g}_{i}" for i in range(cut))]))]
+        n += 2
+    for c in range(200):  # a line that many texts begin with, and near copies of one text
+        rows.append((n + c, " ".join([*(f"line{i}" for i in range(12)), *(f"{c}y{i}" for i in range(40))])))
+        rows.append((n + 200 + c, " ".join(f"z{c}" if i == c else f"copy{i}" for i in range(200))))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for g in range(400):
+        assert (got[2 * g] == got[2 * g + 1]) == bool(g % 2)
+    assert all(got[n + c] == n + c and got[n + 200 + c] == n + 200 for c in range(200))
+
+
 def test_simhash_odd_rows(odd, empty):
     out = simhash.simhash_groups(odd).collect()
     assert len(out) == len(ODD) and {r.component_id for r in out if r.fingerprint == "0" * 16} == {1}
