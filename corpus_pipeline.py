@@ -5,7 +5,7 @@ DataFrame. Its rows are written as Parquet and read again for the next stage. Al
 documents.
 
 1. quality: documents that the base rules or the learned decision list reject go.
-2. near_duplicates: of each group of texts of five-word Jaccard similarity 0.8 or more the least doc_id stays.
+2. near_duplicates: of each group of texts of five-word Jaccard similarity 0.8 or more one row of the least doc_id stays.
 3. repeated_passages: words covered by a 13-word window that a document of smaller doc_id has too are cut out of the text.
 4. source_mix: every document is repeated, kept or left out as the target weights of the sources say.
 5. tokens: token ids, their number, and whether they decode to the text.
@@ -36,14 +36,14 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.similar_groups(docs)
-    # rows whose id names their group stay, one row an id; rows without id stay only in groups that have no other
-    named = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(named, F.col("doc_id") == F.col("_kept")).drop("_kept")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64(*COLUMNS))
-    kept = kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1")
-    nameless = docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    return kept.select(*COLUMNS).unionByName(nameless.select(*COLUMNS))
+    docs = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_hash"))
+    groups = simhash.similar_groups(docs, keep=["_hash"])
+    # one row of each group stays: that of the least id, without id only where no row has one; rows of one id differ by their hash
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("_id"), F.col("_hash").alias("_kept"))
+    first = groups.groupBy("component").agg(F.min(order).alias("first")).select("first._id", "first._kept")
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")))
+    once = Window.partitionBy("doc_id", "_hash").orderBy("text")
+    return kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

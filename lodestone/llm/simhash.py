@@ -400,16 +400,20 @@ def _similar_links(nodes: DataFrame, hashes: DataFrame, similarity: float) -> Da
     return first.unionAll(verified(pairs.join(tried, ["a", "b"], "left_anti")))
 
 
-def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of each row: groups of texts that links of this Jaccard similarity of shingles or more connect."""
-    sets = shingle_sets(docs, _common_shingles(docs, text, shingle), id, text, shingle, similarity)
+def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, component_id, component, keep) of each row: groups of texts that links of this Jaccard similarity of shingles or more connect.
+
+    component numbers the group, component_id is its least id: null where no row of it has one, and of several groups where ids repeat.
+    """
+    sets = shingle_sets(docs, _common_shingles(docs, text, shingle), id, text, shingle, similarity, keep)
     sets = shared_table(sets.withColumn("row", F.monotonically_increasing_id()), "shingles")
     own = cut(sets.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
     joined = components(_similar_links(own.select("node", "size", "prefix"), sets.select(F.col("row").alias("node"), "hashes"), similarity))
     named = own.join(joined.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
     named = cut(named.select("digest", "least", F.coalesce("component", "node").alias("component")))
     moved = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return sets.select("doc_id", "digest").join(named.join(moved, "component").select("digest", "component_id"), "digest").select("doc_id", "component_id")
+    told = named.join(moved, "component").select("digest", "component_id", "component")
+    return sets.select("doc_id", "digest", *keep).join(told, "digest").select("doc_id", "component_id", "component", *keep)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

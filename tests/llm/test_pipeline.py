@@ -57,6 +57,15 @@ def test_one_of_each_group_stays(stages):
     assert not left
 
 
+def test_one_row_of_each_group_stays_with_odd_ids(spark):
+    texts = {k: [f"{k}{i}" for i in range(100)] for k in "abcde"}
+    near = lambda k, i: " ".join(texts[k][:-1] + [f"{k}x{i}"])
+    rows = [(1, near("a", 0)), (1, near("b", 0)), (1, near("b", 1)), (2, near("b", 2)), (None, near("c", 0)), (None, near("c", 1)), (None, near("d", 0)), (3, near("d", 1)), (4, near("e", 0)), (4, near("e", 0))]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.text[0], r.doc_id) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == [("a", 1), ("b", 1), ("c", None), ("d", 3), ("e", 4)]
+
+
 def test_passages(stages):
     seen = {}
     for r in sorted(stages[2], key=lambda r: r.doc_id):
