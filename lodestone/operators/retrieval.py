@@ -28,7 +28,7 @@ def top_k(scored: DataFrame, k: int, id: str = "id", score: str = "score") -> Da
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _block_scores(k: int, other: bool):
+def _block_scores(k: int, other: bool, within: str | None):
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         ids, qids = vectors.column("id").to_numpy(), queries.column("qid").to_numpy()
         empty = pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -38,6 +38,9 @@ def _block_scores(k: int, other: bool):
         scores = np.round(matrix(queries) @ matrix(vectors).T, PLACES)
         if other:
             scores[qids[:, None] == ids[None, :]] = -np.inf
+        if within:
+            label = lambda t: t.column(within).to_numpy()
+            scores[label(queries)[:, None] != label(vectors)[None, :]] = -np.inf
         order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, : min(k, len(ids))]
         best = np.take_along_axis(scores, order, axis=1)
         keep = best.ravel() > -np.inf
@@ -46,19 +49,24 @@ def _block_scores(k: int, other: bool):
     return run
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, other: bool = False) -> DataFrame:
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, other: bool = False, within: str | None = None) -> DataFrame:
     """(qid, id, score, rank): the k vectors (id, vector) of greatest dot product with each query (qid, vector).
 
     Exact, by blocks: every block of vectors meets every block of queries in a task of its own, which hands on k rows a
-    query. other: a query doesn't find the vector of its own id. All vectors have one length; null vectors are left out.
+    query. other: a query doesn't find the vector of its own id. within: a column of both
+    that must be the same, such as a domain; the k are those of it, and null is the same as nothing. All vectors have one length; null vectors are left out.
     """
     vectors, queries = vectors.filter(F.col("vector").isNotNull()), queries.filter(F.col("vector").isNotNull())
+    names = [within] if within else []
+    if within:
+        vectors, queries = vectors.filter(F.col(within).isNotNull()), queries.filter(F.col(within).isNotNull())
     parts, q_parts = (max(1, -(-df.count() // size)) for df, size in ((vectors, VECTOR_BLOCK), (queries, QUERY_BLOCK)))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), spread(q_parts).alias("q_part"))
-    right = queries.select("qid", "vector", spread(parts).alias("part"), F.pmod(F.xxhash64("qid"), F.lit(q_parts)).cast("int").alias("q_part"))
+    own = F.col("vector").alias("vector")  # queries may come from the vectors
+    left = vectors.select("id", own, *names, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), spread(q_parts).alias("q_part"))
+    right = queries.select("qid", own, *names, spread(parts).alias("part"), F.pmod(F.xxhash64("qid"), F.lit(q_parts)).cast("int").alias("q_part"))
     met = left.groupBy("part", "q_part").cogroup(right.groupBy("part", "q_part"))
-    return top_k(met.applyInArrow(_block_scores(k, other), "qid long, id long, score double"), k)
+    return top_k(met.applyInArrow(_block_scores(k, other, within), "qid long, id long, score double"), k)
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
@@ -142,20 +150,21 @@ def low_quality(queries: DataFrame, hits: DataFrame, least: float = LOW_QUALITY)
     return queries.select("qid").join(best, "qid", "left").select("qid", F.coalesce(F.col("best") < least, F.lit(True)).alias("low"))
 
 
-def domain_mode(queries: DataFrame, hits: DataFrame, mode: str, k: int, least: float = LOW_QUALITY) -> DataFrame:
-    """hits (qid, id, score, matches: in the query's domain) by mode: hard, soft, or hybrid.
+def domain_mode(queries: DataFrame, vectors: DataFrame, mode: str, k: int, domain: str = "domain", other: bool = False, least: float = LOW_QUALITY) -> DataFrame:
+    """dense_topk of queries and vectors, which have a domain, by mode: hard, soft, or hybrid.
 
-    hard keeps those in the domain; soft keeps all; hybrid adds the others where those in the domain are of low quality.
+    hard searches the domain alone; soft searches all; hybrid searches the domain, and all where that is of low quality.
     """
     if mode == "soft":
-        return top_k(hits, k)
-    inside = hits.filter("matches")
+        return dense_topk(queries, vectors, k, other)
+    inside = dense_topk(queries, vectors, k, other, domain)
     if mode == "hard":
-        return top_k(inside, k)
+        return inside
     if mode != "hybrid":
         raise ValueError(f"unknown mode {mode}")
     low = low_quality(queries, inside, least).filter("low").select("qid")
-    return top_k(inside.unionByName(hits.filter(~F.col("matches")).join(low, "qid", "left_semi")), k)
+    extra = dense_topk(queries.join(low, "qid", "left_semi"), vectors, k, other)
+    return top_k(merge_hits(inside, extra), k)
 
 
 LETTERS = 32

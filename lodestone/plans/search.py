@@ -93,18 +93,14 @@ def hit_merge_max(spark, sf_dir: str) -> DataFrame:
     return retrieval.merge_hits(hits, inside.withColumn("score", F.round(F.col("score") + 0.01, 6)))
 
 
-def _hits(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The 100 nearest vectors of each query, and whether they are of its label."""
+def _labelled(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     q, v = _vectors(spark, sf_dir)
-    near = _dense(spark, sf_dir, 100).drop("rank")
-    out = near.join(v.select("id", "label"), "id").join(q.select("qid", "qlabel"), "qid")
-    return q, out.select("qid", "id", "score", (F.col("label") == F.col("qlabel")).alias("matches"))
+    return q.withColumnRenamed("qlabel", "label"), v
 
 
 def _mode(mode: str):
     def query(spark, sf_dir: str) -> DataFrame:
-        q, hits = _hits(spark, sf_dir)
-        return retrieval.domain_mode(q, hits, mode, TOP).select("qid", "id", "score", "rank")
+        return retrieval.domain_mode(*_labelled(spark, sf_dir), mode, TOP, "label", other=True).select("qid", "id", "score", "rank")
 
     return query
 
@@ -150,8 +146,8 @@ def recency_boost(spark, sf_dir: str) -> DataFrame:
 
 def similar_labels(spark, sf_dir: str) -> DataFrame:
     """Neighbours of at least 0.3 within the query's label: more like this."""
-    _, hits = _hits(spark, sf_dir)
-    return retrieval.top_k(hits.filter(F.col("matches") & (F.col("score") >= 0.3)), TOP).select("qid", "id", "score", "rank")
+    near = retrieval.dense_topk(*_labelled(spark, sf_dir), TOP, other=True, within="label")
+    return near.filter(F.col("score") >= 0.3).select("qid", "id", "score", "rank")
 
 
 def _judged(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:

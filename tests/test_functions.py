@@ -181,3 +181,15 @@ def test_envelopes(spark):
 def test_formats(spark):
     row = one(spark, scoring.tokens_text(F.lit(1500)).alias("a"), scoring.duration_text(F.lit(2480.0)).alias("b"), scoring.backoff(F.lit(9)).alias("c"), scoring.progress(F.lit(1), F.lit(1), F.lit(3)).alias("d"), scoring.axis_top(F.lit(41.0)).alias("e"))
     assert (row.a, row.b, row.c, row.d, row.e) == ("1.5K", "2.5s", 60.0, 66.67, 50.0)
+
+
+def test_domain_mode_searches_the_whole_domain(spark):
+    """The vectors of a query's domain are found however many others are nearer."""
+    vectors = spark.createDataFrame([(i, [1.0 - i / 1000, 0.0], 0) for i in range(150)] + [(1000 + i, [0.5 - i / 1000, 0.0], 1) for i in range(20)] + [(2000, [0.1, 0.0], 2)], "id long, vector array<double>, domain int")
+    queries = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 2), (3, [1.0, 0.0], 3)], "qid long, vector array<double>, domain int")
+    found = lambda mode: sorted((r.qid, r["rank"], r.id) for r in retrieval.domain_mode(queries, vectors, mode, 3).collect())
+    hard = [(1, 1, 1000), (1, 2, 1001), (1, 3, 1002)]
+    nearest = lambda q: [(q, i + 1, i) for i in range(3)]
+    assert found("hard") == [*hard, (2, 1, 2000)]
+    assert found("soft") == [*nearest(1), *nearest(2), *nearest(3)]
+    assert found("hybrid") == [*hard, *nearest(2), *nearest(3)]
