@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from lodestone.functions.scoring import ratio
 
 TOLERANCE = 0.02
+#: Parts of a group over which running sums go.
+PARTS = 256
 #: Edges of confidence bins; the last one includes its end.
 EDGES = (0.0, 0.5, 0.7, 0.9, 1.0)
 
@@ -156,15 +158,38 @@ def regressions(values: DataFrame, baseline: DataFrame, tolerance: float = TOLER
     return out.select("metric", "value", "base", F.coalesce(F.col("value") < F.col("base") - tolerance, F.lit(True)).alias("fails"))
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """The value of a sorted array at the half-even rounded place share * (n - 1)."""
-    return F.element_at(values, F.bround(share * (F.size(values) - 1), 0).cast("int") + 1)
+def values_at(rows: DataFrame, group: str, value: str, places: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """(group, n, one column a place): the values at these places of each group's sorted known values, 1 for the least.
 
-
-def upper_rank(values: Column, share: float) -> Column:
-    """The value at round(share * n + 0.5) - 1, kept inside the array."""
-    n = F.size(values)
-    return F.element_at(values, F.greatest(F.lit(1), F.least(n, F.bround(share * n + 0.5, 0).cast("int"))))
+    places are functions of the number n of known values. Equal values are counted first; running sums go over parts of a group
+    that hold about as many different values each, so no task holds a group.
+    """
+    per = rows.groupBy(group, value).agg(F.count(value).alias("count"))
+    edges = [i / PARTS for i in range(1, PARTS)]
+    groups = per.groupBy(F.col(group).alias("_group")).agg(F.sum("count").alias("n"), F.percentile_approx(value, edges).alias("edges"))
+    same = F.col(group).eqNullSafe(F.col("_group"))
+    per = per.filter(F.col(value).isNotNull()).join(groups, same).select("_group", "n", F.col(value).alias("value"), "count", F.size(F.filter("edges", lambda e: e < F.col(value))).alias("part"))
+    sums = per.groupBy("_group", "part").agg(F.sum("count").alias("sum"))
+    before = Window.partitionBy("_group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("_group").alias(group), F.col("part").alias("_part"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
+    within = F.sum("count").over(Window.partitionBy("_group", "part").orderBy("value"))
+    upto = per.withColumn("upto", within).join(sums, same & (F.col("part") == F.col("_part"))).withColumn("upto", F.col("upto") + F.col("before"))
+    found = upto.groupBy("_group").agg(*(F.min(F.when(F.col("upto") >= place(F.col("n")), F.col("value"))).alias(name) for name, place in places.items()))
+    return groups.select(F.col("_group").alias(group), "n").join(found, same, "left").select(group, "n", *places)
+
+
+def percentiles(rows: DataFrame, group: str, value: str, share: float) -> DataFrame:
+    """(group, linear, nearest, upper) of each group: the three definitions of a percentile, of known values; null without any."""
+    at = lambda n: share * (n - 1)
+    places = {
+        "low": lambda n: F.floor(at(n)) + 1,
+        "high": lambda n: F.ceil(at(n)) + 1,
+        "nearest": lambda n: F.bround(at(n), 0) + 1,
+        "upper": lambda n: F.greatest(F.lit(1), F.least(n, F.bround(share * n + 0.5, 0))),
+    }
+    part = at(F.col("n")) - F.floor(at(F.col("n")))
+    linear = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") * (1 - part) + F.col("high") * part)
+    return values_at(rows, group, value, places).select(group, F.round(linear, 6).alias("linear"), "nearest", "upper")
 
 
 def mean_of_known(value: Column) -> Column:

@@ -193,3 +193,17 @@ def test_domain_mode_searches_the_whole_domain(spark):
     assert found("hard") == [*hard, (2, 1, 2000)]
     assert found("soft") == [*nearest(1), *nearest(2), *nearest(3)]
     assert found("hybrid") == [*hard, *nearest(2), *nearest(3)]
+
+
+def test_percentiles_hold_no_group_in_a_row(spark):
+    values = [float(i % 700) / 7 for i in range(5000)]
+    rows = spark.createDataFrame([("a", v) for v in values] + [(None, 2.0), (None, 4.0), ("b", None), ("c", 5.0), ("c", None)], "g string, v double")
+    df = metrics.percentiles(rows, "g", "v", 0.9)
+    plan = df._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "percentile(" not in plan
+    got = {r.g: (r.linear, r.nearest, r.upper) for r in df.collect()}
+    ordered = sorted(values)
+    place = 0.9 * (len(ordered) - 1)
+    low, part = int(place), place - int(place)
+    assert got["a"] == (pytest.approx(ordered[low] * (1 - part) + ordered[low + 1] * part, abs=1e-6), ordered[round(place)], ordered[round(0.9 * len(ordered) + 0.5) - 1])
+    assert got[None] == (3.8, 4.0, 4.0) and got["b"] == (None, None, None) and got["c"] == (5.0, 5.0, 5.0)
