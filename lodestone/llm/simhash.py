@@ -46,7 +46,7 @@ SHORT, PAIRS = 64, 1 << 19
 #: Posting lists above BLOCK that are broadcast; of more, both sides are shuffled.
 BROADCAST_LISTS = 50_000
 #: Texts in which common shingles are looked for, and how many are told. They decide the order of shingles alone, not what is linked.
-SAMPLE, COMMON = 20_000, 1 << 16
+SAMPLE, COMMON = 4_000, 1 << 16
 #: Texts of more shingles are counted in pieces of this many.
 PIECE = 1 << 16
 
@@ -334,8 +334,8 @@ def _common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     return np.array([r.key for r in often.collect()][::-1], np.int64).view(U)
 
 
-def shingle_sets(docs: DataFrame, common: np.ndarray, id: str, text: str, shingle: int, similarity: float, keep: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, keep, digest, size, prefix, hashes) of each row: the set of its text, and the part that similar sets share a shingle of."""
+def shingle_sets(docs: DataFrame, common: np.ndarray, id: str, text: str, shingle: int, similarity: float, keep: Sequence[str] = (), whole: bool = False) -> DataFrame:
+    """(doc_id, keep, digest, size, shingles) of each row, for the set of its text: the part that similar sets share a shingle of, or the whole."""
     top, bottom = _ratio(similarity)
     by_hash = np.argsort(common)
     listed = common[by_hash]
@@ -344,32 +344,32 @@ def shingle_sets(docs: DataFrame, common: np.ndarray, id: str, text: str, shingl
         for batch in batches:
             names = batch.schema.names
             for row, stop, part in slices(batch.column(names.index("text")), lower=True):
-                sets, prefixes = [], []
+                sets, told = [], []
                 for d in range(stop - row):
                     found = shingle_hashes(part, d, shingle)
                     rank = np.zeros(len(found), np.int64)
-                    if len(listed):
+                    if len(listed) and not whole:
                         at = np.minimum(np.searchsorted(listed, found), len(listed) - 1)
                         rank = np.where(listed[at] == found, 1 + by_hash[at], 0)
                     n = len(found)
                     sets.append(found)
-                    prefixes.append(found[np.argsort(rank, kind="stable")[: n + 1 + -n * top // bottom if n else 0]])
-                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x).view(np.int64))) for x in (prefixes, sets)]
-                made = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), *lists]
+                    told.append(found if whole else found[np.argsort(rank, kind="stable")[: n + 1 + -n * top // bottom if n else 0]])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, told)]), pa.int32()), pa.array(np.concatenate(told).view(np.int64)))
+                made = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), lists]
                 rest = [n for n in names if n != "text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(row, stop - row) for n in rest), *made], [*rest, "digest", "size", "prefix", "hashes"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(row, stop - row) for n in rest), *made], [*rest, "digest", "size", "shingles"])
 
     slim = docs.select(F.col(id).cast("long").alias("doc_id"), *keep, F.col(text).alias("text"))
-    told = "".join(f"`{c}` {slim.schema[c].dataType.simpleString()}, " for c in ("doc_id", *keep))
-    return slim.mapInArrow(run, told + "digest binary, size long, prefix array<long>, hashes array<long>")
+    kinds = "".join(f"`{c}` {slim.schema[c].dataType.simpleString()}, " for c in ("doc_id", *keep))
+    return slim.mapInArrow(run, kinds + "digest binary, size long, shingles array<long>")
 
 
-def _similar_links(nodes: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links that connect all nodes (node, size, prefix) whose hashes (node, hashes) are this similar."""
+def _similar_links(nodes: DataFrame, hashes_of, similarity: float) -> DataFrame:
+    """(a, b): links that connect all nodes (node, size, shingles) whose sets are this similar. hashes_of gives the sets (node, hashes) of some (node)."""
     top, bottom = _ratio(similarity)
-    posted = nodes.select("node", "size", F.posexplode("prefix").alias("place", "key"))
+    posted = nodes.select("node", "size", F.posexplode("shingles").alias("place", "key"))
     met = cut(posted.withColumn("_n", F.count("*").over(Window.partitionBy("key"))).filter("_n > 1").drop("_n"))
-    held = cut(hashes.join(met.select("node").distinct(), "node", "left_semi"))
+    held = cut(hashes_of(met.select("node").distinct()))
 
     def sizes(x, y):
         return (F.least(x, y) * bottom) >= (F.greatest(x, y) * top)
@@ -405,10 +405,20 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shin
 
     component numbers the group, component_id is its least id: null where no row of it has one, and of several groups where ids repeat.
     """
-    sets = shingle_sets(docs, _common_shingles(docs, text, shingle), id, text, shingle, similarity, keep)
-    sets = shared_table(sets.withColumn("row", F.monotonically_increasing_id()), "shingles")
-    own = cut(sets.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
-    joined = components(_similar_links(own.select("node", "size", "prefix"), sets.select(F.col("row").alias("node"), "hashes"), similarity))
+    # whole sets are made again for those that share a shingle, of one text each, rather than stored for all
+    mark = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    common = _common_shingles(docs, text, shingle)
+    marked = docs.select(F.col(id).alias("_doc_id"), F.col(text).alias("_text"), mark.alias("_mark"), *keep)
+    sets = shared_table(shingle_sets(marked, common, "_doc_id", "_text", shingle, similarity, ["_mark", *keep]), "shingles")
+    own = sets.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("_mark").alias("mark"), F.first("size").alias("size"), F.first("shingles").alias("shingles"))
+    own = cut(own.withColumn("node", F.monotonically_increasing_id()))
+    texts = marked.groupBy("_mark").agg(F.first("_text").alias("_text"))
+
+    def hashes_of(nodes: DataFrame) -> DataFrame:
+        wanted = own.select("node", "mark").join(nodes, "node", "left_semi").join(texts, F.col("mark") == F.col("_mark"))
+        return shingle_sets(wanted, common, "node", "_text", shingle, similarity, whole=True).select(F.col("doc_id").alias("node"), F.col("shingles").alias("hashes"))
+
+    joined = components(_similar_links(own.select("node", "size", "shingles"), hashes_of, similarity))
     named = own.join(joined.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
     named = cut(named.select("digest", "least", F.coalesce("component", "node").alias("component")))
     moved = named.groupBy("component").agg(F.min("least").alias("component_id"))
