@@ -18,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,31 +55,41 @@ NOISE_WORDS = frozenset(
     notice notices notification alert cookie cookies consent gdpr disclaimer popup modal overlay subscribe subscription newsletter signup login paywall
     comment comments commentlist disqus reply replies respond discussion feedback share sharing social related recommended recommendations widget widgets toolbar search form hidden""".split()
 )
+#: Words that may as well be those of an article: links decide there.
+WEAK_WORDS = frozenset("discussion social related search form share sharing".split())
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]{0,65536}\"|=\s*'[^']{0,65536}'|[=\"'])*+)>",
     re.DOTALL,
 )
-HINT = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+HINT = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 GONE = re.compile(r"(?:^|\s)(?:hidden(?=$|[\s=/])|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.IGNORECASE)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: A name such as has-sidebar speaks of something else than the element.
 ABOUT = frozenset(("has", "with", "no", "is", "without"))
 DEEPEST = 512
+#: Elements whose ids are mostly made from their titles.
+TITLED = frozenset("h1 h2 h3 h4 h5 h6 section p article main".split())
 
 
-def _noise_name(name: str) -> bool:
+def _noise_name(name: str) -> int:
+    """2 if the whole name, its first or its last word tells noise, 1 if only weak words do, else 0."""
     found = [w.lower() for w in WORDS.findall(name)]
-    return ABOUT.isdisjoint(found) and not NOISE_WORDS.isdisjoint([*found, "".join(found)])
+    if not found or not ABOUT.isdisjoint(found):
+        return 0
+    hits = NOISE_WORDS.intersection((found[0], found[-1], "".join(found)))
+    return 0 if not hits else 1 if hits <= WEAK_WORDS else 2
 
 
-def _noisy(tag: str, attributes: str) -> bool:
-    if tag in NOISE:
-        return True
+def _noisy(tag: str, attributes: str, slugs: bool, forms: bool) -> int:
+    """2 for noise, 1 where links decide, 0 for none. slugs: ids are made from titles here; forms: a form is like a div."""
+    if tag in NOISE and not (forms and tag == "form"):
+        return 2
     if not attributes or tag in ("body", "html"):
-        return False
+        return 0
     if GONE.search(attributes):
-        return True
-    return any(_noise_name(name) for values in HINT.findall(attributes) for name in "".join(values).split())
+        return 2
+    slugs = slugs or tag in TITLED
+    return max((_noise_name(name) for kind, *values in HINT.findall(attributes) if not (slugs and kind.lower() == "id") for name in "".join(values).split()), default=0)
 
 
 class Page:
@@ -87,7 +98,13 @@ class Page:
     A None piece parts blocks. An element that is noise is one empty node, #noise.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, forms: bool = False):
+        self._forms, self.form = forms, False
+        self.chars, self._links, self._a, self._main = 0, 0, 0, 0
+        #: Where links decide: nodes with what was there when they began. Open elements below DEEPEST, and whether they are noise.
+        self._weak: dict[int, tuple[int, int, int]] = {}
+        self._deep: list[tuple[str, bool]] = []
+        self._deep_names: Counter[str] = Counter()
         self.tags, self.parents, self.last = ["#"], [-1], [0]
         self.pieces: list[tuple[int, str | None]] = []
         self._stack, self._names, self._quiet = [0], ["#"], 0
@@ -115,6 +132,9 @@ class Page:
 
     def _text(self, text: str) -> None:
         if not self._quiet:
+            size = len("".join(text.split()))
+            self.chars += size
+            self._links += size if self._a else 0
             self.pieces.append((self._stack[-1], entities.unescape(text) if "&" in text else text))
 
     def _break(self) -> None:
@@ -128,29 +148,61 @@ class Page:
         return len(self.tags) - 1
 
     def _open(self, tag: str, attributes: str) -> None:
-        if tag not in IN_HEAD:
-            self._up_to(("head",), ("body",))
-        if tag in CLOSES_P:
-            self._up_to(("p",), SCOPE)
-        if tag in SIBLINGS:
-            same, until = SIBLINGS[tag]
-            self._up_to(same, until)
+        self.form |= tag == "form"
+        if not self._deep:  # no end is implied below DEEPEST
+            if tag not in IN_HEAD:
+                self._up_to(("head",), ("body",))
+            if tag in CLOSES_P:
+                self._up_to(("p",), SCOPE)
+            if tag in SIBLINGS:
+                same, until = SIBLINGS[tag]
+                self._up_to(same, until)
         if tag not in INLINE:
             self._break()
-        noisy = self._quiet or _noisy(tag, attributes)
-        if tag in VOID or len(self._stack) > DEEPEST:
-            if not noisy:
+        noisy = 2 if self._quiet else _noisy(tag, attributes, self._main > 0, self._forms)
+        if tag in VOID:
+            if noisy < 2:
+                self._node(tag)
+            return
+        if len(self._stack) > DEEPEST:
+            if noisy < 2:
                 self._node(tag)
+            self._deep.append((tag, noisy == 2))
+            self._deep_names[tag] += 1
+            self._quiet += noisy == 2
+            self._a += tag == "a"
             return
-        node = -1 if self._quiet else self._node("#noise" if noisy else tag)
+        node = -1 if self._quiet else self._node("#noise" if noisy == 2 else tag)
+        if noisy == 1:
+            self._weak[node] = (len(self.pieces), self.chars, self._links)
         self._stack.append(node)
         self._names.append(tag)
-        self._quiet += bool(noisy)
+        self._quiet += noisy == 2
+        self._a += tag == "a"
+        self._main += tag in ("article", "main")
+
+    def _pop_deep(self) -> str:
+        tag, noisy = self._deep.pop()
+        self._deep_names[tag] -= 1
+        self._quiet -= noisy
+        self._a -= tag == "a"
+        if tag not in INLINE:
+            self._break()
+        return tag
 
     def _pop(self) -> None:
+        while self._deep:
+            self._pop_deep()
         node, tag = self._stack.pop(), self._names.pop()
+        self._a -= tag == "a"
+        self._main -= tag in ("article", "main")
         if self._quiet:
             self._quiet -= 1
+        if node in self._weak:
+            at, chars, links = self._weak.pop(node)
+            if 2 * (self._links - links) >= self.chars - chars:  # mostly links, or nothing
+                del self.pieces[at:], self.tags[node + 1 :], self.parents[node + 1 :], self.last[node + 1 :]
+                self.tags[node], self.chars, self._links = "#noise", chars, links
         if node >= 0:
             self.last[node] = len(self.tags) - 1
         if tag not in INLINE:
@@ -167,6 +219,12 @@ class Page:
                 return
 
     def _close(self, tag: str) -> None:
+        if self._deep_names[tag]:
+            while self._pop_deep() != tag:
+                pass
+            return None
+        if self._deep and tag not in self._names:
+            return self._break() if tag in ("p", "br") else None
         if tag in ("p", "br"):
             self._break()
         if tag in INLINE:  # a stray end doesn't reach out of its block
@@ -254,6 +312,9 @@ def _selected(page: Page) -> list[tuple[int, int]]:
 def main_text(source: str | None) -> str:
     """The main text of a page: its blocks joined by single spaces."""
     page = Page(source or "")
+    if page.form:  # forms that hold most of the text are the page
+        whole = Page(source or "", forms=True)
+        page = whole if whole.chars > 2 * page.chars else page
     if not any(text and not text.isspace() for _, text in page.pieces):
         return ""
     out: list[str] = []

@@ -400,3 +400,18 @@ def test_broken_archives():
     assert any(e for _, _, e in warc.unpack(memoryview(bytes(archive[:-5]))))
     with pytest.raises(ValueError):
         warc.parse(records[0][:-1])
+
+
+def test_main_text_keeps_article_text_with_noisy_names():
+    words = " ".join(f"word{i}" for i in range(60))
+    page = lambda body: main_text.main_text(f"<html><body>{body}</body></html>")
+    kept = "<p>{0}</p><section id='discussion'><h2 id='social-history'>Social history</h2><p>a {0}</p></section><p id='form-of-government'>b {0}</p><div class='related-work'>c {0}</div>".format(words)
+    assert page(f"<article>{kept}</article>") == f"{words} Social history a {words} b {words} c {words}"
+    links = "".join(f"<a href='/{i}'>more{i}</a> " for i in range(30))
+    assert "more" not in page(f"<article><p>{words}</p><div class='related'>{links}</div><div class='ad-box'>buy</div></article>")
+    assert page(f"<form action='/page'><div><p>{words}</p></div></form>") == words
+    assert page(f"<div><p>{words}</p></div><form>login <input></form>") == words
+    deep = "<div>" * 600 + "deep" + "</div>" * 600
+    assert page(f"<article><p>{words}</p>{deep}<p>after {words}</p></article><div class='ads'>buy</div>") == f"{words} deep after {words}"
+    hidden = "<div>" * 600 + "<div class='ads'>buy</div>" + "</div>" * 600
+    assert page(f"<article><p>{words}</p>{hidden}<p>after</p></article>") == f"{words} after"
