@@ -36,13 +36,10 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_hash"))
-    groups = simhash.similar_groups(docs, keep=["_hash"])
-    # one row of each group stays: that of the least id, without id only where no row has one; rows of one id differ by their hash
-    order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("_id"), F.col("_hash").alias("_kept"))
-    first = groups.groupBy("component").agg(F.min(order).alias("first")).select("first._id", "first._kept")
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")))
-    once = Window.partitionBy("doc_id", "_hash").orderBy("text")
+    docs = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_key"))
+    first = simhash.similar_firsts(docs, "_key").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_kept"))
+    kept = docs.join(first, (F.col("_key") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    once = Window.partitionBy("_key", "doc_id").orderBy("text")  # of rows alike in all columns one stays
     return kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*COLUMNS)
 
 
@@ -56,10 +53,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(TOKENIZER)
-    out = bpe.bpe_decode(bpe.bpe_encode(docs.select(*COLUMNS), path), path)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return out.select(*COLUMNS, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("decodes"))
+    out = bpe.bpe_round_trip(docs.select(*COLUMNS), public_tokenizers.path(TOKENIZER))
+    return out.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -8,11 +8,13 @@ simhash_groups: 64 bits, links at `radius` (3) bits. Two such fingerprints agree
 every set of five positions holds a key of the covering family, so no link is lost. The keys' width follows from the number of
 fingerprints, so that chance meetings stay rarer than fingerprints.
 
-similar_groups: sets of the distinct shingles of a text, five words each, linked at a Jaccard similarity of 0.8 or more, exactly.
-All sets are put in one order of shingles, those common in a sample last. Two sets that similar share a shingle among the first
-n - ceil(0.8 n) + 1 of each, whatever the order, so posting lists of these meet every such pair at every size. Neighbours
-in a list are verified by their whole sets first; then all pairs of a list that are not connected yet and that sizes and
-positions allow. No link is estimated.
+similar_groups: sets of the distinct shingles of a text, five words each, linked at a Jaccard similarity of 0.8 or more. Byte p
+of a fingerprint is here the last byte of the set's least hash under function p, so two sets share a positional byte with
+the probability of their similarity; signs of sums, as SimHash has them, differ too much at 0.8 for any key to be sure of a
+pair (README). Sets are posted under KEYS keys of four bytes; pairs that meet and share MATCHES of the bytes are candidates. A
+pair at 0.8 is missed in 0.02 % of cases, one at 0.85 in 0.001 %, alike at every size. Candidates connect families, and each family
+is compared by its whole sets: no link stands on an estimate. Families over BLOCK members or BLOCK_BYTES are dealt
+out in blocks, each with some members that all blocks get; only where these leave a family unconnected, all pairs of its blocks meet.
 
 Only what keeps fingerprints connected leaves a posting list (a spanning forest of its links), so large groups
 give as many links as members, not pairs. Lists longer than BLOCK are dealt out by pairs of blocks over tasks. Connected
@@ -31,22 +33,22 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, shared_table
 from .hashing import U, Slice, mix, slices
 
-SHINGLE, SEED, RADIUS, BLOCK = 3, 42, 3, 1024
-#: Words in a shingle and least similarity of similar_groups; of wide fingerprints, 64-bit words and shared positional bytes of a candidate.
-WIDE_SHINGLE, SIMILARITY, WIDE, LEAST = 5, 0.8, 4, 3
+SHINGLE, SEED, RADIUS, BLOCK = 3, 42, 3, 4096
+#: Words in a shingle and least similarity of similar_groups; keys of four bytes each, and shared bytes of a candidate (of 4 * KEYS).
+WIDE_SHINGLE, SIMILARITY, KEYS, MATCHES = 5, 0.8, 16, 36
+#: Bytes of the sets of a block; members of a large family that all of its blocks get.
+BLOCK_BYTES, SHARED = 4 << 20, 8
 #: Pairs of short lists are compared at once, PAIRS at a time; longer lists row by row.
 SHORT, PAIRS = 64, 1 << 19
-#: Posting lists above BLOCK that are broadcast; of more, both sides are shuffled.
+#: Posting lists or families above BLOCK that are broadcast; of more, both sides are shuffled.
 BROADCAST_LISTS = 50_000
-#: Texts in which common shingles are looked for, and how many are told. They decide the order of shingles alone, not what is linked.
-SAMPLE, COMMON = 4_000, 1 << 16
 #: Texts of more shingles are counted in pieces of this many.
 PIECE = 1 << 16
 
@@ -101,26 +103,6 @@ def _width(n: int) -> int:
     return 3 if n <= 1 << 26 else 5
 
 
-def circulant(width: int, rounds: int, positions: int = 8 * WIDE) -> list[tuple[int, ...]]:
-    """`rounds` keys of `width` positions starting at every position; all positions are used alike."""
-    out = []
-    for r in range(rounds):
-        steps = [(1 + 6 * r + 11 * j * (r + 1)) % (positions - 1) + 1 for j in range(width - 1)]
-        places = list(dict.fromkeys([0, *steps]))
-        k = 1
-        while len(places) < width:  # steps that meet are moved on
-            if k not in places:
-                places.append(k)
-            k += 1
-        out += [tuple(sorted((i + x) % positions for x in places)) for i in range(positions)]
-    return sorted(set(out))
-
-
-def _wide_keys(n: int) -> list[tuple[int, ...]]:
-    """64 keys of two bytes up to 2 ** 25 fingerprints, then 384 of three, from 2 ** 33 on 1,536 of four."""
-    return circulant(2, 2) if n <= 1 << 25 else circulant(3, 12) if n <= 1 << 33 else circulant(4, 48)
-
-
 class _Forest:
     """Links that were not connected by earlier ones."""
 
@@ -274,18 +256,6 @@ def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shin
     return out.select("doc_id", F.lower(F.lpad(F.hex("c0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprint(hashes: np.ndarray, words: int = WIDE) -> np.ndarray:
-    """The SimHash of 64 * words bits over distinct shingle hashes; zero if there are none."""
-    out, n = np.zeros(words, np.uint64), len(hashes)
-    for k in range(words if n else 0):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, n, PIECE):
-            more = mix(hashes[at : at + PIECE] ^ U(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)))
-            ones += np.unpackbits(more.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
-    return out
-
-
 def shingle_hashes(words: Slice, doc: int, shingle: int) -> np.ndarray:
     """Hashes of the distinct shingles of a document of the slice; the whole sequence if it has fewer words."""
     a, b = int(words.first[doc]), int(words.first[doc + 1])
@@ -295,109 +265,135 @@ def shingle_hashes(words: Slice, doc: int, shingle: int) -> np.ndarray:
     return np.unique(words.spans(begin, np.minimum(begin + shingle, b)))
 
 
-def wide_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
-    """(doc_id, c0, c1, ...) of each row; words are compared without regard to the case of A-Z."""
-    names = [f"c{i}" for i in range(words)]
+def _ratio(similarity: float) -> tuple[int, int]:
+    return Fraction(str(similarity)).as_integer_ratio()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, stop, part in slices(batch.column(1), lower=True):
-                found = np.stack([wide_fingerprint(shingle_hashes(part, d, shingle), words) for d in range(stop - row)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), *(pa.array(found[:, i]) for i in range(words))], ["doc_id", *names])
 
-    slim = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+FACTORS = mix(np.arange(1, 4 * KEYS + 1, dtype=U)) | U(1)
+PARTS = [f"c{i}" for i in range(-(-4 * KEYS // 8))]
 
 
-def radius_of(similarity: float, bits: int) -> int:
-    """The expected number of different bits of two sets of shingles (alike in size) with this Jaccard similarity."""
-    return round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def least_bytes(hashes: np.ndarray) -> np.ndarray:
+    """The positional bytes of a set of hashes: of each function's least value the last one; an empty set has 255."""
+    least = np.full(len(FACTORS), U(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(hashes), PIECE >> 4):
+        least = np.minimum(least, (hashes[None, at : at + (PIECE >> 4)] * FACTORS[:, None]).min(axis=1))
+    return least.astype(np.uint8)
 
 
-def _ratio(similarity: float) -> tuple[int, int]:
-    return Fraction(str(similarity)).as_integer_ratio()
+def set_fingerprints(docs: DataFrame, id: str, text: str, shingle: int, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, keep, digest, c0, c1, ...) of each row: a digest of the set of its shingles and the set's positional bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = [n for n in batch.schema.names if n != text]
+            for row, stop, part in slices(batch.column(batch.schema.get_field_index(text)), lower=True):
+                sets = [shingle_hashes(part, d, shingle) for d in range(stop - row)]
+                found = np.stack([least_bytes(x) for x in sets]).view(np.int64)
+                made = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(PARTS)))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)).slice(row, stop - row) for n in rest), *made], [*rest, "digest", *PARTS])
+
+    slim = docs.select(id, *keep, text)
+    kinds = "".join(f"`{c}` {slim.schema[c].dataType.simpleString()}, " for c in (id, *keep))
+    return slim.mapInArrow(run, kinds + "digest binary, " + ", ".join(f"{c} long" for c in PARTS))
 
 
-def _common_shingles(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
-    """Shingles of several texts of a sample, the rarer first."""
-    kept = docs.select(F.col(text).alias("text"))
-    share = max(1, kept.count() // SAMPLE)
-    kept = kept.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct()
+def _whole_sets(rows: DataFrame, text: str, shingle: int) -> DataFrame:
+    """rows without text, with the hashes of its shingles as bytes, in order."""
+    names = [c for c in rows.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, stop, part in slices(batch.column(0), lower=True):
-                found = np.concatenate([shingle_hashes(part, d, shingle) for d in range(stop - row)])
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["key"])
+            for row, stop, part in slices(batch.column(batch.schema.get_field_index(text)), lower=True):
+                told = pa.array([shingle_hashes(part, d, shingle).tobytes() for d in range(stop - row)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)).slice(row, stop - row) for n in names), told], [*names, "hashes"])
 
-    often = kept.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "key").limit(COMMON)
-    return np.array([r.key for r in often.collect()][::-1], np.int64).view(U)
+    return rows.mapInArrow(run, "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in names) + "hashes binary")
 
 
-def shingle_sets(docs: DataFrame, common: np.ndarray, id: str, text: str, shingle: int, similarity: float, keep: Sequence[str] = (), whole: bool = False) -> DataFrame:
-    """(doc_id, keep, digest, size, shingles) of each row, for the set of its text: the part that similar sets share a shingle of, or the whole."""
+def _set_links(forest: _Forest, node: np.ndarray, part: np.ndarray, code: np.ndarray, sets: list[np.ndarray], top: int, bottom: int) -> None:
+    """Links that connect the similar sets of one block, member by member against those of other parts that may be similar."""
+    root = np.unique(part, return_inverse=True)[1]
+    size = np.array([len(x) for x in sets], np.int64)
+    for i in range(len(node) - 1):
+        rest = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        rest = rest[np.minimum(size[rest], size[i]) * bottom >= np.maximum(size[rest], size[i]) * top]
+        rest = rest[(code[rest] == code[i]).sum(axis=1) >= MATCHES]
+        if not len(rest) or not size[i]:
+            continue
+        ends = np.cumsum(size[rest])
+        values = np.concatenate([sets[k] for k in rest.tolist()])
+        at = np.minimum(np.searchsorted(sets[i], values), size[i] - 1)
+        same = np.add.reduceat(sets[i][at] == values, ends - size[rest], dtype=np.int64)
+        for j in rest[same * (top + bottom) >= (size[rest] + size[i]) * top].tolist():
+            if root[j] != root[i]:
+                forest.add(int(node[i]), int(node[j]))
+                root[root == root[j]] = root[i]
+
+
+def _family_links(similarity: float):
     top, bottom = _ratio(similarity)
-    by_hash = np.argsort(common)
-    listed = common[by_hash]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            for row, stop, part in slices(batch.column(names.index("text")), lower=True):
-                sets, told = [], []
-                for d in range(stop - row):
-                    found = shingle_hashes(part, d, shingle)
-                    rank = np.zeros(len(found), np.int64)
-                    if len(listed) and not whole:
-                        at = np.minimum(np.searchsorted(listed, found), len(listed) - 1)
-                        rank = np.where(listed[at] == found, 1 + by_hash[at], 0)
-                    n = len(found)
-                    sets.append(found)
-                    told.append(found if whole else found[np.argsort(rank, kind="stable")[: n + 1 + -n * top // bottom if n else 0]])
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, told)]), pa.int32()), pa.array(np.concatenate(told).view(np.int64)))
-                made = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), lists]
-                rest = [n for n in names if n != "text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(row, stop - row) for n in rest), *made], [*rest, "digest", "size", "shingles"])
-
-    slim = docs.select(F.col(id).cast("long").alias("doc_id"), *keep, F.col(text).alias("text"))
-    kinds = "".join(f"`{c}` {slim.schema[c].dataType.simpleString()}, " for c in ("doc_id", *keep))
-    return slim.mapInArrow(run, kinds + "digest binary, size long, shingles array<long>")
-
-
-def _similar_links(nodes: DataFrame, hashes_of, similarity: float) -> DataFrame:
-    """(a, b): links that connect all nodes (node, size, shingles) whose sets are this similar. hashes_of gives the sets (node, hashes) of some (node)."""
-    top, bottom = _ratio(similarity)
-    posted = nodes.select("node", "size", F.posexplode("shingles").alias("place", "key"))
-    met = cut(posted.withColumn("_n", F.count("*").over(Window.partitionBy("key"))).filter("_n > 1").drop("_n"))
-    held = cut(hashes_of(met.select("node").distinct()))
-
-    def sizes(x, y):
-        return (F.least(x, y) * bottom) >= (F.greatest(x, y) * top)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-        both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("all"))
-        return both.filter(F.col("same").cast("long") * bottom >= (F.col("all") - F.col("same")).cast("long") * top).select("a", "b")
-
-    # neighbours in a list, by node and by size: a group gives as many as members, not pairs
-    chains = []
-    for order in (["node"], ["size", "node"]):
-        after = F.lead(F.struct("node", "size")).over(Window.partitionBy("key").orderBy(*order))
-        chains.append(met.select("node", "size", after.alias("next")).filter(F.col("next").isNotNull() & sizes(F.col("size"), F.col("next.size"))).select(F.least("node", "next.node").alias("a"), F.greatest("node", "next.node").alias("b")))
-    tried = cut(chains[0].unionAll(chains[1]).distinct())
-    first = cut(verified(tried))
-    # all other pairs whose members are not connected by these
-    known = components(first).withColumnRenamed("node", "a")
-    rest = met.join(known, F.col("node") == F.col("a"), "left").select("key", "node", "size", "place", F.coalesce("component", "node").alias("part"))
-    several = rest.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("key")
-    rest = cut(rest.join(several, "key", "left_semi"))
-    x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "place", "part"))) for side in "xy")
-    # of the first shingle that both have, the rest of the sets bounds what they share
-    most = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
-    enough = most * (top + bottom) >= (F.col("size_x") + F.col("size_y")) * top
-    pairs = x.join(y, "key").filter((F.col("node_x") < F.col("node_y")) & (F.col("part_x") != F.col("part_y")) & sizes(F.col("size_x"), F.col("size_y")) & enough)
-    pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    return first.unionAll(verified(pairs.join(tried, ["a", "b"], "left_anti")))
+            lists = batch.column(0)
+            members, ends = lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            node, part = (members.field(c).to_numpy(zero_copy_only=False) for c in ("node", "part"))
+            code = np.ascontiguousarray(np.stack([members.field(c).to_numpy(zero_copy_only=False) for c in PARTS], axis=1)).view(np.uint8)[:, : 4 * KEYS]
+            sets, forest = [np.frombuffer(x.as_buffer(), U) for x in members.field("hashes")], _Forest()
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                _set_links(forest, node[a:b], part[a:b], code[a:b], sets[a:b], top, bottom)
+            yield pa.RecordBatch.from_arrays([pa.array(forest.a, pa.int64()), pa.array(forest.b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _similar_links(held: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect all similar sets of a family, of held (family, node, c0, ..., hashes)."""
+    sizes = held.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("hashes")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    large = cut(sizes.filter("blocks > 1").withColumnRenamed("family", "_family"))
+    few = large.count() <= BROADCAST_LISTS
+    large = F.broadcast(large) if few else large
+    member = F.struct("node", "part", *PARTS, "hashes")
+
+    def linked(rows: DataFrame, *keys: str) -> DataFrame:
+        lists = rows.groupBy(*keys).agg(F.collect_list(member).alias("members")).filter(F.size("members") > 1).select("members")
+        return lists.mapInArrow(_family_links(similarity), "a long, b long").distinct()
+
+    own = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
+    dealt = held.join(large, F.col("family") == F.col("_family"), "left").withColumn("part", F.col("node")).withColumn("block", own)
+    big = dealt.filter("blocks > 1")
+    order = Window.partitionBy("family").orderBy(F.xxhash64(F.lit(1), "node"), "node")
+    shared = big.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SHARED).drop("_n")
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block")))
+    shared = shared.select(*(c for c in dealt.columns if c != "block"), others.alias("block")).select(*dealt.columns)
+    first = cut(linked(dealt.unionAll(shared), "family", "block"))
+    if large.isEmpty():
+        return first
+    known = components(first).withColumnRenamed("node", "_node")
+    parts = big.drop("part").join(known, F.col("node") == F.col("_node"), "left").withColumn("part", F.coalesce("component", "node")).drop("_node", "component")
+    several = parts.groupBy("family").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("family")
+    rest = parts.join(several, "family", "left_semi")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least("block", j) * F.lit(1 << 20).cast("long") + F.greatest("block", j))
+    return first.unionAll(linked(rest.withColumn("pair", F.explode(pairs)), "family", "pair"))
+
+
+def _nodes(docs: DataFrame, id: str, text: str, shingle: int, similarity: float, keep: Sequence[str], best: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows, nodes): id, keep and digest of each row; digest, best of its rows and component of each distinct set."""
+    # whole sets are made again for families alone, of one text each, rather than stored for all
+    mark = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    marked = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("_text"), mark.alias("_mark"), *keep)
+    rows = shared_table(set_fingerprints(marked, "doc_id", "_text", shingle, ["_mark", *keep]), "sets")
+    own = rows.groupBy("digest").agg(best.alias("best"), F.min("_mark").alias("mark"), *(F.first(c).alias(c) for c in PARTS))
+    own = cut(own.withColumn("node", F.monotonically_increasing_id()))
+    keys = [tuple(range(4 * k, 4 * k + 4)) for k in range(KEYS)]
+    families = components(links(own.select("node", *PARTS), keys, 64 * len(PARTS), MATCHES)).select(F.col("node").alias("_node"), F.col("component").alias("family"))
+    members = own.join(families, F.col("node") == F.col("_node")).select("family", "node", "mark", *PARTS)
+    texts = marked.join(members.select(F.col("mark").alias("_wanted")), F.col("_mark") == F.col("_wanted"), "left_semi").groupBy("_mark").agg(F.first("_text").alias("_text"))
+    held = shared_table(_whole_sets(members.join(texts, F.col("mark") == F.col("_mark")).drop("mark", "_mark"), "_text", shingle), "families")
+    joined = components(_similar_links(held, similarity)).withColumnRenamed("node", "_node")
+    named = own.join(joined, F.col("node") == F.col("_node"), "left").select("digest", "best", F.coalesce("component", "node").alias("component"))
+    return rows, named
 
 
 def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, keep: Sequence[str] = ()) -> DataFrame:
@@ -405,25 +401,18 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shin
 
     component numbers the group, component_id is its least id: null where no row of it has one, and of several groups where ids repeat.
     """
-    # whole sets are made again for those that share a shingle, of one text each, rather than stored for all
-    mark = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    common = _common_shingles(docs, text, shingle)
-    marked = docs.select(F.col(id).alias("_doc_id"), F.col(text).alias("_text"), mark.alias("_mark"), *keep)
-    sets = shared_table(shingle_sets(marked, common, "_doc_id", "_text", shingle, similarity, ["_mark", *keep]), "shingles")
-    own = sets.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("_mark").alias("mark"), F.first("size").alias("size"), F.first("shingles").alias("shingles"))
-    own = cut(own.withColumn("node", F.monotonically_increasing_id()))
-    texts = marked.groupBy("_mark").agg(F.first("_text").alias("_text"))
+    rows, named = _nodes(docs, id, text, shingle, similarity, keep, F.min("doc_id"))
+    named = cut(named)
+    moved = named.groupBy("component").agg(F.min("best").alias("component_id"))
+    told = named.join(moved, "component").select("digest", "component_id", "component")
+    return rows.select("doc_id", "digest", *keep).join(told, "digest").select("doc_id", "component_id", "component", *keep)
 
-    def hashes_of(nodes: DataFrame) -> DataFrame:
-        wanted = own.select("node", "mark").join(nodes, "node", "left_semi").join(texts, F.col("mark") == F.col("_mark"))
-        return shingle_sets(wanted, common, "node", "_text", shingle, similarity, whole=True).select(F.col("doc_id").alias("node"), F.col("shingles").alias("hashes"))
 
-    joined = components(_similar_links(own.select("node", "size", "shingles"), hashes_of, similarity))
-    named = own.join(joined.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
-    named = cut(named.select("digest", "least", F.coalesce("component", "node").alias("component")))
-    moved = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    told = named.join(moved, "component").select("digest", "component_id", "component")
-    return sets.select("doc_id", "digest", *keep).join(told, "digest").select("doc_id", "component_id", "component", *keep)
+def similar_firsts(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, key) of one row of each group: that of the least id, without id only where no row of it has one, then of the least key."""
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("doc_id"), F.col(key).alias("key"))
+    _, named = _nodes(docs, id, text, shingle, similarity, [key], F.min(order))
+    return named.groupBy("component").agg(F.min("best").alias("b")).select("b.doc_id", F.col("b.key").alias(key))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

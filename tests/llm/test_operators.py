@@ -231,18 +231,18 @@ def test_covering_sets():
         assert all(any(s <= set(c) for s in sets) for c in combinations(range(8), 5))
 
 
-@pytest.mark.parametrize(("similarity", "least"), [(0.8, 0.9), (0.85, 0.96), (0.9, 0.985)])
-def test_wide_keys_meet_similar_fingerprints(similarity, least):
-    """The share of pairs of this similarity, within the radius or not, that meet under a key and pass the count filter."""
+@pytest.mark.parametrize(("similarity", "least"), [(0.8, 0.999), (0.85, 0.9996), (0.9, 0.9999)])
+def test_similar_sets_meet(similarity, least):
+    """The share of pairs of this similarity that meet under a key and share enough positional bytes."""
     rng = np.random.default_rng(2)
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    differ = rng.random((4000, 32, 8)) < p
-    equal = ~differ.any(axis=2)
-    met = np.zeros(len(equal), bool)
-    for a, b in simhash._wide_keys(1000):
-        met |= equal[:, a] & equal[:, b]
-    met &= equal.sum(axis=1) >= simhash.LEAST
-    assert met.mean() >= least
+    pairs, met = 3000, 0
+    for _ in range(pairs):
+        values = rng.integers(0, 1 << 63, 450, dtype=np.int64).view(np.uint64)
+        alike = round(450 * similarity)
+        a, b = np.concatenate([values[:alike], values[alike::2]]), np.concatenate([values[:alike], values[alike + 1 :: 2]])
+        same = simhash.least_bytes(a) == simhash.least_bytes(b)
+        met += same.reshape(-1, 4).all(axis=1).any() and same.sum() >= simhash.MATCHES
+    assert met / pairs >= least
 
 
 def test_similar_groups(spark):
@@ -265,8 +265,10 @@ def test_similar_groups(spark):
     assert sum(got[i] == i - i % 4 for i in range(n)) / n > 0.97
 
 
-def test_similar_groups_are_exact(spark):
-    """Every pair at 0.8 or just above is linked, and no pair just below, alone or through a third text; large lists too."""
+@pytest.mark.parametrize("block", [4096, 64])
+def test_similar_groups_are_exact(spark, monkeypatch, block):
+    """Every pair at 0.8 or just above is linked, and no pair just below, alone or through a third text; large lists and families too."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rows, n = [], 0
     for g in range(400):
         total, cut = (108, 12) if g % 2 else (107, 12)  # 96 of 120 shingles alike, or 95 of 119
