@@ -1,20 +1,21 @@
 """Media columns: content-addressed payloads in tar shards.
 
-Each task packs the media of its rows into tar archives of bounded size, named by the SHA-256 of their content and stored
-once an archive; the archives are the rows of a shared table (shard, tar). A row's column carries digest, shard, offset and
-length. Equal media of different archives share a digest, and the first place (least shard, then offset) is theirs.
-No payload is shuffled.
+Each task packs the media of its rows into tar archives of bounded size, named by the SHA-256 of their content; the archives are
+rows of shared tables (shard, index, tar). A row's column carries digest, shard, offset and length, and every digest is stored
+once over all shards: texts that may occur again, by a table of SEEN bits of fixed size, go through one shuffle that leaves one of
+each; all others are packed where they are read. A fuller table only sends more texts that way.
 
-Metadata columns come from reads of the first HEADER bytes of a member; whole members are read only to verify or use
-them. Media are WAV files: mono, eight bits a sample, 8,000 samples a second.
+An archive's index has each member's place and its first HEADER bytes, in a column of their own. Metadata columns come from
+reads of that range of the files alone; the tar column is read only to verify or use whole members. Media are WAV files: mono, eight
+bits a sample, 8,000 samples a second.
 
-A null text counts as empty; ids may be null or repeated, rows stay as many as they are.
+A null text counts as empty; ids may be null or repeated, rows stay as many as they are. Other columns aren't read, whatever their
+names. An empty table gives no rows and no archives.
 """
 
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import uuid
@@ -30,7 +31,16 @@ from .common import shared_table
 
 UNIT, RATE, HEADER, TAR_BLOCK, SHARD_BYTES = 576, 8000, 44, 512, 4 << 20
 TAIL = 32
-PACKED = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long, tar binary"
+#: Bits of the table of texts that may occur again; parts over which the rows of such a text are dealt.
+SEEN, SALTS = 1 << 24, 16
+#: Kinds of packed rows: of a text stored here, of one that may occur again, an archive.
+STORED, AGAIN, ARCHIVE = 0, 1, 2
+INDEX = "array<struct<digest:binary,offset:bigint,length:bigint,head:binary>>"
+PACKED = f"kind int, doc_id long, n_bytes long, digest binary, shard string, offset long, length long, text string, index {INDEX}, tar binary"
+LAYOUT = pa.schema(
+    [("kind", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.binary()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("text", pa.string())]
+    + [("index", pa.list_(pa.struct([("digest", pa.binary()), ("offset", pa.int64()), ("length", pa.int64()), ("head", pa.binary())]))), ("tar", pa.binary())]
+)
 
 
 def payload_of(text: bytes) -> bytes:
@@ -56,7 +66,7 @@ class Shard:
     """A tar archive in memory; add() gives a member's place, close() the archive."""
 
     def __init__(self):
-        self.name, self.at, self.parts, self.places = uuid.uuid4().hex, 0, [], {}
+        self.name, self.at, self.parts, self.places, self.index = uuid.uuid4().hex, 0, [], {}, []
 
     def add(self, digest: bytes, content: bytes) -> tuple[int, int]:
         if digest not in self.places:
@@ -65,7 +75,8 @@ class Shard:
             pad = -len(content) % TAR_BLOCK
             head = info.tobuf(tarfile.USTAR_FORMAT)
             self.parts += [head, content, b"\0" * pad]
-            self.places[digest] = (self.at + len(head), len(content))
+            self.places[digest] = place = (self.at + len(head), len(content))
+            self.index.append((digest, *place, content[:HEADER]))
             self.at += len(head) + len(content) + pad
         return self.places[digest]
 
@@ -73,34 +84,70 @@ class Shard:
         return b"".join([*self.parts, b"\0" * (2 * TAR_BLOCK)])
 
 
-def pack(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, shards): doc_id, n_bytes, digest, shard, offset, length of each row of docs; shard, tar of each archive."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.binary()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("tar", pa.binary())])
-        shard, rows = Shard(), []
+def _seen_again(keys: DataFrame) -> np.ndarray:
+    """A table of SEEN bits: those of keys (key long) that occur more than once."""
+    again = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.pmod("key", F.lit(SEEN)).alias("bit"))
+    words = again.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    told, table = words.toArrow(), np.zeros(SEEN // 64, np.int64)  # SEEN / 64 rows at most
+    table[told.column("word").to_numpy()] = told.column("bits").to_numpy()
+    return table.view(np.uint8)
+
+
+def _packer(batches: Iterator[pa.RecordBatch], again: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Packed rows of batches (doc_id, text, key); all texts are stored where again is None."""
+    shard, rows = Shard(), []
+
+    def full(last: bool) -> pa.RecordBatch:
+        told = [*rows, (ARCHIVE, None, None, None, shard.name, None, None, None, [dict(zip(("digest", "offset", "length", "head"), x, strict=True)) for x in shard.index], shard.close())] if last else rows
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*told, strict=True), LAYOUT, strict=True)], schema=LAYOUT)
+
+    waiting = 0
+    for batch in batches:
+        bits = batch.column("key").to_numpy() % SEEN
+        known = np.zeros(len(bits), bool) if again is None else (again[bits >> 3] >> (bits & 7) & 1).astype(bool)
+        for doc, t, twice in zip(batch.column("doc_id").to_pylist(), batch.column("text"), known.tolist(), strict=True):
+            text = t.as_py() or ""
+            data = text.encode()
+            content = wav(payload_of(data))
+            digest = hashlib.sha256(content).digest()
+            if twice:
+                rows.append((AGAIN, doc, len(data), digest, None, None, None, text, None, None))
+                waiting += len(data)
+            else:
+                rows.append((STORED, doc, len(data), digest, shard.name, *shard.add(digest, content), None, None, None))
+            if shard.at >= SHARD_BYTES or waiting >= SHARD_BYTES:
+                yield full(shard.at > 0)
+                if shard.at:
+                    shard = Shard()
+                rows, waiting = [], 0
+    if rows:
+        yield full(shard.at > 0)
 
-        def full() -> pa.RecordBatch:
-            told = [*rows, (None, None, None, shard.name, None, None, shard.close())]
-            columns = zip(*told, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        for batch in batches:
-            for doc, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                data = (t.as_py() or "").encode()
-                content = wav(payload_of(data))
-                digest = hashlib.sha256(content).digest()
-                rows.append((doc, len(data), digest, shard.name, *shard.add(digest, content), None))
-                if shard.at >= SHARD_BYTES:
-                    yield full()
-                    shard, rows = Shard(), []
-        if rows:
-            yield full()
-
-    slim = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    told = shared_table(slim.mapInArrow(run, PACKED), "media", compression="zstd")
-    rows = told.filter(F.col("tar").isNull()).drop("tar")
-    return rows, told.filter(F.col("tar").isNotNull()).select("shard", "tar")
+def pack(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, shards): doc_id, n_bytes, digest, shard, offset, length, again of each row of docs; shard, index, tar of each archive."""
+    slim = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    slim = slim.withColumn("key", F.xxhash64("text"))
+    seen = slim.sparkSession.sparkContext.broadcast(_seen_again(slim.select("key")))
+    told = shared_table(slim.mapInArrow(lambda batches: _packer(batches, seen.value), PACKED), "media", compression="zstd")
+    # one text of each digest that may occur again
+    once = told.filter(F.col("kind") == AGAIN).groupBy("digest").agg(F.first("text").alias("text"))
+    once = once.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("key"))
+    more = shared_table(once.mapInArrow(lambda batches: _packer(batches, None), PACKED), "media-again", compression="zstd")
+    own = ["doc_id", "n_bytes", "digest", "shard", "offset", "length"]
+    stored = told.filter(F.col("kind") == STORED).select(*own, F.lit(False).alias("again"))
+    places = more.filter(F.col("kind") == STORED).select(F.col("digest").alias("_digest"), "shard", "offset", "length")
+    repeated = dealt(told.filter(F.col("kind") == AGAIN).select("doc_id", "n_bytes", "digest"), places, "_digest")
+    rows = stored.unionByName(repeated.select(*own, F.lit(True).alias("again")))
+    archives = [df.filter(F.col("kind") == ARCHIVE).select("shard", "index", "tar") for df in (told, more)]
+    return rows, archives[0].unionAll(archives[1])
+
+
+def dealt(rows: DataFrame, known: DataFrame, digest: str) -> DataFrame:
+    """rows joined with the one row of known of their digest, over SALTS parts: one digest may be that of most rows."""
+    parts = known.withColumn("_part", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    part = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_salt", part).join(parts, (F.col("digest") == F.col(digest)) & (F.col("_salt") == F.col("_part"))).drop("_salt", "_part", digest)
 
 
 def members(tar: bytes) -> Iterator[tuple[str, int, int]]:
@@ -128,22 +175,25 @@ def _read(shards: DataFrame, schema: str, row: Callable[[memoryview, int, int],
 
 
 def metadata(shards: DataFrame) -> DataFrame:
-    """Metadata columns of every member, from header-only range reads."""
+    """Metadata columns of every member, from the header range alone."""
 
-    def row(tar: memoryview, at: int, n: int) -> tuple:
-        h = wav_header(bytes(tar[at : at + HEADER]))
-        return n, h["channels"], h["rate"], h["bits"], h["samples"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [wav_header(x) for x in batch.column("head").to_pylist()]
+            told = [pa.array([h[n] for h in heads], pa.int64()) for n in ("file_bytes", "channels", "rate", "bits", "samples")]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), *told], ["digest", "media_bytes", "channels", "rate", "bits", "samples"])
 
-    return _read(shards, "digest binary, shard string, offset long, media_bytes long, channels long, rate long, bits long, samples long", row)
+    members_ = shards.select(F.inline("index")).select("digest", "head")
+    return members_.mapInArrow(run, "digest binary, media_bytes long, channels long, rate long, bits long, samples long")
 
 
-def feature(header: dict, samples: np.ndarray) -> str:
-    """Format, duration, and mean, spread and crossings of the middle line, in whole numbers."""
+def feature(samples: np.ndarray) -> str:
+    """Mean, spread and crossings of the middle line, in whole numbers."""
     n, values = len(samples), samples.astype(np.int64)
     total, squares = int(values.sum()), int((values * values).sum())
     above = samples >= 128
     crossings = int((above[1:] != above[:-1]).sum())
-    return f"wav/{header['rate']}/{header['channels']}/{header['bits']};ms={n * 1000 // header['rate']};mean={total * 1000 // n};var={(squares * n - total * total) // (n * n)};zc={crossings}"
+    return f"mean={total * 1000 // n};var={(squares * n - total * total) // (n * n)};zc={crossings}"
 
 
 def contents(shards: DataFrame) -> DataFrame:
@@ -157,35 +207,23 @@ def contents(shards: DataFrame) -> DataFrame:
             len(payload),
             hashlib.sha256(payload).hexdigest(),
             zlib.crc32(payload[-TAIL:]),
-            len(stored),
             hashlib.sha256(stored).hexdigest(),
-            feature(header, np.frombuffer(payload, np.uint8)),
+            feature(np.frombuffer(payload, np.uint8)),
         )
 
-    return _read(shards, "digest binary, shard string, offset long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", row)
-
-
-def first_places(members_: DataFrame) -> DataFrame:
-    """One row a digest: that of its first place."""
-    rest = [c for c in members_.columns if c != "digest"]
-    place = ["shard", "offset", *(c for c in rest if c not in ("shard", "offset"))]
-    return members_.groupBy("digest").agg(F.min(F.struct(*place)).alias("m")).select("digest", "m.*")
-
-
-def with_members(rows: DataFrame, members_: DataFrame) -> DataFrame:
-    """rows joined with what is known of their digests.
-
-    One digest may be that of most rows; known has it once, so adaptive execution splits the rows and repeats the one.
-    """
-    return rows.select("doc_id", "n_bytes", "digest").join(first_places(members_), "digest")
+    return _read(shards, "digest binary, shard string, offset long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string", row)
 
 
-def extract(tar: bytes, offset: int, length: int) -> bytes:
-    """The content at a member's place."""
-    return io.BytesIO(tar[offset : offset + length]).read()
+def with_members(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """rows with the metadata of their media, from headers, and what their stored bytes give."""
+    told = contents(shards.select("shard", "tar")).drop("shard", "offset").join(metadata(shards), "digest").withColumnRenamed("digest", "_digest")
+    slim = rows.select("doc_id", "n_bytes", "digest", "again")
+    alone = slim.filter(~F.col("again")).join(told, F.col("digest") == F.col("_digest")).drop("_digest")
+    return alone.unionByName(dealt(slim.filter("again"), told, "_digest"))
 
 
 def op7_media(spark, sf_dir: str) -> DataFrame:
-    rows, shards = pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    out = with_members(rows, contents(shards))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    out = with_members(*pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    head = F.concat_ws("/", F.lit("wav"), "rate", "channels", "bits")
+    told = F.concat(head, F.lit(";ms="), F.floor(F.col("samples") * 1000 / F.col("rate")).cast("string"), F.lit(";"), "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", told.alias("feature"))
