@@ -2,32 +2,40 @@
 
 Given rules are an inverted index from a host to its rules; a URL looks up its host and every parent domain of it, and the
 longest rule whose path it starts with wins. Where none fits, mined rules decide: FP-growth finds combinations of URL
-tokens (host labels and suffixes, path words, query keys, scheme) that go with bad labels. Rules of enough confidence and
-support are kept, those that a shorter rule of at least that confidence implies are dropped, and the rest are an
-inverted index from a token to rules: a rule matches where all of its tokens are hit.
+tokens (words of the host, its domains, words of the path, query keys, scheme) that go with bad labels. Rules are pruned by support,
+by confidence and by significance against the share of bad URLs (of all tokens tried), and those that a shorter
+rule of at least that confidence implies are dropped. The rest are an inverted index from a token to rules: a rule matches
+where all of its tokens are hit. Tokens that are found in too few bad URLs to be in any rule are left out before mining, and tokens
+of the same URLs count as one; neither loses a rule.
 
-Training takes TRAIN labelled URLs at most, those of least hash. There are MAX_RULES mined rules at most and as many given ones
-as a plan's literal can hold (thousands); URLs are matched row by row, without a shuffle.
+Labels are of two kinds, mined one after the other: those of documents (a page has its document's id), and weak ones, which call a URL
+bad if its host has a word of SEEDS. Training takes TRAIN labelled URLs of each at most, those of least hash; rules aren't
+limited in number or length. They are a literal of the plan, as given ones are, and URLs are matched row by row, without a shuffle.
 
 A null url, or one without ://, has an empty host and path, no tokens and no rule: it is allowed. Repeated rows stay as
-they are, and labels of no page are ignored. Without labels no rule is mined.
+they are and other columns are ignored, whatever their names. Null labels count as good where another label of the document is known, labels of no page
+are ignored, and of contradicting labels the bad one counts. Without labels or pages no rule is mined, and an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import log
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 GIVEN = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Labelled URLs to mine, at most; rules kept, at most; least share of labelled URLs, least confidence and lift of a rule.
-TRAIN, MAX_RULES = 20_000, 256
-SUPPORT, CONFIDENCE, LIFT = 0.01, 0.8, 1.5
-#: A combination must be found in so many labelled URLs, however few there are.
-LEAST = 8
+#: Host words of weak labels.
+SEEDS = ("casino", "bets", "pills", "spam", "adult", "ads")
+#: Labelled URLs to mine, at most; least share of labelled URLs and least confidence of a rule, and the chance of any rule by accident.
+TRAIN, SUPPORT, CONFIDENCE, CHANCE = 20_000, 0.001, 0.8, 0.05
 BAD = "label:bad"
+#: Of tokens of the same URLs the one of the first kind stands for all.
+KINDS = ("word", "domain", "path", "key", "scheme")
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -66,35 +74,61 @@ def tokens(url: Column) -> Column:
     host, path = host_path(url)
     whole = F.coalesce(url, F.lit(""))
     tag = lambda name, values: F.transform(values, lambda x: F.concat(F.lit(f"{name}:"), x))
+    known = lambda values: F.filter(values, lambda x: x != "")
     keys = F.transform(F.split(F.regexp_extract(whole, r"(?s)://[^?#]*\?([^#]*)", 1), "&"), lambda x: F.substring_index(x, "=", 1))
     found = F.concat(
-        tag("host", F.split(host, r"\.")),
-        tag("domain", F.slice(F.reverse(suffixes(host)), 1, 3)),
-        tag("path", F.filter(F.split(F.lower(path), r"[/._-]+"), lambda x: x != "")),
-        tag("key", F.filter(keys, lambda x: x != "")),
+        tag("word", known(F.split(host, r"[.-]"))),
+        tag("domain", F.filter(suffixes(host), lambda x: F.contains(x, F.lit(".")))),
+        tag("path", known(F.split(F.lower(path), r"[/._-]+"))),
+        tag("key", known(keys)),
         tag("scheme", F.array(F.lower(F.substring_index(whole, "://", 1)))),
     )
     return F.when(host != "", F.array_distinct(found)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
+def _least_count(base: float, tried: int, chance: float = CHANCE) -> int:
+    """The fewest bad URLs with which a rule without exceptions is no accident."""
+    n = 1
+    while n * -log(base) < log(tried / chance):
+        n += 1
+    return n
+
+
+def _subsets(items: Column) -> Column:
+    """All proper parts of an array, without the empty one."""
+    grown = F.aggregate(items, F.expr("array(cast(array() as array<string>))"), lambda parts, x: F.concat(parts, F.transform(parts, lambda p: F.concat(p, F.array(x)))))
+    return F.filter(grown, lambda p: (F.size(p) > 0) & (F.size(p) < F.size(items)))
+
+
 def mine(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, train: int = TRAIN) -> list[tuple[list[str], float, float]]:
     """(tokens, confidence, support) of the rules that urls (url, bad) gives, best first."""
     sample = urls.select("url", F.col("bad").cast("boolean").alias("bad")).filter(F.col("bad").isNotNull())
     sample = sample.orderBy(F.xxhash64("url", "bad"), "url", "bad").limit(train)
-    baskets = sample.select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.expr("cast(array() as array<string>)"))).alias("items"))
-    baskets = baskets.filter(F.size("items") > 0)
-    n = baskets.count()
-    if n < LEAST:
+    rows = cut(sample.select(F.monotonically_increasing_id().alias("row"), tokens(F.col("url")).alias("tokens"), "bad").filter(F.size("tokens") > 0))
+    n, bad = rows.agg(F.count("*"), F.count_if("bad")).first()
+    if not bad or bad == n:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=max(support, LEAST / n), minConfidence=confidence).fit(baskets)
-    told = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).filter(F.col("lift") >= LIFT)
-    # a rule that a part of its tokens implies as surely says nothing new; shorter rules come first
-    listed = told.orderBy(F.size("antecedent"), F.desc("confidence"), F.desc("support"), F.array_sort("antecedent").cast("string")).limit(16 * MAX_RULES).collect()
-    kept: list[tuple[list[str], float, float]] = []
-    for r in listed:
-        if not any(c >= r.confidence and set(t) <= set(r.antecedent) for t, c, _ in kept):
-            kept.append((sorted(r.antecedent), r.confidence, r.support))
-    return sorted(kept, key=lambda x: (-x[1], -x[2], x[0]))[:MAX_RULES]
+    base = bad / n
+    # tokens as sets of rows: those of equal sets are one, and those in too few bad rows are in no rule
+    per = rows.select("row", "bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if("bad").alias("bad"), F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("mark"))
+    kind = F.array_position(F.array(*map(F.lit, KINDS)), F.substring_index("token", ":", 1))
+    tried = per.select("n", "mark").distinct().count()
+    least = max(_least_count(base, tried), support * n)
+    told = cut(per.filter(F.col("bad") >= least).groupBy("n", "mark").agg(F.min(F.struct(kind.alias("kind"), "token")).alias("t")).select(F.col("t.token").alias("token")))
+    kept = rows.select("row", "bad", F.explode("tokens").alias("token")).join(told, "token").groupBy("row").agg(F.concat(F.collect_list("token"), F.when(F.max("bad"), F.array(F.lit(BAD))).otherwise(F.expr("cast(array() as array<string>)"))).alias("items"))
+    baskets = cut(rows.select("row", "bad").join(kept, "row", "left").select(F.coalesce("items", F.when(F.col("bad"), F.array(F.lit(BAD)))).alias("items")).filter(F.col("items").isNotNull()))
+    size = baskets.count()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / size), minConfidence=confidence).fit(baskets)
+    p, count = F.col("confidence"), F.round(F.col("support") * size / F.col("confidence"))
+    surprise = count * (p * F.log(p / base) + F.coalesce((1 - p) * F.log(F.when(p < 1, (1 - p) / (1 - base))), F.lit(0.0)))
+    found = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (p > base) & (surprise >= log(tried / CHANCE)))
+    found = cut(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", (F.col("support") * size / n).alias("support")))
+    # a rule that a part of its tokens implies as surely says nothing new
+    parts = found.select("tokens", "confidence", F.explode(_subsets(F.col("tokens"))).alias("part"))
+    shorter = found.select(F.col("tokens").alias("part"), F.col("confidence").alias("other"))
+    implied = parts.join(shorter, "part").filter(F.col("other") >= F.col("confidence")).select("tokens")
+    rules = found.join(implied, "tokens", "left_anti").orderBy(F.desc("confidence"), F.desc("support"), "tokens")
+    return [(list(r.tokens), r.confidence, r.support) for r in rules.collect()]
 
 
 def mined_match(found: Column, rules: Sequence[tuple[list[str], float, float]]) -> Column:
@@ -124,11 +158,24 @@ def url_verdicts(pages: DataFrame, mined: Sequence[tuple[list[str], float, float
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(url, bad): pages whose document is labelled; bad if any of its labels says low quality or toxic."""
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
-    told = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
+    told = labels.filter(F.col("doc_id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
     return pages.select("page_id", "url").join(told, "page_id").select("url", "bad")
 
 
+def weakly_labelled(pages: DataFrame, seeds: Sequence[str] = SEEDS) -> DataFrame:
+    """(url, bad): every page, bad if its host has a word of seeds."""
+    host, _ = host_path(F.col("url"))
+    return pages.select("url", F.arrays_overlap(F.split(host, r"[.-]"), F.array(*map(F.lit, seeds))).alias("bad"))
+
+
+def mined_rules(pages: DataFrame, labels: DataFrame) -> list[tuple[list[str], float, float]]:
+    """The rules of both kinds of labels, once each, best first."""
+    best: dict[tuple[str, ...], tuple[float, float]] = {}
+    for names, c, s in [*mine(labelled_urls(pages, labels)), *mine(weakly_labelled(pages))]:
+        best[tuple(names)] = max((c, s), best.get(tuple(names), (0.0, 0.0)))
+    return sorted(((list(t), *x) for t, x in best.items()), key=lambda r: (-r[1], -r[2], r[0]))
+
+
 def op4_url_rules(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return url_verdicts(pages, mine(labelled_urls(pages, labels)))
+    return url_verdicts(pages, mined_rules(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")))
