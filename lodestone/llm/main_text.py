@@ -10,7 +10,8 @@ Before that, what can't be text is cut out of the tree: scripts, styles, forms,
 elements whose class, id or role names an advert, a notice, a comment list or the like.
 
 Pages are parsed one at a time inside mapInArrow, in time and memory linear in a page. Null and empty pages give an empty text;
-broken markup is closed as browsers do. Rows stay as they are, repeated or not.
+broken markup is closed as browsers do. Rows stay as they are, repeated or not; an empty table gives no rows, and other columns
+aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ NOISE_WORDS = frozenset(
 #: Words that may as well be those of an article: links decide there.
 WEAK_WORDS = frozenset("discussion social related search form share sharing".split())
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]{0,65536}\"|=\s*'[^']{0,65536}'|[=\"'])*+)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*+\"|=\s*'[^']*+'|[=\"'])*+)>",
     re.DOTALL,
 )
 HINT = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
