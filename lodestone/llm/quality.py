@@ -26,8 +26,8 @@ from .common import shared_table, words
 
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
-#: Labelled documents, quantile bins, rules and literals a rule at most; least share of rejected documents among those covered, least number covered.
-TRAIN, BINS, MAX_RULES, MAX_LITERALS = 20_000, 16, 8, 3
+#: Labelled documents at most, quantile bins; least share of rejected documents among those covered, least number covered.
+TRAIN, BINS = 20_000, 16
 PRECISION, COVERED = 0.95, 5
 GROW = 2 / 3
 
@@ -164,21 +164,24 @@ def _worth(c: tuple[int, int]) -> float:
     return (c[0] - c[1]) / sum(c) if sum(c) else -1.0
 
 
-def learn(sample: DataFrame, precision: float = PRECISION, max_rules: int = MAX_RULES) -> list[Rule]:
-    """The decision list for sample (the FEATURES and bad, boolean): its rules reject, what none covers is kept."""
+def learn(sample: DataFrame, precision: float = PRECISION) -> list[Rule]:
+    """The decision list for sample (the FEATURES and bad, boolean): its rules reject, what none covers is kept.
+
+    Precision and coverage end the list, and gain a rule; neither has a length set.
+    """
     slim = sample.select(*FEATURES, F.col("bad").cast("boolean").alias("bad")).filter(F.col("bad").isNotNull())
     split = F.pmod(F.xxhash64(*FEATURES, "bad"), F.lit(1000)) < int(1000 * GROW)
     rows = shared_table(slim.withColumn("grow", split), "quality")
     cuts = thresholds(rows)
     values = {f: F.col(f) for f in FEATURES}
     rules: list[Rule] = []
-    while len(rules) < max_rules:
+    while True:
         literals: list[Literal] = []
         kept: list[tuple[int, int]] = []  # on the pruning rows, after each literal
         whole: list[tuple[int, int]] = []  # on all rows
         covered = rows
         at: tuple[int, int] | None = None
-        while len(literals) < MAX_LITERALS:
+        while True:
             counts = _counts(covered, cuts)
             first = next(iter(FEATURES))
             at = at or (sum(counts[True, True][first]), sum(counts[True, False][first]))
