@@ -304,12 +304,39 @@ def test_media(spark, small, texts):
         assert (got[i].media_bytes, got[i].media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
 
 
+        assert got[i].feature == _feature(payload)
+
+
+def _feature(payload):
+    n, total = len(payload), sum(payload)
+    crossings = sum((a >= 128) != (b >= 128) for a, b in zip(payload, payload[1:], strict=False))
+    return f"wav/8000/1/8;ms={n * 1000 // 8000};mean={total * 1000 // n};var={(sum(x * x for x in payload) * n - total * total) // (n * n)};zc={crossings}"
+
+
 def test_media_odd_rows(odd, empty):
     rows, shards = media.pack(odd)
-    assert media.with_members(rows, media.contents(shards)).count() == len(ODD)
+    assert media.with_members(rows, shards).count() == len(ODD)
     assert media.metadata(shards).filter("samples % 576 <> 0").count() == 0
     rows, shards = media.pack(empty)
-    assert media.with_members(rows, media.contents(shards)).count() == 0
+    assert media.with_members(rows, shards).count() == 0 and shards.count() == 0
+
+
+def test_media_stores_each_digest_once(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 50}") for i in range(400)] + [(900 + i, f"own {i}") for i in range(100)], "doc_id long, text string").repartition(7)
+    rows, shards = media.pack(docs)
+    members = shards.select(F.inline("index")).select("digest")
+    assert members.count() == members.distinct().count() == rows.select("digest").distinct().count() == 150
+    bytes_of = {r.shard: bytes(r.tar) for r in shards.collect()}
+    for r in rows.join(docs, "doc_id").collect():
+        stored = bytes_of[r.shard][r.offset : r.offset + r.length]
+        assert hashlib.sha256(stored).digest() == bytes(r.digest) and stored[44 : 44 + len(r.text)].decode() == r.text
+
+
+def test_media_metadata_reads_headers_alone(odd):
+    _, shards = media.pack(odd)
+    plan = media.metadata(shards)._jdf.queryExecution().executedPlan().toString()
+    schemas = re.findall(r"ReadSchema: (\S+)", plan)
+    assert schemas and all("index" in x and "tar" not in x for x in schemas)
 
 
 def test_main_text(spark, small):
@@ -417,3 +444,127 @@ def test_main_text_keeps_article_text_with_noisy_names():
     assert page(f"<article><p>{words}</p>{deep}<p>after {words}</p></article><div class='ads'>buy</div>") == f"{words} deep after {words}"
     hidden = "<div>" * 600 + "<div class='ads'>buy</div>" + "</div>" * 600
     assert page(f"<article><p>{words}</p>{hidden}<p>after</p></article>") == f"{words} after"
+
+
+def test_attributes_of_any_length():
+    title = "x > y " * 20_000
+    assert main_text.main_text(f'<article><p title="{title}">text</p></article>') == "text"
+
+
+def test_main_text_odd_rows(spark):
+    rows = [(1, "u", None), (1, "u", None), (None, None, "<article>a</article>"), (2, "", "<p>" + "long words " * 50_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("c"))
+    got = sorted(((r.page_id or 0, r.url or "", r.n_chars) for r in main_text.extract(df).collect()))
+    assert got == [(0, "", 1), (1, "u", 0), (1, "u", 0), (2, "", 50_000 * 11 - 1)]
+    assert main_text.extract(df.filter("1 = 0")).count() == 0
+
+
+def _density_by_hand(node, whole):
+    """(C, LC, T, LT) of nested lists ["tag", children...] with texts as strings, and what each container's children sum up to."""
+    def count(n, linked):
+        if isinstance(n, str):
+            size = len("".join(n.split()))
+            return np.array([size, size if linked else 0, 0, 0])
+        inner = sum((count(x, linked or n[0] == "a") for x in n[1:]), np.zeros(4, int))
+        return inner + np.array([0, 0, 1, int(n[0] == "a")])
+
+    def density(n):
+        c, lc, t, lt = count(n, False)
+        t, lt = max(1, t - (0 if isinstance(n, str) else 1)), max(1, lt - (0 if isinstance(n, str) or n[0] != "a" else 1))
+        base = np.log(c / max(1, c - lc) * lc + whole * c + np.e)
+        return max(0.0, c / t * np.log(max(1.0, c / max(1, lc) * t / lt)) / base) if c else 0.0
+
+    return {tuple(map(str, n)): sum(density(x) for x in n[1:] if not isinstance(x, str)) for n in _inner(node)}
+
+
+def _inner(node):
+    yield node
+    for x in node[1:]:
+        if not isinstance(x, str):
+            yield from _inner(x)
+
+
+def test_main_subtree_has_the_greatest_density_sum():
+    words = [" ".join(f"w{k}{i}" for i in range(30 + 10 * k)) for k in range(4)]
+    text = ["div", *(["p", w] for w in words)]
+    links = ["div", *(["p", ["a", f"link {i}"]] for i in range(12))]
+    tree = ["body", links, text]
+    share = sum(len(f"link{i}") for i in range(12))
+    whole = share / (share + sum(len(w.replace(" ", "")) for w in words))
+    sums = _density_by_hand(tree, whole)
+    assert max(sums, key=sums.get) == tuple(map(str, text))
+    render = lambda n: n if isinstance(n, str) else f"<{n[0]}>" + "".join(map(render, n[1:])) + f"</{n[0]}>"
+    assert main_text.main_text("<html>" + render(tree) + "</html>") == " ".join(words)
+
+
+def test_mined_rules_equal_brute_force(spark):
+    from itertools import combinations
+    from math import log
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        host, path = rng.choice(["alpha", "beta-gamma", "delta"]), "/".join(rng.choice(["p", "q", "r", "s"], 2))
+        bad = (host == "beta-gamma" and "p" in path) or (host == "delta" and path == "q/r")
+        rows.append((f"http://{host}.test/{path}", bool(bad) != (rng.random() < 0.03)))
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    told = df.select(url_rules.tokens(F.col("url")).alias("t"), "bad").collect()
+    cover = defaultdict(set)
+    for i, r in enumerate(told):
+        for t in r.t:
+            cover[t].add(i)
+    bad = {i for i, r in enumerate(told) if r.bad}
+    base, tried = len(bad) / len(told), len({frozenset(x) for x in cover.values()})
+    names = {}
+    for t in sorted(cover, key=lambda t: (url_rules.KINDS.index(t.split(":")[0]), t)):
+        names.setdefault(frozenset(cover[t]), t)
+    found = {}
+    for k in range(1, 6):
+        for c in combinations(sorted(names.values()), k):
+            rows_ = set.intersection(*(cover[t] for t in c))
+            n, hits = len(rows_), len(rows_ & bad)
+            p = hits / n if n else 0
+            if p < url_rules.CONFIDENCE or p <= base:
+                continue
+            surprise = n * (p * log(p / base) + ((1 - p) * log((1 - p) / (1 - base)) if p < 1 else 0))
+            if surprise >= log(tried / url_rules.CHANCE):
+                found[frozenset(c)] = p
+    want = {s: p for s, p in found.items() if not any(o < s and q >= p for o, q in found.items())}
+    got = {frozenset(t): c for t, c, _ in url_rules.mine(df)}
+    assert got.keys() == want.keys() and len(got) >= 2
+    assert all(got[s] == pytest.approx(want[s]) for s in got)
+
+
+def test_url_labels_and_empty_tables(spark):
+    pages = spark.createDataFrame([(1, "http://a.test/"), (2, "http://casino-x.test/"), (3, None)], "page_id long, url string").withColumn("verdict", F.lit(1))
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, None), (None, 0, 1), (9, 0, 0)], "doc_id long, quality int, toxic int")
+    assert [(r.url, r.bad) for r in url_rules.labelled_urls(pages, labels).collect()] == [("http://a.test/", True)]
+    assert sorted((r.url or "", r.bad) for r in url_rules.weakly_labelled(pages).collect()) == [("", False), ("http://a.test/", False), ("http://casino-x.test/", True)]
+    none = pages.filter("1 = 0")
+    assert url_rules.mined_rules(none, labels) == [] and url_rules.url_verdicts(none, []).count() == 0
+    assert url_rules.url_verdicts(pages, []).count() == 3
+
+
+def test_mined_url_rules_hold_out(spark, small):
+    large = small.replace("sf0.001", "sf0.1")
+    pages = spark.read.parquet(f"{large}/pages.parquet").select("page_id", "url")
+    rules = url_rules.mine(url_rules.weakly_labelled(pages.filter("page_id % 2 = 0")))
+    held = pages.filter("page_id % 2 = 1")
+    told = url_rules.url_verdicts(held, rules, []).join(held, "page_id").join(url_rules.weakly_labelled(held).distinct(), "url").select("verdict", "bad").collect()
+    blocked = [r.bad for r in told if r.verdict == "block"]
+    assert blocked and sum(blocked) / len(blocked) > 0.98 and sum(blocked) / sum(r.bad for r in told) > 0.9
+
+
+def test_warc_odd_rows(spark):
+    rows = [(1, "u", None), (1, "u", None), (None, None, "x"), (2, "a\r\nb", "x"), (3, "u", "é" * 300_000), (4, "u", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("archive", F.lit("c"))
+    got = sorted((r.record_id, r.record_type, r.payload_bytes, r.refers_to or "") for r in warc.read_archives(warc.write_archives(df)).collect())
+    assert [(i, k, n) for i, k, n, _ in got] == [("<urn:page:1>", "response", 0)] * 2 + [("<urn:page:2>", "response", 1), ("<urn:page:3>", "response", 600_000), ("<urn:page:4>", "revisit", 1), ("<urn:page:none>", "response", 1)]
+    assert {f for *_, f in got} == {"", "<urn:page:2>"}
+    assert warc.read_archives(warc.write_archives(df.filter("1 = 0"))).count() == 0
+
+
+def test_chat_ties(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x")]
+    got = [chat.format_chats(spark.createDataFrame(r, "conv_id long, turn long, role string, text string")).select("formatted", "valid").collect() for r in (rows, rows[::-1])]
+    assert got[0] == got[1] and not got[0][0].valid

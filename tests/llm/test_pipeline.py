@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -91,3 +92,18 @@ def test_mix_repeats_whole_documents(stages):
 def test_tokens(stages):
     assert len(stages[5]) == len(stages[4])
     assert all(r.decodes and r.n_tokens == len(r.ids) for r in stages[5])
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_and_empty_tables(spark, small, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rows = [(1, None, None, None, None), (1, "", "en", "web", 0), (2, "word " * 40_000, "en", None, 200_000), (2, "word " * 40_000, "en", None, 200_000), (None, "a b c d e f", "en", "web", 11), (3, "Ünï 🙂 " * 30, "xx", "web", 180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit("clash"))
+    out = stage(spark, docs, small)
+    told = out.collect()
+    assert list(out.columns)[:5] == corpus_pipeline.COLUMNS and {(r.doc_id, r.source) for r in told} <= {(r[0], r[3]) for r in rows}
+    if name in ("repeated_passages", "tokens"):
+        assert len(told) == len(rows)
+    if name == "near_duplicates":
+        assert sorted((r.doc_id or 0, len(r.text or "")) for r in told) == [(0, 11), (1, 0), (2, 200_000), (3, 180)]
+    assert stage(spark, docs.filter("1 = 0"), small).count() == 0
