@@ -25,6 +25,10 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text_of(text)), F.lit(f"({TERM})"), F.lit(1))
 
 
+def term_count(text: Column) -> Column:
+    return F.regexp_count(text_of(text), F.lit(TERM))
+
+
 def squeeze(text: Column) -> Column:
     """White space runs as one space, trimmed."""
     return F.trim(F.regexp_replace(text_of(text), r"(?U)\s+", " "))

@@ -33,10 +33,15 @@ def version_key(version: Column) -> Column:
     return F.when(version == "latest", latest).when(F.size(numbers) > 0, numbers).otherwise(F.array(F.lit(-1.0)))
 
 
+def canonical(version: Column) -> Column:
+    """A text that equal versions share: latest, the numbers without leading zeros, or the version itself; null for an empty one."""
+    numbers = F.regexp_replace(F.btrim(F.regexp_replace(version, r"[^0-9]+", "."), F.lit(".")), r"(^|\.)0+(?=[0-9])", "$1")
+    return F.when(F.coalesce(version, F.lit("")) == "", None).when(version == "latest", version).when(F.rlike(version, F.lit("[0-9]")), numbers).otherwise(F.concat(F.lit("="), version))
+
+
 def versions_equal(a: Column, b: Column) -> Column:
     """1.25 and v1.25 are equal; empty versions equal nothing."""
-    known = (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "")
-    return known & ((a == b) | ((version_key(a) == version_key(b)) & (version_key(a) != F.array(F.lit(-1.0)))))
+    return F.coalesce(canonical(a) == canonical(b), F.lit(False))
 
 
 def sorted_versions(lineage: Column) -> Column:
@@ -56,32 +61,54 @@ def is_eol(site: Column, version: Column, ended: Mapping[str, Sequence[str]]) ->
     return F.coalesce(out, F.lit(False))
 
 
-def currency_fit(version: Column, site: Column, eol: Column, lineage: Column, many: Sequence[str] = ()) -> Column:
-    """How late a version is in its lineage; the cap for ended versions applies to every case."""
-    known = F.coalesce(lineage, F.array().cast("array<string>"))
-    place = F.array_position(sorted_versions(known), version)
-    share = F.when(place > 0, place / F.size(known)).otherwise(NEUTRAL)
+def currency_at(place: Column, known: Column, version: Column, site: Column, eol: Column, many: Sequence[str] = ()) -> Column:
+    """How late a version stands at its place (0 if it isn't there) among `known` versions; the cap for ended versions applies to every case."""
+    share = F.when(place > 0, place / known).otherwise(NEUTRAL)
     single = F.when(site.isin(*many), SINGLE_CAP).otherwise(1.0) if many else F.lit(1.0)
-    base = F.when((F.coalesce(version, F.lit("")) == "") | (F.size(known) == 0), NEUTRAL).when(F.size(known) == 1, single).otherwise(share)
+    base = F.when((F.coalesce(version, F.lit("")) == "") | (known == 0), NEUTRAL).when(known == 1, single).otherwise(share)
     return F.when(F.coalesce(eol, F.lit(False)), F.least(base, F.lit(EOL_CAP))).otherwise(base)
 
 
-def match_fit(version: Column, lineage: Column, targets: Column) -> Column:
-    """1 for a requested version, ADJACENT next to one in the lineage, NEUTRAL where nothing is known."""
-    known = F.coalesce(lineage, F.array().cast("array<string>"))
-    order = sorted_versions(known)
-    place = F.array_position(order, version)
-    near = F.filter(F.array(F.get(order, place.cast("int") - 2), F.get(order, place.cast("int"))), lambda v: v.isNotNull())
-    wanted = lambda v: F.exists(targets, lambda t: versions_equal(v, t))
+def match_at(place: Column, known: Column, key: Column, keys: Column, wanted: Column) -> Column:
+    """1 for a requested version, ADJACENT next to one in the lineage, NEUTRAL where nothing is known.
+
+    key, keys and wanted are canonical: of the version, of its lineage in order, and of the requested versions.
+    """
+    at = place.cast("int")
+    near = F.array_compact(F.array(F.get(keys, at - 2), F.get(keys, at)))
     return (
-        F.when(F.coalesce(version, F.lit("")) == "", NEUTRAL)
-        .when(wanted(version), 1.0)
-        .when(F.size(known) == 0, NEUTRAL)
-        .when((place > 0) & F.exists(near, wanted), ADJACENT)
+        F.when(key.isNull(), NEUTRAL)
+        .when(F.array_contains(wanted, key), 1.0)
+        .when(known == 0, NEUTRAL)
+        .when((place > 0) & F.coalesce(F.arrays_overlap(near, wanted), F.lit(False)), ADJACENT)
         .otherwise(0.0)
     )
 
 
+def _ordered(lineage: Column) -> Column:
+    return sorted_versions(F.coalesce(lineage, F.array().cast("array<string>")))
+
+
+def currency_fit(version: Column, site: Column, eol: Column, lineage: Column, many: Sequence[str] = ()) -> Column:
+    """currency_at for a lineage in any order; evidence.annotated has the lineage sorted once a document."""
+    order = _ordered(lineage)
+    return currency_at(F.array_position(order, version), F.size(order), version, site, eol, many)
+
+
+def match_fit(version: Column, lineage: Column, targets: Column) -> Column:
+    order = _ordered(lineage)
+    return match_at(F.array_position(order, version), F.size(order), canonical(version), F.transform(order, canonical), F.transform(targets, canonical))
+
+
 def version_fit(version: Column, site: Column, eol: Column, lineage: Column, targets: Column, many: Sequence[str] = ()) -> Column:
     """match_fit where versions are requested, else currency_fit."""
     return F.when(F.size(targets) > 0, match_fit(version, lineage, targets)).otherwise(currency_fit(version, site, eol, lineage, many))
+
+
+# Fixed pattern: a version in free text; neighbours are checked, as letters of any script count as parts of a word.
+TOKENS = r"(?<![A-Za-z0-9.])(v?\d+(?:\.\d+){1,3})(?![A-Za-z0-9.])"
+
+
+def versions_in(text: Column) -> Column:
+    """The distinct versions that a text names, in order."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKENS), F.lit(1)))

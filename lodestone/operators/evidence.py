@@ -22,37 +22,50 @@ def group_key() -> Column:
     return F.when(key != "", key).otherwise(F.concat(F.lit("page:"), F.col("page_id").cast("string")))
 
 
-def lineages(docs: DataFrame, limit: int = 32) -> DataFrame:
-    """(doc_key, lineage): the known versions of each document, `limit` at most in order of version."""
+def lineages(docs: DataFrame) -> DataFrame:
+    """(doc_key, lineage, lineage_keys): the known versions of each document in order of version, and their canonical texts.
+
+    Sorted here once a document; a lineage is the versions of one document, not a group that grows with the corpus.
+    """
     known = docs.filter((F.coalesce("doc_key", F.lit("")) != "") & (F.coalesce("version", F.lit("")) != "")).select("doc_key", "version").distinct()
-    return known.groupBy("doc_key").agg(F.slice(version.sorted_versions(F.collect_list("version")), 1, limit).alias("lineage"))
+    sorted_ = known.select("doc_key", F.struct(version.version_key(F.col("version")).alias("order"), "version", version.canonical(F.col("version")).alias("key")).alias("v"))
+    sorted_ = sorted_.groupBy("doc_key").agg(F.sort_array(F.collect_list("v")).alias("v"))
+    return sorted_.select("doc_key", F.col("v.version").alias("lineage"), F.col("v.key").alias("lineage_keys"))
 
 
 def with_lineage(docs: DataFrame, known: DataFrame) -> DataFrame:
     out = docs.join(known.withColumnRenamed("doc_key", "_key"), F.col("doc_key") == F.col("_key"), "left").drop("_key")
-    return out.withColumn("lineage", F.coalesce("lineage", F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    return out.withColumn("lineage", F.coalesce("lineage", none)).withColumn("lineage_keys", F.coalesce("lineage_keys", none))
 
 
 def annotated(docs: DataFrame, many: Sequence[str] = (), tiers: Mapping[str, float] | None = None) -> DataFrame:
-    """docs with group_key, raw_currency, fit, authority and evidence."""
-    v, site, eol, lineage, targets = (F.col(c) for c in ("version", "site", "is_eol", "lineage", "targets"))
-    out = docs.withColumn("group_key", group_key()).withColumn("raw_currency", version.currency_fit(v, site, eol, lineage, many))
-    out = out.withColumn("fit", F.when(F.size(targets) > 0, version.match_fit(v, lineage, targets)).otherwise(F.col("raw_currency")))
+    """docs (with_lineage) with group_key, version_key, target_keys, raw_currency, fit, authority and evidence.
+
+    Versions are compared by their canonical texts, made once a row; lineages come sorted.
+    """
+    v, site, eol = (F.col(c) for c in ("version", "site", "is_eol"))
+    out = docs.withColumn("group_key", group_key()).withColumn("version_key", version.canonical(v))
+    out = out.withColumn("target_keys", F.transform("targets", version.canonical)).withColumn("_place", F.array_position("lineage", v))
+    place, known = F.col("_place"), F.size("lineage")
+    out = out.withColumn("raw_currency", version.currency_at(place, known, v, site, eol, many))
+    match = version.match_at(place, known, F.col("version_key"), F.col("lineage_keys"), F.col("target_keys"))
+    out = out.withColumn("fit", F.when(F.size("targets") > 0, match).otherwise(F.col("raw_currency"))).drop("_place")
     out = out.withColumn("authority", scoring.tier_of(site, tiers or {}))
     return out.withColumn("evidence", scoring.evidence(F.col("fit"), F.col("authority")))
 
 
 def collapsed(docs: DataFrame) -> DataFrame:
-    """docs with survives: one document a group stays; where versions are compared, one a requested version."""
+    """docs (annotated) with survives: one document a group stays; where versions are compared, one a requested version."""
     tie = (F.desc("fit"), F.desc(F.when(F.size("targets") > 0, F.col("raw_currency")).otherwise(0.0)), F.desc("recency"), F.asc("chunk_id"), F.desc("raw"))
-    same = F.struct(version.version_key(F.col("version")).alias("k"), F.when(version.version_key(F.col("version")) == F.array(F.lit(-1.0)), F.col("version")).alias("v"))
     group = Window.partitionBy("qid", "group_key")
-    wanted = F.when(F.size("targets") >= 2, F.size(F.filter("targets", lambda t: version.versions_equal(F.col("version"), t)))).otherwise(0)
-    out = docs.withColumn("_wanted", wanted).withColumn("_same", same)
-    out = out.withColumn("_best", F.row_number().over(group.orderBy(*tie))).withColumn("_of_version", F.row_number().over(Window.partitionBy("qid", "group_key", "_same").orderBy(*tie)))
+    wanted = F.when(F.size("targets") >= 2, F.size(F.filter("target_keys", lambda t: t == F.col("version_key")))).otherwise(0)
+    out = docs.withColumn("_wanted", wanted)
+    # one shuffle: rows of a version lie within their group
+    out = out.withColumn("_best", F.row_number().over(group.orderBy(*tie))).withColumn("_of_version", F.row_number().over(Window.partitionBy("qid", "group_key", "version_key").orderBy(*tie)))
     out = out.withColumn("_any", F.max("_wanted").over(group))
     survives = F.when(F.col("_any") > 0, F.col("_of_version") <= F.col("_wanted")).otherwise(F.col("_best") == 1)
-    return out.withColumn("survives", survives).drop("_wanted", "_same", "_best", "_of_version", "_any")
+    return out.withColumn("survives", survives).drop("_wanted", "_best", "_of_version", "_any")
 
 
 def removed_versions(docs: DataFrame) -> DataFrame:
@@ -67,7 +80,7 @@ def scored(queries: DataFrame, survivors: DataFrame, fallback: bool = False, fal
     fallback: without a reranker, documents count as good by their share of the best search score.
     """
     compare = F.size("targets") >= 2
-    s = survivors.withColumn("_wanted", F.exists("targets", lambda t: version.versions_equal(F.col("version"), t)))
+    s = survivors.withColumn("_wanted", F.coalesce(F.array_contains("target_keys", F.col("version_key")), F.lit(False)))
     if fallback:
         s = s.withColumn("_good", F.col("score") >= fallback_ratio * F.max("score").over(Window.partitionBy("qid")))
     else:
@@ -77,7 +90,7 @@ def scored(queries: DataFrame, survivors: DataFrame, fallback: bool = False, fal
     per = s.groupBy("qid").agg(
         F.count("*").alias("documents"),
         F.count_distinct(F.when(F.col("_good"), F.col("group_key"))).alias("good_topics"),
-        F.collect_set("version").alias("_versions"),
+        F.collect_set("version_key").alias("_versions"),
         F.slice(F.sort_array(F.collect_list("raw"), asc=False), 1, 2).alias("_tops"),
         scoring.ratio(F.count_distinct(hashed), F.count(hashed), None).alias("_hashes"),
         scoring.ratio(F.count_distinct(F.when(counted, F.col("group_key"))), F.count_distinct(F.when(counted, F.struct("group_key", "version"))), None).alias("_topics"),
@@ -89,7 +102,7 @@ def scored(queries: DataFrame, survivors: DataFrame, fallback: bool = False, fal
         F.bool_and("is_eol").alias("deprecated"),
     )
     out = queries.select("qid", "targets").join(per, "qid", "left")
-    found = F.filter("targets", lambda t: F.exists(F.coalesce("_versions", F.array().cast("array<string>")), lambda v: version.versions_equal(v, t)))
+    found = F.filter("targets", lambda t: F.array_contains(F.coalesce("_versions", F.array().cast("array<string>")), version.canonical(t)))
     top, second = F.get("_tops", F.lit(0)), F.get("_tops", F.lit(1))
     waiver = F.lit(False) if fallback else F.coalesce(~compare & (top >= scoring.STRONG) & (second.isNull() | (F.round(top - second, 9) >= scoring.GAP)), F.lit(False))
     topics = F.least(F.lit(1.0), F.coalesce("good_topics", F.lit(0)) / scoring.TOPICS)
@@ -119,11 +132,13 @@ def next_step(states: DataFrame, survivors: DataFrame) -> DataFrame:
     versions and newer ones are known (the version that helps most documents, then the greatest by text). expand_topics: too few
     topics. proceed otherwise.
     """
-    indexed = survivors.select("qid", F.explode("lineage").alias("v"), F.col("chunk_id").alias("c")).distinct()
-    wanted = states.select("qid", F.posexplode("missing").alias("place", "m"))
-    hit = wanted.join(indexed, "qid").filter(version.versions_equal(F.col("v"), F.col("m"))).groupBy("qid").agg(F.min_by("v", F.struct("place", "c", "v")).alias("indexed"))
-    newer = survivors.filter(F.coalesce("doc_key", F.lit("")) != "").withColumn("latest", version.latest_of(F.col("lineage")))
-    newer = newer.filter((F.col("latest") != "") & ~version.versions_equal(F.col("latest"), F.col("version")))
+    indexed = survivors.select("qid", F.explode(F.arrays_zip("lineage", "lineage_keys")).alias("x"), F.col("chunk_id").alias("c")).select("qid", F.col("x.lineage").alias("v"), F.col("x.lineage_keys").alias("k"), "c")
+    indexed = indexed.groupBy("qid", "k").agg(F.min(F.struct("c", "v")).alias("first"))
+    wanted = states.select("qid", F.posexplode("missing").alias("place", "m")).withColumn("k", version.canonical(F.col("m")))
+    hit = wanted.join(indexed, ["qid", "k"]).groupBy("qid").agg(F.min_by("first.v", F.struct("place", "first.c", "first.v")).alias("indexed"))
+    last = F.coalesce(F.try_element_at("lineage", F.lit(-1)), F.lit(""))
+    newer = survivors.filter(F.coalesce("doc_key", F.lit("")) != "").withColumn("latest", last)
+    newer = newer.filter((F.col("latest") != "") & ~F.coalesce(F.try_element_at("lineage_keys", F.lit(-1)) == F.col("version_key"), F.lit(False)))
     newer = newer.groupBy("qid", "latest").agg(F.count_distinct("doc_key").alias("n")).groupBy("qid").agg(F.max_by("latest", F.struct("n", "latest")).alias("newer"))
     out = states.join(hit, "qid", "left").join(newer, "qid", "left")
     ended = (F.size("targets") == 0) & F.col("deprecated") & (F.col("documents") > 0)

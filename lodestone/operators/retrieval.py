@@ -5,7 +5,8 @@ All queries of a batch are rows of one DataFrame keyed by qid. Ranks order by sc
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.text import terms
+from lodestone.functions.text import term_count, terms
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Vectors and queries that meet in one task.
@@ -41,10 +42,15 @@ def _block_scores(k: int, other: bool, within: str | None):
         if within:
             label = lambda t: t.column(within).to_numpy()
             scores[label(queries)[:, None] != label(vectors)[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, : min(k, len(ids))]
-        best = np.take_along_axis(scores, order, axis=1)
-        keep = best.ravel() > -np.inf
-        return pa.table({"qid": np.repeat(qids, order.shape[1])[keep], "id": ids[order].ravel()[keep], "score": best.ravel()[keep]})
+        # all that reach the k-th score, ties with it too; of them k stay by id
+        n = min(k, len(ids))
+        least = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
+        row, column = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        found, named = scores[row, column], ids[column]
+        order = np.lexsort((named, -found, row))
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        order = order[place < n]
+        return pa.table({"qid": qids[row[order]], "id": named[order], "score": found[order]})
 
     return run
 
@@ -69,20 +75,32 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, other: bool
     return top_k(met.applyInArrow(_block_scores(k, other, within), "qid long, id long, score double"), k)
 
 
+#: Documents that have a common query term are scored over this many parts of it.
+TERM_PARTS = 8
+
+
 def bm25_scores(queries: DataFrame, docs: DataFrame, text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, id, score): BM25 of docs (id, text) for queries (qid, text), for pairs that share a term."""
-    wanted = queries.select("qid", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    split = docs.select("id", terms(F.col(text)).alias("terms"))
-    sizes = split.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean"))
-    listed = split.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    # only postings of query terms are counted; those of one document stay in one task until then
-    postings = listed.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-    known = postings.groupBy("term").agg(F.count("*").alias("df"))
-    # one row of corpus sizes goes to every term
-    idf = known.withColumn("one", F.lit(1)).join(F.broadcast(sizes.withColumn("one", F.lit(1))), "one")
-    idf = idf.select("term", "mean", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    """(qid, id, score): BM25 of docs (id, text) for queries (qid, text), for pairs that share a term.
+
+    Where both have a column tenant, queries meet documents of their tenant alone, and sizes and frequencies are those of it.
+    """
+    own = ["tenant"] if "tenant" in docs.columns and "tenant" in queries.columns else []
+    wanted = queries.select("qid", *own, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    sizes = docs.groupBy(*own).agg(F.count("*").alias("n"), F.avg(term_count(F.col(text))).alias("mean"))
+    # terms are cut out of a text once; only those of queries go on
+    listed = docs.select("id", *own, terms(F.col(text)).alias("terms")).select("id", *own, F.posexplode("terms").alias("place", "term"), F.size("terms").alias("length"))
+    postings = listed.join(wanted.select(*own, "term").distinct(), [*own, "term"], "left_semi").groupBy(*own, "term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    known = postings.groupBy(*own, "term").agg(F.count("*").alias("df"))
+    if own:
+        idf = known.join(sizes, own)
+    else:
+        idf = known.withColumn("one", F.lit(1)).join(F.broadcast(sizes.withColumn("one", F.lit(1))), "one")  # one row of sizes
+    idf = idf.select(*own, "term", "mean", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return wanted.join(idf, "term").join(postings, "term").groupBy("qid", "id").agg(F.round(F.sum(part), PLACES).alias("score"))
+    # a term of many documents is dealt over parts; queries go to all of them
+    asked = wanted.join(idf, [*own, "term"]).withColumn("part", F.explode(F.array(*map(F.lit, range(TERM_PARTS)))))
+    held = postings.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(TERM_PARTS)).cast("int"))
+    return asked.join(held, [*own, "term", "part"]).groupBy("qid", "id").agg(F.round(F.sum(part), PLACES).alias("score"))
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 20, text: str = "text") -> DataFrame:
@@ -167,13 +185,49 @@ def domain_mode(queries: DataFrame, vectors: DataFrame, mode: str, k: int, domai
     return top_k(merge_hits(inside, extra), k)
 
 
-LETTERS = 32
+LETTERS, EMBEDDED = 32, 100
+FIRST = re.compile(r"\b\w")
+
+
+def letter_counts(texts: list[str], size: int = LETTERS) -> np.ndarray:
+    """The default embedder, without a model: terms counted by their first letter, normed to length 1."""
+    counts = np.stack([np.bincount(np.array([ord(c) % size for c in FIRST.findall(t)], np.int64), minlength=size) for t in texts]).astype(float)
+    return counts / np.maximum(np.sqrt((counts * counts).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def embed(rows: DataFrame, id: str, text: str = "text", model: Callable[[list[str]], np.ndarray] = letter_counts) -> DataFrame:
+    """(id, vector) of each row: model turns EMBEDDED lower-cased texts at a time into a matrix; null texts are empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, EMBEDDED):
+                part = batch.slice(at, EMBEDDED)
+                made = np.asarray(model(part.column(1).to_pylist()), float)
+                ends = pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(made.ravel()))], ["id", "vector"])
+
+    slim = rows.select(F.col(id).alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, vector array<double>")
+
+
+def rerank(hits: DataFrame, model: Column | None = None, ready: Column | None = None) -> DataFrame:
+    """hits (qid, id, score) with raw, ranking and rank: by the reranker's score, or in search order where it isn't ready.
+
+    model is the score of a pair, ready whether the reranker answered for the query; after a fallback both scores are zero.
+    """
+    ok = F.lit(model is not None) if ready is None else ready
+    raw = F.when(ok, F.coalesce(model if model is not None else F.lit(0.0), F.lit(0.0))).otherwise(0.0)
+    out = hits.withColumn("fallback", ~ok).withColumn("raw", raw).withColumn("ranking", F.col("raw"))
+    order = Window.partitionBy("qid").orderBy(F.desc("ranking"), F.desc("score"), "id")
+    return out.withColumn("rank", F.row_number().over(order))
+
+
+def pool_size(top_k: int, final: int, least: int = 50) -> tuple[int, int]:
+    """How many hits a search asks for, and how many of each source fusion takes."""
+    wide = max(top_k, final)
+    return wide, max(least, wide)
 
 
-def letter_vectors(rows: DataFrame, id: str, text: str = "text", size: int = LETTERS) -> DataFrame:
-    """(id, vector): a default embedder without a model. Terms are counted by their first letter, and the counts normed to length 1."""
-    letters = F.transform(terms(F.col(text)), lambda t: F.pmod(F.ascii(F.substring(t, 1, 1)), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(F.col("_letters"), lambda x: x == i)).cast("double"))
-    rows = rows.select(F.col(id).alias("id"), letters.alias("_letters")).select("id", counts.alias("_counts"))
-    norm = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda a, x: a + x * x))
-    return rows.select("id", F.transform("_counts", lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0))).alias("vector"))
+def expanded(k: int) -> int:
+    """The k of a search that is made wider."""
+    return 2 * k

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions import scoring, version
-from lodestone.operators import metrics, retrieval
+from lodestone.functions import scoring
+from lodestone.operators import evidence, metrics, retrieval
 
 from .inputs import RETRIEVED, retrieved, table
 
@@ -72,7 +72,7 @@ def best_fields(spark, sf_dir: str) -> DataFrame:
 
 def _both(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     q, d = _texts(spark, sf_dir)
-    near = retrieval.dense_topk(retrieval.letter_vectors(q, "qid").withColumnRenamed("id", "qid"), retrieval.letter_vectors(d, "id"), K)
+    near = retrieval.dense_topk(retrieval.embed(q, "qid").withColumnRenamed("id", "qid"), retrieval.embed(d, "id"), K)
     return near, retrieval.bm25_topk(q, d, K)
 
 
@@ -105,10 +105,13 @@ def _mode(mode: str):
     return query
 
 
-HITS = SCORES + """,
-pool AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 100),
-low AS (SELECT qid, coalesce(max(score) FILTER (WHERE matches) < 0.45, true) AS low FROM pool GROUP BY qid)
-SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM pool JOIN low USING (qid) WHERE {} QUALIFY rank <= 10"""
+#: Modes in SQL: the best of the domain, and of all where the domain's best is low.
+INSIDE = SCORES + """,
+inside AS (SELECT * FROM hits WHERE matches QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 10),
+low AS (SELECT qid FROM q LEFT JOIN inside USING (qid) GROUP BY qid HAVING coalesce(max(score) < 0.45, true)),
+every AS (SELECT * FROM hits WHERE qid IN (SELECT qid FROM low) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 10),
+pool AS ({})
+SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM pool QUALIFY rank <= 10"""
 
 
 def ladder_filter(spark, sf_dir: str) -> DataFrame:
@@ -121,10 +124,9 @@ def ladder_filter(spark, sf_dir: str) -> DataFrame:
 
 
 def _boosts(spark, sf_dir: str) -> DataFrame:
-    rows = retrieved(spark, sf_dir)
-    fit = version.version_fit(F.col("version"), F.col("site"), F.col("is_eol"), F.col("lineage"), F.col("targets"), ("apache", "kubernetes"))
+    rows = evidence.annotated(retrieved(spark, sf_dir), ("apache", "kubernetes"))
     wanted = F.when(F.col("qid") % 2 == 0, F.array(F.lit("apache"), F.lit("prometheus"))).otherwise(F.array(F.lit("kubernetes")))
-    return rows.select("qid", "chunk_id", "raw", "recency", scoring.domain_boost(F.col("site"), wanted).alias("domain"), fit.alias("fit"))
+    return rows.select("qid", "chunk_id", "raw", "recency", scoring.domain_boost(F.col("site"), wanted).alias("domain"), "fit")
 
 
 def ranking_boosts(spark, sf_dir: str) -> DataFrame:
@@ -211,18 +213,16 @@ SQL = {
     "hybrid_search": f"WITH {BM25}{LETTERS} SELECT qid, id, score, rank FROM hybrid",
     "rrf_fusion": f"WITH {BM25}{LETTERS} SELECT h.qid, h.id, d.score AS dense, b.score AS bm25 FROM hybrid h LEFT JOIN dense d USING (qid, id) LEFT JOIN bm25 b USING (qid, id)",
     "hit_merge_max": f"WITH {DENSE} SELECT qid, id, max(CASE WHEN matches THEN round(score + 0.01, 6) ELSE score END) AS score FROM dense GROUP BY qid, id",
-    "domain_mode_hard": "WITH " + HITS.format("matches"),
-    "domain_mode_soft": "WITH " + HITS.format("true"),
-    "domain_mode_hybrid": "WITH " + HITS.format("matches OR low"),
+    "domain_mode_hard": "WITH " + INSIDE.format("SELECT qid, id, score FROM inside"),
+    "domain_mode_soft": "WITH " + INSIDE.format("SELECT qid, id, score FROM hits"),
+    "domain_mode_hybrid": "WITH " + INSIDE.format("SELECT qid, id, score FROM inside UNION SELECT qid, id, score FROM every"),
     "ladder_filter": f"""WITH {RETRIEVED} SELECT qid, chunk_id FROM docs WHERE (qid % 5 <> 0 OR site = 'apache')
       AND (qid % 3 <> 0 OR doc_key IN ('apache:doc0', 'kubernetes:doc1')) AND NOT (qid % 3 = 1 AND doc_key = 'apache:doc1')""",
     "ranking_boosts": f"""{_BOOSTS}, total AS (SELECT qid, chunk_id, round(raw + 0.1 * recency + domain + 0.1 * fit + 0.05, 6) AS score FROM boosts)
       SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM total QUALIFY rank <= 8""",
     "domain_boost": f"{_BOOSTS} SELECT domain, count(*) AS n, round(sum(raw), 6) AS raw FROM boosts GROUP BY domain",
     "recency_boost": "SELECT event_id AS id, round(pow(0.5, greatest(floor((epoch(TIMESTAMP '2024-01-20 12:00:00')::BIGINT - floor(epoch(ts))::BIGINT) / 86400.0), 0) / 7.0), 9) AS factor FROM events",
-    "similar_labels": "WITH "
-    + SCORES
-    + ", pool AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 100) SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM pool WHERE matches AND score >= 0.3 QUALIFY rank <= 10",
+    "similar_labels": f"WITH {SCORES} SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM hits WHERE matches AND score >= 0.3 QUALIFY rank <= 10",
     "retrieval_metrics": "WITH " + JUDGED.format(k=10) + " SELECT count(*) AS n, round(avg(hit), 6) AS hit, round(avg(rr), 6) AS rr, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg FROM each",
     "retrieval_per_query": "WITH " + JUDGED.format(k=5) + " SELECT qid, round(hit, 6) AS hit, round(rr, 6) AS rr, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg FROM each",
 }
