@@ -45,6 +45,8 @@ SHINGLE, SEED, RADIUS, BLOCK = 3, 42, 3, 4096
 WIDE_SHINGLE, SIMILARITY, KEYS, MATCHES = 5, 0.8, 16, 36
 #: Bytes of the sets of a block; members of a large family that all of its blocks get.
 BLOCK_BYTES, SHARED = 4 << 20, 8
+#: Parts over which the rows of one text are dealt.
+SALTS = 16
 #: Pairs of short lists are compared at once, PAIRS at a time; longer lists row by row.
 SHORT, PAIRS = 64, 1 << 19
 #: Posting lists or families above BLOCK that are broadcast; of more, both sides are shuffled.
@@ -389,7 +391,10 @@ def _nodes(docs: DataFrame, id: str, text: str, shingle: int, similarity: float,
     keys = [tuple(range(4 * k, 4 * k + 4)) for k in range(KEYS)]
     families = components(links(own.select("node", *PARTS), keys, 64 * len(PARTS), MATCHES)).select(F.col("node").alias("_node"), F.col("component").alias("family"))
     members = own.join(families, F.col("node") == F.col("_node")).select("family", "node", "mark", *PARTS)
-    texts = marked.join(members.select(F.col("mark").alias("_wanted")), F.col("_mark") == F.col("_wanted"), "left_semi").groupBy("_mark").agg(F.first("_text").alias("_text"))
+    # one text may be that of most rows: its rows are dealt over parts, each of which hands on one
+    wanted = members.select(F.col("mark").alias("_wanted"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_part"))
+    salt = F.pmod(F.xxhash64("doc_id", *keep), F.lit(SALTS)).cast("int")
+    texts = marked.join(wanted, (F.col("_mark") == F.col("_wanted")) & (salt == F.col("_part")), "left_semi").groupBy("_mark").agg(F.first("_text").alias("_text"))
     held = shared_table(_whole_sets(members.join(texts, F.col("mark") == F.col("_mark")).drop("mark", "_mark"), "_text", shingle), "families")
     joined = components(_similar_links(held, similarity)).withColumnRenamed("node", "_node")
     named = own.join(joined, F.col("node") == F.col("_node"), "left").select("digest", "best", F.coalesce("component", "node").alias("component"))
