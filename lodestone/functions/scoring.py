@@ -33,7 +33,7 @@ def recency(modified: Column, as_of: Column, half_life: int = HALF_LIFE) -> Colu
 
 def domain_boost(domain: Column, wanted: Column) -> Column:
     """PRIMARY for the first wanted domain, SECONDARY for the others."""
-    rest = F.when(F.size(wanted) > 1, F.array_contains(F.slice(wanted, 2, 100), domain)).otherwise(False)
+    rest = F.when(F.size(wanted) > 1, F.array_contains(F.slice(wanted, F.lit(2), F.size(wanted)), domain)).otherwise(False)
     return F.coalesce(F.when(F.get(wanted, F.lit(0)) == domain, PRIMARY).when(rest, SECONDARY), F.lit(0.0))
 
 
@@ -105,6 +105,29 @@ def duration_text(ms: Column) -> Column:
     return F.when(ms >= 1000, F.format_string("%.1fs", ms / 1e3)).otherwise(F.format_string("%dms", ms.cast("long")))
 
 
+def usd_text(value: Column) -> Column:
+    return F.concat(F.lit("$"), F.format_number(value, 2))
+
+
+def token_label(n: Column) -> Column:
+    return F.concat(F.format_number(n.cast("long"), 0), F.lit(" 토큰"))
+
+
+def duration_label(ms: Column) -> Column:
+    whole = F.concat(F.bround(ms, 0).cast("long").cast("string"), F.lit("ms"))
+    return F.when(ms <= 0, "0ms").when(ms < 1000, whole).otherwise(F.concat(F.format_string("%.1f", ms / 1000), F.lit("초")))
+
+
+def percent_label(value: Column) -> Column:
+    near = F.abs(value - F.bround(value, 0)) < 0.05
+    return F.when(near, F.concat(F.bround(value, 0).cast("long").cast("string"), F.lit("%"))).otherwise(F.concat(F.format_string("%.1f", value), F.lit("%")))
+
+
+def bar_width(value: Column) -> Column:
+    """The width of a bar in per cent, between 6 and 100."""
+    return F.bround(F.greatest(F.lit(6.0), F.least(F.lit(100.0), value)), 0)
+
+
 def axis_top(value: Column) -> Column:
     """The top of a chart's axis: rounded up to 10, 1 or 0.01 by magnitude."""
     return F.when(value >= 10, F.ceil(value / 10) * 10.0).when(value >= 1, F.ceil(value) * 1.0).otherwise(F.ceil(value * 100) / 100.0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: \w and \s of Java are ASCII; these classes cover all letters, digits and blanks.
 TERM = r"[\p{L}\p{N}_]+"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\s]"
+# Fixed pattern: what an upload adds to a title.
 UPLOAD_SUFFIX = r"(?U)\s*\[[0-9a-f]{6}-[0-9a-f]{6}\]\s*$"
 
 
@@ -76,12 +77,6 @@ def page_of_chunk(chunk_id: Column) -> Column:
     return F.regexp_replace(chunk_id, r"_\d+$", "")
 
 
-def window_around(text: Column, part: Column, length: int) -> Column:
-    """length characters of text around the first place of part; its beginning if part isn't found."""
-    begin = F.greatest(F.lit(1), F.position(part, text) - F.lit(length // 2))
-    return F.substr(text, begin, F.lit(length))
-
-
 # Fixed patterns of what is masked, in the order in which they apply.
 MASKS = (
     (r"(?imd)^(\s*authorization\s*:\s*(?:bearer|basic)\s+)([^\s`]+)", "$1[MASKED_TOKEN]"),
@@ -94,9 +89,13 @@ MASKS = (
 )
 
 
+# Fixed pattern: the beginning of a fence line.
+FENCE = r"(?m)^[ \t]{0,3}```"
+
+
 def balance_fences(text: Column) -> Column:
     """A closing code fence where the number of fence lines is odd."""
-    odd = F.regexp_count(text, F.lit(r"(?m)^[ \t]{0,3}```")) % 2 == 1
+    odd = F.regexp_count(text, F.lit(FENCE)) % 2 == 1
     return F.when(odd, F.concat(F.regexp_replace(text, r"(?U)\s+\z", ""), F.lit("\n```\n"))).otherwise(text)
 
 
@@ -167,3 +166,44 @@ def embedding_text(title: Column, headings: Column, content: Column, domain: Col
         part("키워드", F.array_join(words, ", ")),
     )
     return F.concat(lines, F.lit("\n\n"), text_of(content))
+
+
+# Fixed patterns: fields of control documents, as keywords.
+CONTROL_FIELDS = (r"(?i)(?:담당자|owner|assignee)\s*[:：]\s*([^\n|]{1,40})", r"(?i)(?:기한|due date|마감)\s*[:：]\s*([^\n|]{1,40})")
+
+
+def control_keywords(text: Column, headings: Column, limit: int = 12) -> Column:
+    """keywords() with owners and dates of control documents."""
+    found = [F.regexp_extract_all(text_of(text), F.lit(p), F.lit(1)) for p in CONTROL_FIELDS]
+    last = F.when(F.size(headings) > 2, F.slice(headings, -2, 2)).otherwise(headings)
+    return unique_words(F.concat(keywords(text, headings), *found, last), limit)
+
+
+def safe_filename(name: Column) -> Column:
+    """The last part of a path with letters of two scripts, digits, dots, hyphens and underlines alone."""
+    last = F.substring_index(F.regexp_replace(text_of(name), r"[/\\]+", "/"), "/", -1)
+    plain = F.btrim(F.regexp_replace(F.substring(last, 1, 512), "[^0-9A-Za-z가-힣._-]+", "_"), F.lit("._"))
+    return F.when(plain == "", "audio").otherwise(F.substring(plain, 1, 255))
+
+
+def content_type(value: Column) -> Column:
+    return F.lower(F.trim(F.substring_index(text_of(value), ";", 1)))
+
+
+# Fixed names: how sources are shown.
+SOURCE_NAMES = {"apache": "Apache", "datadog": "Datadog", "prometheus": "Prometheus", "kubernetes": "Kubernetes", "confluence": "Confluence", "github": "GitHub"}
+
+
+def source_name(source: Column, other: str = "기타") -> Column:
+    """The shown name of a source; unknown ones begin with a capital letter."""
+    plain = F.when(text_of(source) == "", other).otherwise(source)
+    lower = F.lower(plain)
+    out = F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(lower, 2, 1 << 20))
+    for name, shown in SOURCE_NAMES.items():
+        out = F.when(lower == name, shown).otherwise(out)
+    return out
+
+
+def page_of_any_chunk(chunk_id: Column) -> Column:
+    """The page of a chunk id: what stands before its last underline."""
+    return F.when(F.contains(chunk_id, F.lit("_")), F.regexp_replace(chunk_id, r"_[^_]*$", "")).otherwise(chunk_id)

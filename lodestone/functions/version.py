@@ -105,8 +105,8 @@ def version_fit(version: Column, site: Column, eol: Column, lineage: Column, tar
     return F.when(F.size(targets) > 0, match_fit(version, lineage, targets)).otherwise(currency_fit(version, site, eol, lineage, many))
 
 
-# Fixed pattern: a version in free text; neighbours are checked, as letters of any script count as parts of a word.
-TOKENS = r"(?<![A-Za-z0-9.])(v?\d+(?:\.\d+){1,3})(?![A-Za-z0-9.])"
+# Fixed pattern: a version with a dot in free text. Only digits and dots beside it count, as letters of other scripts may follow at once.
+TOKENS = r"(?<![0-9.])(v?\d+\.\d+(?:\.\d+)*)(?![0-9.])"
 
 
 def versions_in(text: Column) -> Column:

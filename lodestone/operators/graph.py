@@ -76,10 +76,65 @@ def cross_domain_links(docs: DataFrame, least: int = 2) -> DataFrame:
 
 
 def report(docs: DataFrame, least: int = 2) -> DataFrame:
-    """One row: documents, concepts, isolated documents, mean number of concepts, share of concepts over several domains."""
+    """One row: documents, isolated ones, mean concepts a document; concepts, share over several domains, mean and greatest degree, the latter in per cent of documents."""
     rows = docs.select("page_id", "domain", F.explode("keywords").alias("concept"))
     per = rows.groupBy("concept").agg(F.count("*").alias("n"), F.count_distinct("domain").alias("domains")).filter(F.col("n") >= least)
     known = rows.join(per.select("concept"), "concept", "left_semi").groupBy("page_id").agg(F.count("*").alias("links"))
     by_doc = docs.select("page_id").join(known, "page_id", "left").agg(F.count("*").alias("documents"), F.count_if(F.col("links").isNull()).alias("isolated"), F.round(F.avg(F.coalesce("links", F.lit(0))), 6).alias("mean_links"))
-    by_concept = per.agg(F.count("*").alias("concepts"), F.round(F.coalesce(F.avg((F.col("domains") > 1).cast("double")), F.lit(0.0)), 6).alias("cross_domain"))
-    return by_doc.withColumn("_one", F.lit(1)).join(by_concept.withColumn("_one", F.lit(1)), "_one").drop("_one")  # one row each
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    by_concept = per.agg(F.count("*").alias("concepts"), zero(F.avg((F.col("domains") > 1).cast("double"))).alias("cross_domain"), zero(F.avg("n")).alias("mean_degree"), F.coalesce(F.max("n"), F.lit(0)).alias("top_degree"))
+    out = by_doc.join(F.broadcast(by_concept), F.lit(True))  # one row each
+    return out.withColumn("hairball", zero(F.try_divide(F.col("top_degree") * 100.0, F.col("documents"))))
+
+
+# Keywords that name nothing.
+NOISE_PARTS = ("masked_", "coderabbit", "checklist", "failed checks", "passed checks", "warning)", "bugfix")
+NOISE = (
+    "영향 범위", "확인 방법", "개요", "요약", "목차", "비고", "기타", "참고", "주의", "배경", "목적", "결론", "제목",
+    "변경 사항", "변경사항", "온램프 정제 테스트", "onramp 정제 테스트",
+    "on", "off", "summary", "please note", "note", "see", "see also", "example", "overview",
+    "yes", "no", "true", "false", "todo", "done", "wip", "n/a", "tbd", "changes", "none",
+)
+
+
+def is_noise(keyword: Column) -> Column:
+    """Whether a keyword names no concept: one letter or none, a sentence, a sign at its begin, a word of the lists."""
+    plain = F.btrim(F.regexp_replace(F.coalesce(keyword, F.lit("")), r"(?U)\s+", " "), F.lit(" .,;:()[]"))
+    lower, n = F.lower(plain), F.length(plain)
+    out = (n <= 1) | (n > 40) | ~F.rlike(plain, F.lit(r"^[\p{L}\p{N}]")) | lower.isin(*NOISE)
+    for part in NOISE_PARTS:
+        out = out | F.contains(lower, F.lit(part))
+    return out
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("keywords", F.filter("keywords", lambda k: ~is_noise(k)))
+
+
+def keyword_diagnosis(docs: DataFrame, top: int = 25) -> DataFrame:
+    """(noise, place, keyword, n): the most frequent keywords that are noise, and those that aren't."""
+    counts = docs.select(F.explode("keywords").alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("noise", is_noise(F.col("keyword")))
+    order = Window.partitionBy("noise").orderBy(F.desc("n"), F.desc("keyword"))
+    return counts.select("noise", F.row_number().over(order).alias("place"), "keyword", "n").filter(F.col("place") <= top)
+
+
+def from_chunks(chunks: DataFrame) -> DataFrame:
+    """Documents of chunks (page_id, place, title, domain, source, site, version, doc_key, keywords): the first chunk's attributes, all keywords.
+
+    Pages of repositories are known by their id.
+    """
+    known = lambda *names: F.coalesce(*(F.when(_plain(n) != "", _plain(n)) for n in names))
+    first = lambda c, name: F.min_by(c, F.col("place")).alias(name)
+    source = F.when(F.startswith(_plain("page_id"), F.lit("gh:")), "github").otherwise(F.coalesce(known("source", "site"), F.lit("confluence")))
+    rows = chunks.filter(_plain("page_id") != "").groupBy(_plain("page_id").alias("page_id")).agg(
+        first(F.coalesce(known("title"), _plain("page_id")), "title"), first(_plain("domain"), "domain"), first(source, "source"), first(_plain("version"), "version"), first(_plain("doc_key"), "doc_key"), F.min("place").alias("place"), F.collect_list("keywords").alias("_words")
+    )
+    words = F.array_sort(F.array_distinct(F.filter(F.transform(F.flatten("_words"), lambda k: F.trim(k)), lambda k: k != "")))
+    return rows.withColumn("keywords", words).drop("_words")
+
+
+def snapshot(docs: DataFrame, least: int = 2) -> DataFrame:
+    """Nodes and edges of the graph as JSON, a line each, for a reader outside of Spark."""
+    told = nodes(docs, least).select(F.to_json(F.struct(F.lit("node").alias("is"), "id", "label", "type", "count")).alias("line"))
+    return told.unionByName(edges(docs, least).select(F.to_json(F.struct(F.lit("edge").alias("is"), "source", "target", "rel")).alias("line")))

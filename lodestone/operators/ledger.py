@@ -117,3 +117,122 @@ def sample_per_group(rows: DataFrame, group: str, id: str, k: int, seed: int = 0
 
 def latest_k(rows: DataFrame, key: Sequence[str], k: int, *order: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
+
+
+def owned(rows: DataFrame, tenant: Column, user: Column) -> DataFrame:
+    """Rows of this tenant and user; a row without either is nobody's."""
+    return rows.filter((F.col("tenant") == tenant) & (F.col("user_id") == user))
+
+
+def with_owner(reports: DataFrame, workflows: DataFrame) -> DataFrame:
+    """reports (workflow) with the tenant and user of their workflow; those of none go."""
+    return reports.join(workflows.select("workflow", "tenant", "user_id"), "workflow")
+
+
+def total(queries: DataFrame, answers: DataFrame, key: str = "qid") -> DataFrame:
+    """queries joined with answers; the job fails if either side has a key that the other lacks."""
+    lost = unmatched(queries, answers, key)
+    checked = queries.join(answers, key, "left").unionByName(lost.select(key).withColumn("_lost", F.lit(True)), allowMissingColumns=True)
+    fail = F.raise_error(F.concat(F.lit("no match for "), F.col(key).cast("string")))
+    return checked.withColumn(key, F.when(F.col("_lost"), fail.cast(queries.schema[key].dataType)).otherwise(F.col(key))).drop("_lost")
+
+
+def index_documents(rows: DataFrame, tenant: Column, source: str | None = None) -> DataFrame:
+    """Ledger rows as documents of the text index: those of the tenant and source that have a text, by tenant and page."""
+    text = F.coalesce("cleaned", F.lit(""))
+    kept = rows.filter((F.col("tenant") == tenant) & (F.trim(text) != ""))
+    kept = kept if source is None else kept.filter(F.col("source") == source)
+    return kept.select(F.concat_ws(":", "tenant", "page_id").alias("id"), "tenant", F.col("page_id").alias("doc_id"), "source", "title", F.coalesce("domain", F.lit("")).alias("domain"), text.alias("content"))
+
+
+def payload(chunks: DataFrame, tenant: Column) -> DataFrame:
+    """chunks as stored beside their vectors: without vector and embedding_text, with an id that follows from the chunk's, and the tenant."""
+    return chunks.drop("vector", "embedding_text").withColumn("point", F.md5(F.col("chunk_id").cast("string"))).withColumn("tenant", tenant)
+
+
+def batches(rows: DataFrame, id: str, size: int, error: Column | None = None) -> DataFrame:
+    """rows with the number of their bulk request, about `size` rows each, by hash of the id; a row with an error fails the job."""
+    n = max(1, -(-rows.count() // size))
+    number = F.pmod(F.xxhash64(id), F.lit(n))
+    if error is not None:
+        number = F.when(error.isNotNull(), F.raise_error(F.concat(F.lit("bulk request failed: "), error)).cast("long")).otherwise(number)
+    return rows.withColumn("batch", number)
+
+
+def fingerprint(chunks: DataFrame) -> DataFrame:
+    """One row: chunks, pages, and a sum over their hashes that any change changes."""
+    return chunks.agg(F.count("*").alias("chunks"), F.count_distinct("page_id").alias("pages"), F.sum(F.xxhash64("chunk_id", "hash").cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+
+
+ACTIVE = ("queued", "running")
+
+
+def active_runs(runs: DataFrame) -> DataFrame:
+    """The newest run of each tenant that is queued or running."""
+    return latest(runs.filter(F.col("status").isin(*ACTIVE)), ["tenant"], F.desc("created_at"), F.desc("run_id"))
+
+
+def claimed(runs: DataFrame) -> DataFrame:
+    """runs with the oldest queued one running; one writer claims at a time, so nothing is locked."""
+    first = runs.filter("status = 'queued'").agg(F.min_by("run_id", F.struct("created_at", "run_id")).alias("_next"))
+    taken = F.col("run_id") == F.col("_next")
+    out = runs.join(F.broadcast(first), F.lit(True), "left")  # one row
+    return out.withColumn("stage", F.when(taken, "fetching").otherwise(F.col("stage"))).withColumn("status", F.when(taken, "running").otherwise(F.col("status"))).drop("_next")
+
+
+def finished(runs: DataFrame, results: DataFrame) -> DataFrame:
+    """runs with the results (run_id, indexed, failed, chunks, deleted, error) of those that ended; an error fails a run."""
+    told = results.withColumnRenamed("run_id", "_run")
+    out = runs.join(told, F.col("run_id") == F.col("_run"), "left")
+    ended, bad = F.col("_run").isNotNull(), F.col("error").isNotNull()
+    status = F.when(ended & bad, "failed").when(ended, "success").otherwise(F.col("status"))
+    done = F.when(ended & ~bad, F.col("skipped") + F.col("indexed") + F.col("failed"))
+    stage = F.when(ended, "completed").otherwise(F.col("stage"))
+    return out.withColumn("status", status).withColumn("stage", stage).withColumn("processed", done).withColumn("error", F.substring("error", 1, 1000)).drop("_run")
+
+
+# What a report job and the result that it is made of must agree in.
+AGREE = ("transcription", "tenant", "raw_sha", "corrected_sha", "dictionary")
+
+
+def integrity(jobs: DataFrame, results: DataFrame, key: str = "job") -> DataFrame:
+    """(key, mismatch): the first part in which a job and its result differ, null if they agree in all."""
+    told = results.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in AGREE))
+    out = jobs.join(told, F.col(key) == F.col("_key"))
+    return out.select(key, F.coalesce(*(F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), c) for c in AGREE)).alias("mismatch"))
+
+
+def adjacent(chunks: DataFrame, span: int = 2, most: int = 1) -> DataFrame:
+    """(page_id, number, chunks): runs of `span` chunks with indices one after the other, cut off from a page's begin on, `most` a page."""
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("chunk_index", "chunk_id")) - 1
+    told = F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_id")))
+    rows = chunks.withColumn("_run", F.floor(place / span)).groupBy("page_id", "_run").agg(told.alias("t"), F.min("chunk_index").alias("_min"), F.max("chunk_index").alias("_max"), F.count_distinct("chunk_index").alias("_n"))
+    rows = rows.filter((F.col("_n") == span) & (F.col("_max") - F.col("_min") == span - 1) & (F.size("t") == span))
+    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("page_id").orderBy("_run"))).filter(F.col("number") <= most)
+    return rows.select("page_id", "number", F.col("t.chunk_id").alias("chunks"))
+
+
+def candidates(missing: DataFrame, live: DataFrame, length: int = 160) -> DataFrame:
+    """(chunk_id, candidate, preview): for each missing chunk those of its page that are there; null where the page has none."""
+    from lodestone.functions.text import page_of_any_chunk
+
+    wanted = missing.select("chunk_id", page_of_any_chunk(F.col("chunk_id")).alias("_page"))
+    told = live.select(F.col("chunk_id").alias("candidate"), F.substring(F.coalesce("content", F.lit("")), 1, length).alias("preview"), F.coalesce(F.col("page_id").cast("string"), page_of_any_chunk(F.col("chunk_id"))).alias("_live"))
+    return wanted.join(told, F.col("_page") == F.col("_live"), "left").select("chunk_id", "candidate", "preview")
+
+
+def looked_up(ids: DataFrame, live: DataFrame, name: str = "domain", unknown: str = "<unknown>") -> DataFrame:
+    """ids (chunk_id) with a column of live (chunk_id); unknown where a chunk is gone or has none."""
+    told = live.select(F.col("chunk_id").alias("_id"), F.col(name).alias("_value"))
+    out = ids.join(told, F.col("chunk_id") == F.col("_id"), "left")
+    return out.select(*ids.columns, F.when(F.coalesce("_value", F.lit("")) == "", unknown).otherwise(F.col("_value")).alias(name))
+
+
+def agreement(pairs: DataFrame, a: str, b: str, top: int = 12) -> DataFrame:
+    """(kind, a, b, n, rate) of two labellings, null ones left out: the rate of agreement, and the `top` most frequent moves."""
+    known = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    same = known.agg(F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))), F.lit(0)).alias("n"), F.sum("n").alias("all"))
+    none = F.lit(None).cast("string")
+    rate = same.select(F.lit("agreement").alias("kind"), none.alias("a"), none.alias("b"), "n", F.round(F.try_divide(F.col("n").cast("double"), F.col("all")), 6).alias("rate"))
+    moves = known.filter("a <> b").orderBy(F.desc("n"), "a", "b").limit(top)
+    return rate.unionByName(moves.select(F.lit("move").alias("kind"), "a", "b", "n", F.lit(None).cast("double").alias("rate")))

@@ -84,31 +84,42 @@ def label_macro(by_label: DataFrame) -> DataFrame:
 
 
 def secondary_rates(rows: DataFrame) -> DataFrame:
-    """Of labels after the first: precision; share of single-label rows given more, and of multi-label rows given one. Null of none."""
-    rest = lambda c: F.when(F.size(c) > 1, F.slice(c, 2, 100)).otherwise(F.array().cast("array<string>"))
-    single, multi = F.size("gold") == 1, F.size("gold") > 1
-    out = rows.select(rest("pred").alias("extra"), "gold", "pred", single.alias("single"), multi.alias("multi")).agg(
-        ratio(F.sum(F.size(F.array_intersect("extra", "gold"))), F.sum(F.size("extra")), None).alias("secondary_precision"),
-        ratio(F.count_if(F.col("single") & (F.size("pred") > 1)), F.count_if("single"), None).alias("over_rate"),
-        ratio(F.count_if(F.col("multi") & (F.size("pred") <= 1)), F.count_if("multi"), None).alias("under_rate"),
+    """Of labels after the first: how many given ones are right; how many rows with a second one have it wrong; how many
+    rows whose second one is wanted lack it. Null of none."""
+    extra = F.slice("pred", F.lit(2), F.greatest(F.size("pred") - 1, F.lit(0)))
+    two, need = F.size("pred") >= 2, F.size("gold") >= 2
+    out = rows.agg(
+        ratio(F.sum(F.size(F.filter(extra, lambda d: F.array_contains("gold", d)))), F.sum(F.size(extra)), None).alias("secondary_precision"),
+        ratio(F.count_if(two & ~F.array_contains("gold", F.get("pred", F.lit(1)))), F.count_if(two), None).alias("over_rate"),
+        ratio(F.count_if(need & ~F.array_contains("pred", F.get("gold", F.lit(1)))), F.count_if(need), None).alias("under_rate"),
     )
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
-def confidence_bins(rows: DataFrame, edges: Sequence[float] = EDGES) -> DataFrame:
-    """(bin, n, accuracy, confidence) of rows (confidence, correct); rows without confidence are left out."""
-    used, c, last = rows.filter(F.col("confidence").isNotNull()), F.col("confidence"), len(edges) - 2
+def _usable(rows: DataFrame) -> Column:
+    parsed = F.coalesce(F.col("parse_ok"), F.lit(False)) if "parse_ok" in rows.columns else F.lit(True)
+    return parsed & F.col("confidence").isNotNull()
+
+
+def _binned(rows: DataFrame, edges: Sequence[float]) -> DataFrame:
+    c, last = F.col("confidence"), len(edges) - 2
     number = sum((F.when(c >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
-    told = used.groupBy(number.alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.avg("confidence").alias("mean_confidence"))
+    told = rows.filter(_usable(rows)).groupBy(number.alias("bin")).agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.avg("confidence").alias("mean_confidence"))
     spine = rows.sparkSession.range(last + 1).select(F.col("id").cast("int").alias("bin"))
-    out = spine.join(told, "bin", "left")
-    return out.select("bin", F.coalesce("n", F.lit(0)).alias("n"), *(F.round(F.coalesce(x, F.lit(0.0)), 6).alias(x) for x in ("accuracy", "mean_confidence")))
+    return spine.join(told, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def calibration_error(rows: DataFrame) -> DataFrame:
-    bins = confidence_bins(rows)
+def confidence_bins(rows: DataFrame, edges: Sequence[float] = EDGES) -> DataFrame:
+    """(bin, n, accuracy, confidence) of rows (confidence, correct, and parse_ok if known); rows without confidence or not parsed are left out."""
+    return _binned(rows, edges).select("bin", "n", *(F.round(F.coalesce(x, F.lit(0.0)), 6).alias(x) for x in ("accuracy", "mean_confidence")))
+
+
+def calibration_error(rows: DataFrame, edges: Sequence[float] = EDGES) -> DataFrame:
+    """(used, excluded, ece): the mean gap of accuracy and confidence over bins, of unrounded means."""
     gap = F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("mean_confidence")))
-    return bins.agg(F.sum("n").alias("used"), F.round(F.coalesce(F.try_divide(gap, F.sum("n")), F.lit(0.0)), 6).alias("ece"))
+    told = _binned(rows, edges).agg(F.sum("n").alias("used"), F.round(F.coalesce(F.try_divide(gap, F.sum("n")), F.lit(0.0)), 6).alias("ece"))
+    out = rows.agg(F.count_if(~_usable(rows)).alias("excluded"))
+    return told.join(F.broadcast(out), F.lit(True)).select("used", "excluded", "ece")  # one row each
 
 
 def ab_means(pairs: DataFrame, group: str | None, names: Sequence[str]) -> DataFrame:
@@ -125,6 +136,98 @@ def moved(pairs: DataFrame, names: Sequence[str]) -> DataFrame:
     return pairs.select(F.inline(told)).groupBy("metric").agg(F.count_if(F.col("d") > 0).alias("improved"), F.count_if(F.col("d") < 0).alias("worsened"))
 
 
+def movers(pairs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(metric, kind, place, qid, delta): the queries that each metric improved or worsened, those that moved most first."""
+    told = F.array(*(F.struct(F.lit(m).alias("metric"), F.round(F.col(f"{m}_b") - F.col(f"{m}_a"), 4).alias("delta")) for m in names))
+    rows = pairs.select("qid", F.inline(told)).filter("delta <> 0").withColumn("kind", F.when(F.col("delta") > 0, "improved").otherwise("worsened"))
+    order = Window.partitionBy("metric", "kind").orderBy(F.desc(F.abs("delta")), "qid")
+    return rows.select("metric", "kind", F.row_number().over(order).alias("place"), "qid", "delta")
+
+
+#: Criteria of a comparison: name, group, metric, least difference, whether more than it is needed, and what an empty group says.
+CRITERIA = (
+    ("overall_recall_no_drop", "all", "recall", 0.0, False, "fails"),
+    ("overall_ndcg_drop_within_2pp", "all", "ndcg", -0.02, False, "fails"),
+    ("multi_recall_improved", "router_multi", "recall", 0.0, True, "fails"),
+    ("single_recall_no_worsen", "router_single", "recall", 0.0, False, "passes"),
+    ("noise_recall_no_drop", "noise", "recall", 0.0, False, "N/A"),
+    ("noise_ndcg_within_2pp", "noise", "ndcg", -0.02, False, "N/A"),
+)
+
+
+def success_criteria(pairs: DataFrame, groups: str = "groups", criteria: Sequence[tuple] = CRITERIA) -> DataFrame:
+    """(criterion, verdict, delta) of pairs with columns {metric}_a, {metric}_b and an array of groups; judged on unrounded means."""
+    names = sorted({c[2] for c in criteria})
+    every = pairs.select(F.explode(F.concat(F.array(F.lit("all")), F.col(groups))).alias("group"), *(f"{m}_{s}" for m in names for s in "ab"))
+    told = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"{m}_a").alias("a"), F.col(f"{m}_b").alias("b")) for m in names))
+    means = every.select("group", F.inline(told)).groupBy("group", "metric").agg((F.avg("b") - F.avg("a")).alias("delta"))
+    wanted = rows_of(pairs, criteria)
+    out = wanted.join(means, ["group", "metric"], "left")
+    d, least = F.col("delta"), F.col("least")
+    passes = F.when(F.col("more"), d > least).otherwise(d >= least)
+    return out.select("criterion", F.when(d.isNull(), F.col("empty")).when(passes, "passes").otherwise("fails").alias("verdict"), F.round("delta", 4).alias("delta"))
+
+
+def rows_of(df: DataFrame, criteria: Sequence[tuple]) -> DataFrame:
+    listed = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("criterion", "group", "metric", "least", "more", "empty"), c, strict=True))) for c in criteria))
+    return df.sparkSession.range(1).select(F.inline(listed))
+
+
+def block_rates(rows: DataFrame) -> DataFrame:
+    """(cohort, blocked, n, rate) of rows (qid, answerable, blocked, null without a prediction): near misses (ids with n), out of scope, answerable. Null of none."""
+    cohort = F.when(F.col("answerable"), "answerable_false_block").when(F.startswith("qid", F.lit("n")), "near_miss").otherwise("out_of_scope")
+    seen = rows.filter(F.col("blocked").isNotNull()).select(cohort.alias("cohort"), "blocked")
+    both = seen.unionByName(seen.filter("cohort <> 'answerable_false_block'").withColumn("cohort", F.lit("total")))
+    spine = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ("total", "near_miss", "out_of_scope", "answerable_false_block")))).alias("cohort"))
+    told = spine.join(both.groupBy("cohort").agg(F.count_if("blocked").alias("blocked"), F.count("*").alias("n")), "cohort", "left").fillna(0)
+    return told.select("cohort", "blocked", "n", F.round(F.try_divide(F.col("blocked"), F.col("n")), 4).alias("rate"))
+
+
+def generation_summary(rows: DataFrame) -> DataFrame:
+    """One row of rows (prompt_tokens, completion_tokens, llm_calls, latency_s, status, fallback): means, latencies, shares."""
+    mean = lambda c, places: F.round(F.avg(c), places)
+    out = rows.agg(
+        F.count("*").alias("n"),
+        mean("prompt_tokens", 1).alias("avg_prompt_tokens"),
+        mean("completion_tokens", 1).alias("avg_completion_tokens"),
+        mean("llm_calls", 2).alias("avg_llm_calls"),
+        F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"),
+        F.round(ratio(F.count_if(F.col("status") == "answerable"), F.count("*")), 4).alias("answerable_rate"),
+        F.round(ratio(F.count_if(F.col("status") == "not_enough_evidence"), F.count("*")), 4).alias("not_enough_rate"),
+        F.count_if("fallback").alias("n_fallback"),
+        F.round(ratio(F.count_if(~F.col("fallback")), F.count("*")), 4).alias("rerank_fired"),
+    )
+    places = {f"latency_p{int(100 * s)}": (lambda n, s=s: F.greatest(F.lit(1), F.least(n, F.bround(s * n + 0.5, 0)))) for s in (0.5, 0.95)}
+    latency = values_at(rows.withColumn("_all", F.lit(1)), "_all", "latency_s", places)
+    return out.join(F.broadcast(latency.select(*(F.round(c, 3).alias(c) for c in places))), F.lit(True))  # one row each
+
+
+def excluded_domains(rows: DataFrame) -> DataFrame:
+    """rows (gold array, domain) with excluded_ratio: the share of gold domains that a filter on domain can't reach."""
+    lost = F.size(F.filter("gold", lambda d: d != F.col("domain")))
+    return rows.withColumn("excluded_ratio", F.when(F.col("domain").isNull() | (F.size("gold") <= 0), 0.0).otherwise(lost / F.size("gold")))
+
+
+def survival_rate(rows: DataFrame) -> DataFrame:
+    """One row of rows (n wanted, alive): how many wanted chunks are still there."""
+    return rows.agg(F.sum("n").alias("wanted"), F.sum("alive").alias("alive"), F.round(ratio(F.sum("alive"), F.sum("n")), 4).alias("rate"))
+
+
+def predicted_answerable(hits: DataFrame, floor: float = 0.5229, least: int = 1) -> DataFrame:
+    """(qid, predicted): whether a query has enough hits and one of at least the floor."""
+    return hits.groupBy("qid").agg(((F.count("*") >= least) & (F.max("score") >= floor)).alias("predicted"))
+
+
+def fresh(cached: DataFrame, wanted: DataFrame, key: Sequence[str]) -> DataFrame:
+    """wanted (qid, key) with fresh: a cached record of the query agrees in all parts of the key; a missing part is stale."""
+    old = cached.select(F.col("qid").alias("_qid"), *(F.col(k).alias(f"_{k}") for k in key))
+    same = F.lit(True)
+    for k in key:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    out = wanted.join(old, F.col("qid") == F.col("_qid"), "left")
+    return out.select(*wanted.columns, F.coalesce(same & F.col("_qid").isNotNull(), F.lit(False)).alias("fresh"))
+
+
 def threshold_sweep(rows: DataFrame) -> DataFrame:
     """(threshold, precision, recall, youden) of the best threshold of rows (score, positive).
 
@@ -153,9 +256,14 @@ def threshold_sweep(rows: DataFrame) -> DataFrame:
 
 
 def regressions(values: DataFrame, baseline: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """(metric, value, base, fails) of values (metric, value) against baseline (metric, base); a missing value fails."""
-    out = baseline.join(values, "metric", "left")
-    return out.select("metric", "value", "base", F.coalesce(F.col("value") < F.col("base") - tolerance, F.lit(True)).alias("fails"))
+    """(metric, value, base, fails) of values (metric, value, n) against baseline (metric, base, n).
+
+    A missing value fails, and so does any where the numbers of queries differ: those are other queries.
+    """
+    base = baseline.withColumnRenamed("n", "_n") if "n" in baseline.columns else baseline.withColumn("_n", F.lit(None).cast("long"))
+    out = base.join(values, "metric", "left")
+    other = F.coalesce(F.col("n") != F.col("_n"), F.lit(False)) if "n" in values.columns else F.lit(False)
+    return out.select("metric", "value", "base", (other | F.coalesce(F.col("value") < F.col("base") - tolerance, F.lit(True))).alias("fails"))
 
 
 def values_at(rows: DataFrame, group: str, value: str, places: Mapping[str, Callable[[Column], Column]]) -> DataFrame:

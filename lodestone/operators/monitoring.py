@@ -109,3 +109,11 @@ def dominant(rows: DataFrame, key: str, by: list[str]) -> DataFrame:
 def gauges(rows: DataFrame, name: str, label: str, column: str, value: str) -> DataFrame:
     """Lines of the text exposition format, one a row, in order of label."""
     return rows.select(F.format_string(f'{name}{{{label}="%s"}} %s', F.col(column).cast("string"), F.col(value).cast("string")).alias("line")).orderBy("line")
+
+
+def queue_depths(jobs: DataFrame, outbox: DataFrame, now: Column) -> DataFrame:
+    """(queue, depth): jobs that wait or are in work, and rows of the outbox that are due."""
+    a = jobs.agg(F.count_if(F.col("status") == "queued").alias("report_jobs_queued"), F.count_if(F.col("status") == "processing").alias("report_jobs_processing"))
+    b = outbox.agg(F.count_if(F.col("published_at").isNull() & (F.col("available_at") <= now)).alias("event_outbox_pending"))
+    row = a.join(F.broadcast(b), F.lit(True))  # one row each
+    return row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("queue"), F.col(c).alias("depth")) for c in row.columns))))

@@ -107,15 +107,59 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 20, text: str = "tex
     return top_k(bm25_scores(queries, docs, text), k)
 
 
-def best_fields(queries: DataFrame, docs: DataFrame, boosts: Mapping[str, float], k: int = 20) -> DataFrame:
-    """The k best documents by the best of their fields, each field's BM25 times its boost."""
+def keyword_scores(queries: DataFrame, docs: DataFrame, field: str) -> DataFrame:
+    """(qid, id, score): BM25 of keyword fields, whose values (one or an array) count as whole terms: a query must equal one."""
+    own = ["tenant"] if "tenant" in docs.columns and "tenant" in queries.columns else []
+    values = F.col(field) if docs.schema[field].dataType.simpleString().startswith("array") else F.array(F.col(field))
+    listed = docs.select("id", *own, F.explode(F.array_distinct(values)).alias("term"))
+    wanted = queries.select("qid", *own, F.col("text").alias("term"))
+    sizes = docs.groupBy(*own).agg(F.count("*").alias("n"))
+    known = listed.join(wanted.select(*own, "term").distinct(), [*own, "term"], "left_semi").groupBy(*own, "term").agg(F.count("*").alias("df"))
+    idf = known.join(sizes, own) if own else known.join(F.broadcast(sizes), F.lit(True))  # one row of sizes
+    # a keyword is one term of norm 1, so its frequency part is constant
+    idf = idf.select(*own, "term", F.round(F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) / (1 + K1), PLACES).alias("score"))
+    return wanted.join(idf, [*own, "term"]).join(listed, [*own, "term"]).select("qid", "id", "score")
+
+
+#: Boosts of the fields of chunks and of documents; of chunks the last three are keyword fields.
+CHUNK_FIELDS = {"content": 3.0, "embedding_text": 2.0, "title": 2.0, "heading_path": 1.0}
+CHUNK_KEYWORDS = {"keywords": 2.0, "tags": 1.0, "languages": 1.0}
+DOCUMENT_FIELDS = {"title": 3.0, "content": 1.0}
+
+
+def best_fields(queries: DataFrame, docs: DataFrame, boosts: Mapping[str, float], k: int = 20, keywords: Mapping[str, float] | None = None) -> DataFrame:
+    """The k best documents by the best of their fields, each field's BM25 times its boost; keywords are fields of whole terms."""
+    own = ["tenant"] if "tenant" in docs.columns else []
     every = None
-    for name, boost in boosts.items():
-        one = bm25_scores(queries, docs.select("id", F.col(name).alias("text"))).withColumn("score", F.round(F.col("score") * boost, PLACES))
+    for name, boost in [*boosts.items(), *(keywords or {}).items()]:
+        if keywords and name in keywords:
+            one = keyword_scores(queries, docs, name)
+        else:
+            one = bm25_scores(queries, docs.select("id", *own, F.col(name).alias("text")))
+        one = one.withColumn("score", F.round(F.col("score") * boost, PLACES))
         every = one if every is None else every.unionByName(one)
     return top_k(every.groupBy("qid", "id").agg(F.max("score").alias("score")), k)
 
 
+def bm25_filtered(queries: DataFrame, docs: DataFrame, k: int = 20, text: str = "text", keep: Column | None = None) -> DataFrame:
+    """bm25_topk of queries (qid, text, tenant) over the documents of their tenant, of which `keep` says who counts; both before scoring."""
+    if "tenant" not in queries.columns or "tenant" not in docs.columns:
+        raise ValueError("a search needs a tenant")
+    return top_k(bm25_scores(queries, docs if keep is None else docs.filter(keep), text), k)
+
+
+def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 4, least: float = 0.5, other_domain: bool = False) -> DataFrame:
+    """(qid, id, score, rank): the k nearest of `least` or more that are of another page (and domain) than the query's own vector.
+
+    The search takes four times as many and k stay, as the pages are looked at afterwards.
+    """
+    found = dense_topk(queries.select("qid", "vector"), vectors.select("id", "vector"), 4 * k, other=True).drop("rank")
+    own = queries.select("qid", F.col("page").alias("_page"), F.col("domain").alias("_domain"))
+    told = found.filter(F.col("score") >= least).join(vectors.select("id", "page", "domain"), "id").join(own, "qid")
+    told = told.filter(~F.col("page").eqNullSafe(F.col("_page")))
+    return top_k((told.filter(~F.col("domain").eqNullSafe(F.col("_domain"))) if other_domain else told).select("qid", "id", "score"), k)
+
+
 def rrf(lists: DataFrame, k: int = RRF_K, limit: int | None = None) -> DataFrame:
     """Reciprocal-rank fusion of lists (qid, source, id, rank, score): qid, id, score, source_scores, rank.
 

@@ -124,7 +124,7 @@ def threshold_sweep(spark, sf_dir: str) -> DataFrame:
 def gate(spark, sf_dir: str) -> DataFrame:
     means = metrics.ab_means(_pairs(spark, sf_dir), None, ["hit", "ndcg"])
     base = means.select("metric", F.round(F.col("a") + F.when(F.col("metric") == "hit", 0.5).otherwise(0.0), 6).alias("base"))
-    return metrics.regressions(means.select("metric", F.col("b").alias("value")), base)
+    return metrics.regressions(means.select("metric", F.col("b").alias("value"), "n"), base.join(means.select("metric", "n"), "metric"))
 
 
 # ledgers
@@ -332,11 +332,11 @@ SQL = {
       SELECT n, {_PRF}, round(a / n::DOUBLE, 6) AS primary_accuracy, round(o / n::DOUBLE, 6) AS exact_ordered, round(s / n::DOUBLE, 6) AS exact_set FROM c""",
     "label_prf": f"{_LABELLED} SELECT * FROM each",
     "label_macro": f"{_LABELLED} SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM each",
-    "secondary_rates": f"""WITH {PREDICTIONS} SELECT round(sum(len(list_intersect(pred[2:], gold))) / nullif(sum(len(pred[2:])), 0)::DOUBLE, 6) AS secondary_precision,
-      round(count(*) FILTER (WHERE len(gold) = 1 AND len(pred) > 1) / nullif(count(*) FILTER (WHERE len(gold) = 1), 0)::DOUBLE, 6) AS over_rate,
-      round(count(*) FILTER (WHERE len(gold) > 1 AND len(pred) <= 1) / nullif(count(*) FILTER (WHERE len(gold) > 1), 0)::DOUBLE, 6) AS under_rate FROM predictions""",
+    "secondary_rates": f"""WITH {PREDICTIONS} SELECT round(sum(len(list_filter(pred[2:], lambda d: list_contains(gold, d)))) / nullif(sum(len(pred[2:])), 0)::DOUBLE, 6) AS secondary_precision,
+      round(count(*) FILTER (WHERE len(pred) >= 2 AND NOT list_contains(gold, pred[2])) / nullif(count(*) FILTER (WHERE len(pred) >= 2), 0)::DOUBLE, 6) AS over_rate,
+      round(count(*) FILTER (WHERE len(gold) >= 2 AND NOT list_contains(pred, gold[2])) / nullif(count(*) FILTER (WHERE len(gold) >= 2), 0)::DOUBLE, 6) AS under_rate FROM predictions""",
     "confidence_bins": f"{_BINS} SELECT * FROM bins",
-    "ece": f"{_BINS} SELECT sum(n)::BIGINT AS used, round(sum(n * abs(accuracy - mean_confidence)) / sum(n), 6) AS ece FROM bins",
+    "ece": f"{_BINS}, raw AS (SELECT bin, count(*) AS n, avg(correct) AS a, avg(confidence) AS c FROM used GROUP BY bin) SELECT sum(n)::BIGINT AS used, (SELECT count(*) FROM predictions WHERE confidence IS NULL) AS excluded, round(sum(n * abs(a - c)) / sum(n), 6) AS ece FROM raw",
     "ab_delta": f"{_PAIRS} SELECT * FROM means",
     "ab_groups": f'{_PAIRS} SELECT g AS "group", metric, count(*) AS n, round(avg(a), 6) AS a, round(avg(b), 6) AS b, round(avg(b) - avg(a), 6) AS delta FROM (SELECT unnest(groups) AS g, metric, a, b FROM long) GROUP BY ALL',
     "ab_moved": f"{_PAIRS} SELECT metric, count(*) FILTER (WHERE b - a > 0) AS improved, count(*) FILTER (WHERE b - a < 0) AS worsened FROM long GROUP BY metric",

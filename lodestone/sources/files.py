@@ -11,6 +11,17 @@ from pyspark.sql.window import Window
 from lodestone.operators.ledger import latest
 
 
+def page_scan(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pages in order of title and id, `limit` of them."""
+    out = pages.orderBy("title", "page_id")
+    return out if limit is None else out.limit(limit)
+
+
+def chunk_scan(chunks: DataFrame) -> DataFrame:
+    """The chunks that have an id and a content."""
+    return chunks.filter((F.coalesce(F.col("chunk_id").cast("string"), F.lit("")) != "") & (F.coalesce("content", F.lit("")) != ""))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON-lines file of the given schema; a line that isn't an object fails the job."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -21,12 +32,19 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def replace_jsonl(rows: DataFrame, path: str) -> str:
-    """rows in a new folder below path, complete before its name is returned; readers switch to it."""
+    """rows in a new folder below path, complete before the name of the current one, a table of one row, points to it."""
+    spark = rows.sparkSession
     out = f"{path}/{uuid.uuid4().hex}"
     rows.write.mode("errorifexists").json(out)
+    spark.range(1).select(F.lit(out).alias("current")).write.mode("overwrite").parquet(f"{path}/current")
     return out
 
 
+def read_current(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows that replace_jsonl wrote last."""
+    return read_jsonl(spark, spark.read.parquet(f"{path}/current").first().current, schema)
+
+
 def last_writer_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return latest(rows, [key], F.desc(order))
 

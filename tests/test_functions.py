@@ -110,6 +110,8 @@ def test_router(spark):
     out = metrics.multi_label(df).first()
     assert (out.primary_accuracy, out.exact_ordered, out.exact_set) == (0.5, 0.25, 0.5)
     assert metrics.secondary_rates(df).first().under_rate == 0.5
+    scored = df.withColumn("correct", F.get("gold", F.lit(0)) == F.get("pred", F.lit(0)))
+    assert metrics.calibration_error(scored).first().excluded == 1
 
 
 PAGE = """# Guide
