@@ -125,7 +125,10 @@ def _packer(batches: Iterator[pa.RecordBatch], again: np.ndarray | None) -> Iter
 
 
 def pack(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, shards): doc_id, n_bytes, digest, shard, offset, length, again of each row of docs; shard, index, tar of each archive."""
+    """(rows, shards): doc_id, n_bytes, digest, shard, offset, length, again of each row of docs; shard, index, tar, again of each archive.
+
+    again: the text may occur more than once; such texts have archives of their own.
+    """
     slim = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     slim = slim.withColumn("key", F.xxhash64("text"))
     seen = slim.sparkSession.sparkContext.broadcast(_seen_again(slim.select("key")))
@@ -139,7 +142,7 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataF
     places = more.filter(F.col("kind") == STORED).select(F.col("digest").alias("_digest"), "shard", "offset", "length")
     repeated = dealt(told.filter(F.col("kind") == AGAIN).select("doc_id", "n_bytes", "digest"), places, "_digest")
     rows = stored.unionByName(repeated.select(*own, F.lit(True).alias("again")))
-    archives = [df.filter(F.col("kind") == ARCHIVE).select("shard", "index", "tar") for df in (told, more)]
+    archives = [df.filter(F.col("kind") == ARCHIVE).select("shard", "index", "tar", F.lit(again).alias("again")) for df, again in ((told, False), (more, True))]
     return rows, archives[0].unionAll(archives[1])
 
 
@@ -216,10 +219,14 @@ def contents(shards: DataFrame) -> DataFrame:
 
 def with_members(rows: DataFrame, shards: DataFrame) -> DataFrame:
     """rows with the metadata of their media, from headers, and what their stored bytes give."""
-    told = contents(shards.select("shard", "tar")).drop("shard", "offset").join(metadata(shards), "digest").withColumnRenamed("digest", "_digest")
     slim = rows.select("doc_id", "n_bytes", "digest", "again")
-    alone = slim.filter(~F.col("again")).join(told, F.col("digest") == F.col("_digest")).drop("_digest")
-    return alone.unionByName(dealt(slim.filter("again"), told, "_digest"))
+    out = []
+    for again in (False, True):
+        part = shards.filter(F.col("again") == again)
+        told = contents(part.select("shard", "tar")).drop("shard", "offset").join(metadata(part), "digest").withColumnRenamed("digest", "_digest")
+        own = slim.filter(F.col("again") == again)
+        out.append(dealt(own, told, "_digest") if again else own.join(told, F.col("digest") == F.col("_digest")).drop("_digest"))
+    return out[0].unionByName(out[1])
 
 
 def op7_media(spark, sf_dir: str) -> DataFrame:
