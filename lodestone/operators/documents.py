@@ -1,26 +1,37 @@
-"""Documents to chunks: HTML to Markdown, Markdown blocks, parent and child chunks, flat baselines, transcript windows.
+"""Documents to chunks: HTML to Markdown, Markdown blocks, parent and child chunks, flat baselines, transcript windows, tree reduction.
 
-What a chunk becomes depends on what came before it on its page, so pages are worked on one at a time by small functions inside
-mapInPandas; Spark deals the pages. A page that fails becomes a row with its error instead of failing the job.
+Lines of all pages are rows: built-in expressions tell their kind, windows over a page tell where blocks begin, and blocks are groups of
+lines. Sizes are numbers of tokens, and tokens of joined texts add up, so parents and pieces are runs of sizes, found by
+folds over arrays of numbers. Only which pieces make up a child, and where a window of tokens begins, is told by two short
+functions over the numbers of one parent or page; HTML is parsed a page at a time. A page that can't be parsed is a row with its error.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.functions import classify
-
+from lodestone.functions import text as X
+
+# Fixed patterns: headings, list items and fences of Markdown, the ends of sentences, tokens.
+HEADING = r"(?U)^(#{1,6})\s+(.*\S)\s*$"
+HEADED = r"(?U)^#{1,6}\s+"
+LIST_ITEM = r"(?U)^\s*(?:[-*+]\s+|\d+[.)]\s+)"
+FENCE = "```"
+SENTENCE = r"(?U)(?<=[.!?。！？])\s+"
 TOKEN = re.compile(r"\w+|[^\w\s]")
-HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*$")
-LIST_ITEM = re.compile(r"\s*(?:[-*+]\s+|\d+[.)]\s+)")
-SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
+#: Deepest heading at which a parent may begin.
+TOP_LEVEL = 3
 
 
 @dataclass(frozen=True)
@@ -30,336 +41,432 @@ class Sizes:
     child_least: int = 50
     child_target: int = 400
     child_most: int = 650
-    parent_target: int = 1200
     parent_most: int = 1400
     overlap: int = 120
 
     @classmethod
     def around(cls, target: int) -> Sizes:
         """Sizes in fixed proportion to the target of a child."""
-        return cls(round(target * 0.125), target, round(target * 1.625), target * 3, round(target * 3 * 7 / 6), round(target * 0.15 * 2))
+        return cls(round(target * 0.125), target, round(target * 1.625), round(target * 3 * 7 / 6), round(target * 0.15 * 2))
 
 
 SIZES = Sizes()
 
 
-def tokens(text: str) -> int:
-    return sum(1 for _ in TOKEN.finditer(text))
-
+def _squeezed(line: Column) -> Column:
+    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
 
-@dataclass
-class Block:
-    kind: str
-    text: str
-    path: list[str] = field(default_factory=list)
-    level: int = 0
-    language: str = ""
 
+def parse_blocks(pages: DataFrame) -> DataFrame:
+    """(page_id, title, place, kind, text, level, name, language, size, headings) of the blocks of pages (page_id, title, text as Markdown).
 
-def _is_table(line: str) -> bool:
-    bare = line.strip()
-    return bare.startswith("|") and bare.endswith("|")
-
+    A fence goes on to the next one or the end of the page; lists take indented lines along; headings are those above a block.
+    """
+    text = F.regexp_replace(X.text_of(F.col("text")), r"\r\n?", "\n")
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "title", F.posexplode(F.split(text, "\n")).alias("n", "line"))
+    line, w = F.col("line"), Window.partitionBy("page_id").orderBy("n")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    bare = _squeezed(line)
+    rows = rows.select(
+        "*",
+        F.startswith(line, F.lit(FENCE)).alias("fence"),
+        F.rlike(line, F.lit(LIST_ITEM)).alias("item"),
+        (F.startswith(line, F.lit("  ")) | F.startswith(line, F.lit("\t"))).alias("indented"),
+        (F.startswith(bare, F.lit("|")) & F.endswith(bare, F.lit("|"))).alias("table"),
+        (bare == "").alias("blank"),
+    )
+    rows = rows.withColumn("inside", F.coalesce(F.sum(F.col("fence").cast("int")).over(before), F.lit(0)) % 2 == 1)
+    code = F.col("inside") | F.col("fence")
+    settled = code | F.col("item") | ~F.col("indented")  # lines that don't depend on the one before
+    rows = rows.withColumn("in_list", F.last(F.when(settled, F.col("item") & ~code), ignorenulls=True).over(before))
+    kind = (
+        F.when(code, "code")
+        .when(F.coalesce(F.col("in_list"), F.lit(False)) & F.col("indented"), "list")
+        .when(F.col("blank"), None)
+        .when(F.rlike(line, F.lit(HEADING)), "heading")
+        .when(F.col("table"), "table")
+        .when(F.col("item"), "list")
+        .otherwise("paragraph")
+    )
+    rows = rows.withColumn("kind", kind)
+    last = F.lag("kind").over(w)
+    opens = F.when(F.col("kind") == "code", F.col("fence") & ~F.col("inside")).otherwise((F.col("kind") == "heading") | ~last.eqNullSafe(F.col("kind")) | ((F.col("kind") == "paragraph") & F.rlike(line, F.lit(HEADED))))
+    rows = rows.withColumn("opens", F.coalesce(opens & F.col("kind").isNotNull(), F.lit(False)))
+    rows = rows.withColumn("place", F.sum(F.col("opens").cast("int")).over(w) - 1).filter("kind is not null")
+    lines = F.sort_array(F.collect_list(F.struct("n", "line")))
+    blocks = rows.groupBy("page_id", "place").agg(F.first("title").alias("title"), F.first("kind").alias("kind"), lines.alias("lines"))
+    first = F.element_at("lines.line", 1)
+    heading = F.col("kind") == "heading"
+    blocks = blocks.select(
+        "page_id",
+        "title",
+        "place",
+        "kind",
+        F.array_join("lines.line", "\n").alias("text"),
+        F.when(heading, F.length(F.regexp_extract(first, HEADING, 1))).otherwise(0).alias("level"),
+        F.when(heading, F.regexp_extract(first, HEADING, 2)).otherwise("").alias("name"),
+        F.when(F.col("kind") == "code", F.regexp_extract(first, r"^`{3}\s*(\S*)", 1)).otherwise("").alias("language"),
+    )
+    return _with_headings(blocks.withColumn("size", X.token_count(F.col("text"))), "page_id")
+
+
+def _with_headings(blocks: DataFrame, *scope: str) -> DataFrame:
+    """blocks with the path of headings above each, within the scope: a heading of level n keeps n - 1 of those before it."""
+    empty = F.array().cast("array<string>")
+    told = blocks.filter("kind = 'heading'").groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct("place", "level", "name"))).alias("h"))
+
+    def below(was: Column, h: Column) -> Column:
+        path = F.concat(F.slice(was["path"], F.lit(1), h["level"] - 1), F.array(h["name"]))
+        return F.struct(path.alias("path"), F.concat(was["told"], F.array(F.struct(h["place"].alias("place"), path.alias("path")))).alias("told"))
+
+    start = F.struct(empty.alias("path"), F.expr("cast(array() as array<struct<place:bigint,path:array<string>>>)").alias("told"))
+    paths = told.select(*scope, F.inline(F.aggregate("h", start, below)["told"]))
+    w = Window.partitionBy(*scope).orderBy("place")
+    out = blocks.drop("headings").join(paths, [*scope, "place"], "left").withColumn("headings", F.last("path", ignorenulls=True).over(w))
+    return out.withColumn("headings", F.coalesce("headings", empty)).drop("path")
+
+
+def runs(sizes: Column, begins: Column, most: Column | int) -> Column:
+    """The number of the run of each of sizes: a new one where begins says so, and before a run would grow over most."""
+    most = most if isinstance(most, Column) else F.lit(most)
+
+    def add(was: Column, x: Column) -> Column:
+        new = x["begins"] | ((was["sum"] > 0) & (was["sum"] + x["size"] > most))
+        run = was["run"] + F.when(new | (F.size(was["out"]) == 0), 1).otherwise(0)
+        return F.struct(run.alias("run"), F.when(new, x["size"]).otherwise(was["sum"] + x["size"]).alias("sum"), F.concat(was["out"], F.array(run)).alias("out"))
+
+    items = F.zip_with(sizes, begins, lambda s, b: F.struct(s.alias("size"), b.alias("begins")))
+    start = F.struct(F.lit(-1).alias("run"), F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(items, start, add)["out"]
+
+
+def _numbered(rows: DataFrame, scope: list[str], order: str, fold: Callable[[Column], Column], name: str) -> DataFrame:
+    """rows with a number that fold gives for the array of their structs (in order) of a scope."""
+    rest = [c for c in rows.columns if c not in scope]
+    told = rows.groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct(order, *(c for c in rest if c != order)))).alias("_all"))
+    out = told.select(*scope, F.explode(F.zip_with("_all", fold(F.col("_all")), lambda x, n: F.struct(x.alias("x"), n.alias("n")))).alias("_one"))
+    return out.select(*scope, "_one.x.*", F.col("_one.n").alias(name))
+
+
+def _joined(texts: Column) -> Column:
+    return F.array_join(F.filter(F.transform(texts, _squeezed), lambda t: t != ""), "\n\n")
 
-def blocks(markdown: str) -> Iterator[Block]:
-    """The headings, code, tables, lists and paragraphs of a page, each with the headings above it."""
-    lines, at, path = markdown.splitlines(), 0, []
 
-    def run(first: int, goes_on: Callable[[str], bool]) -> int:
-        end = first + 1
-        while end < len(lines) and goes_on(lines[end]):
-            end += 1
-        return end
+def parent_chunks(pages: DataFrame, sizes: Sizes = SIZES, control: bool = False) -> DataFrame:
+    """(page_id, title, parent_id, content, headings, blocks, section, tokens, parts) of pages.
 
-    while at < len(lines):
-        line = lines[at]
-        end, language, level = at + 1, "", 0
-        if not line.strip():
-            at += 1
+    Parents begin at headings of known sections and where the size is reached. A short one joins the one before it if both are of one
+    section; all of its kinds of blocks are kept.
+    """
+    section = classify.control_section if control else classify.section
+    known = F.col("section").isin(*(classify.CONTROL_SECTIONS if control else classify.SECTIONS))
+    rows = parse_blocks(pages).withColumn("section", section(F.col("headings"), F.col("text")))
+    rows = rows.withColumn("begins", (F.col("kind") == "heading") & (F.col("level") <= TOP_LEVEL) & known)
+    rows = _numbered(rows, ["page_id"], "place", lambda a: runs(F.transform(a, lambda x: x["size"]), F.transform(a, lambda x: x["begins"]), sizes.parent_most), "part")
+    part = F.sort_array(F.collect_list(F.struct("place", "kind", "text", "level", "name", "language", "size", "headings"))).alias("parts")
+    made = rows.groupBy("page_id", "part").agg(F.first("title").alias("title"), F.sum("size").cast("int").alias("size"), part)
+    path = lambda parts: F.coalesce(F.get(F.filter(F.transform(parts, lambda b: b["headings"]), lambda h: F.size(h) > 0), F.lit(0)), F.array().cast("array<string>"))
+    made = made.withColumn("headings", path(F.col("parts"))).withColumn("section", section(F.col("headings"), _joined(F.col("parts.text"))))
+
+    def merge(was: Column, x: Column) -> Column:
+        same = (x["size"] < sizes.child_least) & (x["section"] == was["section"]) & (was["size"] + x["size"] <= sizes.parent_most)
+        group = was["group"] + F.when(same, 0).otherwise(1)
+        return F.struct(group.alias("group"), F.when(same, was["size"] + x["size"]).otherwise(x["size"]).alias("size"), x["section"].alias("section"), F.concat(was["out"], F.array(group)).alias("out"))
+
+    start = F.struct(F.lit(-1).alias("group"), F.lit(0).alias("size"), F.lit("").alias("section"), F.array().cast("array<int>").alias("out"))
+    made = _numbered(made, ["page_id"], "part", lambda a: F.aggregate(a, start, merge)["out"], "group")
+    out = made.groupBy("page_id", "group").agg(F.first("title").alias("title"), F.min_by("headings", "part").alias("headings"), F.min_by("section", "part").alias("section"), F.sum("size").cast("int").alias("tokens"), F.flatten(F.sort_array(F.collect_list(F.struct("part", "parts")))["parts"]).alias("parts"))
+    number = F.concat("page_id", F.lit("_p"), F.lpad(F.col("group").cast("string"), 3, "0")).alias("parent_id")
+    kinds = F.array_sort(F.array_except(F.array_distinct(F.col("parts.kind")), F.array(F.lit("heading")))).alias("blocks")
+    return out.select("page_id", "title", number, _joined(F.col("parts.text")).alias("content"), "headings", kinds, "section", "tokens", "parts")
+
+
+def _pieces(most: int) -> Column:
+    """The texts of a block (kind, text) of more than most tokens: tables repeat their two header lines, code its fences, text ends at sentences."""
+    lines, kind = F.split("text", "\n"), F.col("kind")
+    n, closed = F.size(lines), F.startswith(F.element_at(lines, -1), F.lit(FENCE))
+    none = F.array().cast("array<string>")
+    table, code = kind == "table", kind == "code"
+    head = F.when(table, F.slice(lines, 1, 2)).when(code, F.slice(lines, 1, 1)).otherwise(none)
+    foot = F.when(code, F.array(F.lit(FENCE))).otherwise(none)
+    last = n - F.when(code & closed, 1).otherwise(0)
+    rows = F.when(table | code, F.slice(lines, F.size(head) + 1, F.greatest(last - F.size(head), F.lit(0)))).otherwise(F.split("text", SENTENCE))
+    room = F.lit(most) - X.token_count(F.array_join(F.concat(head, foot), " "))
+    dealt = runs(F.transform(rows, X.token_count), F.transform(rows, lambda _: F.lit(False)), room)
+    glue = F.when(table | code, "\n").otherwise(" ")
+    told = F.zip_with(rows, dealt, lambda r, n: F.struct(r.alias("r"), n.alias("n")))
+    made = F.transform(F.sequence(F.lit(0), F.array_max(dealt)), lambda g: F.concat(head, F.transform(F.filter(told, lambda x: x["n"] == g), lambda x: x["r"]), foot))
+    small = (X.token_count(F.col("text")) <= most) | ((table | code) & (n <= 3)) | (F.size(rows) == 0)
+    return F.when(small, F.array("text")).otherwise(F.transform(made, lambda p: F.when(glue == "\n", F.array_join(p, "\n")).otherwise(F.array_join(p, " "))))
+
+
+PLAN = "array<struct<pieces:array<int>,tail_of:array<int>,tail_lines:int,room:int>>"
+
+
+def plan_children(sizes: list[int], kinds: list[str], lines: list[list[int]], least: int, target: int, most: int, overlap: int) -> list[tuple]:
+    """Which pieces make up each child of a parent, and how many last lines of the child before it lead it in.
+
+    sizes, kinds and lines are the tokens of each piece, its kind, and the tokens of its lines. A child is closed when the next piece would
+    take it over the target. Code and tables bring the text before them along. A child under the least size joins the
+    one before, unless it has code or a table. Lines lead in until they have `overlap` tokens, if there is room.
+    """
+    groups: list[list[int]] = [[]]
+    context = None
+    for i, kind in enumerate(kinds):
+        hard, group = kind in ("code", "table"), groups[-1]
+        if group and sum(sizes[k] for k in group) + sizes[i] > target:
+            groups.append([])
+            group = groups[-1]
+        if hard and not group and context is not None:
+            group.append(context)
+        group.append(i)
+        context = i if kind in ("paragraph", "list") else context
+    out: list[tuple] = []
+    for group in filter(None, groups):
+        size = sum(sizes[k] for k in group)
+        if out and size < least and not {"code", "table"} & {kinds[k] for k in group}:
+            out[-1] = ([*out[-1][0], *group], *out[-1][1:])
             continue
-        if title := HEADING.match(line):
-            kind, level = "heading", len(title[1])
-            path = [*path[: level - 1], title[2].strip()]
-        elif line.startswith("```"):
-            kind = "code"
-            language = (line[3:].split() or [""])[0]
-            end = min(len(lines), run(at, lambda x: not x.startswith("```")) + 1)
-        elif _is_table(line):
-            kind, end = "table", run(at, _is_table)
-        elif LIST_ITEM.match(line):
-            kind, end = "list", run(at, lambda x: bool(LIST_ITEM.match(x)) or x.startswith(("  ", "\t")))
-        else:
-            kind = "paragraph"
-            end = run(at, lambda x: bool(x.strip()) and not re.match(r"#{1,6}\s+", x) and not x.startswith("```") and not _is_table(x) and not LIST_ITEM.match(x))
-        yield Block(kind, "\n".join(lines[at:end]), list(path), level, language)
-        at = end
-
-
-def joined(parts: list[Block]) -> str:
-    return "\n\n".join(t for t in (b.text.strip() for b in parts) if t)
-
-
-def _path(parts: list[Block]) -> list[str]:
-    return next((b.path for b in parts if b.path), [])
-
-
-def _kinds(parts: list[Block]) -> list[str]:
-    return sorted({b.kind for b in parts} - {"heading"})
-
+        room = max(0, most - size)
+        before, taken = (out[-1][0], 0) if out and room else ([], 0)
+        if before:
+            counts = np.array([x for k in before for x in (*lines[k], 0)][-2::-1])  # from the end; an empty line parts pieces
+            sums = np.cumsum(counts)
+            taken = min(len(counts), int(np.searchsorted(sums, min(overlap, room))) + 1)
+        out.append((group, before, taken, room))
+    return out
 
-def _rule(rules: dict, text: str, default: str) -> str:
-    return next((name for name, words in rules.items() if any(w in text for w in words)), default)
 
+def _paired(text: Column) -> Column:
+    """text with its code fences in pairs: an open one is closed, one whose begin is missing gets it."""
+    odd = F.regexp_count(text, F.lit(r"(?m)^`{3}")) % 2 == 1
+    return F.when(odd & F.rlike(text, F.lit(r"^\s*`{3}")), F.concat(text, F.lit(f"\n{FENCE}"))).when(odd, F.concat(F.lit(f"{FENCE}\n"), text)).otherwise(text)
 
-def section_of(path: list[str], text: str, control: bool = False) -> str:
-    if control:
-        for part in (" ".join(path), text[:800]):
-            if found := _rule(classify.CONTROL_SECTIONS, part.lower(), ""):
-                return found
-    return _rule(classify.SECTIONS, " ".join([*path, text[:800]]).lower(), "general")
 
+def chunk_pages(pages: DataFrame, sizes: Sizes = SIZES, control: bool = False) -> DataFrame:
+    """(page_id, title, parent_id, chunk_id, chunk_index, content, headings, blocks, languages, tokens, overlap): child chunks; ids count over the page."""
+    above = parent_chunks(pages, sizes, control).select("page_id", "title", "parent_id", F.col("headings").alias("parent_headings"), "parts")
+    blocks = above.select("page_id", "title", "parent_id", "parent_headings", F.posexplode("parts").alias("place", "b")).select("page_id", "title", "parent_id", "parent_headings", F.col("place").cast("long").alias("place"), "b.kind", "b.text", "b.level", "b.name", "b.language")
+    blocks = _with_headings(blocks, "page_id", "parent_id")  # headings begin anew in each parent
+    pieces = blocks.select("*", F.posexplode(_pieces(sizes.child_most)).alias("sub", "piece")).withColumn("piece", _squeezed(F.col("piece")))
+    pieces = pieces.select("page_id", "title", "parent_id", "parent_headings", F.struct("place", "sub", "kind", F.col("piece").alias("text"), "language", "headings", X.token_count(F.col("piece")).alias("size"), F.transform(F.split("piece", "\n"), X.token_count).alias("lines")).alias("p"))
+    rows = pieces.groupBy("page_id", "parent_id").agg(F.first("title").alias("title"), F.first("parent_headings").alias("parent_headings"), F.sort_array(F.collect_list("p")).alias("p"))
+    plan = F.udf(lambda s, k, n: plan_children(list(s), list(k), [list(x) for x in n], sizes.child_least, sizes.child_target, sizes.child_most, sizes.overlap), PLAN, useArrow=True)
+    rows = rows.select("*", F.posexplode(plan(F.col("p.size"), F.col("p.kind"), F.col("p.lines"))).alias("child", "c"))
+    of = lambda numbers, field: F.transform(numbers, lambda i: F.get(F.col("p"), i)[field])
+    own = F.array_join(of(F.col("c.pieces"), "text"), "\n\n")
+    tail = F.split(F.array_join(of(F.col("c.tail_of"), "text"), "\n\n"), "\n")
+    lead = F.when(F.col("c.tail_lines") > 0, _paired(_squeezed(F.array_join(F.slice(tail, -F.least(F.col("c.tail_lines"), F.size(tail)), F.col("c.tail_lines")), "\n")))).otherwise("")
+    rows = rows.withColumn("own", own).withColumn("lead", lead).withColumn("lead", F.when(X.token_count(F.col("lead")) <= F.col("c.room"), F.col("lead")).otherwise(""))
+    content = F.when(F.col("lead") == "", F.col("own")).otherwise(F.concat("lead", F.lit("\n\n"), "own"))
+    path = F.coalesce(F.get(F.filter(of(F.col("c.pieces"), "headings"), lambda h: F.size(h) > 0), F.lit(0)), F.col("parent_headings"))
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy("parent_id", "child")) - 1
+    rows = rows.withColumn("chunk_index", number)
+    kinds = F.array_sort(F.array_except(F.array_distinct(of(F.col("c.pieces"), "kind")), F.array(F.lit("heading"))))
+    languages = F.array_sort(F.array_distinct(F.filter(of(F.col("c.pieces"), "language"), lambda x: x != "")))
+    return rows.select(
+        "page_id", "title", "parent_id", F.concat("page_id", F.lit("_"), F.lpad(F.col("chunk_index").cast("string"), 3, "0")).alias("chunk_id"), "chunk_index",
+        content.alias("content"), path.alias("headings"), kinds.alias("blocks"), languages.alias("languages"), X.token_count(content).alias("tokens"), X.token_count(F.col("lead")).alias("overlap"),
+    )
+
+
+def enriched(chunks: DataFrame, profile: str = "runbook_like", parents: DataFrame | None = None) -> DataFrame:
+    """chunks with domain, section, keywords, tags, hash and embedding_text; of parents (parent_id, domain) they take the domain."""
+    title, headings, content = F.col("title"), F.col("headings"), F.col("content")
+    out = chunks.withColumn("chunk_domain", classify.chunk_domain(title, headings, content)).withColumn("section", classify.section(headings, content))
+    out = out.withColumn("_whole", classify.haystack(title, headings, F.col("chunk_domain"), F.col("section"), content))
+    out = out.withColumn("domain", classify.final_domain(F.col("_whole"), F.col("chunk_domain"))).withColumn("section", classify.refined_section(F.col("_whole"), F.col("section")))
+    words = X.control_keywords if profile == "control_like" else X.keywords
+    out = out.withColumn("keywords", words(content, headings)).withColumn("tags", classify.tags(F.col("_whole"), F.col("domain"), F.col("keywords"), F.col("blocks"), F.col("languages")))
+    if parents is not None:
+        out = out.join(parents.select("parent_id", F.col("domain").alias("_above")), "parent_id", "left")
+        domain, tags = classify.inherited(F.col("domain"), F.col("_above"), F.col("tags"))
+        out = out.withColumn("tags", tags).withColumn("domain", domain).drop("_above")
+    text = X.embedding_text(title, headings, content, F.col("domain"), F.col("section"), F.col("blocks"), F.col("tags"), F.col("keywords"), F.lit(profile))
+    return out.withColumn("hash", F.sha2("content", 256)).withColumn("embedding_text", text).drop("_whole")
 
-def _packed(parts: list[Block], most: int) -> Iterator[list[Block]]:
-    """Runs of parts of at most `most` tokens; a larger part is a run of its own."""
-    run: list[Block] = []
-    for part in parts:
-        if run and tokens(joined([*run, part])) > most:
-            yield run
-            run = []
-        run.append(part)
-    if run:
-        yield run
 
+# flat baselines
 
-def parents(page: list[Block], sizes: Sizes = SIZES, control: bool = False) -> list[dict]:
-    """The parent chunks of a page: cut at headings that start a known section and at the greatest size.
 
-    A short parent joins the one before it if both are of one section. Block kinds of joined parents are kept.
-    """
-    starts = set(classify.CONTROL_SECTIONS) if control else set(classify.SECTIONS)
-    sections: list[list[Block]] = []
-    for block in page:
-        if not sections or (block.kind == "heading" and block.level <= 3 and section_of(block.path, block.text, control) in starts):
-            sections.append([])
-        sections[-1].append(block)
-    made = []
-    for part in (run for section in sections for run in _packed(section, sizes.parent_most)):
-        text, path = joined(part), _path(part)
-        made.append({"text": text, "path": path, "section": section_of(path, text, control), "kinds": _kinds(part), "size": tokens(text)})
-    out: list[dict] = []
-    for one in made:
-        last = out[-1] if out else None
-        both = f"{last['text']}\n\n{one['text']}" if last else ""
-        if last and one["size"] < sizes.child_least and last["section"] == one["section"] and tokens(both) <= sizes.parent_most:
-            out[-1] = last | {"text": both, "kinds": sorted({*last["kinds"], *one["kinds"]}), "size": tokens(both)}
-        else:
-            out.append(one)
-    return out
+def _spans(text: str | None, size: int, overlap: int) -> list[tuple[int, int, int]]:
+    """(begin, length, tokens) of windows of size tokens, each overlap into the one before."""
+    at = [m.span() for m in TOKEN.finditer(text or "")]
+    starts = range(0, max(1, len(at) - overlap), size - overlap)
+    return [(at[i][0], at[min(i + size, len(at)) - 1][1] - at[i][0], min(size, len(at) - i)) for i in starts if at]
 
 
-def _fitting(block: Block, most: int) -> list[Block]:
-    """A block cut to size: tables repeat their two header lines, code its fences, text ends at sentences."""
-    if tokens(block.text) <= most:
-        return [block]
-    lines = block.text.splitlines()
-    if block.kind in ("table", "code") and len(lines) <= 3:
-        return [block]
-    if block.kind == "table":
-        head, foot, rows, glue = lines[:2], [], lines[2:], "\n"
-    elif block.kind == "code":
-        closed = lines[-1].startswith("```")
-        head, foot, rows, glue = lines[:1], [lines[-1] if closed else "```"], lines[1:-1] if closed else lines[1:], "\n"
-    else:
-        head, foot, rows, glue = [], [], SENTENCE.split(block.text), " "
-    out, part = [], []
-    for row in rows:
-        if part and tokens(glue.join([*head, *part, row, *foot])) > most:
-            out.append(part)
-            part = []
-        part.append(row)
-    return [Block(block.kind, glue.join([*head, *p, *foot]).strip(), block.path, block.level, block.language) for p in [*out, part] if p] or [block]
-
-
-def _groups(page: list[Block], sizes: Sizes) -> Iterator[list[Block]]:
-    """Blocks for each child; code and tables that begin one take the text before them along."""
-    group: list[Block] = []
-    before: Block | None = None
-    for block in (x for b in page for x in _fitting(b, sizes.child_most)):
-        structured = block.kind in ("code", "table")
-        if structured and not group and before:
-            group = [before]
-        if group and tokens(joined([*group, block])) > sizes.child_target:
-            yield group
-            group = [before] if structured and before else []
-        group.append(block)
-        if block.kind in ("paragraph", "list"):
-            before = block
-    if group:
-        yield group
-
-
-def _fenced(text: str) -> str:
-    """text with its code fences in pairs."""
-    lines = text.splitlines()
-    if sum(x.startswith("```") for x in lines) % 2 == 0:
-        return text
-    first = next((x.strip() for x in lines if x.strip()), "")
-    return f"{text}\n```" if first.startswith("```") else f"```\n{text}"
-
-
-def _tail(text: str, most: int) -> str:
-    """The last lines of text, until they reach `most` tokens."""
-    taken, n = [], 0
-    for line in reversed(text.splitlines()):
-        taken.append(line)
-        n += tokens(line)
-        if n >= most:
+def token_windows(pages: DataFrame, size: int = 400, overlap: int = 50) -> DataFrame:
+    """(page_id, title, place, content, headings, tokens): windows of `size` tokens, each `overlap` into the one before."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be between 0 and size")
+    spans = F.udf(lambda t: _spans(t, size, overlap), "array<struct<begin:int,length:int,tokens:int>>", useArrow=True)
+    rows = pages.select("page_id", "title", "text", F.posexplode(spans(F.col("text"))).alias("place", "s"))
+    return rows.select("page_id", "title", "place", F.substr("text", F.col("s.begin") + 1, F.col("s.length")).alias("content"), F.array().cast("array<string>").alias("headings"), F.col("s.tokens").alias("tokens"))
+
+
+def _units(text: Column, most: int) -> Column:
+    """A text cut at empty lines, parts over most tokens at line ends, and lines over it every half as many words."""
+    words = lambda x: F.transform(F.sequence(F.lit(0), F.size(F.split(x, " ")) - 1, F.lit(max(1, most // 2))), lambda i: F.array_join(F.slice(F.split(x, " "), i + 1, max(1, most // 2)), " "))
+    fits = lambda x: X.token_count(x) <= most
+    lines = lambda x: F.flatten(F.transform(F.split(x, "\n"), lambda y: F.when(fits(y), F.array(y)).otherwise(words(y))))
+    return F.filter(F.flatten(F.transform(F.split(X.text_of(text), "\n{2,}"), lambda x: F.when(fits(x), F.array(x)).otherwise(lines(x)))), lambda x: F.trim(x) != "")
+
+
+def _packed(sizes: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """(first, number) of runs of at most size tokens; each begins with the last units of the one before, up to overlap tokens of them."""
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    out, first = [], 0
+    while first < len(sizes):
+        stop = max(first + 1, int(np.searchsorted(sums, sums[first] + size, "right")) - 1)
+        out.append((first, stop - first))
+        if stop == len(sizes):
             break
-    return _fenced("\n".join(reversed(taken)).strip())
-
-
-def children(parent: dict, sizes: Sizes = SIZES) -> list[dict]:
-    """The child chunks of a parent; each begins with the end of the one before where there is room."""
-    out: list[dict] = []
-    tail = ""
-    for group in _groups(list(blocks(parent["text"])), sizes):
-        text = joined(group)
-        if out and tokens(text) < sizes.child_least and not {"code", "table"} & {b.kind for b in group}:
-            text, tail = f"{out.pop()['text']}\n\n{text}", ""
-        room = max(0, sizes.child_most - tokens(text))
-        overlap = _tail(tail, min(sizes.overlap, room)) if tail and room else ""
-        if tokens(overlap) > room:
-            overlap = ""
-        whole = f"{overlap}\n\n{text}".strip() if overlap else text
-        languages = sorted({b.language for b in group if b.kind == "code" and b.language})
-        out.append({"text": whole, "path": _path(group) or parent["path"], "kinds": _kinds(group), "overlap": tokens(overlap), "size": tokens(whole), "languages": languages})
-        tail = text
+        first = max(first + 1, int(np.searchsorted(sums, sums[stop] - overlap)))
+        if sums[min(stop + 1, len(sizes))] - sums[first] > size:  # the next unit wouldn't fit behind them
+            first = stop
     return out
 
 
-CHUNKS = "page_id string, title string, parent_id string, chunk_id string, chunk_index int, content string, headings array<string>, blocks array<string>, languages array<string>, tokens int, overlap int, error string"
+def recursive_split(pages: DataFrame, size: int = 400, overlap: int = 50) -> DataFrame:
+    """(page_id, title, place, content, headings, tokens): text cut at the widest separators that keep parts to size, packed again with overlap."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be between 0 and size")
+    packed = F.udf(lambda s: _packed(list(s), size, overlap), "array<struct<first:int,n:int>>", useArrow=True)
+    rows = pages.select("page_id", "title", *(c for c in ("headings", "at") if c in pages.columns), _units(F.col("text"), size).alias("units"))
+    rows = rows.select("*", F.explode(packed(F.transform("units", X.token_count))).alias("r"))
+    content = F.array_join(F.slice("units", F.col("r.first") + 1, F.col("r.n")), "\n")
+    order = [c for c in ("at",) if c in rows.columns]
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy(*order, "r.first")) - 1
+    headings = F.col("headings") if "headings" in rows.columns else F.array().cast("array<string>")
+    return rows.select("page_id", "title", place.alias("place"), content.alias("content"), headings.alias("headings"), X.token_count(content).alias("tokens"))
 
 
-def _per_page(pages: DataFrame, rows: Callable[[str, str, str], Iterator[tuple]], schema: str) -> DataFrame:
-    names = [x.strip().split()[0] for x in re.split(r",(?![^<]*>)", schema)]
+def heading_split(pages: DataFrame, size: int = 400, overlap: int = 50, levels: int = 3) -> DataFrame:
+    """recursive_split of the sections between headings of the first levels, with the headings above each."""
+    blocks = parse_blocks(pages)
+    begins = ((F.col("kind") == "heading") & (F.col("level") <= levels)).cast("int")
+    blocks = blocks.withColumn("at", F.sum(begins).over(Window.partitionBy("page_id").orderBy("place")))
+    texts = F.sort_array(F.collect_list(F.struct("place", "text")))
+    sections = blocks.groupBy("page_id", "at").agg(F.first("title").alias("title"), F.min_by("headings", "place").alias("headings"), texts.alias("t"))
+    return recursive_split(sections.select("page_id", "title", "at", "headings", F.array_join("t.text", "\n\n").alias("text")), size, overlap)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for page, title, text in zip(batch["page_id"], batch["title"], batch["text"], strict=True):
-                try:
-                    out += rows(page, title or "", text or "")
-                except Exception as e:  # one bad page is a row, not a failed job
-                    out.append((page, title, *[None] * (len(names) - 3), f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=names)
 
-    slim = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("title").alias("title"), F.col("text").alias("text"))
-    return slim.mapInPandas(run, schema)
+#: Strategies by name: each takes pages, a size and an overlap in tokens.
+STRATEGIES: dict[str, Callable[[DataFrame, int, int], DataFrame]] = {"token": token_windows, "markdown": heading_split, "recursive": recursive_split}
+STRATEGIES["structured"] = lambda pages, size, overlap: chunk_pages(pages, Sizes.around(size)).select("page_id", "title", F.col("chunk_index").alias("place"), "content", "headings", "tokens")
 
 
-def chunk_pages(pages: DataFrame, sizes: Sizes = SIZES, control: bool = False) -> DataFrame:
-    """Child chunks of pages (page_id, title, text as Markdown); ids count over the page, parents keep their number."""
+def chunked(pages: DataFrame, strategy: str, size: int = 400, overlap: int = 50) -> DataFrame:
+    """(page_id, title, place, content, headings, tokens, chunk_id) by a strategy."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}, one of {sorted(STRATEGIES)}")
+    out = STRATEGIES[strategy](pages, size, overlap)
+    return out.withColumn("chunk_id", F.concat(F.col("page_id").cast("string"), F.lit("_"), F.lpad(F.col("place").cast("string"), 3, "0")))
 
-    def rows(page: str, title: str, text: str) -> Iterator[tuple]:
-        n = 0
-        for i, parent in enumerate(parents(list(blocks(text)), sizes, control)):
-            for c in children(parent, sizes):
-                yield page, title, f"{page}_p{i:03d}", f"{page}_{n:03d}", n, c["text"], c["path"], c["kinds"], c["languages"], c["size"], c["overlap"], None
-                n += 1
 
-    return _per_page(pages, rows, CHUNKS)
+def index_name(strategy: str, size: int = 400, overlap: int = 50, prefix: str = "eval") -> str:
+    """A name for the index of a configuration, different for every one of them."""
+    return f"{prefix}-{strategy}-{hashlib.sha256(f'{strategy}:{size}:{overlap}'.encode()).hexdigest()[:8]}"
 
 
-def parent_chunks(pages: DataFrame, sizes: Sizes = SIZES, control: bool = False) -> DataFrame:
-    def rows(page: str, title: str, text: str) -> Iterator[tuple]:
-        for i, p in enumerate(parents(list(blocks(text)), sizes, control)):
-            yield page, title, f"{page}_p{i:03d}", p["text"], p["path"], p["kinds"], p["section"], p["size"], None
-
-    return _per_page(pages, rows, "page_id string, title string, parent_id string, content string, headings array<string>, blocks array<string>, section string, tokens int, error string")
-
-
-def parse_blocks(pages: DataFrame) -> DataFrame:
-    def rows(page: str, title: str, text: str) -> Iterator[tuple]:
-        for i, b in enumerate(blocks(text)):
-            yield page, title, i, b.kind, b.text, b.path, b.language, None
-
-    return _per_page(pages, rows, "page_id string, title string, place int, kind string, content string, headings array<string>, language string, error string")
-
-
-def enriched(chunks: DataFrame, profile: str = "runbook_like") -> DataFrame:
-    """chunks with domain, section, keywords, tags, hash and embedding_text."""
-    from lodestone.functions import text as X
-
-    title, headings, content = F.col("title"), F.col("headings"), F.col("content")
-    out = chunks.withColumn("chunk_domain", classify.chunk_domain(title, headings, content)).withColumn("section", classify.section(headings, content))
-    out = out.withColumn("_whole", classify.haystack(title, headings, F.col("chunk_domain"), F.col("section"), content))
-    out = out.withColumn("domain", classify.final_domain(F.col("_whole"), F.col("chunk_domain"))).withColumn("section", classify.refined_section(F.col("_whole"), F.col("section")))
-    out = out.withColumn("keywords", X.keywords(content, headings)).withColumn("tags", classify.tags(F.col("_whole"), F.col("domain"), F.col("keywords"), F.col("blocks"), F.col("languages")))
-    text = X.embedding_text(title, headings, content, F.col("domain"), F.col("section"), F.col("blocks"), F.col("tags"), F.col("keywords"), F.lit(profile))
-    return out.withColumn("hash", F.sha2("content", 256)).withColumn("embedding_text", text).drop("_whole")
-
-
-def token_windows(pages: DataFrame, size: int = 400, overlap: int = 50) -> DataFrame:
-    """Flat baseline: windows of `size` tokens, each `overlap` into the one before."""
+def size_sweep(pages: DataFrame, targets: tuple[int, ...] = (200, 400, 800)) -> DataFrame:
+    """(target, chunks, tokens, overlap): what chunks of several sizes come to."""
+    out = None
+    for t in targets:
+        one = chunk_pages(pages, Sizes.around(t)).agg(F.lit(t).alias("target"), F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"), F.sum("overlap").alias("overlap"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
-    def rows(page: str, title: str, text: str) -> Iterator[tuple]:
-        spans = [m.span() for m in TOKEN.finditer(text)]
-        for i, at in enumerate(range(0, max(1, len(spans) - overlap), size - overlap)):
-            part = spans[at : at + size]
-            if part:
-                yield page, title, i, text[part[0][0] : part[-1][1]], len(part), None
 
-    return _per_page(pages, rows, "page_id string, title string, place int, content string, tokens int, error string")
+# transcripts
 
 
 def transcript_windows(pages: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Windows of `size` characters that end at a line where one ends in their second half, each `overlap` into the one before."""
+    """(page_id, title, place, begin, content): windows of `size` characters, each `overlap` into the one before.
+
+    A window ends behind the last line end of its second half, if there is one. Where windows begin follows from the line ends alone,
+    so a fold over their places tells the windows, as many as fit the text.
+    """
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive, overlap between 0 and size")
+    text = X.text_of(F.col("text"))
+    rows = pages.select("page_id", "title", text.alias("text"))
+    # places behind line ends
+    lengths = F.transform(F.split("text", "\n"), lambda x: F.length(x) + 1)
+    ends = F.aggregate(lengths, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
+    rows = rows.withColumn("ends", ends).withColumn("n", F.length("text"))
+    # a step moves on by more than half a window less the overlap, or one character
+    step = max(1, size // 2 - overlap)
+
+    def on(was: Column, _: Column) -> Column:
+        stop = F.least(was["begin"] + size, F.col("n"))
+        line = F.array_max(F.filter("ends", lambda e: (e > was["begin"] + size // 2) & (e <= stop)))
+        end = F.when((stop < F.col("n")) & line.isNotNull(), line).otherwise(stop)
+        told = F.concat(was["told"], F.array(F.struct(was["begin"].alias("begin"), end.alias("end"))))
+        return F.when(was["done"], was).otherwise(F.struct(F.greatest(end - overlap, was["begin"] + 1).alias("begin"), (end >= F.col("n")).alias("done"), told.alias("told")))
+
+    start = F.struct(F.lit(0).alias("begin"), F.lit(False).alias("done"), F.expr("cast(array() as array<struct<begin:int,end:int>>)").alias("told"))
+    steps = F.sequence(F.lit(0), F.floor(F.col("n") / step).cast("int"))
+    rows = rows.select("page_id", "title", "text", F.posexplode(F.aggregate(steps, start, on)["told"]).alias("place", "w"))
+    return rows.select("page_id", "title", "place", F.col("w.begin").alias("begin"), F.substr("text", F.col("w.begin") + 1, F.col("w.end") - F.col("w.begin")).alias("content"))
+
+
+def tree_reduced(parts: DataFrame, merge: Callable[[Column], Column], batch: int = 4) -> DataFrame:
+    """(page_id, text): the parts (page_id, place, text) of each page merged `batch` at a time, level by level, until one is left.
+
+    merge makes one text of an array of texts in order. A level is one shuffle; there are as many as the longest page has powers of batch.
+    """
+    rows = parts.select("page_id", "place", "text")
+    most = rows.agg(F.coalesce(F.max("place"), F.lit(0))).first()[0] + 1
+    while most > 1:
+        told = F.sort_array(F.collect_list(F.struct("place", "text")))
+        rows = rows.groupBy("page_id", F.floor(F.col("place") / batch).cast("int").alias("level")).agg(told.alias("t"))
+        rows = rows.select("page_id", F.col("level").alias("place"), F.when(F.size("t") == 1, F.element_at("t.text", 1)).otherwise(merge(F.col("t.text"))).alias("text"))
+        most = -(-most // batch)
+    return rows.select("page_id", "text")
 
-    def rows(page: str, title: str, text: str) -> Iterator[tuple]:
-        begin = place = 0
-        while True:
-            end = min(begin + size, len(text))
-            if end < len(text) and (line := text.rfind("\n", begin + size // 2, end)) > begin:
-                end = line + 1
-            yield page, title, place, begin, text[begin:end], None
-            if end >= len(text):
-                return
-            begin, place = max(end - overlap, begin + 1), place + 1
-
-    return _per_page(pages, rows, "page_id string, title string, place int, begin int, content string, error string")
 
+# HTML
 
-# Elements and class names that hold no content of documentation pages.
+# Elements, class names and ids that hold no content of documentation pages; lines that tools leave behind.
 SKIPPED = frozenset("nav header footer aside script style".split())
-SKIPPED_NAMES = frozenset("cookie-banner td-sidebar td-toc feedback-widget pre-footer navbar footer edit-page left-column sidebar feedback".split())
-BREAKS = frozenset("p div section article ul ol table tr blockquote br hr main body".split())
+SKIPPED_CLASSES = frozenset("cookie-banner td-sidebar td-toc feedback-widget navbar footer edit-page sidebar feedback".split())
+SKIPPED_IDS = frozenset("pre-footer left-column footer".split())
+LEFT_OVER = re.compile(r"(?m)^(?:#[0-9A-Fa-f]{6}|page,whiteboard,database,blog\d+concisetrue)\s*$\n?")
+BREAKS = frozenset("p div section article ul ol table blockquote br hr main body".split())
+VOID = frozenset("br img hr meta link input".split())
 
 
 class _Markdown(HTMLParser):
-    """Pages as Markdown: headings, lists, code, links to other sites, alternative texts."""
+    """Pages as Markdown: headings, lists, tables, code, links to other sites, alternative texts; code macros of wikis, no others."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.skip: list[str] = []
         self.link: tuple[int, str] | None = None
-        self.pre = 0
+        self.pre = self.rows = 0
 
     def handle_starttag(self, tag, attrs):
         given = {k: v or "" for k, v in attrs}
-        names = {*given.get("class", "").split(), given.get("id", "")}
-        if self.skip or tag in SKIPPED or not SKIPPED_NAMES.isdisjoint(names) or "data-nav" in given:
-            if tag not in ("br", "img", "hr", "meta", "link", "input"):
+        macro = tag == "ac:structured-macro" and given.get("ac:name") != "code"
+        noise = tag in SKIPPED or macro or "data-nav" in given or given.get("id") in SKIPPED_IDS or not SKIPPED_CLASSES.isdisjoint(given.get("class", "").split())
+        if self.skip or noise or tag == "ac:parameter":
+            if tag not in VOID:
                 self.skip.append(tag)
         elif re.fullmatch("h[1-6]", tag):
             self.out.append("\n\n" + "#" * int(tag[1]) + " ")
         elif tag == "li":
             self.out.append("\n- ")
-        elif tag == "pre":
+        elif tag in ("pre", "ac:plain-text-body"):
             self.pre += 1
             self.out.append("\n\n```\n")
+        elif tag == "tr":
+            self.rows += 1
+            self.out.append("\n|")
+        elif tag in ("td", "th"):
+            self.out.append(" ")
         elif tag == "code" and not self.pre:
             self.out.append("`")
         elif tag in ("b", "strong"):
@@ -369,6 +476,7 @@ class _Markdown(HTMLParser):
         elif tag == "a":
             self.link = (len(self.out), given.get("href", "").strip())
         elif tag in BREAKS:
+            self.rows = 0 if tag == "table" else self.rows
             self.out.append("\n" if tag == "br" else "\n\n")
 
     def handle_endtag(self, tag):
@@ -378,9 +486,19 @@ class _Markdown(HTMLParser):
                     pass
         elif re.fullmatch("h[1-6]", tag) or tag in BREAKS:
             self.out.append("\n\n")
-        elif tag == "pre" and self.pre:
+        elif tag in ("pre", "ac:plain-text-body") and self.pre:
             self.pre -= 1
+            self.out[-1:] = [self.out[-1].rstrip("\n")] if self.out[-1] != "\n\n```\n" else ["\n\n```"]
             self.out.append("\n```\n\n")
+        elif tag in ("td", "th"):
+            self.out.append(" |")
+        elif tag == "tr" and self.rows == 1:  # a line parts the first row from the others
+            width = 0
+            for piece in reversed(self.out):
+                width += piece == " |"
+                if piece == "\n|":
+                    break
+            self.out.append("\n|" + " --- |" * width)
         elif tag == "code" and not self.pre:
             self.out.append("`")
         elif tag in ("b", "strong"):
@@ -391,6 +509,10 @@ class _Markdown(HTMLParser):
                 self.out.append(f" ({href})")
             self.link = None
 
+    def unknown_decl(self, data):
+        if data.startswith("CDATA["):
+            self.handle_data(data[6:])
+
     def handle_data(self, data):
         if not self.skip:
             self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
@@ -400,8 +522,7 @@ def to_markdown(html: str) -> str:
     parser = _Markdown()
     parser.feed(html)
     parser.close()
-    text = "".join(parser.out).replace("\xa0", " ")
-    text = re.sub(r"(?m)^#[0-9A-Fa-f]{6}\s*$\n?", "", text)
+    text = LEFT_OVER.sub("", "".join(parser.out).replace("\xa0", " "))
     lines, code = [], False
     for line in text.splitlines():
         code ^= line.startswith("```")
@@ -411,5 +532,18 @@ def to_markdown(html: str) -> str:
 
 
 def clean_html(pages: DataFrame) -> DataFrame:
-    """(page_id, title, content, error) of pages (page_id, title, text as HTML)."""
-    return _per_page(pages, lambda page, title, text: iter([(page, title, to_markdown(text), None)]), "page_id string, title string, content string, error string")
+    """(page_id, title, content, error) of pages (page_id, title, text as HTML); content is null where the error says why."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told: list[tuple[str | None, str | None]] = []
+            for text in batch.column("text").to_pylist():
+                try:
+                    told.append((to_markdown(text or ""), None))
+                except Exception as e:  # one bad page is a row, not a failed job
+                    told.append((None, f"{type(e).__name__}: {e}"))
+            made = [pa.array([t[i] for t in told], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("title"), *made], ["page_id", "title", "content", "error"])
+
+    slim = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("title").cast("string").alias("title"), "text")
+    return slim.mapInArrow(run, "page_id string, title string, content string, error string")

@@ -5,6 +5,9 @@ Every stand-in has a DataFrame form and the same in SQL (a list of common table
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see. Where none is named, a local master gets a temporary one, and a cluster an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{root or tempfile.mkdtemp(prefix='lodestone-')}/{name}-{uuid.uuid4().hex}"
+
+
 def as_of():
     return F.to_timestamp(F.lit(AS_OF))
 

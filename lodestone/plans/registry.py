@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import reports, search, texts, trust
+from . import answers, evaluation, reports, search, texts, trust, upkeep
 
-MODULES = (search, trust, reports, texts)
+MODULES = (search, trust, reports, texts, answers, evaluation, upkeep)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

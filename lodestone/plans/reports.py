@@ -375,7 +375,7 @@ SQL = {
       l AS (SELECT concept, page AS source, lead(page) OVER (PARTITION BY concept ORDER BY domain) AS target FROM f) SELECT * FROM l WHERE target IS NOT NULL""",
     "graph_report": f"""WITH {GRAPH}, l AS (SELECT page_id, count(*) AS links FROM words JOIN concepts USING (concept) GROUP BY page_id),
       a AS (SELECT count(*) AS documents, count(*) FILTER (WHERE links IS NULL) AS isolated, round(avg(coalesce(links, 0)), 6) AS mean_links FROM docs LEFT JOIN l USING (page_id)),
-      b AS (SELECT count(*) AS concepts, round(avg((domains > 1)::INT), 6) AS cross_domain FROM concepts) SELECT * FROM a, b""",
+      b AS (SELECT count(*) AS concepts, round(avg((domains > 1)::INT), 6) AS cross_domain, round(avg(n), 6) AS mean_degree, max(n) AS top_degree FROM concepts) SELECT *, round(top_degree * 100.0::DOUBLE / documents, 6) AS hairball FROM a, b""",
     "graph_hierarchy": f"""WITH {GRAPH} SELECT DISTINCT 'root' AS source, 'src::' || source AS target, 'CONTAINS' AS rel FROM docs UNION ALL SELECT DISTINCT 'src::' || source, 'folder::' || source || '/' || domain, 'CONTAINS' FROM docs
       UNION ALL SELECT 'folder::' || source || '/' || domain, 'doc::' || page_id, 'CONTAINS' FROM docs""",
 }

@@ -129,41 +129,104 @@ df -h
 """
 
 
+def _pages(spark, *texts):
+    return spark.createDataFrame([(f"p{i}", "Guide", t) for i, t in enumerate(texts)], "page_id string, title string, text string")
+
+
 def test_blocks_and_chunks(spark):
-    kinds = [b.kind for b in documents.blocks(PAGE)]
-    assert kinds == ["heading", "paragraph", "heading", "paragraph", "table", "code"]
-    last = list(documents.blocks(PAGE))[-1]
-    assert (last.language, last.path) == ("bash", ["Guide", "Root cause"])
-    pages = spark.createDataFrame([("p1", "Guide", PAGE), ("p2", "Long", "word " * 3000 + "."), ("p3", None, None)], "page_id string, title string, text string")
+    rows = documents.parse_blocks(_pages(spark, PAGE)).orderBy("place").collect()
+    assert [r.kind for r in rows] == ["heading", "paragraph", "heading", "paragraph", "table", "code"]
+    assert (rows[-1].language, rows[-1].headings) == ("bash", ["Guide", "Root cause"])
+    pages = _pages(spark, PAGE, "word " * 3000 + ".", None, "")
     rows = documents.chunk_pages(pages).collect()
-    assert all(r.error is None for r in rows)
-    for page in ("p1", "p2"):
-        own = [r for r in rows if r.page_id == page]
+    for page in ("p0", "p1"):
+        own = sorted((r for r in rows if r.page_id == page), key=lambda r: r.chunk_index)
         assert [r.chunk_index for r in own] == list(range(len(own)))
         assert own[0].chunk_id == f"{page}_000"
-    assert not [r for r in rows if r.page_id == "p3"]
+    assert {r.page_id for r in rows} == {"p0", "p1"}
     assert documents.enriched(documents.chunk_pages(pages)).filter("embedding_text is null").count() == 0
 
 
-def test_sentences_are_cut_to_size():
-    text_ = " ".join(f"Sentence number {i} has some words in it." for i in range(300))
-    for parent in documents.parents(list(documents.blocks(text_))):
-        assert all(c["size"] <= documents.SIZES.child_most for c in documents.children(parent))
+def test_strange_blocks(spark):
+    text = "- a\n  | not | table |\n\n  | x |\npara\n#  \nmore\n```py\n# code\n\n| no |\n```\n1) n\n\ttab\n# H1\n### H3\n## H2\n```\nopen to the end\n\n# still"
+    rows = documents.parse_blocks(_pages(spark, text)).orderBy("place").collect()
+    assert [(r.kind, r.text.split("\n")[0]) for r in rows] == [("list", "- a"), ("table", "  | x |"), ("paragraph", "para"), ("paragraph", "#  "), ("code", "```py"), ("list", "1) n"), ("heading", "# H1"), ("heading", "### H3"), ("heading", "## H2"), ("code", "```")]
+    assert rows[-1].text.endswith("# still") and rows[-1].headings == ["H1", "H2"] and rows[7].headings == ["H1", "H3"]
+
+
+def test_large_blocks_are_cut_to_size(spark):
+    sentences = " ".join(f"Sentence number {i} has some words in it." for i in range(300))
+    table = "| a | b |\n|---|---|\n" + "\n".join(f"| cell {i} | value {i} |" for i in range(200))
+    code = "```py\n" + "\n".join(f"x{i} = {i}" for i in range(500)) + "\n```"
+    rows = documents.chunk_pages(_pages(spark, sentences, table, code)).orderBy("page_id", "chunk_index").collect()
+    assert all(r.tokens <= documents.SIZES.child_most for r in rows) and len(rows) > 6
+    assert all("| a | b |\n|---|---|\n| cell" in r.content for r in rows if r.page_id == "p1")
+    assert all("```py\n" in r.content and r.content.endswith("\n```") and r.content.count("```") == (4 if r.overlap else 2) for r in rows if r.page_id == "p2")
+    told = " ".join(r.content for r in rows if r.page_id == "p0")
+    assert told == sentences
+
+
+def test_context_and_overlap(spark):
+    """Code brings the text before it along, and a child begins with the last lines of the one before."""
+    intro = "How to start the service:"
+    code = "```sh\n" + "\n".join(f"run step {i}" for i in range(120)) + "\n```"
+    lines = "\n".join(f"line {i} of a long paragraph with words" for i in range(45))
+    rows = documents.chunk_pages(_pages(spark, f"{intro}\n\n{code}\n\n{lines}\n\n{lines}")).orderBy("chunk_index").collect()
+    assert rows[0].content.startswith(intro) and "```sh" in rows[0].content and rows[0].overlap == 0
+    assert rows[1].overlap > 0 and rows[1].content.startswith("```\n") and rows[1].content.count("```") == 2
+    for r in rows[1:]:
+        assert r.overlap <= documents.SIZES.overlap + 20
+    assert documents.plan_children([100, 500], ["paragraph", "code"], [[100], [250, 250]], 50, 400, 650, 120) == [([0], [], 0, 550), ([0, 1], [0], 1, 50)]
+
+
+def test_short_parents_join(spark):
+    text = "# Root cause one\nThe disk.\n# Root cause two\nThe net.\n# Timeline\n10:00 start\n"
+    rows = documents.parent_chunks(_pages(spark, text)).orderBy("parent_id").collect()
+    assert [(r.parent_id, r.section) for r in rows] == [("p0_p000", "root_cause"), ("p0_p001", "timeline")]
+    assert "The disk." in rows[0].content and "The net." in rows[0].content and rows[0].blocks == ["paragraph"]
+
+
+def test_flat_splits(spark):
+    text = "# One\n" + "\n\n".join(f"Paragraph {i} " + "word " * 30 for i in range(20)) + "\n## Two\n" + "x" * 50 + " tail"
+    pages = _pages(spark, text, None)
+    for name in documents.STRATEGIES:
+        rows = documents.chunked(pages, name, 100, 20).orderBy("place").collect()
+        assert rows and all(r.page_id == "p0" and r.content for r in rows) and "".join(rows[-1].content.split()).endswith("tail")
+    rows = documents.chunked(pages, "markdown", 100, 20).orderBy("place").collect()
+    assert rows[0].headings == ["One"] and rows[-1].headings == ["One", "Two"]
+    rows = documents.chunked(pages, "recursive", 100, 40).orderBy("place").collect()
+    assert all(r.tokens <= 100 for r in rows) and rows[0].content.splitlines()[-1] == rows[1].content.splitlines()[0]
+    with pytest.raises(ValueError):
+        documents.chunked(pages, "none")
+    names = {documents.index_name(s, n) for s in documents.STRATEGIES for n in (100, 200)}
+    assert len(names) == 8 and documents.index_name("token") == documents.index_name("token", 400, 50)
 
 
 def test_windows(spark):
     lines = "\n".join(f"line {i}" for i in range(100))
-    rows = documents.transcript_windows(spark.createDataFrame([("t", "", lines)], "page_id string, title string, text string"), 100, 20).orderBy("place").collect()
+    rows = documents.transcript_windows(_pages(spark, lines), 100, 20).orderBy("place").collect()
     assert rows[0].content == lines[: len(rows[0].content)] and rows[0].content.endswith("\n")
     assert rows[-1].begin + len(rows[-1].content) == len(lines)
+    assert all(b.begin == a.begin + len(a.content) - 20 for a, b in zip(rows, rows[1:], strict=False))
+    assert [(r.begin, r.content) for r in documents.transcript_windows(_pages(spark, None), 10, 2).collect()] == [(0, "")]
     with pytest.raises(ValueError):
         documents.transcript_windows(spark.range(0), 10, 10)
 
 
+def test_tree_reduction(spark):
+    parts = spark.createDataFrame([("a", i, f"t{i}") for i in range(17)] + [("b", 0, "only")], "page_id string, place int, text string")
+    out = {r.page_id: r.text for r in documents.tree_reduced(parts, lambda t: F.array_join(t, "+")).collect()}
+    assert out == {"a": "+".join(f"t{i}" for i in range(17)), "b": "only"}
+
+
 def test_markdown():
     out = documents.to_markdown("<nav>x</nav><h2>T</h2><p>a <a href='https://e.org/x'>link</a> <a href='/y'>in</a><!-- c --></p><img alt='pic'><pre>code\n x</pre>")
     assert "## T" in out and "link (https://e.org/x)" in out and "in" in out and "/y" not in out and "[이미지: pic]" in out and "```\ncode\n x\n```" in out
     assert "nav" not in out and documents.to_markdown("") == ""
+    macro = "<ac:structured-macro ac:name='code'><ac:parameter ac:name='language'>py</ac:parameter><ac:plain-text-body><![CDATA[a = 1\nb]]></ac:plain-text-body></ac:structured-macro><ac:structured-macro ac:name='toc'>x</ac:structured-macro>"
+    assert documents.to_markdown(macro) == "```\na = 1\nb\n```\n"
+    assert documents.to_markdown("<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>") == "| a | b |\n| --- | --- |\n| 1 | 2 |\n"
+    assert documents.to_markdown("<p class='left-column'>kept</p><p id='left-column'>gone</p><div class='a sidebar'>gone</div><div data-nav='1'>gone</div>") == "kept\n"
 
 
 def test_late_events(spark):
