@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import shared_table
 
-UNIT, RATE, HEADER, TAR_BLOCK, SHARD_BYTES = 576, 8000, 44, 512, 4 << 20
+UNIT, RATE, HEADER, TAR_BLOCK, SHARD_BYTES = 576, 8000, 44, 512, 2 << 20
+#: Of the tables of archives, whose cells are large: bytes that a writer holds before it goes on to the next row group.
+GROUP_BYTES = 16 << 20
+STORED_AS = {"compression": "zstd", "parquet.block.size": str(GROUP_BYTES)}
 TAIL = 32
 #: Bits of the table of texts that may occur again; parts over which the rows of such a text are dealt.
 SEEN, SALTS = 1 << 24, 16
@@ -132,11 +135,11 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataF
     slim = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     slim = slim.withColumn("key", F.xxhash64("text"))
     seen = slim.sparkSession.sparkContext.broadcast(_seen_again(slim.select("key")))
-    told = shared_table(slim.mapInArrow(lambda batches: _packer(batches, seen.value), PACKED), "media", compression="zstd")
+    told = shared_table(slim.mapInArrow(lambda batches: _packer(batches, seen.value), PACKED), "media", **STORED_AS)
     # one text of each digest that may occur again
     once = told.filter(F.col("kind") == AGAIN).groupBy("digest").agg(F.first("text").alias("text"))
     once = once.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("key"))
-    more = shared_table(once.mapInArrow(lambda batches: _packer(batches, None), PACKED), "media-again", compression="zstd")
+    more = shared_table(once.mapInArrow(lambda batches: _packer(batches, None), PACKED), "media-again", **STORED_AS)
     own = ["doc_id", "n_bytes", "digest", "shard", "offset", "length"]
     stored = told.filter(F.col("kind") == STORED).select(*own, F.lit(False).alias("again"))
     places = more.filter(F.col("kind") == STORED).select(F.col("digest").alias("_digest"), "shard", "offset", "length")
