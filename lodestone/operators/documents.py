@@ -2,8 +2,8 @@
 
 Lines of all pages are rows: built-in expressions tell their kind, windows over a page tell where blocks begin, and blocks are groups of
 lines. Sizes are numbers of tokens, and tokens of joined texts add up, so parents and pieces are runs of sizes, found by
-folds over arrays of numbers. Only which pieces make up a child, and where a window of tokens begins, is told by two short
-functions over the numbers of one parent or page; HTML is parsed a page at a time. A page that can't be parsed is a row with its error.
+folds over arrays of numbers. Only which pieces make up a child, where a window of tokens begins, and how a block that is too large is cut, is told by short
+functions over one parent, page or block; HTML is parsed a page at a time. A page that can't be parsed is a row with its error.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ HEADING = r"(?U)^(#{1,6})\s+(.*\S)\s*$"
 HEADED = r"(?U)^#{1,6}\s+"
 LIST_ITEM = r"(?U)^\s*(?:[-*+]\s+|\d+[.)]\s+)"
 FENCE = "```"
-SENTENCE = r"(?U)(?<=[.!?。！？])\s+"
+SENTENCES = re.compile(r"(?<=[.!?。！？])\s+")
 TOKEN = re.compile(r"\w+|[^\w\s]")
 #: Deepest heading at which a parent may begin.
 TOP_LEVEL = 3
@@ -112,18 +112,9 @@ def parse_blocks(pages: DataFrame) -> DataFrame:
 
 def _with_headings(blocks: DataFrame, *scope: str) -> DataFrame:
     """blocks with the path of headings above each, within the scope: a heading of level n keeps n - 1 of those before it."""
-    empty = F.array().cast("array<string>")
-    told = blocks.filter("kind = 'heading'").groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct("place", "level", "name"))).alias("h"))
-
-    def below(was: Column, h: Column) -> Column:
-        path = F.concat(F.slice(was["path"], F.lit(1), h["level"] - 1), F.array(h["name"]))
-        return F.struct(path.alias("path"), F.concat(was["told"], F.array(F.struct(h["place"].alias("place"), path.alias("path")))).alias("told"))
-
-    start = F.struct(empty.alias("path"), F.expr("cast(array() as array<struct<place:bigint,path:array<string>>>)").alias("told"))
-    paths = told.select(*scope, F.inline(F.aggregate("h", start, below)["told"]))
-    w = Window.partitionBy(*scope).orderBy("place")
-    out = blocks.drop("headings").join(paths, [*scope, "place"], "left").withColumn("headings", F.last("path", ignorenulls=True).over(w))
-    return out.withColumn("headings", F.coalesce("headings", empty)).drop("path")
+    seen = F.collect_list(F.when(F.col("kind") == "heading", F.struct("level", "name"))).over(Window.partitionBy(*scope).orderBy("place"))
+    path = F.aggregate("_seen", F.array().cast("array<string>"), lambda p, h: F.concat(F.slice(p, F.lit(1), h["level"] - 1), F.array(h["name"])))
+    return blocks.withColumn("_seen", seen).withColumn("headings", path).drop("_seen")
 
 
 def runs(sizes: Column, begins: Column, most: Column | int) -> Column:
@@ -181,26 +172,27 @@ def parent_chunks(pages: DataFrame, sizes: Sizes = SIZES, control: bool = False)
     return out.select("page_id", "title", number, _joined(F.col("parts.text")).alias("content"), "headings", kinds, "section", "tokens", "parts")
 
 
-def _pieces(most: int) -> Column:
-    """The texts of a block (kind, text) of more than most tokens: tables repeat their two header lines, code its fences, text ends at sentences."""
-    lines, kind = F.split("text", "\n"), F.col("kind")
-    n, closed = F.size(lines), F.startswith(F.element_at(lines, -1), F.lit(FENCE))
-    none = F.array().cast("array<string>")
-    table, code = kind == "table", kind == "code"
-    head = F.when(table, F.slice(lines, 1, 2)).when(code, F.slice(lines, 1, 1)).otherwise(none)
-    foot = F.when(code, F.array(F.lit(FENCE))).otherwise(none)
-    last = n - F.when(code & closed, 1).otherwise(0)
-    rows = F.when(table | code, F.slice(lines, F.size(head) + 1, F.greatest(last - F.size(head), F.lit(0)))).otherwise(F.split("text", SENTENCE))
-    room = F.lit(most) - X.token_count(F.array_join(F.concat(head, foot), " "))
-    dealt = runs(F.transform(rows, X.token_count), F.transform(rows, lambda _: F.lit(False)), room)
-    glue = F.when(table | code, "\n").otherwise(" ")
-    told = F.zip_with(rows, dealt, lambda r, n: F.struct(r.alias("r"), n.alias("n")))
-    made = F.transform(F.sequence(F.lit(0), F.array_max(dealt)), lambda g: F.concat(head, F.transform(F.filter(told, lambda x: x["n"] == g), lambda x: x["r"]), foot))
-    small = (X.token_count(F.col("text")) <= most) | ((table | code) & (n <= 3)) | (F.size(rows) == 0)
-    return F.when(small, F.array("text")).otherwise(F.transform(made, lambda p: F.when(glue == "\n", F.array_join(p, "\n")).otherwise(F.array_join(p, " "))))
+def cut_block(text: str | None, kind: str, most: int) -> list[str] | None:
+    """The pieces of a text of more than most tokens: tables repeat their two header lines, code its fences, text ends at sentences."""
+    if text is None:
+        return None
+    lines, hard = text.split("\n"), kind in ("table", "code")
+    if hard and len(lines) <= 3:
+        return [text]
+    head = lines[: 2 if kind == "table" else 1] if hard else []
+    closed = kind == "code" and lines[-1].startswith(FENCE)
+    rows, foot = (lines[len(head) : len(lines) - closed], [FENCE] * (kind == "code")) if hard else (SENTENCES.split(text), [])
+    count = lambda x: len(TOKEN.findall(x))
+    sums = np.concatenate([[0], np.cumsum([count(r) for r in rows])])
+    room, out, begin = most - count(" ".join([*head, *foot])), [], 0
+    while begin < len(rows):
+        stop = max(begin + 1, int(np.searchsorted(sums, sums[begin] + room, "right")) - 1)
+        out.append(("\n" if hard else " ").join([*head, *rows[begin:stop], *foot]))
+        begin = stop
+    return out
 
 
-PLAN = "array<struct<pieces:array<int>,tail_of:array<int>,tail_lines:int,room:int>>"
+CHILDREN = "array<struct<pieces:array<int>,content:string,tokens:int,overlap:int>>"
 
 
 def plan_children(sizes: list[int], kinds: list[str], lines: list[list[int]], least: int, target: int, most: int, overlap: int) -> list[tuple]:
@@ -237,10 +229,28 @@ def plan_children(sizes: list[int], kinds: list[str], lines: list[list[int]], le
     return out
 
 
-def _paired(text: Column) -> Column:
+def _paired(text: str) -> str:
     """text with its code fences in pairs: an open one is closed, one whose begin is missing gets it."""
-    odd = F.regexp_count(text, F.lit(r"(?m)^`{3}")) % 2 == 1
-    return F.when(odd & F.rlike(text, F.lit(r"^\s*`{3}")), F.concat(text, F.lit(f"\n{FENCE}"))).when(odd, F.concat(F.lit(f"{FENCE}\n"), text)).otherwise(text)
+    if len(re.findall(r"(?m)^```", text)) % 2 == 0:
+        return text
+    return f"{text}\n{FENCE}" if text.startswith(FENCE) else f"{FENCE}\n{text}"
+
+
+def children(texts: list[str], kinds: list[str], sizes: Sizes) -> list[tuple]:
+    """(pieces, content, tokens, overlap) of each child that plan_children finds for the pieces of a parent."""
+    count = lambda x: len(TOKEN.findall(x))
+    lines = [[count(x) for x in t.split("\n")] for t in texts]
+    out = []
+    for group, before, taken, room in plan_children([sum(n) for n in lines], kinds, lines, sizes.child_least, sizes.child_target, sizes.child_most, sizes.overlap):
+        content = "\n\n".join(texts[k] for k in group)
+        lead = _paired("\n".join("\n\n".join(texts[k] for k in before).split("\n")[-taken:]).strip()) if taken else ""
+        overlap = count(lead)
+        if lead and overlap <= room:
+            content = f"{lead}\n\n{content}"
+        else:
+            overlap = 0
+        out.append((group, content, overlap + sum(sum(lines[k]) for k in group), overlap))
+    return out
 
 
 def chunk_pages(pages: DataFrame, sizes: Sizes = SIZES, control: bool = False) -> DataFrame:
@@ -248,26 +258,21 @@ def chunk_pages(pages: DataFrame, sizes: Sizes = SIZES, control: bool = False) -
     above = parent_chunks(pages, sizes, control).select("page_id", "title", "parent_id", F.col("headings").alias("parent_headings"), "parts")
     blocks = above.select("page_id", "title", "parent_id", "parent_headings", F.posexplode("parts").alias("place", "b")).select("page_id", "title", "parent_id", "parent_headings", F.col("place").cast("long").alias("place"), "b.kind", "b.text", "b.level", "b.name", "b.language")
     blocks = _with_headings(blocks, "page_id", "parent_id")  # headings begin anew in each parent
-    pieces = blocks.select("*", F.posexplode(_pieces(sizes.child_most)).alias("sub", "piece")).withColumn("piece", _squeezed(F.col("piece")))
-    pieces = pieces.select("page_id", "title", "parent_id", "parent_headings", F.struct("place", "sub", "kind", F.col("piece").alias("text"), "language", "headings", X.token_count(F.col("piece")).alias("size"), F.transform(F.split("piece", "\n"), X.token_count).alias("lines")).alias("p"))
-    rows = pieces.groupBy("page_id", "parent_id").agg(F.first("title").alias("title"), F.first("parent_headings").alias("parent_headings"), F.sort_array(F.collect_list("p")).alias("p"))
-    plan = F.udf(lambda s, k, n: plan_children(list(s), list(k), [list(x) for x in n], sizes.child_least, sizes.child_target, sizes.child_most, sizes.overlap), PLAN, useArrow=True)
-    rows = rows.select("*", F.posexplode(plan(F.col("p.size"), F.col("p.kind"), F.col("p.lines"))).alias("child", "c"))
-    of = lambda numbers, field: F.transform(numbers, lambda i: F.get(F.col("p"), i)[field])
-    own = F.array_join(of(F.col("c.pieces"), "text"), "\n\n")
-    tail = F.split(F.array_join(of(F.col("c.tail_of"), "text"), "\n\n"), "\n")
-    lead = F.when(F.col("c.tail_lines") > 0, _paired(_squeezed(F.array_join(F.slice(tail, -F.least(F.col("c.tail_lines"), F.size(tail)), F.col("c.tail_lines")), "\n")))).otherwise("")
-    rows = rows.withColumn("own", own).withColumn("lead", lead).withColumn("lead", F.when(X.token_count(F.col("lead")) <= F.col("c.room"), F.col("lead")).otherwise(""))
-    content = F.when(F.col("lead") == "", F.col("own")).otherwise(F.concat("lead", F.lit("\n\n"), "own"))
-    path = F.coalesce(F.get(F.filter(of(F.col("c.pieces"), "headings"), lambda h: F.size(h) > 0), F.lit(0)), F.col("parent_headings"))
+    cut = F.udf(lambda t, k: cut_block(t, k, sizes.child_most), "array<string>", useArrow=True)
+    large = F.when(X.token_count(F.col("text")) > sizes.child_most, F.col("text"))
+    pieces = blocks.select("*", F.posexplode(F.coalesce(cut(large, F.col("kind")), F.array("text"))).alias("sub", "piece")).withColumn("piece", _squeezed(F.col("piece")))
+    piece = F.struct("place", "sub", "kind", F.col("piece").alias("text"), "language", "headings").alias("p")
+    rows = pieces.groupBy("page_id", "parent_id").agg(F.first("title").alias("title"), F.first("parent_headings").alias("parent_headings"), F.sort_array(F.collect_list(piece)).alias("p"))
+    made = F.udf(lambda texts, kinds: children(list(texts), list(kinds), sizes), CHILDREN, useArrow=True)
+    rows = rows.select("*", F.posexplode(made(F.col("p.text"), F.col("p.kind"))).alias("child", "c"))
+    of = lambda field: F.transform("c.pieces", lambda i: F.get(F.col("p"), i)[field])
     number = F.row_number().over(Window.partitionBy("page_id").orderBy("parent_id", "child")) - 1
-    rows = rows.withColumn("chunk_index", number)
-    kinds = F.array_sort(F.array_except(F.array_distinct(of(F.col("c.pieces"), "kind")), F.array(F.lit("heading"))))
-    languages = F.array_sort(F.array_distinct(F.filter(of(F.col("c.pieces"), "language"), lambda x: x != "")))
-    return rows.select(
-        "page_id", "title", "parent_id", F.concat("page_id", F.lit("_"), F.lpad(F.col("chunk_index").cast("string"), 3, "0")).alias("chunk_id"), "chunk_index",
-        content.alias("content"), path.alias("headings"), kinds.alias("blocks"), languages.alias("languages"), X.token_count(content).alias("tokens"), X.token_count(F.col("lead")).alias("overlap"),
-    )
+    rows = rows.select("page_id", "title", "parent_id", "child", "c.content", "c.tokens", "c.overlap", "parent_headings", of("headings").alias("paths"), of("kind").alias("kinds"), of("language").alias("languages")).withColumn("chunk_index", number)
+    path = F.coalesce(F.get(F.filter("paths", lambda h: F.size(h) > 0), F.lit(0)), F.col("parent_headings"))
+    kinds = F.array_sort(F.array_except(F.array_distinct("kinds"), F.array(F.lit("heading"))))
+    languages = F.array_sort(F.array_distinct(F.filter("languages", lambda x: x != "")))
+    name = F.concat("page_id", F.lit("_"), F.lpad(F.col("chunk_index").cast("string"), 3, "0"))
+    return rows.select("page_id", "title", "parent_id", name.alias("chunk_id"), "chunk_index", "content", path.alias("headings"), kinds.alias("blocks"), languages.alias("languages"), "tokens", "overlap")
 
 
 def enriched(chunks: DataFrame, profile: str = "runbook_like", parents: DataFrame | None = None) -> DataFrame:
