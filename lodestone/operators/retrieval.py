@@ -88,7 +88,8 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, text: str = "text", k1: flo
     wanted = queries.select("qid", *own, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     sizes = docs.groupBy(*own).agg(F.count("*").alias("n"), F.avg(term_count(F.col(text))).alias("mean"))
     # terms are cut out of a text once; only those of queries go on
-    listed = docs.select("id", *own, terms(F.col(text)).alias("terms")).select("id", *own, F.posexplode("terms").alias("place", "term"), F.size("terms").alias("length"))
+    # the length is known before terms become rows, which then don't carry the whole array
+    listed = docs.select("id", *own, term_count(F.col(text)).alias("length"), terms(F.col(text)).alias("terms")).select("id", *own, "length", F.explode("terms").alias("term"))
     postings = listed.join(wanted.select(*own, "term").distinct(), [*own, "term"], "left_semi").groupBy(*own, "term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     known = postings.groupBy(*own, "term").agg(F.count("*").alias("df"))
     if own:
