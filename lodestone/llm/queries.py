@@ -18,6 +18,7 @@ MODULES = {
     "op8_main_text": "main_text",
     "op9_mixing": "mixing",
     "op10_warc": "warc",
+    "op11_pieces": "pieces",
 }
 
 SQL = {
