@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-from . import chat
+from . import chat, clusters, divergence
 
 #: Module of each query; imported when the queries are listed.
 MODULES = {
@@ -19,6 +19,8 @@ MODULES = {
     "op9_mixing": "mixing",
     "op10_warc": "warc",
     "op11_pieces": "pieces",
+    "op12_divergence": "divergence",
+    "op13_clusters": "clusters",
 }
 
 SQL = {
@@ -38,6 +40,8 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda k: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substring(hex, (k // 4) * 5 + 1, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
   CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
 FROM t""",
+    "op12_divergence": divergence.SQL,
+    "op13_clusters": clusters.sql(),
 }
 
 
