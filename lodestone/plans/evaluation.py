@@ -9,7 +9,7 @@ from lodestone.functions import answer, scoring
 from lodestone.operators import ledger, metrics, retrieval
 
 from .inputs import LABELS, table
-from .search import BM25, LETTERS, SCORES, TOP, _texts, _vectors
+from .search import BM25, LETTERS, SCORES, TOP, _texts, _vectors, text_index_of
 
 K = 20
 
@@ -23,7 +23,7 @@ def _modes(spark, sf_dir: str) -> dict[str, DataFrame]:
     """Ranked hits of every mode; the reranker here is the length of a text, and isn't ready for some queries."""
     q, d = _texts(spark, sf_dir)
     wide, pool = retrieval.pool_size(K, TOP, K)
-    dense, sparse = _dense(spark, sf_dir, pool), retrieval.bm25_topk(q, d, pool)
+    dense, sparse = _dense(spark, sf_dir, pool), text_index_of(spark, sf_dir).topk(q, pool)
     fused = retrieval.hybrid(dense, sparse, limit=wide)
     hits = fused.join(d.select("id", F.length(F.coalesce("text", F.lit(""))).alias("length")), "id")
     reranked = retrieval.rerank(hits.select("qid", "id", "score", "length"), F.col("length").cast("double"), F.col("qid") % 7 != 0)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring
-from lodestone.operators import evidence, metrics, retrieval
+from lodestone.operators import evidence, metrics, retrieval, text_index
 
-from .inputs import RETRIEVED, retrieved, table
+from .inputs import RETRIEVED, retrieved, table, written_once
 
 K, TOP = 20, 10
 
@@ -39,6 +39,18 @@ def _texts(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return q, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
 
 
+def text_index_of(spark, sf_dir: str) -> text_index.TextIndex:
+    """The stored index of the documents, which the queries over them share."""
+    docs = table(spark, sf_dir, "documents")
+
+    def make(root: str) -> text_index.TextIndex:
+        out = text_index.TextIndex(spark, root)
+        out.change(docs.select(F.col("doc_id").alias("id"), "text"))
+        return out
+
+    return written_once(spark, "text-index", docs, make)
+
+
 BM25 = r"""wanted AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[\pL\pN_]+')) AS term FROM benchmark),
 split AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN_]+') AS terms FROM documents),
 sizes AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM split),
@@ -61,7 +73,7 @@ hybrid AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY s
 
 
 def bm25_topk(spark, sf_dir: str) -> DataFrame:
-    return retrieval.bm25_topk(*_texts(spark, sf_dir), k=K)
+    return text_index_of(spark, sf_dir).topk(_texts(spark, sf_dir)[0], K)
 
 
 def best_fields(spark, sf_dir: str) -> DataFrame:
@@ -73,7 +85,7 @@ def best_fields(spark, sf_dir: str) -> DataFrame:
 def _both(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     q, d = _texts(spark, sf_dir)
     near = retrieval.dense_topk(retrieval.embed(q, "qid").withColumnRenamed("id", "qid"), retrieval.embed(d, "id"), K)
-    return near, retrieval.bm25_topk(q, d, K)
+    return near, text_index_of(spark, sf_dir).topk(q, K)
 
 
 def hybrid_search(spark, sf_dir: str) -> DataFrame:
