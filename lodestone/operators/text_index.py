@@ -1,13 +1,13 @@
 """A stored inverted index: BM25 top-k from posting blocks whose bounds tell which of them can matter.
 
 Documents are counted once, when they come. Postings of up to BLOCK documents of a task are one row a term: ids, frequencies and lengths as arrays, and their
-greatest frequency and least length, which bound every score in the block. Rows lie in folders by bucket of the term, so a search reads the buckets of its terms, and no text.
+greatest frequency and least length, which bound every score in the block. A block is a range of places in the stored table of documents. Rows lie in folders by bucket of the term, so a search reads the buckets of its terms, and no text.
 
-A search takes three steps, all of them joins and sums: bounds by query and block of documents; scores of the LEAD blocks of greatest bound, whose k-th best is a floor; scores of those
-other blocks whose bound reaches the floor. The result is that of scoring everything.
+A search takes three steps: bounds by query and block of documents; scores of the LEAD blocks of greatest bound, whose k-th best is a floor; scores of those
+other blocks whose bound reaches the floor. Blocks meet up to QUERY_BLOCK queries in a task, which hands on k rows a query. The result is that of scoring everything.
 
 A change is a segment: documents that come, and marks for those that go or come anew. What the terms of a gone document counted is taken off from its stored
-terms, so frequencies and lengths are those of live documents at any time, as if the index had been built anew; merge() writes live documents into one segment. Hot terms lie in
+terms, and its mark names its block; so frequencies and lengths are those of live documents at any time, as if the index had been built anew; merge() writes live documents into one segment. Hot terms lie in
 many rows, and the writer deals them over tasks by block.
 """
 
@@ -22,12 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from lodestone.functions.text import terms
 from lodestone.sources.store import Manifest
 
-from .retrieval import B, K1, PLACES, top_k
+from .retrieval import B, K1, PLACES, QUERY_BLOCK, top_k
 
 #: Documents and postings of a block at most; blocks scored first; asked terms up to this number are broadcast.
 BLOCK, POSTINGS, LEAD, FEW = 512, 1 << 18, 4, 200_000
@@ -36,8 +37,8 @@ WRITTEN = 1 << 20
 #: Scores are rounded to PLACES digits, so a floor may lie above what it was made of by this much.
 NEAR = 10.0**-PLACES
 
-DOCUMENT = "tenant string, length int, terms array<string>, tfs array<int>"
-POSTINGS_OF = "tenant string, term string, place long, most int, least int, ids array<{id}>, tfs array<int>, lengths array<int>"
+DOCUMENT = "tenant string, length int, terms array<string>, tfs array<int>, place long"
+POSTINGS_OF = "tenant string, term string, block long, most int, least int, ids array<{id}>, tfs array<int>, lengths array<int>"
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,34 +57,70 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row a tenant and term of every block of documents (id, tenant, length, terms, tfs, place)."""
+    """A row a tenant and term of every block of documents (id, tenant, length, terms, tfs, block), or of a part of one that has very many terms."""
     for batch in batches:
         total = np.cumsum(np.asarray(pc.list_value_length(batch.column("terms"))))
+        block = batch.column("block").to_numpy()
         at = 0
         while at < batch.num_rows:
-            end = max(at + 1, min(at + BLOCK, int(np.searchsorted(total, (total[at - 1] if at else 0) + POSTINGS, "right"))))
-            part = batch.slice(at, end - at)
+            same = at + int(np.argmin(np.append(block[at:], -1) == block[at]))
+            end = max(at + 1, min(same, int(np.searchsorted(total, (total[at - 1] if at else 0) + POSTINGS, "right"))))
+            part, number = batch.slice(at, end - at), block[at]
             at = end
             listed = part.column("terms")
             counts = np.asarray(pc.list_value_length(listed))
             doc = np.repeat(np.arange(len(counts)), counts)
+            if not len(doc):
+                continue
             term, tenant = listed.flatten().dictionary_encode(), part.column("tenant").dictionary_encode()
-            key = tenant.indices.to_numpy()[doc].astype(np.int64) * max(1, len(term.dictionary)) + term.indices.to_numpy()
+            size = len(term.dictionary)
+            key = tenant.indices.to_numpy()[doc].astype(np.int64) * size + term.indices.to_numpy()
             order = np.argsort(key, kind="stable")
             key, doc, tfs = key[order], doc[order], part.column("tfs").flatten().to_numpy()[order]
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             ends = pa.array(np.append(starts, len(key)).astype(np.int32))
             lengths = part.column("length").to_numpy()[doc]
-            list_of = lambda values: pa.ListArray.from_arrays(ends, values)
-            reduced = lambda f, values: pa.array(f.reduceat(values, starts) if len(starts) else values)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    tenant.dictionary.take(pa.array(key[starts] // max(1, len(term.dictionary)))), term.dictionary.take(pa.array(key[starts] % max(1, len(term.dictionary)))),
-                    pa.array(np.full(len(starts), part.column("place")[0].as_py(), np.int64)), reduced(np.maximum, tfs), reduced(np.minimum, lengths),
-                    list_of(part.column("id").take(pa.array(doc))), list_of(pa.array(tfs)), list_of(pa.array(lengths)),
-                ],
-                ["tenant", "term", "place", "most", "least", "ids", "tfs", "lengths"],
-            )
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (part.column("id").take(pa.array(doc)), pa.array(tfs), pa.array(lengths))]
+            names = [tenant.dictionary.take(pa.array(key[starts] // size)), term.dictionary.take(pa.array(key[starts] % size))]
+            most, least = np.maximum.reduceat(tfs, starts), np.minimum.reduceat(lengths, starts)
+            yield pa.RecordBatch.from_arrays([*names, pa.array(np.full(len(starts), number, np.int64)), pa.array(most), pa.array(least), *lists], ["tenant", "term", "block", "most", "least", "ids", "tfs", "lengths"])
+
+
+def _scored(k: int | None, k1: float, b: float, kind: pa.DataType):
+    """Of a block's posting rows, the queries that ask for it and its gone documents: (qid, id, score), the k best of each query or all."""
+
+    def run(postings: pa.Table, asked: pa.Table) -> pa.Table:
+        empty = pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], kind), "score": pa.array([], pa.float64())})
+        gone = asked.column("gone").drop_null()
+        asked = asked.filter(pc.is_valid(asked.column("qid")))
+        if not postings.num_rows or not asked.num_rows:
+            return empty
+        postings = postings.combine_chunks()
+        lists = {c: postings.column(c).chunk(0) for c in ("ids", "tfs", "lengths")}
+        ids, place = np.unique(lists["ids"].flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        live = ~np.isin(ids, gone.to_numpy())
+        tf, length = (lists[c].flatten().to_numpy().astype(float) for c in ("tfs", "lengths"))
+        ends = np.asarray(lists["ids"].offsets) - lists["ids"].offsets[0].as_py()
+        rows: dict[tuple, list[int]] = {}
+        for r, name in enumerate(zip(postings.column("tenant").to_pylist(), postings.column("term").to_pylist(), strict=True)):
+            rows.setdefault(name, []).append(r)
+        qids, query = np.unique(asked.column("qid").to_numpy(), return_inverse=True)
+        scores = np.zeros((len(qids), len(ids)))
+        idf, mean = (asked.column(c).to_numpy() for c in ("idf", "mean"))
+        for j, name in enumerate(zip(asked.column("tenant").to_pylist(), asked.column("term").to_pylist(), strict=True)):
+            for r in rows.get(name, ()):
+                at = slice(ends[r], ends[r + 1])
+                scores[query[j], place[at]] += idf[j] * tf[at] / (tf[at] + k1 * (1 - b + b * length[at] / mean[j]))
+        scores = np.where(live[None, :] & (scores > 0), np.round(scores, PLACES), -np.inf)
+        n = len(ids) if k is None else min(k, len(ids))
+        least = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
+        row, column = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        found = scores[row, column]
+        order = np.lexsort((column, -found, row))
+        order = order[np.arange(len(row)) - np.searchsorted(row, row) < n]
+        return pa.table({"qid": qids[row[order]], "id": pa.array(ids[column[order]], kind), "score": found[order]})
+
+    return run
 
 
 class TextIndex:
@@ -99,7 +136,7 @@ class TextIndex:
             "postings": POSTINGS_OF.format(id=id_type) + ", bucket int, segment int",
             "counts": "tenant string, term string, df long, bucket int, segment int",
             "sizes": "tenant string, n long, total long, segment int",
-            "gone": f"id {id_type}, segment int",
+            "gone": f"id {id_type}, block long, of int, segment int",
         }
         self.manifest = Manifest(spark, root, "segment int, docs long, gone long")
 
@@ -125,31 +162,36 @@ class TextIndex:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    @staticmethod
+    def _block() -> Column:
+        return F.floor(F.col("place") / BLOCK).alias("block")
+
     def _gone(self, segments: list) -> DataFrame | None:
-        """(id, before): documents of the id in segments before that one are gone. None without any."""
+        """(id, block, of): the documents of each segment that are gone. None without any."""
         marked = [s for s in segments if s.gone]
-        return self._table("gone", marked).groupBy("id").agg(F.max("segment").alias("before")) if marked else None
+        return self._table("gone", marked).drop("segment") if marked else None
 
-    def _live(self, rows: DataFrame, gone: DataFrame | None, few: bool = False) -> DataFrame:
+    def _live(self, documents: DataFrame, segments: list) -> DataFrame:
+        gone = self._gone(segments)
         if gone is None:
-            return rows
-        gone = gone.withColumnRenamed("id", "_id")
-        return rows.join(F.broadcast(gone) if few else gone, (F.col("id") == F.col("_id")) & (F.col("segment") < F.col("before")), "left_anti")
+            return documents
+        gone = gone.select(F.col("id").alias("_id"), "of")
+        return documents.join(gone, (F.col("id") == F.col("_id")) & (F.col("segment") == F.col("of")), "left_anti")
 
     def _add(self, segment: int, forward: DataFrame, dead: DataFrame | None) -> int:
         """Writes the documents of a segment, their postings, and what they and the dead add to frequencies and sizes."""
-        self._write("documents", segment, forward)
+        # rows of a block lie together in a file
+        self._write("documents", segment, forward.drop("place").withColumn("place", F.monotonically_increasing_id()))
         stored = self.spark.read.schema(T._parse_datatype_string(self.schemas["documents"].removesuffix(", segment int"))).parquet(f"{self.root}/documents/segment={segment}")
         count = stored.count()
-        placed = stored.drop("bucket").withColumn("place", F.monotonically_increasing_id())
-        made = placed.mapInArrow(_blocks, self.schemas["postings"].removesuffix(", bucket int, segment int")).withColumn("bucket", self._bucket("term"))
-        spread = F.pmod(F.xxhash64("place"), F.lit(1 + count // WRITTEN))
-        self._write("postings", segment, made.repartition("bucket", spread).sortWithinPartitions("bucket", "tenant", "term", "place"))
+        made = stored.drop("bucket").withColumn("block", self._block()).drop("place").mapInArrow(_blocks, self.schemas["postings"].removesuffix(", bucket int, segment int")).withColumn("bucket", self._bucket("term"))
+        spread = F.pmod(F.xxhash64("block"), F.lit(1 + count // WRITTEN))
+        self._write("postings", segment, made.repartition(self.buckets * (1 + count // WRITTEN), "bucket", spread).sortWithinPartitions("bucket", "tenant", "term", "block"))
         both = stored.select("tenant", "length", "terms", F.lit(1).alias("sign"))
         if dead is not None:
             both = both.unionByName(dead.select("tenant", "length", "terms", F.lit(-1).alias("sign")))
         df = both.select("tenant", "sign", F.explode("terms").alias("term")).groupBy("tenant", "term").agg(F.sum("sign").alias("df"))
-        self._write("counts", segment, df.filter("df <> 0").withColumn("bucket", self._bucket("term")).repartition("bucket").sortWithinPartitions("bucket", "tenant", "term"))
+        self._write("counts", segment, df.filter("df <> 0").withColumn("bucket", self._bucket("term")).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "tenant", "term"))
         sizes = both.groupBy("tenant").agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("length")).cast("long").alias("total"))
         self._write("sizes", segment, sizes.select("tenant", F.col("n").cast("long").alias("n"), "total").coalesce(1))
         return count
@@ -161,17 +203,18 @@ class TextIndex:
             docs = self.spark.createDataFrame([], f"{self.schemas['documents'].split(',')[0]}, tenant string, {text} string")
         tenant = F.coalesce(F.col("tenant").cast("string"), F.lit("")) if "tenant" in docs.columns else F.lit("")
         cut = docs.filter("id IS NOT NULL").select("id", tenant.alias("tenant"), terms(F.col(text)).alias("terms"))
-        counted = cut.mapInArrow(_counted, self.schemas["documents"].removesuffix(", bucket int, segment int")).withColumn("bucket", self._bucket("id"))
-        once = counted.repartition("bucket").groupBy("bucket", "id").agg(F.max(F.struct("length", "tenant", "terms", "tfs")).alias("d"))
-        forward = once.select("id", "d.tenant", "d.length", "d.terms", "d.tfs", "bucket")
+        counted = cut.mapInArrow(_counted, self.schemas["documents"].removesuffix(", place long, bucket int, segment int")).withColumn("bucket", self._bucket("id"))
+        forward = counted.repartition(self.buckets, "bucket")
+        ids = docs.select("id").filter("id IS NOT NULL")
+        if not ids.groupBy("id").count().filter("count > 1").isEmpty():
+            forward = forward.groupBy("bucket", "id").agg(F.max(F.struct("length", "tenant", "terms", "tfs")).alias("d")).select("id", "d.tenant", "d.length", "d.terms", "d.tfs", "bucket")
         dead = None
         if segments:
-            ids = docs.select("id").filter("id IS NOT NULL")
             ids = self._kept((ids if gone is None else ids.unionAll(gone.select("id"))).distinct().withColumn("bucket", self._bucket("id")))
             touched = [r.bucket for r in ids.select("bucket").distinct().collect()]
             old = self._table("documents", [s for s in segments if s.docs]).filter(F.col("bucket").isin(touched))
-            dead = self._kept(self._live(old, self._gone(segments)).join(ids.select("id"), "id", "left_semi").drop("segment", "bucket"))
-            self._write("gone", segment, dead.select("id"))
+            dead = self._kept(self._live(old, segments).join(ids.select("id"), "id", "left_semi").drop("bucket"))
+            self._write("gone", segment, dead.select("id", self._block(), F.col("segment").alias("of")))
         count = self._add(segment, forward, dead)
         marks = dead.count() if dead is not None else 0
         self.manifest.commit(segment, [*((s.segment, s.docs, s.gone) for s in segments), (segment, count, marks)])
@@ -180,8 +223,8 @@ class TextIndex:
     def merge(self) -> int:
         """Writes the live documents into one segment, from their stored terms; returns the new version."""
         segments, segment = self._segments(), self.manifest.latest() + 1
-        live = self._live(self._table("documents", [s for s in segments if s.docs]), self._gone(segments))
-        count = self._add(segment, live.drop("segment").repartition("bucket"), None)
+        live = self._live(self._table("documents", [s for s in segments if s.docs]), segments)
+        count = self._add(segment, live.drop("segment").repartition(self.buckets, "bucket"), None)
         self.manifest.commit(segment, [(segment, count, 0)])
         return segment
 
@@ -204,28 +247,40 @@ class TextIndex:
         return F.col("idf") * F.col(tf) / (F.col(tf) + self.k1 * (1 - self.b + self.b * F.col(length) / F.col("mean")))
 
     def bounds(self, asked: DataFrame, buckets: list[int], few: bool) -> DataFrame:
-        """(qid, segment, place, bound): what a document of a block can score at most."""
-        rows = self._postings(buckets).select("tenant", "term", "segment", "place", "most", "least")
+        """(qid, segment, block, bound): what a document of a block can score at most."""
+        rows = self._postings(buckets).select("tenant", "term", "segment", "block", "most", "least")
         met = rows.join(F.broadcast(asked) if few else asked, ["tenant", "term"])
-        return met.groupBy("qid", "segment", "place").agg(F.sum(self.part("most", "least")).alias("bound"))
+        return met.groupBy("qid", "segment", "block").agg(F.sum(self.part("most", "least")).alias("bound"))
 
     def _postings(self, buckets: list[int]) -> DataFrame:
         return self._table("postings", [s for s in self._segments() if s.docs]).filter(F.col("bucket").isin(buckets))
 
-    def scores(self, asked: DataFrame, buckets: list[int], few: bool, blocks: DataFrame) -> DataFrame:
-        """(qid, id, score) of the live documents in the blocks (qid, segment, place)."""
-        rows = self._postings(buckets).join(F.broadcast(asked) if few else asked, ["tenant", "term"]).join(blocks, ["qid", "segment", "place"])
-        each = rows.select("qid", "segment", "idf", "mean", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("p"))
-        each = each.select("qid", "segment", F.col("p.ids").alias("id"), self.part("p.tfs", "p.lengths").alias("part"))
+    def scores(self, asked: DataFrame, buckets: list[int], few: bool, blocks: DataFrame, k: int | None = None) -> DataFrame:
+        """(qid, id, score) of the live documents in the blocks (qid, segment, block): the k best of each query and block, or all."""
         segments = self._segments()
-        few_gone = sum(s.gone for s in segments) <= FEW
-        return self._live(each, self._gone(segments), few_gone).groupBy("qid", "id").agg(F.round(F.sum("part"), PLACES).alias("score"))
+        q_parts = max(1, -(-asked.select("qid").distinct().count() // QUERY_BLOCK))
+        part = F.pmod(F.xxhash64("qid"), F.lit(q_parts)).cast("int").alias("part")
+        every = F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("part")
+        keys = ["segment", "block", "part"]
+        wanted, here = asked.select("tenant", "term").distinct(), blocks.select("segment", "block").distinct()
+        if sum(1 + s.docs // BLOCK for s in segments) <= FEW:
+            here = F.broadcast(here)
+        rows = self._postings(buckets).join(F.broadcast(wanted) if few else wanted, ["tenant", "term"], "left_semi").join(here, ["segment", "block"], "left_semi")
+        left = rows.select("segment", "block", "tenant", "term", "ids", "tfs", "lengths", every)
+        id_type = T._parse_datatype_string(self.schemas["gone"])["id"].dataType
+        right = blocks.join(F.broadcast(asked) if few else asked, "qid").select("segment", "block", part, "qid", "tenant", "term", "idf", "mean", F.lit(None).cast(id_type).alias("gone"))
+        gone = self._gone(segments)
+        if gone is not None:
+            none = [F.lit(None).cast(t).alias(c) for c, t in (("qid", "long"), ("tenant", "string"), ("term", "string"), ("idf", "double"), ("mean", "double"))]
+            right = right.unionByName(gone.select(F.col("of").alias("segment"), "block", every, *none, F.col("id").alias("gone")).join(here, ["segment", "block"], "left_semi"))
+        score = _scored(k, self.k1, self.b, to_arrow_type(id_type))
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, f"qid long, id {id_type.simpleString()}, score double")
 
     def survivors(self, bounds: DataFrame, lead: DataFrame, k: int) -> DataFrame:
         """Blocks outside of the lead that can hold one of the k best: their bound reaches the k-th best score of the lead."""
         floor = lead.filter(F.col("rank") == k).select("qid", F.col("score").alias("floor"))
-        rest = bounds.filter(F.col("place_rank") > LEAD).join(floor, "qid", "left")
-        return rest.filter(F.col("bound") >= F.coalesce(F.col("floor"), F.lit(0.0)) - NEAR).select("qid", "segment", "place")
+        rest = bounds.filter(F.col("nth") > LEAD).join(floor, "qid", "left")
+        return rest.filter(F.col("bound") >= F.coalesce(F.col("floor"), F.lit(0.0)) - NEAR).select("qid", "segment", "block")
 
     def topk(self, queries: DataFrame, k: int = 20, text: str = "text", keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """(qid, id, score, rank): the k best live documents of each query; equal scores in order of ids.
@@ -233,9 +288,8 @@ class TextIndex:
         keep: takes rows (qid, id, score) and leaves those that a filter lets pass; it holds before the k are chosen.
         """
         asked, buckets, few = self.asked(queries, text)
-        keep = keep or (lambda rows: rows)
-        order = Window.partitionBy("qid").orderBy(F.desc("bound"), "segment", "place")
-        ranked = self._kept(self.bounds(asked, buckets, few).withColumn("place_rank", F.row_number().over(order)))
-        lead = self._kept(top_k(keep(self.scores(asked, buckets, few, ranked.filter(F.col("place_rank") <= LEAD).select("qid", "segment", "place"))), k))
-        rest = keep(self.scores(asked, buckets, few, self.survivors(ranked, lead, k)))
-        return top_k(lead.drop("rank").unionByName(rest), k)
+        score = lambda blocks: self.scores(asked, buckets, few, blocks, k) if keep is None else keep(self.scores(asked, buckets, few, blocks))
+        order = Window.partitionBy("qid").orderBy(F.desc("bound"), "segment", "block")
+        ranked = self._kept(self.bounds(asked, buckets, few).withColumn("nth", F.row_number().over(order)))
+        lead = self._kept(top_k(score(ranked.filter(F.col("nth") <= LEAD).select("qid", "segment", "block")), k))
+        return top_k(lead.drop("rank").unionByName(score(self.survivors(ranked, lead, k))), k)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, evaluation, reports, search, stored, texts, trust, upkeep
+from . import answers, evaluation, loop, reports, search, stored, texts, trust, upkeep
 
-MODULES = (search, trust, reports, texts, answers, evaluation, upkeep, stored)
+MODULES = (search, trust, reports, texts, answers, evaluation, upkeep, stored, loop)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ class Manifest:
 
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.spark, self.root, self.schema = spark, root, schema
+        self._read: dict[int, list] = {}
 
     def _path(self, version: int) -> str:
         return f"{self.root}/manifest/version={version}"
@@ -41,9 +42,11 @@ class Manifest:
         """The rows of a version."""
         if version == 0:
             return []
-        if "_SUCCESS" not in self._files(self._path(version)):
-            raise ValueError(f"there is no version {version}")
-        return self.spark.read.schema(self.schema).parquet(self._path(version)).collect()
+        if version not in self._read:
+            if "_SUCCESS" not in self._files(self._path(version)):
+                raise ValueError(f"there is no version {version}")
+            self._read[version] = self.spark.read.schema(self.schema).parquet(self._path(version)).collect()
+        return self._read[version]
 
     def commit(self, version: int, rows: Sequence[tuple]) -> None:
         """Writes a version; one that is committed already is an error."""

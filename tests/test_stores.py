@@ -105,14 +105,14 @@ def test_index_reads_buckets_of_its_terms_and_prunes_blocks(spark, root, monkeyp
     assert 1 <= len(buckets) <= 2
     files = [r.f for r in index._postings(buckets).select(F.input_file_name().alias("f")).distinct().collect()]
     assert files and all(any(f"bucket={b}/" in f for b in buckets) for f in files)
-    plan = index.scores(asked, buckets, few, index.bounds(asked, buckets, few))._jdf.queryExecution().executedPlan().toString()
-    reads = [line for line in plan.split("\n") if "FileScan" in line and "place#" in line]
+    plan = index.scores(asked, buckets, few, index.bounds(asked, buckets, few).drop("bound"))._jdf.queryExecution().executedPlan().toString()
+    reads = [line for line in plan.split("\n") if "FileScan" in line and "block#" in line]
     assert reads and all("PartitionFilters: [bucket" in line or "PartitionFilters: [isnotnull(bucket" in line for line in reads)
     assert not any("terms#" in line for line in plan.split("\n"))
     from pyspark.sql.window import Window
 
-    ranked = index._kept(index.bounds(asked, buckets, few).withColumn("place_rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "segment", "place"))))
-    lead = retrieval.top_k(index.scores(asked, buckets, few, ranked.filter(F.col("place_rank") <= text_index.LEAD)), 5)
+    ranked = index._kept(index.bounds(asked, buckets, few).withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "segment", "block"))))
+    lead = retrieval.top_k(index.scores(asked, buckets, few, ranked.filter(F.col("nth") <= text_index.LEAD).select("qid", "segment", "block"), 5), 5)
     assert index.survivors(ranked, lead, 5).count() < ranked.count()
     assert found(index.topk(queries, 5)) == found(retrieval.bm25_topk(queries, docs, 5))
 
