@@ -19,7 +19,6 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,7 +66,6 @@ GONE = re.compile(r"(?:^|\s)(?:hidden(?=$|[\s=/])|aria-hidden\s*=\s*[\"']?true|s
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: A name such as has-sidebar speaks of something else than the element.
 ABOUT = frozenset(("has", "with", "no", "is", "without"))
-DEEPEST = 512
 #: Elements whose ids are mostly made from their titles.
 TITLED = frozenset("h1 h2 h3 h4 h5 h6 section p article main".split())
 
@@ -102,10 +100,10 @@ class Page:
     def __init__(self, source: str, forms: bool = False):
         self._forms, self.form = forms, False
         self.chars, self._links, self._a, self._main = 0, 0, 0, 0
-        #: Where links decide: nodes with what was there when they began. Open elements below DEEPEST, and whether they are noise.
+        #: Where links decide: nodes with what was there when they began. Places of open elements by tag, and of those that aren't inline.
         self._weak: dict[int, tuple[int, int, int]] = {}
-        self._deep: list[tuple[str, bool]] = []
-        self._deep_names: Counter[str] = Counter()
+        self._places: dict[str, list[int]] = {}
+        self._outer: list[int] = [0]
         self.tags, self.parents, self.last = ["#"], [-1], [0]
         self.pieces: list[tuple[int, str | None]] = []
         self._stack, self._names, self._quiet = [0], ["#"], 0
@@ -150,14 +148,13 @@ class Page:
 
     def _open(self, tag: str, attributes: str) -> None:
         self.form |= tag == "form"
-        if not self._deep:  # no end is implied below DEEPEST
-            if tag not in IN_HEAD:
-                self._up_to(("head",), ("body",))
-            if tag in CLOSES_P:
-                self._up_to(("p",), SCOPE)
-            if tag in SIBLINGS:
-                same, until = SIBLINGS[tag]
-                self._up_to(same, until)
+        if tag not in IN_HEAD:
+            self._up_to(("head",), ("body",))
+        if tag in CLOSES_P:
+            self._up_to(("p",), SCOPE)
+        if tag in SIBLINGS:
+            same, until = SIBLINGS[tag]
+            self._up_to(same, until)
         if tag not in INLINE:
             self._break()
         noisy = 2 if self._quiet else _noisy(tag, attributes, self._main > 0, self._forms)
@@ -165,36 +162,23 @@ class Page:
             if noisy < 2:
                 self._node(tag)
             return
-        if len(self._stack) > DEEPEST:
-            if noisy < 2:
-                self._node(tag)
-            self._deep.append((tag, noisy == 2))
-            self._deep_names[tag] += 1
-            self._quiet += noisy == 2
-            self._a += tag == "a"
-            return
         node = -1 if self._quiet else self._node("#noise" if noisy == 2 else tag)
         if noisy == 1:
             self._weak[node] = (len(self.pieces), self.chars, self._links)
+        self._places.setdefault(tag, []).append(len(self._stack))
+        if tag not in INLINE:
+            self._outer.append(len(self._stack))
         self._stack.append(node)
         self._names.append(tag)
         self._quiet += noisy == 2
         self._a += tag == "a"
         self._main += tag in ("article", "main")
 
-    def _pop_deep(self) -> str:
-        tag, noisy = self._deep.pop()
-        self._deep_names[tag] -= 1
-        self._quiet -= noisy
-        self._a -= tag == "a"
-        if tag not in INLINE:
-            self._break()
-        return tag
-
     def _pop(self) -> None:
-        while self._deep:
-            self._pop_deep()
         node, tag = self._stack.pop(), self._names.pop()
+        self._places[tag].pop()
+        if tag not in INLINE:
+            self._outer.pop()
         self._a -= tag == "a"
         self._main -= tag in ("article", "main")
         if self._quiet:
@@ -211,36 +195,23 @@ class Page:
 
     def _up_to(self, names: tuple[str, ...], until) -> None:
         """Close the innermost open element of these names, if none of until stands above it."""
-        for i in range(len(self._names) - 1, 0, -1):
-            if self._names[i] in names:
-                while len(self._stack) > i:
-                    self._pop()
-                return
-            if self._names[i] in until:
-                return
+        at = max((self._places[n][-1] for n in names if self._places.get(n)), default=0)
+        if at and not any(self._places.get(u) and self._places[u][-1] > at for u in until):
+            while len(self._stack) > at:
+                self._pop()
 
     def _close(self, tag: str) -> None:
-        if self._deep_names[tag]:
-            while self._pop_deep() != tag:
-                pass
-            return None
-        if self._deep and tag not in self._names:
-            return self._break() if tag in ("p", "br") else None
         if tag in ("p", "br"):
             self._break()
         if tag in INLINE:  # a stray end doesn't reach out of its block
-            for i in range(len(self._names) - 1, 0, -1):
-                if self._names[i] == tag:
-                    return self._up_to((tag,), ())
-                if self._names[i] not in INLINE:
-                    return None
+            if self._places.get(tag) and self._places[tag][-1] > self._outer[-1]:
+                self._up_to((tag,), ())
         elif tag in ("p", "li", "dd", "dt"):
             self._up_to((tag,), SCOPE - {"li", "dd"})
         elif tag in ("div", "section", "ul", "ol", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"):
             self._up_to((tag,), ("article", "main", "body", "td", "th"))
         else:
             self._up_to((tag,), ())
-        return None
 
 
 def _density(c: int, lc: int, t: int, lt: int, whole: float) -> float:
