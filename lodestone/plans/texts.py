@@ -176,21 +176,17 @@ def normalized_markdown(spark, sf_dir: str) -> DataFrame:
 
 
 def flat_splits(spark, sf_dir: str) -> DataFrame:
-    """All strategies over the long pages: their chunks, each with as many tokens as asked for at most; structured ones have the sizes that go with 200."""
+    """All strategies over the long pages: how many chunks a page has and of how many tokens together, with a target of 200 and an overlap of 40."""
     out = None
     for name in ("token", "recursive", "markdown", "structured"):
-        rows = documents.chunked(_long(spark, sf_dir).filter("page_id < '000060'"), name, 200, 40)
-        one = rows.groupBy("page_id").agg(F.lit(name).alias("strategy"), (F.max("tokens") <= (350 if name == "structured" else 200)).alias("fits"), F.bool_or(F.endswith("content", F.lit("dot."))).alias("ends"))
+        one = documents.chunked(_long(spark, sf_dir), name, 200, 40).groupBy("page_id").agg(F.lit(name).alias("strategy"), F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"), F.max("tokens").cast("int").alias("most"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def size_sweep(spark, sf_dir: str) -> DataFrame:
-    """Chunks of three target sizes hold each text once, besides what they repeat."""
-    pages = _long(spark, sf_dir).filter("page_id < '000060'")
-    told = documents.size_sweep(pages, (100, 200, 400))
-    whole = pages.agg(F.sum(X.token_count(F.col("text"))).alias("all"))
-    return told.join(F.broadcast(whole), F.lit(True)).select("target", (F.col("tokens") - F.col("overlap") == F.col("all")).alias("complete"))  # one row
+    """What chunks of three target sizes come to over the long pages."""
+    return documents.size_sweep(_long(spark, sf_dir), (100, 200, 400))
 
 
 def tree_reduction(spark, sf_dir: str) -> DataFrame:
@@ -265,6 +261,10 @@ m5 AS (SELECT doc_id, regexp_replace(t, '\b[A-Za-z0-9_./+=-]{32,}\b', '[MASKED_S
 n1 AS (SELECT doc_id, regexp_replace(regexp_replace(replace(t, chr(160), ' '), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM m5),
 n2 AS (SELECT doc_id, trim(regexp_replace(t, '[ \t\f\x0b]+(\n|$)', '\1', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM n1)
 SELECT doc_id, CASE WHEN t = '' THEN '' ELSE t || chr(10) END AS text, len(regexp_extract_all(t, '\[MASKED_'))::INT AS masks FROM n2"""
+#: Long pages have m sentences of ten tokens. Held are the sentences that fit a piece, left those of the last one, which joins the one before where it is too short.
+_SENTENCES = "pages_ AS (SELECT printf('%06d', p_partkey) AS page_id, (40 + p_partkey % 161)::INT AS m FROM part)"
+_PIECES = """SELECT *, (pieces > 1 AND 10 * left_ < least_)::INT AS joins FROM (SELECT *, m - held * (pieces - 1) AS left_ FROM (SELECT page_id, m, target, held, least_, ceil(m / held::DOUBLE)::INT AS pieces FROM pages_, (VALUES (100, 16, 12), (200, 32, 25), (400, 65, 50)) t(target, held, least_)))"""
+
 SQL = {
     "token_count": r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\pL\pN_]+|[^\pL\pN_\pZ\s]')) AS n FROM documents",
     "sha256": "SELECT doc_id, sha256(coalesce(text, '')) AS hash, left(sha256(coalesce(text, '')), 12) AS short FROM documents",
@@ -300,8 +300,15 @@ SQL = {
       || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || '키워드: k1, k2' ELSE '' END || chr(10) || chr(10) || p_brand AS text FROM part""",
     "keyword_lists": "SELECT p_partkey, 'docker run ' || p_brand || CASE WHEN p_partkey % 2 = 0 THEN '|OutOfMemoryError' ELSE '' END || '|' || p_type || '|H3' AS words FROM part",
     "normalized_markdown": "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name || chr(10) || chr(10) || 'b c' || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || '```py' || chr(10) || 'x' || chr(10) || '```' ELSE '' END || chr(10) END AS text FROM part",
-    "flat_splits": "SELECT printf('%06d', p_partkey) AS page_id, unnest(['token', 'recursive', 'markdown', 'structured']) AS strategy, true AS fits, true AS ends FROM part WHERE p_partkey < 60",
-    "size_sweep": "SELECT unnest([100, 200, 400])::INT AS target, true AS complete",
+    "flat_splits": f"""WITH {_SENTENCES}, cut AS (SELECT *, ceil(9 * m / 100.0)::INT AS units FROM pages_),
+      token AS (SELECT page_id, 'token' AS strategy, count(*) AS chunks, sum(least(200, 10 * m - a)) AS tokens, max(least(200, 10 * m - a)) AS most FROM (SELECT *, unnest(range(0, greatest(1, 10 * m - 40), 160)) AS a FROM pages_) GROUP BY page_id),
+      unit AS (SELECT page_id, m, units, u, least(9 * m, 100 * (u + 1)) + least(9 * m, 100 * (u + 1)) // 9 - 100 * u - 100 * u // 9 AS size FROM (SELECT *, unnest(range(0, units)) AS u FROM cut)),
+      packed AS (SELECT page_id, m, units, max(size) AS whole, sum(size) FILTER (WHERE u >= units - 2) AS ends FROM unit GROUP BY ALL),
+      recursive_ AS (SELECT page_id, units - (ends <= 200)::INT AS chunks, 10 * m AS tokens, greatest(whole, CASE WHEN ends <= 200 THEN ends ELSE 0 END) AS most FROM packed)
+      SELECT page_id, strategy, chunks, tokens::BIGINT AS tokens, most::INT AS most FROM token
+      UNION ALL SELECT page_id, unnest(['recursive', 'markdown']), chunks, tokens::BIGINT, most::INT FROM recursive_
+      UNION ALL SELECT page_id, 'structured', pieces - joins, 10 * m, 10 * CASE WHEN joins AND pieces = 2 THEN m WHEN joins THEN held + left_ ELSE least(m, held) END FROM ({_PIECES}) WHERE target = 200""",
+    "size_sweep": f"WITH {_SENTENCES} SELECT target::INT AS target, sum(pieces - joins)::BIGINT AS chunks, sum(10 * m)::BIGINT AS tokens, 0::BIGINT AS overlap FROM ({_PIECES}) GROUP BY target",
     "tree_reduction": """WITH n AS (SELECT l_orderkey AS page_id, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1), p AS (SELECT page_id, n, list_transform(range(0, n), lambda i: 'p' || i) AS p FROM n)
       SELECT page_id, CASE WHEN n = 1 THEN p[1] WHEN n <= 4 THEN '(' || array_to_string(p, ' ') || ')' ELSE '((' || array_to_string(p[1:4], ' ') || ') ' || CASE WHEN n = 5 THEN p[5] ELSE '(' || array_to_string(p[5:], ' ') || ')' END || ')' END AS text FROM p""",
     "mask_pii": MASKED,

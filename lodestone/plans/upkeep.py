@@ -9,6 +9,7 @@ from lodestone.functions import classify
 from lodestone.operators import graph, ledger, monitoring
 from lodestone.sources import files
 from lodestone.streaming import events as stream
+from lodestone.streaming import processor, sinks
 
 from .inputs import graph_rows, shared_folder, table
 
@@ -276,7 +277,7 @@ def late_stream_events(spark, sf_dir: str) -> DataFrame:
     """The workflow states of a stream whose first half arrives in a second batch, after the later half."""
     e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("w"), (F.col("user_id") % 50).cast("string")).alias("workflow"), F.when(F.col("event_type") == "purchase", "report").otherwise("progress").alias("kind"), F.col("event_id").alias("completed"), F.col("ts").alias("occurred_at"))
     root = shared_folder(spark, "late")
-    half = F.col("event_id") < 500
+    half = F.col("event_id") < F.lit((e.agg(F.max("event_id")).first()[0] or 0) // 2)
     for part, rows in (("a", e.filter(~half)), ("b", e.filter(half))):
         rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
         fed = spark.readStream.schema(e.schema).parquet(f"{root}/in")
@@ -285,6 +286,53 @@ def late_stream_events(spark, sf_dir: str) -> DataFrame:
     return out.groupBy("workflow").agg(F.max("completed").alias("completed"), F.max_by("status", F.length("status")).alias("status"), F.unix_timestamp(F.max("updated_at")).alias("updated_at"))
 
 
+def workflow_jobs(spark, sf_dir: str) -> DataFrame:
+    """Events through the state of their workflows: what was done, repeated or dead, the last progress, and the one job that a completed transcript makes.
+
+    Every event is delivered twice; workflows of every fifth user were never created, and errors are of no known kind.
+    """
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    u = F.concat(F.lit("w"), F.col("user_id").cast("string"))
+    kind = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "signup", "transcript").when(F.col("event_type") == "error", "odd").otherwise("progress")
+    told = e.select(F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("event_id"), u.alias("workflow"), F.lit("t").alias("tenant"), kind.alias("kind"), F.col("event_id").alias("completed"), F.col("ts").alias("occurred_at"))
+    begun = e.filter("user_id % 5 <> 0").select(u.alias("workflow")).distinct().select(F.concat(F.lit("c"), "workflow").alias("event_id"), "workflow", F.lit("t").alias("tenant"), F.lit("created").alias("kind"), F.lit(0).cast("long").alias("completed"), F.to_timestamp(F.lit("2000-01-01")).alias("occurred_at"))
+    root = shared_folder(spark, "jobs")
+    for part in (begun.unionByName(told), told):
+        part.repartition(4, "workflow").write.mode("append").parquet(f"{root}/in")
+    fed = spark.readStream.schema(processor.EVENTS).parquet(f"{root}/in")
+    settings = {"spark.sql.streaming.stateStore.providerClass": processor.PROVIDER, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        stream.run_once(processor.processed(fed), f"{root}/out")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out = spark.read.schema(processor.OUTCOMES).parquet(f"{root}/out")
+    of = lambda name: F.count_if(F.col("outcome") == name).alias(name)
+    return out.groupBy("workflow").agg(of("done"), of("repeated"), of("dead"), F.max("job").alias("job"))
+
+
+def routed_once(spark, sf_dir: str) -> DataFrame:
+    """Events written to their routes by micro-batches, each of which is written twice, as after a failure: every row is there once."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), "user_id", F.col("event_id").alias("n"))
+    root = shared_folder(spark, "routes")
+    for k in range(2):
+        e.filter(F.col("n") % 2 == k).repartition(2).write.mode("append").parquet(f"{root}/in")
+    sink = sinks.BatchSink(f"{root}/sink", lambda rows: sinks.routed(rows, F.when(F.col("n") % 3 == 0, "E"), F.col("n") % 2 == 0, _now()))
+
+    def twice(rows: DataFrame, batch: int) -> None:
+        sink.write(rows, batch)
+        sink.write(rows, batch)
+
+    fed = spark.readStream.option("maxFilesPerTrigger", 2).schema(e.schema).parquet(f"{root}/in")
+    fed.writeStream.foreachBatch(twice).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = "event_id string, user_id long, n long, attempts int, available_at timestamp, last_error string"
+    read = [sink.read(spark, route, schema).select("event_id", F.lit(route).alias("route"), "attempts", (F.unix_timestamp("available_at") - F.unix_timestamp(_now())).alias("wait")) for route in sinks.ROUTES]
+    return read[0].unionAll(read[1]).unionAll(read[2])
+
+
 # graph
 
 
@@ -326,7 +374,7 @@ def profile_of_pages(spark, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (page_scan, chunk_scan, recent_pages, listed_once, repository_docs, issue_texts, chunk_previews, jsonl_replaced, index_records)}
 QUERIES |= {f.__name__: f for f in (index_documents, document_upsert, chunk_delete, point_payload, bulk_batches, changed_postings, store_counts, missing_candidates, adjacent_chunks)}
 QUERIES |= {f.__name__: f for f in (active_runs, claimed_run, finished_runs, owned_rows, report_owners, total_join, report_integrity)}
-QUERIES |= {f.__name__: f for f in (outbox_publish, queue_depths, expired_jobs, reclaimed_messages, acknowledged, stream_lag, status_mapping, transcript_lifecycle, accepted_events, late_stream_events)}
+QUERIES |= {f.__name__: f for f in (outbox_publish, queue_depths, expired_jobs, reclaimed_messages, acknowledged, stream_lag, status_mapping, transcript_lifecycle, accepted_events, late_stream_events, workflow_jobs, routed_once)}
 QUERIES |= {f.__name__: f for f in (graph_from_chunks, keyword_noise, cleaned_keywords, graph_snapshot, profile_of_pages)}
 
 _AT = f"TIMESTAMP '{NOW}'"
@@ -380,6 +428,9 @@ SQL = {
       SELECT o_orderkey AS workflow, CASE WHEN o_orderkey % 2 = 0 THEN 'deleting' ELSE 'correcting' END AS status, coalesce(t, false) AS has_transcript, CASE WHEN coalesce(d, false) AND o_orderkey % 2 = 0 THEN 0 ELSE coalesce(c, false)::INT END AS jobs,
         NOT (coalesce(d, false) AND o_orderkey % 2 = 0) AS exists FROM orders LEFT JOIN e ON w = o_orderkey""",
     "accepted_events": "SELECT event_id::VARCHAR AS event_id, event_id % 6 <> 0 AND event_id % 10 <> 0 AS accepted FROM events",
+    "workflow_jobs": """SELECT 'w' || user_id AS workflow, CASE WHEN user_id % 5 = 0 THEN 0 ELSE 1 + count(*) FILTER (WHERE event_type <> 'error') END AS done, count(*) AS repeated,
+      CASE WHEN user_id % 5 = 0 THEN count(*) ELSE count(*) FILTER (WHERE event_type = 'error') END AS dead, CASE WHEN user_id % 5 <> 0 AND bool_or(event_type = 'purchase') THEN 'queued' END AS job FROM events GROUP BY user_id""",
+    "routed_once": """SELECT event_id::VARCHAR AS event_id, CASE WHEN event_id % 3 <> 0 THEN 'published' WHEN event_id % 2 = 0 THEN 'retry' ELSE 'dead_letters' END AS route, (event_id % 3 = 0)::INT AS attempts, CASE WHEN event_id % 6 = 0 THEN 2 ELSE 0 END::BIGINT AS wait FROM events""",
     "late_stream_events": """WITH e AS (SELECT event_id, 'w' || (user_id % 50) AS workflow, event_type = 'purchase' AS report, ts FROM events)
       SELECT workflow, coalesce(max_by(event_id, (ts, event_id)) FILTER (WHERE NOT report), 0) AS completed, CASE WHEN bool_or(report) THEN 'report_ready' ELSE 'in_progress' END AS status, floor(epoch(max(ts)))::BIGINT AS updated_at FROM e GROUP BY workflow""",
     "graph_from_chunks": """WITH c AS (SELECT CASE WHEN p_partkey % 8 < 4 THEN 'gh:' ELSE 'p' END || (p_partkey // 4) AS page_id, p_partkey AS place, p_name AS title, p_type AS domain, '1.' || (p_partkey % 5) AS version,
