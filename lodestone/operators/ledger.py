@@ -129,6 +129,11 @@ def with_owner(reports: DataFrame, workflows: DataFrame) -> DataFrame:
     return reports.join(workflows.select("workflow", "tenant", "user_id"), "workflow")
 
 
+def with_reports(workflows: DataFrame, reports: DataFrame) -> DataFrame:
+    """workflows with the report of their transcription and tenant, null without one; a report of another tenant is nobody's."""
+    return workflows.join(reports, ["transcription", "tenant"], "left")
+
+
 def total(queries: DataFrame, answers: DataFrame, key: str = "qid") -> DataFrame:
     """queries joined with answers; the job fails if either side has a key that the other lacks."""
     lost = unmatched(queries, answers, key)

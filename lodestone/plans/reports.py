@@ -134,11 +134,13 @@ def _assets(spark, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     names = ("deleting", "report_failed", "published", "progress", "cancelled", "queued")
-    o = o.select("o_orderkey", F.element_at(F.array(*map(F.lit, names)), (k % 6 + 1).cast("int")).alias("workflow"))
+    o = o.select("o_orderkey", k.alias("transcription"), (k % 5).alias("tenant"), F.element_at(F.array(*map(F.lit, names)), (k % 6 + 1).cast("int")).alias("workflow"))
     r = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.round(F.sum("l_quantity"), 6).alias("quantity"))
     r = r.filter(F.col("lines") > 2).withColumn("report", F.when(F.col("lines") > 5, "published").when(F.col("lines") > 4, "publishing").otherwise("draft"))
-    rows = o.join(r, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return rows.withColumn("status", ledger.asset_status(F.col("workflow"), F.col("report")))
+    # every seventh report is one of another tenant
+    l = F.col("l_orderkey")
+    r = r.select(l.alias("transcription"), F.when(l % 7 == 0, (l + 1) % 5).otherwise(l % 5).alias("tenant"), "quantity", "report")
+    return ledger.with_reports(o, r).withColumn("status", ledger.asset_status(F.col("workflow"), F.col("report")))
 
 
 def asset_status_counts(spark, sf_dir: str) -> DataFrame:
@@ -153,7 +155,7 @@ ASSETS = """assets AS (
   SELECT o_orderkey, quantity, CASE WHEN workflow = 'deleting' THEN 'deleting' WHEN workflow IN ('report_failed', 'cancelled') THEN 'failed'
     WHEN report = 'published' OR workflow = 'published' THEN 'completed' WHEN report = 'publishing' THEN 'processing' WHEN report IS NOT NULL THEN 'draft' ELSE 'processing' END AS status
   FROM (SELECT o_orderkey, ['deleting', 'report_failed', 'published', 'progress', 'cancelled', 'queued'][o_orderkey % 6 + 1] AS workflow FROM orders) o
-  LEFT JOIN (SELECT l_orderkey, round(sum(l_quantity), 6) AS quantity, CASE WHEN count(*) > 5 THEN 'published' WHEN count(*) > 4 THEN 'publishing' ELSE 'draft' END AS report FROM lineitem GROUP BY l_orderkey HAVING count(*) > 2) r ON l_orderkey = o_orderkey)"""
+  LEFT JOIN (SELECT l_orderkey, round(sum(l_quantity), 6) AS quantity, CASE WHEN count(*) > 5 THEN 'published' WHEN count(*) > 4 THEN 'publishing' ELSE 'draft' END AS report FROM lineitem GROUP BY l_orderkey HAVING count(*) > 2) r ON l_orderkey = o_orderkey AND l_orderkey % 7 <> 0)"""
 
 
 def tenant_audit_union(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import text_index, vector_index
+from lodestone.sources import ordered_scan
 from lodestone.sources.store import KeyedTable
 
 from .inputs import shared_folder, table, written_once
@@ -99,6 +100,19 @@ def keyed_rewritten(spark, sf_dir: str) -> DataFrame:
     return told.groupBy("right", "new").agg(F.count("*").alias("n"))
 
 
+def scan_resumed(spark, sf_dir: str) -> DataFrame:
+    """A deep scan of the documents in order of source and id, stopped after every quarter and gone on with at the last key."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id")
+    scan = ordered_scan.OrderedScan.written(d, ["source", "doc_id"], shared_folder(spark, "scan"), rows=200)
+    many, last, out = -(-scan.rows() // 4), None, None
+    for step in range(5):
+        part = scan.after(last, many)
+        last = scan.last_key(part) or last
+        part = part.withColumn("step", F.lit(step))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 QUERIES = {
     "index_changes": index_changes,
     "index_merged": index_merged,
@@ -108,6 +122,7 @@ QUERIES = {
     "keyed_current": keyed_current,
     "keyed_before": keyed_before,
     "keyed_rewritten": keyed_rewritten,
+    "scan_resumed": scan_resumed,
 }
 
 _BM25 = r"""wanted AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[\pL\pN_]+')) AS term FROM benchmark),
@@ -131,5 +146,6 @@ SQL = {
       SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM hits QUALIFY rank <= 20""",
     "keyed_current": f"WITH {_CURRENT} SELECT * FROM current",
     "keyed_before": _HELD,
+    "scan_resumed": "SELECT source, doc_id, ((row_number() OVER (ORDER BY source, doc_id) - 1) // ceil((SELECT count(*) FROM documents) / 4.0)::BIGINT)::INT AS step FROM documents",
     "keyed_rewritten": f'WITH {_CURRENT}, n AS (SELECT count(*) AS rows FROM current) SELECT true AS "right", false AS new, rows - least(rows, 10) AS n FROM n WHERE rows > 10 UNION ALL SELECT true, true, least(rows, 10) FROM n',
 }

@@ -166,3 +166,19 @@ def test_vector_index_of_nothing(spark, root):
     index = vector_index.VectorIndex(spark, root)
     index.change(_vectors(spark).select("id", "vector").filter("1 = 0"))
     assert index.search(spark.createDataFrame([(1, [1.0])], "qid long, vector array<float>")).count() == 0
+
+
+def test_ordered_scan(spark, root):
+    from lodestone.sources.ordered_scan import OrderedScan
+
+    df = spark.range(1000).select((F.col("id") % 7).alias("a"), F.col("id").alias("b"), F.lit("x").alias("text"))
+    scan = OrderedScan.written(df, ["a", "b"], root, rows=100)
+    want = sorted((k % 7, k) for k in range(1000))
+    got, last = [], None
+    while rows := scan.after(last, 170).collect():
+        got += [(r.a, r.b) for r in rows]
+        last = got[-1]
+        assert len(scan.parts_after(last, 170)) <= 4  # of ten
+    assert got == want and scan.rows() == 1000
+    none = OrderedScan.written(df.filter("1 = 0"), ["a", "b"], f"{root}-0")
+    assert none.after(None, 5).count() == 0 and none.last_key(none.after(None, 5)) is None
