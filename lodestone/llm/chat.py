@@ -10,7 +10,8 @@ string, so that none survives inside a text. unescape() takes the character afte
 A conversation is the rows of one id in order of turn; rows of one turn follow role and text. A null text or role is
 empty, a null turn comes first, and rows without id are one conversation of their own. Conversations that break the turn
 order are formatted all the same, with valid = false and the number of turns before the break. Only the four named columns
-are read, so other columns can't clash. One conversation must fit a task, as it is one row of the result.
+are read, so other columns can't clash. One conversation must fit a task, as it is one row of the result, however long its texts are. An empty table
+gives no rows.
 """
 
 from __future__ import annotations

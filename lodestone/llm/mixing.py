@@ -12,7 +12,10 @@ Only DataFrame functions are used. Documents and slots are numbered by prefix su
 all rows is spread over many tasks; sources themselves must fit a window (millions do).
 
 A null text has no words; a null source is a source of its own, after all others. Documents without words are
-returned with taken = 0. Rows of one id are separate documents. Empty input gives no rows.
+returned with taken = 0. Rows of one id are separate documents. Empty input gives no rows. Extra columns aren't read, whatever
+their names. A very long document lies in many blocks. Equal hashes are ordered by id, then by
+where a row stands among those of its id by source and text. The length of a block
+follows from the total: it only makes the schedule of small mixes finer.
 """
 
 from __future__ import annotations

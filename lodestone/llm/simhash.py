@@ -21,7 +21,8 @@ give as many links as members, not pairs. Lists longer than BLOCK are dealt out
 components alternate large-star and small-star steps, each checkpointed.
 
 Null and empty texts have fingerprint zero and link like any other. A null id is kept as a row, but it never
-names a component unless no other id is in it. Rows may repeat.
+names a component unless no other id is in it. Rows may repeat. An empty table gives no rows; other columns than
+id and text aren't read, whatever their names. A very long text is hashed as a whole, in slices of bounded memory where it stands with others.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Identity is by two independent 64-bit hashes (anchor and segment or window). Com
 documents, are salted; the sample decides how rows are dealt out, never which are compared.
 
 Null texts have no words. A null id is neither earlier nor later than any other, so that row stays whole; rows of one
-id never remove words from each other. Extra columns are kept, whatever their names.
+id never remove words from each other. Extra columns are kept, whatever their names. An empty table gives no rows. A very long text is worked on as a
+whole by the task that reads it.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ limited in number or length. They are a literal of the plan, as given ones are,
 
 A null url, or one without ://, has an empty host and path, no tokens and no rule: it is allowed. Repeated rows stay as
 they are and other columns are ignored, whatever their names. Null labels count as good where another label of the document is known, labels of no page
-are ignored, and of contradicting labels the bad one counts. Without labels or pages no rule is mined, and an empty table gives no rows.
+are ignored, and of contradicting labels the bad one counts. Without labels or pages no rule is mined, and an empty table gives no rows. Of
+given rules of one length the greatest text wins, of mined rules that match the one of greatest confidence, then support, then the first by tokens. A very long url is
+one row like any other.
 """
 
 from __future__ import annotations

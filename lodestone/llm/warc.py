@@ -7,7 +7,8 @@ yields one row a record, with an error where the frame, the header, a length or
 broken frame ends its archive, as the next one can't be found.
 
 A null html is an empty payload, a null url an empty address. Repeated ids give repeated records. Ids are numbers; a row
-without one is always a response, of no name. Other columns aren't read, whatever their names; an empty table gives no archive.
+without one is always a response, of no name. Other columns aren't read, whatever their names; an empty table gives no archive. Of equal payloads
+the least id is the response, in every row that has it. A very long payload is one record, whose archive then ends with it.
 """
 
 from __future__ import annotations
