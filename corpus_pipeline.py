@@ -9,6 +9,15 @@ documents.
 3. repeated_passages: words covered by a 13-word window that a document of smaller doc_id has too are cut out of the text.
 4. source_mix: every document is repeated, kept or left out as the target weights of the sources say.
 5. tokens: token ids, their number, and whether they decode to the text.
+
+Each stage reads the five columns of documents alone, so extra columns are left out, whatever their names. An empty table gives no rows at any stage, and texts of any
+length are worked on whole. Rows with a null id or text:
+
+1. a null text has no words, so the base rules reject it; rows without an id are judged by their texts; repeated rows are judged one by one; ties of labels count as the worst.
+2. null and empty texts are one group, of which one row stays; a null id stays only where no other id is in its group; of rows alike in all columns one stays.
+3. a null text stays null; a row without an id keeps all its words, and rows of one id take none from each other; a text without words left is empty.
+4. rows without words are left out; a null source is a source of its own; rows of one id are separate documents, and shares are rounded by a hash, the same in every run.
+5. a null text has no ids; repeated rows stay.
 """
 
 from __future__ import annotations
