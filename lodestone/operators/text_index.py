@@ -14,7 +14,7 @@ many rows, and the writer deals them over tasks by block.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -293,3 +293,15 @@ class TextIndex:
         ranked = self._kept(self.bounds(asked, buckets, few).withColumn("nth", F.row_number().over(order)))
         lead = self._kept(top_k(score(ranked.filter(F.col("nth") <= LEAD).select("qid", "segment", "block")), k))
         return top_k(lead.drop("rank").unionByName(score(self.survivors(ranked, lead, k))), k)
+
+
+def best_fields(indexes: Mapping[str, TextIndex], boosts: Mapping[str, float], queries: DataFrame, k: int = 20, more: DataFrame | None = None) -> DataFrame:
+    """The k best documents by the best of their fields, each an index of its own, times its boost; more are scores (qid, id, score) of other fields, boosted already.
+
+    A document among the k best is among the k best of its best field: whatever is before it there is before it here. So k of each field are enough.
+    """
+    every = more.select("qid", "id", "score") if more is not None else None
+    for name, index in indexes.items():
+        one = index.topk(queries, k).select("qid", "id", F.round(F.col("score") * boosts[name], PLACES).alias("score"))
+        every = one if every is None else every.unionByName(one)
+    return top_k(every.groupBy("qid", "id").agg(F.max("score").alias("score")), k)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import answer, scoring
-from lodestone.operators import ledger, metrics, retrieval
+from lodestone.operators import ledger, metrics, retrieval, text_index
 
 from .inputs import LABELS, table
 from .search import BM25, LETTERS, SCORES, TOP, _texts, _vectors, text_index_of
@@ -186,16 +186,20 @@ def bm25_filtered(spark, sf_dir: str) -> DataFrame:
 
 def bm25_chunks(spark, sf_dir: str) -> DataFrame:
     """All fields of chunks, keyword fields among them; queries are words of texts and whole sources."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"), "lang", "source")
-    d = d.select("id", "content", "title", F.concat_ws(" ", "lang", "title").alias("embedding_text"), F.col("lang").alias("heading_path"), F.array("source").alias("keywords"), F.array("lang").alias("tags"), F.array().cast("array<string>").alias("languages"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array("source").alias("keywords"), F.array("lang").alias("tags"), F.array().cast("array<string>").alias("languages"))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.when(F.col("item_id") % 4 == 0, "en").otherwise(F.substring_index("text", " ", 3)).alias("text"))
-    return retrieval.best_fields(q, d, retrieval.CHUNK_FIELDS, 10, retrieval.CHUNK_KEYWORDS).select("qid", "id", "score", "rank")
+    words = None
+    for name, boost in retrieval.CHUNK_KEYWORDS.items():
+        one = retrieval.keyword_scores(q, d, name).select("qid", "id", F.round(F.col("score") * boost, retrieval.PLACES).alias("score"))
+        words = one if words is None else words.unionByName(one)
+    fields = {"content": "text", "embedding_text": "embedding_text", "title": "title", "heading_path": "lang"}
+    indexes = {name: text_index_of(spark, sf_dir, field) for name, field in fields.items()}
+    return text_index.best_fields(indexes, retrieval.CHUNK_FIELDS, q, 10, words).select("qid", "id", "score", "rank")
 
 
 def bm25_documents(spark, sf_dir: str) -> DataFrame:
-    q, d = _texts(spark, sf_dir)
-    d = d.withColumn("title", F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)).withColumnRenamed("text", "content")
-    return retrieval.best_fields(q, d, retrieval.DOCUMENT_FIELDS, 10).select("qid", "id", "score", "rank")
+    indexes = {"title": text_index_of(spark, sf_dir, "title"), "content": text_index_of(spark, sf_dir)}
+    return text_index.best_fields(indexes, retrieval.DOCUMENT_FIELDS, _texts(spark, sf_dir)[0], 10).select("qid", "id", "score", "rank")
 
 
 def neighbours(spark, sf_dir: str) -> DataFrame:

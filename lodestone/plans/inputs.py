@@ -5,7 +5,6 @@ Every stand-in has a DataFrame form and the same in SQL (a list of common table
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -30,23 +29,20 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root or tempfile.mkdtemp(prefix='lodestone-')}/{name}-{uuid.uuid4().hex}"
 
 
-def fingerprint(df: DataFrame) -> str:
-    """Of the files that df reads: their names, sizes and times."""
-    spark, told = df.sparkSession, []
-    for name in sorted(df.inputFiles()):
-        place = spark._jvm.org.apache.hadoop.fs.Path(name)
-        status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
-        told.append(f"{name} {status.getLen()} {status.getModificationTime()}")
-    return hashlib.sha256("\n".join(told).encode()).hexdigest()
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """Of the files below paths: their number, and their names, sizes and times summed up."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([*paths])  # contents aren't read
+    n, told = files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return f"{n} {told}"
 
 
-#: Indexes that this application has written, by kind, files and application.
+#: What this application has written for several queries, by kind, files and application.
 _written: dict[tuple[str, str, str], object] = {}
 
 
-def written_once(spark: SparkSession, kind: str, source: DataFrame, make: Callable[[str], object]):
-    """What make(root) has written to the shared folder from the files of source; made anew where they have changed."""
-    key = (kind, fingerprint(source), spark.sparkContext.applicationId)
+def written_once(spark: SparkSession, sf_dir: str, kind: str, tables: tuple[str, ...], make: Callable[[str], object]):
+    """What make(root) has written to the shared folder from these tables; made anew where their files have changed."""
+    key = (kind, fingerprint(spark, *(f"{sf_dir}/{t}.parquet" for t in tables)), spark.sparkContext.applicationId)
     if key not in _written:
         _written[key] = make(shared_folder(spark, kind))
     return _written[key]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring
@@ -39,16 +39,23 @@ def _texts(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return q, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
 
 
-def text_index_of(spark, sf_dir: str) -> text_index.TextIndex:
-    """The stored index of the documents, which the queries over them share."""
-    docs = table(spark, sf_dir, "documents")
+def title() -> Column:
+    return F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+
+
+#: Fields of documents that have an index.
+FIELDS = {"text": lambda: F.col("text"), "title": title, "embedding_text": lambda: F.concat_ws(" ", "lang", title()), "lang": lambda: F.col("lang")}
+
+
+def text_index_of(spark, sf_dir: str, field: str = "text") -> text_index.TextIndex:
+    """The stored index of a field of the documents, which the queries over them share."""
 
     def make(root: str) -> text_index.TextIndex:
         out = text_index.TextIndex(spark, root)
-        out.change(docs.select(F.col("doc_id").alias("id"), "text"))
+        out.change(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), FIELDS[field]().alias("text")))
         return out
 
-    return written_once(spark, "text-index", docs, make)
+    return written_once(spark, sf_dir, f"text-index-{field}", ("documents",), make)
 
 
 BM25 = r"""wanted AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[\pL\pN_]+')) AS term FROM benchmark),
@@ -77,9 +84,8 @@ def bm25_topk(spark, sf_dir: str) -> DataFrame:
 
 
 def best_fields(spark, sf_dir: str) -> DataFrame:
-    q, d = _texts(spark, sf_dir)
-    d = d.withColumn("title", F.substring_index(F.coalesce("text", F.lit("")), "\n", 1))
-    return retrieval.best_fields(q, d, {"title": 3.0, "text": 1.0}, K)
+    boosts = {"title": 3.0, "text": 1.0}
+    return text_index.best_fields({f: text_index_of(spark, sf_dir, f) for f in boosts}, boosts, _texts(spark, sf_dir)[0], K)
 
 
 def _both(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -41,7 +41,7 @@ def _index(spark, sf_dir: str) -> vector_index.VectorIndex:
         out.change(_vectors(spark, sf_dir)[1])
         return out
 
-    return written_once(spark, "vector-index", table(spark, sf_dir, "embeddings"), make)
+    return written_once(spark, sf_dir, "vector-index", ("embeddings",), make)
 
 
 def vectors_exact(spark, sf_dir: str) -> DataFrame:

@@ -154,6 +154,18 @@ def chunk_children(spark, sf_dir: str) -> DataFrame:
     return documents.chunk_pages(_long(spark, sf_dir)).select("chunk_id", "parent_id", "tokens", "overlap")
 
 
+def chunk_overlaps(spark, sf_dir: str) -> DataFrame:
+    """Pages of short paragraphs, some with code behind the thirteenth: children are led in by four paragraphs of the one before, and code brings the paragraph before it along."""
+    k = F.col("p_partkey")
+    words = F.lit("word " * 28 + ".")
+    paragraph = lambda i: F.concat(F.lit("p"), i.cast("string"), F.lit(" "), words)
+    code = F.lit("```\n" + "run " * 24 + "\n```")
+    paragraphs = F.transform(F.sequence(F.lit(1), (F.lit(20) + k % 60).cast("int")), paragraph)
+    whole = F.when(k % 3 == 0, F.concat(F.slice(paragraphs, 1, 13), F.array(code), F.slice(paragraphs, 14, 100))).otherwise(paragraphs)
+    pages = table(spark, sf_dir, "part").select(F.format_string("%06d", k).alias("page_id"), F.lit("t").alias("title"), F.array_join(whole, "\n\n").alias("text"))
+    return documents.chunk_pages(pages).select("chunk_id", "parent_id", "tokens", "overlap", F.array_join("blocks", ",").alias("blocks"))
+
+
 def embedding_text(spark, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     none = F.expr(NONE)
@@ -235,7 +247,7 @@ def outbox_pending(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (token_count, sha256, slugify, title, clean_urls, snippets, mask_pii, profile, domain_rules, section_rules, result_bucket)}
-QUERIES |= {f.__name__: f for f in (transcript_windows, baseline_token_split, clean_html, page_chunks, parse_blocks, chunk_parents, chunk_children, embedding_text, keyword_lists, normalized_markdown, flat_splits, size_sweep, tree_reduction)}
+QUERIES |= {f.__name__: f for f in (transcript_windows, baseline_token_split, clean_html, page_chunks, parse_blocks, chunk_parents, chunk_children, chunk_overlaps, embedding_text, keyword_lists, normalized_markdown, flat_splits, size_sweep, tree_reduction)}
 QUERIES |= {f.__name__: f for f in (workflow_state, stream_inbox_dedupe, stream_workflow_state, outbox_pending)}
 
 _WHOLE = "lower(source || '  ' || left(coalesce(text, ''), {n}))"
@@ -296,6 +308,13 @@ SQL = {
       SELECT page_id || '_p00' || i AS parent_id, section, array_to_string(list_sort(list_distinct(list_filter(list_transform(b, lambda x: x.kind), lambda v: v <> 'heading'))), ',') AS blocks, list_sum(n)::INT AS tokens FROM p""",
     "chunk_children": """WITH k AS (SELECT printf('%06d', p_partkey) AS page, 40 + p_partkey % 161 AS n FROM part), m AS (SELECT *, ceil(n / 65.0)::INT - (n > 65 AND n % 65 BETWEEN 1 AND 4)::INT AS pieces FROM k)
       SELECT page || '_00' || i AS chunk_id, page || '_p000' AS parent_id, (10 * CASE WHEN i < pieces - 1 THEN 65 ELSE n - 65 * i END)::INT AS tokens, 0 AS overlap FROM m, range(4) r(i) WHERE i < pieces""",
+    "chunk_overlaps": """WITH k AS (SELECT printf('%06d', p_partkey) AS page, 20 + p_partkey % 60 AS n, (p_partkey % 3 = 0)::INT AS code FROM part),
+      p AS (SELECT page, 0 AS parent, least(46, n + code) AS m, code FROM k UNION ALL SELECT page, 1, n + code - 46, 0 FROM k WHERE n + code > 46),
+      g AS (SELECT *, CASE g WHEN 0 THEN 0 WHEN 1 THEN 13 ELSE 13 * g - code END AS first, 13 * (g + 1) - CASE WHEN g > 0 THEN code ELSE 0 END AS stop FROM p, range(5) r(g)),
+      c AS (SELECT *, least(m, stop) - first + (code = 1 AND g = 1)::INT AS size, code = 1 AND g = 1 AS coded FROM g WHERE first < m),
+      joined AS (SELECT *, g > 0 AND size = 1 AND NOT coded AS lone, coalesce(lead(size) OVER w = 1 AND NOT lead(coded) OVER w, false)::INT AS more FROM c WINDOW w AS (PARTITION BY page, parent ORDER BY g))
+      SELECT page || '_' || printf('%03d', row_number() OVER (PARTITION BY page ORDER BY parent, g) - 1) AS chunk_id, page || '_p00' || parent AS parent_id, (30 * (size + more) + CASE WHEN g > 0 THEN 120 ELSE 0 END)::INT AS tokens,
+        CASE WHEN g > 0 THEN 120 ELSE 0 END AS overlap, CASE WHEN coded THEN 'code,paragraph' ELSE 'paragraph' END AS blocks FROM joined WHERE NOT lone""",
     "embedding_text": """SELECT p_partkey, '문서: ' || p_name || chr(10) || '도메인: manual' || chr(10) || '경로: ' || CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'A > B' END || chr(10) || '청킹 프로필: runbook_like' || chr(10) || '섹션 유형: general' || chr(10) || '블록 유형: code'
       || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || '키워드: k1, k2' ELSE '' END || chr(10) || chr(10) || p_brand AS text FROM part""",
     "keyword_lists": "SELECT p_partkey, 'docker run ' || p_brand || CASE WHEN p_partkey % 2 = 0 THEN '|OutOfMemoryError' ELSE '' END || '|' || p_type || '|H3' AS words FROM part",
