@@ -8,8 +8,9 @@ rule of at least that confidence implies are dropped. The rest are an inverted i
 where all of its tokens are hit. Tokens that are found in too few bad URLs to be in any rule are left out before mining, and tokens
 of the same URLs count as one; neither loses a rule.
 
-Labels are of two kinds, mined one after the other: those of documents (a page has its document's id), and weak ones, which call a URL
-bad if its host has a word of SEEDS. Training takes TRAIN labelled URLs of each at most, those of least hash; rules aren't
+Labels come from evidence outside of the URL and are of two kinds, mined one after the other: those of documents (a page has its document's id), and what a
+page's own text is worth: bad if its main text fails the base rules of quality. Where hosts and paths say nothing about either, no
+rule is significant, and the default stands. Training takes TRAIN labelled URLs of each at most, those of least hash; rules aren't
 limited in number or length. They are a literal of the plan, as given ones are, and URLs are matched row by row, without a shuffle.
 
 A null url, or one without ://, has an empty host and path, no tokens and no rule: it is allowed. Repeated rows stay as
@@ -29,10 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .main_text import extract
+from .quality import base_failed, statistics
 
 GIVEN = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Host words of weak labels.
-SEEDS = ("casino", "bets", "pills", "spam", "adult", "ads")
 #: Labelled URLs to mine, at most; least share of labelled URLs and least confidence of a rule, and the chance of any rule by accident.
 TRAIN, SUPPORT, CONFIDENCE, CHANCE = 20_000, 0.001, 0.8, 0.05
 BAD = "label:bad"
@@ -96,10 +97,16 @@ def _least_count(base: float, tried: int, chance: float = CHANCE) -> int:
     return n
 
 
-def _subsets(items: Column) -> Column:
-    """All proper parts of an array, without the empty one."""
-    grown = F.aggregate(items, F.expr("array(cast(array() as array<string>))"), lambda parts, x: F.concat(parts, F.transform(parts, lambda p: F.concat(p, F.array(x)))))
-    return F.filter(grown, lambda p: (F.size(p) > 0) & (F.size(p) < F.size(items)))
+def _implied(rules: DataFrame) -> DataFrame:
+    """The tokens of rules (tokens, confidence) that a rule of fewer of their tokens implies as surely: they say nothing new.
+
+    A shorter rule is looked up under its rarest token, so rules meet where they share it, and no parts of rules are listed.
+    """
+    each = rules.select("tokens", "confidence", F.explode("tokens").alias("token"))
+    count = each.groupBy("token").agg(F.count("*").alias("n"))
+    rarest = each.join(count, "token").groupBy(F.col("tokens").alias("part"), F.col("confidence").alias("other")).agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    met = each.join(rarest, "token").filter((F.size("part") < F.size("tokens")) & (F.col("other") >= F.col("confidence")))
+    return met.filter(F.forall("part", lambda t: F.array_contains("tokens", t))).select("tokens").distinct()
 
 
 def mine(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, train: int = TRAIN) -> list[tuple[list[str], float, float]]:
@@ -125,11 +132,7 @@ def mine(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDEN
     surprise = count * (p * F.log(p / base) + F.coalesce((1 - p) * F.log(F.when(p < 1, (1 - p) / (1 - base))), F.lit(0.0)))
     found = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (p > base) & (surprise >= log(tried / CHANCE)))
     found = cut(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", (F.col("support") * size / n).alias("support")))
-    # a rule that a part of its tokens implies as surely says nothing new
-    parts = found.select("tokens", "confidence", F.explode(_subsets(F.col("tokens"))).alias("part"))
-    shorter = found.select(F.col("tokens").alias("part"), F.col("confidence").alias("other"))
-    implied = parts.join(shorter, "part").filter(F.col("other") >= F.col("confidence")).select("tokens")
-    rules = found.join(implied, "tokens", "left_anti").orderBy(F.desc("confidence"), F.desc("support"), "tokens")
+    rules = found.join(_implied(found), "tokens", "left_anti").orderBy(F.desc("confidence"), F.desc("support"), "tokens")
     return [(list(r.tokens), r.confidence, r.support) for r in rules.collect()]
 
 
@@ -164,20 +167,21 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.select("page_id", "url").join(told, "page_id").select("url", "bad")
 
 
-def weakly_labelled(pages: DataFrame, seeds: Sequence[str] = SEEDS) -> DataFrame:
-    """(url, bad): every page, bad if its host has a word of seeds."""
-    host, _ = host_path(F.col("url"))
-    return pages.select("url", F.arrays_overlap(F.split(host, r"[.-]"), F.array(*map(F.lit, seeds))).alias("bad"))
+def content_labelled(pages: DataFrame, train: int = TRAIN) -> DataFrame:
+    """(url, bad) of at most train pages (page_id, url, html): bad if the page's main text fails the base rules of quality. A page without html has no text."""
+    sample = pages.filter(F.col("url").isNotNull()).select("page_id", "url", "html").orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(train)
+    texts = extract(sample).select("page_id", "url", "text")
+    return statistics(texts, "page_id", keep=["url"]).select("url", base_failed().alias("bad"))
 
 
 def mined_rules(pages: DataFrame, labels: DataFrame) -> list[tuple[list[str], float, float]]:
     """The rules of both kinds of labels, once each, best first."""
     best: dict[tuple[str, ...], tuple[float, float]] = {}
-    for names, c, s in [*mine(labelled_urls(pages, labels)), *mine(weakly_labelled(pages))]:
+    for names, c, s in [*mine(labelled_urls(pages, labels)), *mine(content_labelled(pages))]:
         best[tuple(names)] = max((c, s), best.get(tuple(names), (0.0, 0.0)))
     return sorted(((list(t), *x) for t, x in best.items()), key=lambda r: (-r[1], -r[2], r[0]))
 
 
 def op4_url_rules(spark, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return url_verdicts(pages, mined_rules(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")))
