@@ -169,9 +169,13 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def content_labelled(pages: DataFrame, train: int = TRAIN) -> DataFrame:
     """(url, bad) of at most train pages (page_id, url, html): bad if the page's main text fails the base rules of quality. A page without html has no text."""
-    sample = pages.filter(F.col("url").isNotNull()).select("page_id", "url", "html").orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(train)
+    known = pages.filter(F.col("url").isNotNull() & F.col("page_id").isNotNull())
+    chosen = known.select("page_id", "url").orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(train)
+    # pages are read where they lie; only train keys at most are sent around
+    sample = known.select("page_id", "url", "html").join(F.broadcast(chosen), ["page_id", "url"], "left_semi")
     texts = extract(sample).select("page_id", "url", "text")
-    return statistics(texts, "page_id", keep=["url"]).select("url", base_failed().alias("bad"))
+    told = cut(statistics(texts, "page_id", keep=["url"]))  # else every use of them would compute them anew
+    return told.select("url", base_failed().alias("bad"))
 
 
 def mined_rules(pages: DataFrame, labels: DataFrame) -> list[tuple[list[str], float, float]]:
