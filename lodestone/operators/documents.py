@@ -113,21 +113,18 @@ def parse_blocks(pages: DataFrame) -> DataFrame:
 def _with_headings(blocks: DataFrame, *scope: str) -> DataFrame:
     """blocks with the path of headings above each, within the scope: a heading of level n keeps n - 1 of those before it.
 
-    One fold goes over the headings of a scope and tells the path at each; blocks take over that of the last heading. So the work is linear in the blocks.
+    One fold goes over the blocks of a scope and tells the path at each, so the work is linear in them and they are shuffled once.
     """
-    heading = F.col("kind") == "heading"
-    none = F.array().cast("array<string>")
-
-    def on(was: Column, h: Column) -> Column:
-        path = F.concat(F.slice(was["path"], F.lit(1), h["level"] - 1), F.array(h["name"]))
-        return F.struct(path.alias("path"), F.concat(was["told"], F.array(path)).alias("told"))
-
-    start = F.struct(none.alias("path"), F.array().cast("array<array<string>>").alias("told"))
-    listed = blocks.filter(heading).groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct("place", "level", "name"))).alias("h"))
-    paths = listed.select(*scope, F.explode(F.arrays_zip(F.col("h.place").alias("_at"), F.aggregate("h", start, on)["told"].alias("headings"))).alias("x"))
-    paths = paths.select(*scope, "x._at", "x.headings")
-    last = F.last(F.when(heading, F.col("place")), ignorenulls=True).over(Window.partitionBy(*scope).orderBy("place"))
-    return blocks.withColumn("_at", last).join(paths, [*scope, "_at"], "left").withColumn("headings", F.coalesce("headings", none)).drop("_at")
+
+    def told(rows: Column) -> Column:
+        def on(was: Column, b: Column) -> Column:
+            path = F.when(b["kind"] == "heading", F.concat(F.slice(was["path"], F.lit(1), F.greatest(b["level"] - 1, F.lit(0))), F.array(b["name"]))).otherwise(was["path"])
+            return F.struct(path.alias("path"), F.concat(was["told"], F.array(path)).alias("told"))
+
+        start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<array<string>>").alias("told"))
+        return F.aggregate(rows, start, on)["told"]
+
+    return _numbered(blocks, [*scope], "place", told, "headings")
 
 
 def runs(sizes: Column, begins: Column, most: Column | int) -> Column:
