@@ -1,156 +1,64 @@
 """Documents to chunks: HTML to Markdown, Markdown blocks, parent and child chunks, flat baselines, transcript windows, tree reduction.
 
-Lines of all pages are rows: built-in expressions tell their kind, windows over a page tell where blocks begin, and blocks are groups of
-lines. Sizes are numbers of tokens, and tokens of joined texts add up, so parents and pieces are runs of sizes, found by
-folds over arrays of numbers. Only which pieces make up a child, where a window of tokens begins, and how a block that is too large is cut, is told by short
-functions over one parent, page or block; HTML is parsed a page at a time. A page that can't be parsed is a row with its error.
+A page is a row and is cut as a whole, by the functions of pages.py over Arrow batches: pages need no shuffle, and their chunks come out as rows.
+Windows of transcripts are told by built-in folds over the places of line ends. A page that can't be parsed is a row with its error.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from html.parser import HTMLParser
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from lodestone.functions import classify
 from lodestone.functions import text as X
 
-# Fixed patterns: headings, list items and fences of Markdown, the ends of sentences, tokens.
-HEADING = r"(?U)^(#{1,6})\s+(.*\S)\s*$"
-HEADED = r"(?U)^#{1,6}\s+"
-LIST_ITEM = r"(?U)^\s*(?:[-*+]\s+|\d+[.)]\s+)"
-FENCE = "```"
-SENTENCES = re.compile(r"(?<=[.!?。！？])\s+")
-TOKEN = re.compile(r"\w+|[^\w\s]")
-#: Deepest heading at which a parent may begin.
-TOP_LEVEL = 3
+from . import pages as whole
+from .pages import Sizes, plan_children  # noqa: F401
 
+SIZES = Sizes()
 
-@dataclass(frozen=True)
-class Sizes:
-    """Token sizes of chunks."""
 
-    child_least: int = 50
-    child_target: int = 400
-    child_most: int = 650
-    parent_most: int = 1400
-    overlap: int = 120
+def _whole(make: Callable[[str | None], Iterable[tuple]], kind: str) -> Callable[[Column], Column]:
+    """A function of a column of texts: the rows that make gives for each, as an array of structs. Columns of a batch are made at once."""
+    fields = to_arrow_type(StructType.fromDDL(kind))
 
-    @classmethod
-    def around(cls, target: int) -> Sizes:
-        """Sizes in fixed proportion to the target of a child."""
-        return cls(round(target * 0.125), target, round(target * 1.625), round(target * 3 * 7 / 6), round(target * 0.15 * 2))
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [[*make(t)] for t in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+        columns = zip(*chain.from_iterable(rows), strict=True) if ends[-1] else [()] * len(fields)
+        structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=list(fields))
+        return pa.ListArray.from_arrays(pa.array(ends), structs)
 
+    told = F.arrow_udf(run, f"array<struct<{kind}>>")
+    return lambda text: told(text.cast("string"))
 
-SIZES = Sizes()
+
+def _numbered(name: Column, number: str) -> Column:
+    """Ids of at least three digits behind a name."""
+    return F.concat(name, F.format_string("%03d", F.col(number)))
 
 
-def _squeezed(line: Column) -> Column:
-    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+BLOCK = "kind string, text string, level int, name string, language string, size int, headings array<string>"
 
 
 def parse_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, title, place, kind, text, level, name, language, size, headings) of the blocks of pages (page_id, title, text as Markdown).
+    """(page_id, place, title, kind, text, level, name, language, size, headings) of the blocks of pages (page_id, title, text as Markdown).
 
     A fence goes on to the next one or the end of the page; lists take indented lines along; headings are those above a block.
     """
-    text = F.regexp_replace(X.text_of(F.col("text")), r"\r\n?", "\n")
-    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "title", F.posexplode(F.split(text, "\n")).alias("n", "line"))
-    line, w = F.col("line"), Window.partitionBy("page_id").orderBy("n")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    bare = _squeezed(line)
-    rows = rows.select(
-        "*",
-        F.startswith(line, F.lit(FENCE)).alias("fence"),
-        F.rlike(line, F.lit(LIST_ITEM)).alias("item"),
-        (F.startswith(line, F.lit("  ")) | F.startswith(line, F.lit("\t"))).alias("indented"),
-        (F.startswith(bare, F.lit("|")) & F.endswith(bare, F.lit("|"))).alias("table"),
-        (bare == "").alias("blank"),
-    )
-    rows = rows.withColumn("inside", F.coalesce(F.sum(F.col("fence").cast("int")).over(before), F.lit(0)) % 2 == 1)
-    code = F.col("inside") | F.col("fence")
-    settled = code | F.col("item") | ~F.col("indented")  # lines that don't depend on the one before
-    rows = rows.withColumn("in_list", F.last(F.when(settled, F.col("item") & ~code), ignorenulls=True).over(before))
-    kind = (
-        F.when(code, "code")
-        .when(F.coalesce(F.col("in_list"), F.lit(False)) & F.col("indented"), "list")
-        .when(F.col("blank"), None)
-        .when(F.rlike(line, F.lit(HEADING)), "heading")
-        .when(F.col("table"), "table")
-        .when(F.col("item"), "list")
-        .otherwise("paragraph")
-    )
-    rows = rows.withColumn("kind", kind)
-    last = F.lag("kind").over(w)
-    opens = F.when(F.col("kind") == "code", F.col("fence") & ~F.col("inside")).otherwise((F.col("kind") == "heading") | ~last.eqNullSafe(F.col("kind")) | ((F.col("kind") == "paragraph") & F.rlike(line, F.lit(HEADED))))
-    rows = rows.withColumn("opens", F.coalesce(opens & F.col("kind").isNotNull(), F.lit(False)))
-    rows = rows.withColumn("place", F.sum(F.col("opens").cast("int")).over(w) - 1).filter("kind is not null")
-    lines = F.sort_array(F.collect_list(F.struct("n", "line")))
-    blocks = rows.groupBy("page_id", "place").agg(F.first("title").alias("title"), F.first("kind").alias("kind"), lines.alias("lines"))
-    first = F.element_at("lines.line", 1)
-    heading = F.col("kind") == "heading"
-    blocks = blocks.select(
-        "page_id",
-        "title",
-        "place",
-        "kind",
-        F.array_join("lines.line", "\n").alias("text"),
-        F.when(heading, F.length(F.regexp_extract(first, HEADING, 1))).otherwise(0).alias("level"),
-        F.when(heading, F.regexp_extract(first, HEADING, 2)).otherwise("").alias("name"),
-        F.when(F.col("kind") == "code", F.regexp_extract(first, r"^`{3}\s*(\S*)", 1)).otherwise("").alias("language"),
-    )
-    return _with_headings(blocks.withColumn("size", X.token_count(F.col("text"))), "page_id")
-
-
-def _with_headings(blocks: DataFrame, *scope: str) -> DataFrame:
-    """blocks with the path of headings above each, within the scope: a heading of level n keeps n - 1 of those before it.
-
-    One fold goes over the blocks of a scope and tells the path at each, so the work is linear in them and they are shuffled once.
-    """
-
-    def told(rows: Column) -> Column:
-        def on(was: Column, b: Column) -> Column:
-            path = F.when(b["kind"] == "heading", F.concat(F.slice(was["path"], F.lit(1), F.greatest(b["level"] - 1, F.lit(0))), F.array(b["name"]))).otherwise(was["path"])
-            return F.struct(path.alias("path"), F.concat(was["told"], F.array(path)).alias("told"))
-
-        start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<array<string>>").alias("told"))
-        return F.aggregate(rows, start, on)["told"]
-
-    return _numbered(blocks, [*scope], "place", told, "headings")
-
-
-def runs(sizes: Column, begins: Column, most: Column | int) -> Column:
-    """The number of the run of each of sizes: a new one where begins says so, and before a run would grow over most."""
-    most = most if isinstance(most, Column) else F.lit(most)
-
-    def add(was: Column, x: Column) -> Column:
-        new = x["begins"] | ((was["sum"] > 0) & (was["sum"] + x["size"] > most))
-        run = was["run"] + F.when(new | (F.size(was["out"]) == 0), 1).otherwise(0)
-        return F.struct(run.alias("run"), F.when(new, x["size"]).otherwise(was["sum"] + x["size"]).alias("sum"), F.concat(was["out"], F.array(run)).alias("out"))
-
-    items = F.zip_with(sizes, begins, lambda s, b: F.struct(s.alias("size"), b.alias("begins")))
-    start = F.struct(F.lit(-1).alias("run"), F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(items, start, add)["out"]
-
-
-def _numbered(rows: DataFrame, scope: list[str], order: str, fold: Callable[[Column], Column], name: str) -> DataFrame:
-    """rows with a number that fold gives for the array of their structs (in order) of a scope."""
-    rest = [c for c in rows.columns if c not in scope]
-    told = rows.groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct(order, *(c for c in rest if c != order)))).alias("_all"))
-    out = told.select(*scope, F.explode(F.zip_with("_all", fold(F.col("_all")), lambda x, n: F.struct(x.alias("x"), n.alias("n")))).alias("_one"))
-    return out.select(*scope, "_one.x.*", F.col("_one.n").alias(name))
-
-
-def _joined(texts: Column) -> Column:
-    return F.array_join(F.filter(F.transform(texts, _squeezed), lambda t: t != ""), "\n\n")
+    told = _whole(lambda t: ((b.kind, b.text, b.level, b.name, b.language, b.size, b.headings) for b in whole.blocks(t)), BLOCK)
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "title", F.posexplode(told(F.col("text"))).alias("place", "b"))
+    return rows.select("page_id", F.col("place").cast("long").alias("place"), "title", "b.*")
 
 
 def parent_chunks(pages: DataFrame, sizes: Sizes = SIZES, control: bool = False) -> DataFrame:
@@ -159,130 +67,24 @@ def parent_chunks(pages: DataFrame, sizes: Sizes = SIZES, control: bool = False)
     Parents begin at headings of known sections and where the size is reached. A short one joins the one before it if both are of one
     section; all of its kinds of blocks are kept.
     """
-    section = classify.control_section if control else classify.section
-    known = F.col("section").isin(*(classify.CONTROL_SECTIONS if control else classify.SECTIONS))
-    rows = parse_blocks(pages).withColumn("section", section(F.col("headings"), F.col("text")))
-    rows = rows.withColumn("begins", (F.col("kind") == "heading") & (F.col("level") <= TOP_LEVEL) & known)
-    rows = _numbered(rows, ["page_id"], "place", lambda a: runs(F.transform(a, lambda x: x["size"]), F.transform(a, lambda x: x["begins"]), sizes.parent_most), "part")
-    part = F.sort_array(F.collect_list(F.struct("place", "kind", "text", "level", "name", "language", "size", "headings"))).alias("parts")
-    made = rows.groupBy("page_id", "part").agg(F.first("title").alias("title"), F.sum("size").cast("int").alias("size"), part)
-    path = lambda parts: F.coalesce(F.get(F.filter(F.transform(parts, lambda b: b["headings"]), lambda h: F.size(h) > 0), F.lit(0)), F.array().cast("array<string>"))
-    made = made.withColumn("headings", path(F.col("parts"))).withColumn("section", section(F.col("headings"), _joined(F.col("parts.text"))))
-
-    def merge(was: Column, x: Column) -> Column:
-        same = (x["size"] < sizes.child_least) & (x["section"] == was["section"]) & (was["size"] + x["size"] <= sizes.parent_most)
-        group = was["group"] + F.when(same, 0).otherwise(1)
-        return F.struct(group.alias("group"), F.when(same, was["size"] + x["size"]).otherwise(x["size"]).alias("size"), x["section"].alias("section"), F.concat(was["out"], F.array(group)).alias("out"))
-
-    start = F.struct(F.lit(-1).alias("group"), F.lit(0).alias("size"), F.lit("").alias("section"), F.array().cast("array<int>").alias("out"))
-    made = _numbered(made, ["page_id"], "part", lambda a: F.aggregate(a, start, merge)["out"], "group")
-    out = made.groupBy("page_id", "group").agg(F.first("title").alias("title"), F.min_by("headings", "part").alias("headings"), F.min_by("section", "part").alias("section"), F.sum("size").cast("int").alias("tokens"), F.flatten(F.sort_array(F.collect_list(F.struct("part", "parts")))["parts"]).alias("parts"))
-    number = F.concat("page_id", F.lit("_p"), F.lpad(F.col("group").cast("string"), 3, "0")).alias("parent_id")
-    kinds = F.array_sort(F.array_except(F.array_distinct(F.col("parts.kind")), F.array(F.lit("heading")))).alias("blocks")
-    return out.select("page_id", "title", number, _joined(F.col("parts.text")).alias("content"), "headings", kinds, "section", "tokens", "parts")
-
-
-def cut_block(text: str | None, kind: str, most: int) -> list[str] | None:
-    """The pieces of a text of more than most tokens: tables repeat their two header lines, code its fences, text ends at sentences."""
-    if text is None:
-        return None
-    lines, hard = text.split("\n"), kind in ("table", "code")
-    if hard and len(lines) <= 3:
-        return [text]
-    head = lines[: 2 if kind == "table" else 1] if hard else []
-    closed = kind == "code" and lines[-1].startswith(FENCE)
-    rows, foot = (lines[len(head) : len(lines) - closed], [FENCE] * (kind == "code")) if hard else (SENTENCES.split(text), [])
-    count = lambda x: len(TOKEN.findall(x))
-    sums = np.concatenate([[0], np.cumsum([count(r) for r in rows])])
-    room, out, begin = most - count(" ".join([*head, *foot])), [], 0
-    while begin < len(rows):
-        stop = max(begin + 1, int(np.searchsorted(sums, sums[begin] + room, "right")) - 1)
-        out.append(("\n" if hard else " ").join([*head, *rows[begin:stop], *foot]))
-        begin = stop
-    return out
-
 
-CHILDREN = "array<struct<pieces:array<int>,content:string,tokens:int,overlap:int>>"
+    def run(text: str | None) -> Iterator[tuple]:
+        place = count()
+        for p in whole.parents(text, sizes, control):
+            parts = [{"place": next(place), **vars(b)} for b in p.parts]
+            yield whole.joined([b.text for b in p.parts]), p.headings, whole.kinds_of(p.parts), p.section, p.tokens, parts
 
-
-def plan_children(sizes: list[int], kinds: list[str], lines: list[list[int]], least: int, target: int, most: int, overlap: int) -> list[tuple]:
-    """Which pieces make up each child of a parent, and how many last lines of the child before it lead it in.
-
-    sizes, kinds and lines are the tokens of each piece, its kind, and the tokens of its lines. A child is closed when the next piece would
-    take it over the target. Code and tables bring the text before them along. A child under the least size joins the
-    one before, unless it has code or a table. Lines lead in until they have `overlap` tokens, if there is room.
-    """
-    groups: list[list[int]] = [[]]
-    context = None
-    for i, kind in enumerate(kinds):
-        hard, group = kind in ("code", "table"), groups[-1]
-        if group and sum(sizes[k] for k in group) + sizes[i] > target:
-            groups.append([])
-            group = groups[-1]
-        if hard and not group and context is not None:
-            group.append(context)
-        group.append(i)
-        context = i if kind in ("paragraph", "list") else context
-    out: list[tuple] = []
-    for group in filter(None, groups):
-        size = sum(sizes[k] for k in group)
-        if out and size < least and not {"code", "table"} & {kinds[k] for k in group}:
-            out[-1] = ([*out[-1][0], *group], *out[-1][1:])
-            continue
-        room = max(0, most - size)
-        before, taken = (out[-1][0], 0) if out and room else ([], 0)
-        if before:
-            counts = np.array([x for k in before for x in (*lines[k], 0)][-2::-1])  # from the end; an empty line parts pieces
-            sums = np.cumsum(counts)
-            taken = min(len(counts), int(np.searchsorted(sums, min(overlap, room))) + 1)
-        out.append((group, before, taken, room))
-    return out
-
-
-def _paired(text: str) -> str:
-    """text with its code fences in pairs: an open one is closed, one whose begin is missing gets it."""
-    if len(re.findall(r"(?m)^```", text)) % 2 == 0:
-        return text
-    return f"{text}\n{FENCE}" if text.startswith(FENCE) else f"{FENCE}\n{text}"
-
-
-def children(texts: list[str], kinds: list[str], sizes: Sizes) -> list[tuple]:
-    """(pieces, content, tokens, overlap) of each child that plan_children finds for the pieces of a parent."""
-    count = lambda x: len(TOKEN.findall(x))
-    lines = [[count(x) for x in t.split("\n")] for t in texts]
-    out = []
-    for group, before, taken, room in plan_children([sum(n) for n in lines], kinds, lines, sizes.child_least, sizes.child_target, sizes.child_most, sizes.overlap):
-        content = "\n\n".join(texts[k] for k in group)
-        lead = _paired("\n".join("\n\n".join(texts[k] for k in before).split("\n")[-taken:]).strip()) if taken else ""
-        overlap = count(lead)
-        if lead and overlap <= room:
-            content = f"{lead}\n\n{content}"
-        else:
-            overlap = 0
-        out.append((group, content, overlap + sum(sum(lines[k]) for k in group), overlap))
-    return out
+    told = _whole(run, "content string, headings array<string>, blocks array<string>, section string, tokens int, parts array<struct<place bigint, kind string, text string, level int, name string, language string, size int, headings array<string>>>")
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "title", F.posexplode(told(F.col("text"))).alias("group", "p"))
+    return rows.select("page_id", "title", _numbered(F.concat("page_id", F.lit("_p")), "group").alias("parent_id"), "p.*")
 
 
 def chunk_pages(pages: DataFrame, sizes: Sizes = SIZES, control: bool = False) -> DataFrame:
     """(page_id, title, parent_id, chunk_id, chunk_index, content, headings, blocks, languages, tokens, overlap): child chunks; ids count over the page."""
-    above = parent_chunks(pages, sizes, control).select("page_id", "title", "parent_id", F.col("headings").alias("parent_headings"), "parts")
-    blocks = above.select("page_id", "title", "parent_id", "parent_headings", F.posexplode("parts").alias("place", "b")).select("page_id", "title", "parent_id", "parent_headings", F.col("place").cast("long").alias("place"), "b.kind", "b.text", "b.level", "b.name", "b.language")
-    blocks = _with_headings(blocks, "page_id", "parent_id")  # headings begin anew in each parent
-    cut = F.udf(lambda t, k: cut_block(t, k, sizes.child_most), "array<string>", useArrow=True)
-    large = F.when(X.token_count(F.col("text")) > sizes.child_most, F.col("text"))
-    pieces = blocks.select("*", F.posexplode(F.coalesce(cut(large, F.col("kind")), F.array("text"))).alias("sub", "piece")).withColumn("piece", _squeezed(F.col("piece")))
-    piece = F.struct("place", "sub", "kind", F.col("piece").alias("text"), "language", "headings").alias("p")
-    rows = pieces.groupBy("page_id", "parent_id").agg(F.first("title").alias("title"), F.first("parent_headings").alias("parent_headings"), F.sort_array(F.collect_list(piece)).alias("p"))
-    made = F.udf(lambda texts, kinds: children(list(texts), list(kinds), sizes), CHILDREN, useArrow=True)
-    rows = rows.select("*", F.posexplode(made(F.col("p.text"), F.col("p.kind"))).alias("child", "c"))
-    of = lambda field: F.transform("c.pieces", lambda i: F.get(F.col("p"), i)[field])
-    number = F.row_number().over(Window.partitionBy("page_id").orderBy("parent_id", "child")) - 1
-    rows = rows.select("page_id", "title", "parent_id", "child", "c.content", "c.tokens", "c.overlap", "parent_headings", of("headings").alias("paths"), of("kind").alias("kinds"), of("language").alias("languages")).withColumn("chunk_index", number)
-    path = F.coalesce(F.get(F.filter("paths", lambda h: F.size(h) > 0), F.lit(0)), F.col("parent_headings"))
-    kinds = F.array_sort(F.array_except(F.array_distinct("kinds"), F.array(F.lit("heading"))))
-    languages = F.array_sort(F.array_distinct(F.filter("languages", lambda x: x != "")))
-    name = F.concat("page_id", F.lit("_"), F.lpad(F.col("chunk_index").cast("string"), 3, "0"))
-    return rows.select("page_id", "title", "parent_id", name.alias("chunk_id"), "chunk_index", "content", path.alias("headings"), kinds.alias("blocks"), languages.alias("languages"), "tokens", "overlap")
+    told = _whole(lambda t: whole.page_children(t, sizes, control), "parent int, content string, headings array<string>, blocks array<string>, languages array<string>, tokens int, overlap int")
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "title", F.posexplode(told(F.col("text"))).alias("chunk_index", "c"))
+    parent, name = _numbered(F.concat("page_id", F.lit("_p")), "c.parent"), _numbered(F.concat("page_id", F.lit("_")), "chunk_index")
+    return rows.select("page_id", "title", parent.alias("parent_id"), name.alias("chunk_id"), "chunk_index", "c.content", "c.headings", "c.blocks", "c.languages", "c.tokens", "c.overlap")
 
 
 def enriched(chunks: DataFrame, profile: str = "runbook_like", parents: DataFrame | None = None) -> DataFrame:
@@ -304,67 +106,27 @@ def enriched(chunks: DataFrame, profile: str = "runbook_like", parents: DataFram
 # flat baselines
 
 
-def _spans(text: str | None, size: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(begin, length, tokens) of windows of size tokens, each overlap into the one before."""
-    at = [m.span() for m in TOKEN.finditer(text or "")]
-    starts = range(0, max(1, len(at) - overlap), size - overlap)
-    return [(at[i][0], at[min(i + size, len(at)) - 1][1] - at[i][0], min(size, len(at) - i)) for i in starts if at]
+def _flat(pages: DataFrame, strategy: str, size: int, overlap: int, *more: int) -> DataFrame:
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be between 0 and size")
+    told = _whole(lambda t: whole.STRATEGIES[strategy](t, size, overlap, *more), "content string, tokens int, headings array<string>")
+    rows = pages.select("page_id", "title", F.posexplode(told(F.col("text"))).alias("place", "c"))
+    return rows.select("page_id", "title", "place", "c.content", "c.headings", "c.tokens")
 
 
 def token_windows(pages: DataFrame, size: int = 400, overlap: int = 50) -> DataFrame:
     """(page_id, title, place, content, headings, tokens): windows of `size` tokens, each `overlap` into the one before."""
-    if not 0 <= overlap < size:
-        raise ValueError("overlap must be between 0 and size")
-    spans = F.udf(lambda t: _spans(t, size, overlap), "array<struct<begin:int,length:int,tokens:int>>", useArrow=True)
-    rows = pages.select("page_id", "title", "text", F.posexplode(spans(F.col("text"))).alias("place", "s"))
-    return rows.select("page_id", "title", "place", F.substr("text", F.col("s.begin") + 1, F.col("s.length")).alias("content"), F.array().cast("array<string>").alias("headings"), F.col("s.tokens").alias("tokens"))
-
-
-def _units(text: Column, most: int) -> Column:
-    """A text cut at empty lines, parts over most tokens at line ends, and lines over it every half as many words."""
-    words = lambda x: F.transform(F.sequence(F.lit(0), F.size(F.split(x, " ")) - 1, F.lit(max(1, most // 2))), lambda i: F.array_join(F.slice(F.split(x, " "), i + 1, max(1, most // 2)), " "))
-    fits = lambda x: X.token_count(x) <= most
-    lines = lambda x: F.flatten(F.transform(F.split(x, "\n"), lambda y: F.when(fits(y), F.array(y)).otherwise(words(y))))
-    return F.filter(F.flatten(F.transform(F.split(X.text_of(text), "\n{2,}"), lambda x: F.when(fits(x), F.array(x)).otherwise(lines(x)))), lambda x: F.trim(x) != "")
-
-
-def _packed(sizes: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
-    """(first, number) of runs of at most size tokens; each begins with the last units of the one before, up to overlap tokens of them."""
-    sums = np.concatenate([[0], np.cumsum(sizes)])
-    out, first = [], 0
-    while first < len(sizes):
-        stop = max(first + 1, int(np.searchsorted(sums, sums[first] + size, "right")) - 1)
-        out.append((first, stop - first))
-        if stop == len(sizes):
-            break
-        first = max(first + 1, int(np.searchsorted(sums, sums[stop] - overlap)))
-        if sums[min(stop + 1, len(sizes))] - sums[first] > size:  # the next unit wouldn't fit behind them
-            first = stop
-    return out
+    return _flat(pages, "token", size, overlap)
 
 
 def recursive_split(pages: DataFrame, size: int = 400, overlap: int = 50) -> DataFrame:
     """(page_id, title, place, content, headings, tokens): text cut at the widest separators that keep parts to size, packed again with overlap."""
-    if not 0 <= overlap < size:
-        raise ValueError("overlap must be between 0 and size")
-    packed = F.udf(lambda s: _packed(list(s), size, overlap), "array<struct<first:int,n:int>>", useArrow=True)
-    rows = pages.select("page_id", "title", *(c for c in ("headings", "at") if c in pages.columns), _units(F.col("text"), size).alias("units"))
-    rows = rows.select("*", F.explode(packed(F.transform("units", X.token_count))).alias("r"))
-    content = F.array_join(F.slice("units", F.col("r.first") + 1, F.col("r.n")), "\n")
-    order = [c for c in ("at",) if c in rows.columns]
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy(*order, "r.first")) - 1
-    headings = F.col("headings") if "headings" in rows.columns else F.array().cast("array<string>")
-    return rows.select("page_id", "title", place.alias("place"), content.alias("content"), headings.alias("headings"), X.token_count(content).alias("tokens"))
+    return _flat(pages, "recursive", size, overlap)
 
 
 def heading_split(pages: DataFrame, size: int = 400, overlap: int = 50, levels: int = 3) -> DataFrame:
     """recursive_split of the sections between headings of the first levels, with the headings above each."""
-    blocks = parse_blocks(pages)
-    begins = ((F.col("kind") == "heading") & (F.col("level") <= levels)).cast("int")
-    blocks = blocks.withColumn("at", F.sum(begins).over(Window.partitionBy("page_id").orderBy("place")))
-    texts = F.sort_array(F.collect_list(F.struct("place", "text")))
-    sections = blocks.groupBy("page_id", "at").agg(F.first("title").alias("title"), F.min_by("headings", "place").alias("headings"), texts.alias("t"))
-    return recursive_split(sections.select("page_id", "title", "at", "headings", F.array_join("t.text", "\n\n").alias("text")), size, overlap)
+    return _flat(pages.withColumn("page_id", F.col("page_id").cast("string")), "markdown", size, overlap, levels)
 
 
 #: Strategies by name: each takes pages, a size and an overlap in tokens.
@@ -372,12 +134,29 @@ STRATEGIES: dict[str, Callable[[DataFrame, int, int], DataFrame]] = {"token": to
 STRATEGIES["structured"] = lambda pages, size, overlap: chunk_pages(pages, Sizes.around(size)).select("page_id", "title", F.col("chunk_index").alias("place"), "content", "headings", "tokens")
 
 
-def chunked(pages: DataFrame, strategy: str, size: int = 400, overlap: int = 50) -> DataFrame:
-    """(page_id, title, place, content, headings, tokens, chunk_id) by a strategy."""
+def _known(strategy: str) -> None:
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}, one of {sorted(STRATEGIES)}")
+
+
+def chunked(pages: DataFrame, strategy: str, size: int = 400, overlap: int = 50) -> DataFrame:
+    """(page_id, title, place, content, headings, tokens, chunk_id) by a strategy."""
+    _known(strategy)
     out = STRATEGIES[strategy](pages, size, overlap)
-    return out.withColumn("chunk_id", F.concat(F.col("page_id").cast("string"), F.lit("_"), F.lpad(F.col("place").cast("string"), 3, "0")))
+    return out.withColumn("chunk_id", _numbered(F.concat(F.col("page_id").cast("string"), F.lit("_")), "place"))
+
+
+def split_totals(pages: DataFrame, strategies: Sequence[str], size: int = 400, overlap: int = 50) -> DataFrame:
+    """(page_id, strategy, chunks, tokens, most): how many chunks each strategy makes of a page, of how many tokens together and at most.
+
+    They are the chunks of `chunked`; a page is read once for all strategies, and chunks are counted where they are made.
+    """
+    for name in strategies:
+        _known(name)
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be between 0 and size")
+    told = _whole(lambda t: whole.totals(t, strategies, size, overlap), "strategy string, chunks bigint, tokens bigint, most int")
+    return pages.select("page_id", F.explode(told(F.col("text"))).alias("c")).select("page_id", "c.*")
 
 
 def index_name(strategy: str, size: int = 400, overlap: int = 50, prefix: str = "eval") -> str:

@@ -99,9 +99,14 @@ def baseline_token_split(spark, sf_dir: str) -> DataFrame:
     return out.select("page_id", "place", "tokens", F.sha2(F.array_join(bare, " "), 256).alias("content"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows dealt out by page: a small file is read by one task, however much there is to do for a page of it."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "page_id")
+
+
 def _markdown(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("title"), F.col("html").alias("text"))
-    done = documents.clean_html(pages)
+    done = documents.clean_html(_dealt(pages))
     broken = F.raise_error(F.concat(F.lit("page "), F.col("page_id"), F.lit(": "), F.col("error")))
     return done.select("page_id", "title", X.mask_secrets(F.when(F.col("error").isNotNull(), broken).otherwise(F.col("content"))).alias("text"))
 
@@ -122,13 +127,14 @@ def page_chunks(spark, sf_dir: str) -> DataFrame:
 def _manuals(spark, sf_dir: str) -> DataFrame:
     """A page a part: headings, a paragraph, a list, a table and code, some of them left out."""
     k = F.col("p_partkey")
+    parts = _dealt(table(spark, sf_dir, "part").select(F.format_string("%06d", k).alias("page_id"), k, "p_name", "p_brand", "p_type"))
     text = F.concat(
         F.lit("# "), "p_name", F.lit("\nIntro of "), "p_brand", F.lit(".\nmore\n\n"),
         F.when(k % 2 == 0, F.lit("## Root cause\n- one\n  inner\n- two\n\n")).otherwise(""),
         F.when(k % 3 == 0, F.lit("| a | b |\n|---|---|\n| 1 | 2 |\n")).otherwise(""),
         F.lit("```bash\n# no heading\nls\n```\n### Deep "), "p_type", F.lit("\nlast"),
     )
-    return table(spark, sf_dir, "part").select(F.format_string("%06d", k).alias("page_id"), F.col("p_name").alias("title"), text.alias("text"))
+    return parts.select("page_id", F.col("p_name").alias("title"), text.alias("text"))
 
 
 def parse_blocks(spark, sf_dir: str) -> DataFrame:
@@ -137,11 +143,12 @@ def parse_blocks(spark, sf_dir: str) -> DataFrame:
 
 
 def _long(spark, sf_dir: str) -> DataFrame:
-    """A page a part, without headings: sentences of ten tokens, 40 to 200 of them."""
+    """A page a part, without headings: sentences of ten tokens, 40 to 200 of them. Parts are dealt out before they grow to pages."""
     k = F.col("p_partkey")
-    many = F.sequence(F.lit(1), (F.lit(40) + k % 161).cast("int"))
-    text = F.array_join(F.transform(many, lambda i: F.concat(F.lit("This sentence "), i.cast("string"), F.lit(" has nine words before its dot."))), " ")
-    return table(spark, sf_dir, "part").select(F.format_string("%06d", k).alias("page_id"), F.lit("t").alias("title"), text.alias("text"))
+    parts = _dealt(table(spark, sf_dir, "part").select(F.format_string("%06d", k).alias("page_id"), (F.lit(40) + k % 161).cast("int").alias("n")))
+    begin, end = "This sentence ", " has nine words before its dot."
+    text = F.concat(F.lit(begin), F.array_join(F.sequence(F.lit(1), F.col("n")).cast("array<string>"), f"{end} {begin}"), F.lit(end))
+    return parts.select("page_id", F.lit("t").alias("title"), text.alias("text"))
 
 
 def chunk_parents(spark, sf_dir: str) -> DataFrame:
@@ -162,7 +169,8 @@ def chunk_overlaps(spark, sf_dir: str) -> DataFrame:
     code = F.lit("```\n" + "run " * 24 + "\n```")
     paragraphs = F.transform(F.sequence(F.lit(1), (F.lit(20) + k % 60).cast("int")), paragraph)
     whole = F.when(k % 3 == 0, F.concat(F.slice(paragraphs, 1, 13), F.array(code), F.slice(paragraphs, 14, 100))).otherwise(paragraphs)
-    pages = table(spark, sf_dir, "part").select(F.format_string("%06d", k).alias("page_id"), F.lit("t").alias("title"), F.array_join(whole, "\n\n").alias("text"))
+    parts = _dealt(table(spark, sf_dir, "part").select(F.format_string("%06d", k).alias("page_id"), k))
+    pages = parts.select("page_id", F.lit("t").alias("title"), F.array_join(whole, "\n\n").alias("text"))
     return documents.chunk_pages(pages).select("chunk_id", "parent_id", "tokens", "overlap", F.array_join("blocks", ",").alias("blocks"))
 
 
@@ -189,11 +197,7 @@ def normalized_markdown(spark, sf_dir: str) -> DataFrame:
 
 def flat_splits(spark, sf_dir: str) -> DataFrame:
     """All strategies over the long pages: how many chunks a page has and of how many tokens together, with a target of 200 and an overlap of 40."""
-    out = None
-    for name in ("token", "recursive", "markdown", "structured"):
-        one = documents.chunked(_long(spark, sf_dir), name, 200, 40).groupBy("page_id").agg(F.lit(name).alias("strategy"), F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"), F.max("tokens").cast("int").alias("most"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return documents.split_totals(_long(spark, sf_dir), ("token", "recursive", "markdown", "structured"), 200, 40)
 
 
 def size_sweep(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scoring, text, version
 from lodestone.operators import documents, evidence, ledger, metrics, retrieval
+from lodestone.plans import texts
 from lodestone.streaming import events
 
 
@@ -202,6 +203,28 @@ def test_flat_splits(spark):
     assert len(names) == 8 and documents.index_name("token") == documents.index_name("token", 400, 50)
 
 
+def test_split_totals(spark, small):
+    """The totals of the chunks that `chunked` makes, each page read once for all strategies; ids differ beyond 1,000 chunks."""
+    sections = "\n\n".join(f"# Cause {i}\nWhat broke in step {i}? The disk.\n- a\n  b" for i in range(120))
+    korean = "서버가 멈췄다! 다시 켠다. " * 300 + "\u0085end"
+    code = "```py\n" + "x = f(1)\n" * 90 + "```\n\n| a | b |\n|---|---|\n" + "| 1 | 2 |\n" * 60
+    pages = _pages(spark, sections, korean, code, "one " * 2500, " \n\n\t", "", None)
+    for size, overlap in ((100, 20), (3, 1)):
+        got = {tuple(r) for r in documents.split_totals(pages, list(documents.STRATEGIES), size, overlap).collect()}
+        want = set()
+        for name in documents.STRATEGIES:
+            rows = documents.chunked(pages, name, size, overlap)
+            want |= {tuple(r) for r in rows.groupBy("page_id").agg(F.lit(name), F.count("*"), F.sum("tokens"), F.max("tokens")).collect()}
+            assert rows.count() == rows.select("chunk_id").distinct().count()
+        assert got == want and max(r[2] for r in got) > (1000 if size == 3 else 25)
+    with pytest.raises(ValueError):
+        documents.split_totals(pages, ["token", "none"])
+    # pages are dealt out before their texts are made, and only the names of pages are shuffled
+    out = texts.flat_splits(spark, small)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == plan.count("Exchange") == 1 and out.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_windows(spark):
     lines = "\n".join(f"line {i}" for i in range(100))
     rows = documents.transcript_windows(_pages(spark, lines), 100, 20).orderBy("place").collect()
